@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, topk, url_filter
+from . import decontaminate, mixing, simhash, substring, topk, url_filter
 from .tables import WORD, table
 
 #: Rules by host and path, and the sites that the list of unwanted sites holds.
@@ -19,6 +19,19 @@ UNWANTED = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "s
 UNWANTED_SITES = tuple(f"{name}.example.{end}" for name in UNWANTED for end in ("com", "net", "org"))
 
 
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.leaks(documents.select("doc_id", "text"), items.select("item_id", "text"))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.removed_words(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = spark.createDataFrame([(s,) for s in UNWANTED_SITES], "site string")
     judged = url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES, listed)
@@ -94,6 +107,9 @@ with vectors as (
 select query_id, rank, vec_id, score from ranked where rank <= 5"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_url_filters": op8_url_filters,
     "op9_mixing": op9_mixing,
     "op10_exact_top_k": op10_exact_top_k,
