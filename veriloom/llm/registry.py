@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, mixing, simhash, substring, topk, url_filter
+from . import decontaminate, mixing, quality, simhash, substring, topk, url_filter
 from .tables import WORD, table
 
 #: Rules by host and path, and the sites that the list of unwanted sites holds.
@@ -19,6 +19,11 @@ UNWANTED = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "s
 UNWANTED_SITES = tuple(f"{name}.example.{end}" for name in UNWANTED for end in ("com", "net", "org"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.classify(documents.select("doc_id", "text"), labels.select("doc_id", "quality"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -107,6 +112,7 @@ with vectors as (
 select query_id, rank, vec_id, score from ranked where rank <= 5"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_substring_dedup": op7_substring_dedup,
