@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, mixing, quality, simhash, substring, topk, url_filter
+from . import chat, decontaminate, licences, mixing, quality, simhash, substring, topk, toxicity, url_filter
 from .tables import WORD, table
 
 #: Rules by host and path, and the sites that the list of unwanted sites holds.
@@ -19,6 +19,12 @@ UNWANTED = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "s
 UNWANTED_SITES = tuple(f"{name}.example.{end}" for name in UNWANTED for end in ("com", "net", "org"))
 
 
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rendered = chat.rotate(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    spans = F.array_join(F.transform("mask", lambda m: F.concat_ws("-", m["begin"], m["end"])), " ")
+    return rendered.select("conv_id", "perspective", "part", "text", F.col("n_turns").cast("long").alias("n_turns"), spans.alias("mask"))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return quality.classify(documents.select("doc_id", "text"), labels.select("doc_id", "quality"))
@@ -28,6 +34,16 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    graded = toxicity.severity(documents, toxicity.fit(documents, labels))
+    return graded.withColumn("held_out", quality.held_out(F.col("doc_id")))
+
+
+def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontaminate.leaks(documents.select("doc_id", "text"), items.select("item_id", "text"))
@@ -52,6 +68,41 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
 
 
+_OP1 = """
+with said as (
+    select distinct conv_id, turn, coalesce(role, 'unknown') as speaker, coalesce(text, '') as said, coalesce(floor(turn / 64)::bigint, 0) as part from conversations
+), people as (
+    select distinct conv_id, speaker as perspective from said where speaker <> 'system'
+), pieces as (
+    select s.conv_id, p.perspective, s.part, s.turn, s.speaker, s.said as raw, s.speaker = p.perspective as mine,
+        '<|' || case when s.speaker = p.perspective then 'assistant' when s.speaker = 'system' then 'system'
+            else 'user name=' || regexp_replace(s.speaker, '[^\\p{L}\\p{N}_-]', '_', 'g') end || '|>' || chr(10) as head,
+        replace(s.said, '<|', '< |') as said
+    from said s join people p on s.conv_id is not distinct from p.conv_id
+), placed as (
+    select *, coalesce(sum(length(head) + length(said) + 1) over (partition by conv_id, perspective, part order by turn nulls first, speaker, raw rows between unbounded preceding and 1 preceding), 0)::bigint as pos from pieces
+)
+select conv_id, perspective, part, string_agg(head || said || chr(10), '' order by turn nulls first, speaker, raw) as text, count(*) as n_turns,
+    coalesce(string_agg((pos + length(head))::varchar || '-' || (pos + length(head) + length(said))::varchar, ' ' order by turn nulls first, speaker, raw) filter (where mine), '') as mask
+from placed group by conv_id, perspective, part"""
+
+_OP5_SENTENCES = ", ".join(f"('{s}', '{i}')" for s, i in licences.SENTENCES.items())
+_OP5_RULES = " ".join(f"when regexp_matches(' ' || replace(sentence_ids, ' ', '  ') || ' ', '{'.*'.join(f' {i} ' for i in r.sequence)}') then '{r.licence}'" for r in licences.RULES)
+_OP5 = f"""
+with known(sentence, id) as (values {_OP5_SENTENCES}), rows_of as (
+    select row_number() over () as r, doc_id, text from documents
+), pieces as (
+    select r, s, i from (select r, string_split_regex(text, '{licences.SENTENCE_END}') as l from rows_of where regexp_matches(text, '(?i)licen[sc]e|permission|redistribut|copyright|public domain|rights reserved')) t,
+        lateral (select unnest(l) as s, generate_subscripts(l, 1) as i)
+), plain as (
+    select r, i, trim(regexp_replace(regexp_replace(regexp_replace(lower(s), '[^a-z0-9.]+', ' ', 'g'), '\\.+([^0-9.]|$)', ' \\1', 'g'), ' +', ' ', 'g')) as sentence from pieces where length(s) <= 200
+), found as (
+    select r, count(*) as n_sentences, string_agg(id, ' ' order by i) as sentence_ids from plain join known using (sentence) group by r
+), named as (
+    select doc_id, coalesce(n_sentences, 0) as n_sentences, coalesce(sentence_ids, '') as sentence_ids from rows_of left join found using (r)
+)
+select *, case {_OP5_RULES} end as licence from named"""
+
 _OP8 = """
 with parts as (
     select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages
@@ -112,8 +163,11 @@ with vectors as (
 select query_id, rank, vec_id, score from ranked where rank <= 5"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_formatting": op1_chat_formatting,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_toxicity": op4_toxicity,
+    "op5_license_scans": op5_license_scans,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_url_filters": op8_url_filters,
@@ -121,4 +175,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_exact_top_k": op10_exact_top_k,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_url_filters": _OP8, "op9_mixing": _OP9, "op10_exact_top_k": _OP10}
+ORACLE_SQL: dict[str, str] = {"op1_chat_formatting": _OP1, "op5_license_scans": _OP5, "op8_url_filters": _OP8, "op9_mixing": _OP9, "op10_exact_top_k": _OP10}
