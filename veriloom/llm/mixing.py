@@ -51,7 +51,7 @@ def demand_time(share: Column, tilt: Column) -> Column:
     when its weight falls linearly from 1 + tilt to 1 - tilt."""
     up = 1 + tilt
     root = F.sqrt(F.greatest(up * up - 4 * tilt * share, F.lit(0.0)))
-    return F.when(tilt == 0, share).otherwise((up - root) / (2 * tilt))
+    return F.when(tilt == 0, share).otherwise((up - root) / (2 * tilt) + 0.0)
 
 
 def curriculum(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST_PASSES, tilts: Sequence[float] = TILTS, rows_a_bucket: int = 50_000) -> DataFrame:

@@ -4,6 +4,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+import corpus_pipeline
+
 from . import chat, decontaminate, licences, mixing, quality, simhash, substring, topk, toxicity, url_filter
 from .tables import WORD, table
 
@@ -173,6 +175,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filters": op8_url_filters,
     "op9_mixing": op9_mixing,
     "op10_exact_top_k": op10_exact_top_k,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_chat_formatting": _OP1, "op5_license_scans": _OP5, "op8_url_filters": _OP8, "op9_mixing": _OP9, "op10_exact_top_k": _OP10}
