@@ -15,8 +15,9 @@ doc_id. The steps:
    is w + width - 1 words: a duplicate span.
 4. A document's spans meet its text and cover words of it.
 
-Anchors with more than ``max_blocks`` blocks are not parsed in one place: their windows are looked
-up one by one in a table of the smallest doc_id of each window, which is pre-aggregated.
+The blocks of an anchor with more than ``max_blocks`` of them are parsed in shares, by the hash of
+the doc_id. A window without a reference in its share is looked up in a table of the smallest
+doc_id of each such window: most copies are settled in their share, and a share keeps one at most.
 """
 
 import hashlib
@@ -176,34 +177,49 @@ def parse(blocks: list[tuple[int, list[int]]]) -> list[list[tuple[int, int]]]:
     return out
 
 
-def _parsed(blocks: DataFrame, width: int) -> DataFrame:
-    """Spans (doc_id, tid, begin, end) of blocks that are partitioned and sorted by anchor, doc_id."""
+def _rest(factors: list[tuple[int, int]], n: int) -> Iterator[int]:
+    """Places of the windows that no factor has."""
+    at = 0
+    for begin, length in (*factors, (n, 0)):
+        yield from range(at, begin)
+        at = begin + length
+
+
+def _parsed(blocks: DataFrame, width: int, keys: list[str], with_rest: bool = False) -> DataFrame:
+    """Spans (doc_id, tid, begin, end) of the blocks of each group of ``keys``; with_rest: also the
+    windows without a reference, whose end is null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry: list[tuple] = []
         for batch in chain(batches, [None]):
             spans: list[tuple] = []
+            rest: list[tuple] = []
             if batch is None:
                 groups = [carry] if carry else []
             else:
                 flat = batch.column("windows").values.to_numpy(zero_copy_only=False)
                 offsets = batch.column("windows").offsets.to_numpy()
-                rows = list(zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc_id", "tid", "start")), offsets[:-1].tolist(), offsets[1:].tolist()))
-                groups, anchor = [], carry[0][0] if carry else None
+                names = zip(*(batch.column(c).to_pylist() for c in keys))
+                rows = zip(names, *(batch.column(c).to_pylist() for c in ("doc_id", "tid", "start")), offsets[:-1].tolist(), offsets[1:].tolist())
+                groups, key = [], carry[0][0] if carry else None
                 for r in rows:
-                    if r[0] != anchor:
+                    if r[0] != key:
                         if carry:
                             groups.append(carry)
-                        carry, anchor = [], r[0]
+                        carry, key = [], r[0]
                     carry.append((r[0], r[1], r[2], r[3], flat[r[4] : r[5]].tolist()))
             for group in groups:
-                if len(group) > 1:
-                    for (_, doc, tid, start, _), factors in zip(group, parse([(g[1], g[4]) for g in group])):
-                        spans += ((doc, tid, start + at, start + at + length - 1 + width) for at, length in factors)
-            doc, tid, begin, end = zip(*spans) if spans else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(tid, pa.int64()), pa.array(begin, pa.int32()), pa.array(end, pa.int32())], ["doc_id", "tid", "begin", "end"])
+                if len(group) > 1 or with_rest:
+                    for (_, doc, tid, start, own), factors in zip(group, parse([(g[1], g[4]) for g in group])):
+                        spans += ((doc, tid, start + at, start + at + length - 1 + width, None) for at, length in factors)
+                        if with_rest:
+                            rest += ((doc, tid, start + at, None, own[at]) for at in _rest(factors, len(own)))
+            columns = list(zip(*spans, *rest)) or [()] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "tid", "begin", "end", "window"])
 
-    return blocks.mapInArrow(run, "doc_id long, tid long, begin int, end int")
+    dealt = blocks.repartition(*keys).sortWithinPartitions(*keys, "doc_id", "tid", "start")
+    return dealt.mapInArrow(run, "doc_id long, tid long, begin int, end int, window long")
 
 
 def text_id(text: Column) -> Column:
@@ -218,19 +234,23 @@ def duplicate_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, max_b
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     anchors = cut(_anchors(docs, width, gram))
     shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"))
-    shared = cut(shared.where("low < high").select("anchor", (F.col("n") > max_blocks).alias("large")))
-    places = anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list(F.when(~F.col("large"), F.col("at"))).alias("at"), F.collect_list(F.when(F.col("large"), F.col("at"))).alias("at_large"))
+    shared = cut(shared.where("low < high").select("anchor", "n", (F.col("n") > max_blocks).alias("large")))
+    places = anchors.join(shared.drop("n"), "anchor").groupBy("doc_id").agg(F.collect_list(F.when(~F.col("large"), F.col("at"))).alias("at"), F.collect_list(F.when(F.col("large"), F.col("at"))).alias("at_large"))
     places = cut(places)
     texts = docs.withColumn("tid", text_id(F.col("text")))
     few = places.where(F.size("at") > 0).select("doc_id", "at")
     blocks = _blocks(texts.join(few, "doc_id").select("doc_id", "tid", "text", "at"), width, gram)
-    spans = _parsed(blocks.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "tid", "start"), width)
-    if not shared.where("large").isEmpty():
+    spans = _parsed(blocks, width, ["anchor"]).drop("window")
+    most = shared.agg(F.max("n")).first()[0] or 0
+    if most > max_blocks:
         many = places.where(F.size("at_large") > 0).select("doc_id", F.col("at_large").alias("at"))
         found = _blocks(texts.join(many, "doc_id").select("doc_id", "tid", "text", "at"), width, gram)
-        windows = cut(found.select("doc_id", "tid", "start", F.posexplode("windows").alias("i", "window")).select("doc_id", "tid", (F.col("start") + F.col("i")).alias("begin"), "window"))
-        smallest = cut(windows.groupBy("window").agg(F.min("doc_id").alias("low")))
-        twice = windows.join(smallest, "window").where(F.col("doc_id") > F.col("low"))
+        share = F.pmod(F.xxhash64("doc_id"), F.lit(-(-most // max_blocks))).alias("share")
+        parsed = cut(_parsed(found.select("*", share), width, ["anchor", "share"], with_rest=True))
+        rest = parsed.where("end is null").drop("end")
+        smallest = cut(rest.groupBy("window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("window", "low"))
+        twice = rest.join(smallest, "window").where(F.col("doc_id") > F.col("low"))
+        spans = spans.unionByName(parsed.where("end is not null").drop("window"))
         spans = spans.unionByName(twice.select("doc_id", "tid", "begin", (F.col("begin") + width).alias("end")))
     return spans.groupBy("doc_id", "tid").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
 
