@@ -8,7 +8,7 @@ Python runs.
 
 import math
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -24,21 +24,33 @@ def _share(count: Column, of: Column) -> Column:
     return F.when(of > 0, count / of).otherwise(F.lit(0.0))
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Statistics of a whole text by name; null counts as empty, and an empty text has zeros."""
-    text = F.coalesce(text, F.lit(""))
-    chars = F.length(text)
-    words = F.filter(F.split(text, SPACE), lambda w: w != "")
-    n = F.size(words)
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)``, with the value computed once however often the body names it."""
+    return F.transform(F.array(value), body).getItem(0)
+
+
+#: Statistics of a text, by name.
+NAMES = ("log_words", "word_length", "variety", "repeated_words", "upper_case", "digits", "symbols", "doubled_signs", "stops", "lone_signs")
+
+
+def statistics(text: Column) -> Column:
+    """A struct of the statistics of a whole text; null counts as empty, and an empty text has
+    zeros and full variety."""
+    words_of = lambda t: F.filter(F.split(t, SPACE), lambda w: w != "")
+    return _let(F.coalesce(text, F.lit("")), lambda t: _let(words_of(t), lambda words: _statistics(t, words)))
+
+
+def _statistics(text: Column, words: Column) -> Column:
+    chars, n = F.length(text), F.size(words)
     count = lambda pattern: F.regexp_count(text, F.lit(pattern))
-    different = F.size(F.array_distinct(words))
     follower = F.slice(words, 2, F.greatest(n, F.lit(1)))
-    return {
+    same = F.filter(F.arrays_zip(words.alias("a"), follower.alias("b")), lambda p: p["a"] == p["b"])
+    values = {
         "log_words": F.log1p(n),
-        "word_length": _share(F.length(F.regexp_replace(text, SPACE, "")), n),
+        "word_length": _share(F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w)), n),
         # against the logarithm of the length, for long texts repeat more of their words
-        "variety": F.when(n > 1, F.log(different) / F.log(n)).otherwise(F.lit(1.0)),
-        "repeated_words": _share(F.size(F.filter(F.arrays_zip(words.alias("a"), follower.alias("b")), lambda p: p["a"] == p["b"])), n),
+        "variety": F.when(n > 1, F.log(F.size(F.array_distinct(words))) / F.log(n)).otherwise(F.lit(1.0)),
+        "repeated_words": _share(F.size(same), n),
         "upper_case": _share(count(r"\p{Lu}"), chars),
         "digits": _share(count(r"[0-9]"), chars),
         "symbols": _share(count(r"[#$%&*+<=>@\\^_`{|}~]"), chars),
@@ -46,6 +58,7 @@ def statistics(text: Column) -> dict[str, Column]:
         "stops": _share(count(r"[.,;:]"), chars),
         "lone_signs": _share(F.size(F.filter(words, lambda w: (F.length(w) == 1) & ~w.rlike(r"[\p{L}\p{N}]"))), n),
     }
+    return F.struct(*(values[name].cast("double").alias(name) for name in NAMES))
 
 
 @dataclass(frozen=True)
@@ -131,19 +144,14 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000) -> RuleMo
     part = min(1.0, most_rows / n) if n else 1.0
     sample = labels.where(F.pmod(F.xxhash64("labelled"), F.lit(1 << 30)) < int(part * (1 << 30))).select("labelled", "label")
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("labelled")).select("text", "label")
-    stats = statistics(F.col("text"))
-    rows = cut(chosen.select("label", *(c.cast("double").alias(name) for name, c in stats.items())))
-    return fit(rows, list(stats))
+    rows = cut(chosen.select("label", statistics(F.col("text")).alias("s")).select("label", "s.*"))
+    return fit(rows, NAMES)
 
 
 def with_score(docs: DataFrame, model: RuleModel, name: str) -> DataFrame:
     """``docs`` with the score of each text, also of null and empty ones."""
-    names, stats = {}, {}
-    for stat, column in statistics(F.col("text")).items():
-        names[stat] = free_name(docs, stat)
-        stats[names[stat]] = column.cast("double")
-    scored = docs.withColumns(stats).withColumn(name, model.score({stat: F.col(c) for stat, c in names.items()}))
-    return scored.drop(*stats)
+    score = _let(statistics(F.col("text")), lambda s: model.score({stat: s[stat] for stat in NAMES}))
+    return docs.withColumn(name, score)
 
 
 THRESHOLD = 0.3
