@@ -113,16 +113,15 @@ def _anchors(docs: DataFrame, width: int, gram: int) -> DataFrame:
     return docs.mapInArrow(run, "anchor long, doc_id long, at int")
 
 
-def _blocks(docs: DataFrame, width: int, gram: int) -> DataFrame:
+def _blocks(docs: DataFrame, doc_id: str, tid: str, at: str, width: int, gram: int) -> DataFrame:
     """Of documents with the places ``at`` of shared anchors: their blocks (anchor, doc_id, tid,
-    start, windows), a run of windows that choose the same anchor; ``tid`` tells texts of one
-    doc_id apart."""
+    start, windows), a run of windows that choose the same anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for batch in batches:
-            ids, tids = batch.column("doc_id").to_numpy(), batch.column("tid").to_numpy()
-            texts, shared = batch.column("text").cast(pa.binary()).to_pylist(), batch.column("at")
+            ids, tids = batch.column(doc_id).to_numpy(), batch.column(tid).to_numpy()
+            texts, shared = batch.column("text").cast(pa.string()).cast(pa.binary()).to_pylist(), batch.column(at)
             parts: list[tuple] = []
             for i, text in enumerate(texts):
                 words = _words(text)
@@ -141,10 +140,10 @@ def _blocks(docs: DataFrame, width: int, gram: int) -> DataFrame:
                 if len(starts):
                     parts.append((grams[of[starts]], np.full(len(starts), ids[i]), np.full(len(starts), tids[i]), starts, lengths, windows[mask]))
             if parts:
-                anchor, doc, tid, start, length, windows = (np.concatenate(x) for x in zip(*parts))
+                anchor, doc, text_hash, start, length, windows = (np.concatenate(x) for x in zip(*parts))
                 offsets = np.r_[0, np.cumsum(length)].astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(windows.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(doc), pa.array(tid), pa.array(start.astype(np.int32)), lists], ["anchor", "doc_id", "tid", "start", "windows"])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(doc), pa.array(text_hash), pa.array(start.astype(np.int32)), lists], ["anchor", "doc_id", "tid", "start", "windows"])
 
     return docs.mapInArrow(run, "anchor long, doc_id long, tid long, start int, windows array<long>")
 
@@ -226,33 +225,40 @@ def text_id(text: Column) -> Column:
     return F.xxhash64(text)
 
 
-def duplicate_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, max_blocks: int = 2000) -> DataFrame:
-    """Spans of duplicated words of ``docs`` (doc_id, text): doc_id, tid and ``spans``, an array of
-    (begin, end) in words, end exclusive. Documents without spans have no row. Rows with a null
-    doc_id have no order among the others and take no part; rows that share a doc_id are not
-    duplicates of each other."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    anchors = cut(_anchors(docs, width, gram))
+def dealt_by_id(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with a doc_id, dealt out by it once: the blocks and the kept words both
+    read this exchange."""
+    return docs.where(F.col("doc_id").isNotNull()).repartition("doc_id")
+
+
+def duplicate_spans(docs: DataFrame, dealt: DataFrame, width: int = WIDTH, gram: int = GRAM, max_blocks: int = 2000) -> DataFrame:
+    """Spans of duplicated words of ``docs`` (doc_id, text), ``dealt`` out by id: doc_id and
+    ``spans``, an array of (tid, begin, end) in words, end exclusive; tid tells the texts of a
+    doc_id apart. Documents without spans have no row. Rows with a null doc_id have no order among
+    the others and take no part; rows that share a doc_id are not duplicates of each other."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    anchors = cut(_anchors(ids, width, gram))
     shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"))
     shared = cut(shared.where("low < high").select("anchor", "n", (F.col("n") > max_blocks).alias("large")))
     places = anchors.join(shared.drop("n"), "anchor").groupBy("doc_id").agg(F.collect_list(F.when(~F.col("large"), F.col("at"))).alias("at"), F.collect_list(F.when(F.col("large"), F.col("at"))).alias("at_large"))
     places = cut(places)
-    texts = docs.withColumn("tid", text_id(F.col("text")))
-    few = places.where(F.size("at") > 0).select("doc_id", "at")
-    blocks = _blocks(texts.join(few, "doc_id").select("doc_id", "tid", "text", "at"), width, gram)
-    spans = _parsed(blocks, width, ["anchor"]).drop("window")
+    of, at, tid = (free_name(docs, name) for name in ("of", "at", "tid"))
+
+    def blocks(wanted: str) -> DataFrame:
+        met = dealt.join(places.where(F.size(wanted) > 0).select(F.col("doc_id").alias(of), F.col(wanted).alias(at)), F.col("doc_id").cast("long") == F.col(of))
+        return _blocks(met.withColumn(tid, text_id(F.col("text"))), of, tid, at, width, gram)
+
+    spans = _parsed(blocks("at"), width, ["anchor"]).drop("window")
     most = shared.agg(F.max("n")).first()[0] or 0
     if most > max_blocks:
-        many = places.where(F.size("at_large") > 0).select("doc_id", F.col("at_large").alias("at"))
-        found = _blocks(texts.join(many, "doc_id").select("doc_id", "tid", "text", "at"), width, gram)
         share = F.pmod(F.xxhash64("doc_id"), F.lit(-(-most // max_blocks))).alias("share")
-        parsed = cut(_parsed(found.select("*", share), width, ["anchor", "share"], with_rest=True))
+        parsed = cut(_parsed(blocks("at_large").select("*", share), width, ["anchor", "share"], with_rest=True))
         rest = parsed.where("end is null").drop("end")
         smallest = cut(rest.groupBy("window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("window", "low"))
         twice = rest.join(smallest, "window").where(F.col("doc_id") > F.col("low"))
         spans = spans.unionByName(parsed.where("end is not null").drop("window"))
         spans = spans.unionByName(twice.select("doc_id", "tid", "begin", (F.col("begin") + width).alias("end")))
-    return spans.groupBy("doc_id", "tid").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    return spans.groupBy("doc_id").agg(F.collect_list(F.struct("tid", "begin", "end")).alias("spans"))
 
 
 _KEPT = "struct<n_words: bigint, n_removed: bigint, kept: string>"
@@ -262,27 +268,29 @@ def kept_words(text: Column, spans: Column) -> Column:
     """n_words, n_removed and the kept words joined by one space."""
 
     @F.pandas_udf(_KEPT)
-    def run(texts: pd.Series, all_spans: pd.Series) -> pd.DataFrame:
+    def run(texts: pd.Series, tids: pd.Series, all_spans: pd.Series) -> pd.DataFrame:
         rows = []
-        for t, s in zip(texts, all_spans):
+        for t, tid, s in zip(texts, tids, all_spans):
             words = (t or "").encode().split()
             keep = np.ones(len(words), dtype=bool)
             for span in s if s is not None else ():
-                keep[span["begin"] : span["end"]] = False
+                if span["tid"] == tid:
+                    keep[span["begin"] : span["end"]] = False
             kept = words if keep.all() else [w for w, k in zip(words, keep) if k]
             rows.append((len(words), len(words) - len(kept), b" ".join(kept).decode()))
         return pd.DataFrame(rows, columns=["n_words", "n_removed", "kept"])
 
-    return run(text, spans)
+    return run(text, text_id(text), spans)
 
 
 def with_kept(docs: DataFrame, name: str, **options) -> DataFrame:
     """``docs`` with a struct column ``name``: n_words, n_removed, kept. A null text has no words."""
-    spans = duplicate_spans(docs.select("doc_id", "text"), **options)
-    doc, tid = free_name(docs, "doc"), free_name(docs, "tid")
-    spans = spans.select(F.col("doc_id").alias(doc), F.col("tid").alias(tid), F.col("spans").alias(name))
-    met = docs.join(spans, (docs["doc_id"].cast("long") == F.col(doc)) & (text_id(docs["text"]) == F.col(tid)), "left")
-    return met.withColumn(name, kept_words(F.col("text"), F.col(name))).drop(doc, tid)
+    dealt = dealt_by_id(docs)
+    of = free_name(docs, "of")
+    spans = duplicate_spans(docs.select("doc_id", "text"), dealt, **options).select(F.col("doc_id").alias(of), F.col("spans").alias(name))
+    met = dealt.join(spans, F.col("doc_id").cast("long") == F.col(of), "left").drop(of)
+    unnamed = docs.where(F.col("doc_id").isNull()).withColumn(name, F.lit(None).cast(spans.schema[name].dataType))
+    return met.unionByName(unnamed).withColumn(name, kept_words(F.col("text"), F.col(name)))
 
 
 def removed_words(docs: DataFrame, **options) -> DataFrame:
