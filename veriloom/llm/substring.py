@@ -231,7 +231,7 @@ def dealt_by_id(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("doc_id").isNotNull()).repartition("doc_id")
 
 
-def duplicate_spans(docs: DataFrame, dealt: DataFrame, width: int = WIDTH, gram: int = GRAM, max_blocks: int = 2000) -> DataFrame:
+def duplicate_spans(docs: DataFrame, dealt: DataFrame, width: int = WIDTH, gram: int = GRAM, max_blocks: int = 10_000) -> DataFrame:
     """Spans of duplicated words of ``docs`` (doc_id, text), ``dealt`` out by id: doc_id and
     ``spans``, an array of (tid, begin, end) in words, end exclusive; tid tells the texts of a
     doc_id apart. Documents without spans have no row. Rows with a null doc_id have no order among
