@@ -1,12 +1,14 @@
 """Registered queries of the verification engine and their SQL oracles."""
 
-from collections.abc import Callable
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pyspark.sql import DataFrame, SparkSession
+from .plans import corpus, verification
+from .plans.registry import ORACLE_SQL, QUERIES
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES", "entry"]
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    """How many claimed order totals have which verdict."""
+    verdicts = QUERIES["j1_check_amounts"](spark, sf_dir)
+    return verdicts.groupBy("verdict").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("documents")).orderBy("verdict")
