@@ -213,9 +213,9 @@ def a1(spark, sf_dir):
     return A.combine_warnings(found, told).select("doc_id", "value")
 
 
-@query("a2_list_warnings", _with("""
+@query("a2_list_warnings", _with("").rstrip() + """
     , n as (select doc_id, issue, idx, row_number() over (partition by doc_id, issue order by idx) as n, count(*) over (partition by doc_id, issue) as total from grounded where issue is not null)
-    select doc_id, issue as outcome, string_agg(idx::varchar, ', ' order by n) || case when max(total) > 2 then ' and ' || (max(total) - 2)::varchar || ' more' else '' end as text from n where n <= 2 group by doc_id, issue""").replace(")\n\n    , n as", "), n as").replace(")\n    , n as", "), n as"))
+    select doc_id, issue as outcome, string_agg(idx::varchar, ', ' order by n) || case when max(total) > 2 then ' and ' || (max(total) - 2)::varchar || ' more' else '' end as text from n where n <= 2 group by doc_id, issue""")
 def a2(spark, sf_dir):
     items = j4(spark, sf_dir).where("issue is not null").select("doc_id", F.col("issue").alias("outcome"), F.col("idx").alias("pos"), F.col("idx").cast("string").alias("item"))
     return A.list_warnings(items, 2)
@@ -269,9 +269,9 @@ def a7(spark, sf_dir):
     return A.file_hash_groups(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content")))
 
 
-@query("a8_verdict_rollup", _with("""
+@query("a8_verdict_rollup", _with("").rstrip() + """
     , r as (select coalesce(issue, 'none') as issue, found_in_text as found, not coalesce(found_in_text, true) or coalesce(issue = 'labelMismatch', false) as flagged from grounded)
-    select case when grouping(issue) = 1 then 'all' else issue end as issue, count(*) as n, count(*) filter (where found) as confirmed, count(*) filter (where found is null) as unknown, count(*) filter (where flagged) as flagged from r group by rollup (issue)""").replace(")\n\n    , r as", "), r as").replace(")\n    , r as", "), r as"))
+    select case when grouping(issue) = 1 then 'all' else issue end as issue, count(*) as n, count(*) filter (where found) as confirmed, count(*) filter (where found is null) as unknown, count(*) filter (where flagged) as flagged from r group by rollup (issue)""")
 def a8(spark, sf_dir):
     return A.verdict_rollup(j4(spark, sf_dir))
 

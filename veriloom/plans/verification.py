@@ -59,8 +59,15 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendered(spark, sf_dir, "page").drop("o_orderkey")
 
 
+_BUILT: dict[tuple[str, str], Evidence] = {}
+
+
 def evidence(spark: SparkSession, sf_dir: str) -> Evidence:
-    return build_evidence(pages(spark, sf_dir), rendered(spark, sf_dir, "doc"))
+    """The corpus's mention tables: written once a session, and read by every check."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _BUILT:
+        _BUILT[key] = build_evidence(pages(spark, sf_dir), rendered(spark, sf_dir, "doc"))
+    return _BUILT[key]
 
 
 def _clean(spark: SparkSession, sf_dir: str) -> DataFrame:
