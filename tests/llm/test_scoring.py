@@ -44,6 +44,13 @@ def test_toxicity_on_held_out_labels(spark):
     assert right / n > 0.93
 
 
+def test_toxicity_of_more_labels(spark):
+    sf = "/root/testdata/sf0.1"
+    graded = registry.queries()["op4_toxicity"](spark, sf).join(table(spark, sf, "labels").withColumnRenamed("toxic", "label"), "doc_id").where("held_out")
+    bad, found, wrong = graded.agg(F.sum("label"), F.count_if(F.expr("toxic = 1 and label = 1")), F.count_if(F.expr("toxic = 1 and label = 0"))).first()
+    assert found / bad > 0.85 and wrong / found < 0.03
+
+
 def test_toxicity_of_awkward_rows(spark, awkward):
     rows = [(i, f"plain words number {i} here", 0) for i in range(40)] + [(100 + i, "you idiot " * (1 + i % 7) + f"text {i}", 1) for i in range(40)]
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
@@ -134,3 +141,9 @@ def test_top_k_equals_brute_force(spark):
     got = topk.top_k(df, F.col("vec_id") % 50 == 0, candidate_block=64, query_block=4)
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert topk.top_k(df.where("false"), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_toxicity_features_count_different_words():
+    assert toxicity.features(None) == set() == toxicity.features("12 !")
+    found = toxicity.features("Abcde abcdf abcdf ABCDG abcdh")
+    assert {"abcde", "abcd-1", "abcd-2", "abcd-3"} <= found and "abcd-4" not in found and "abcde-1" not in found

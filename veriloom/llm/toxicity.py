@@ -3,12 +3,14 @@
 P(grade > k) = sigmoid(w . x - threshold_k): one weight vector for all thresholds. It is fitted as
 one logistic regression over rows that stand once for each threshold, whose only unshared features
 are the thresholds' own; an L1 penalty leaves few words with weight. The expected severity is the
-sum of the P(grade > k). A feature is whether a text has a word, or a word with a given beginning.
+sum of the P(grade > k). A feature is whether a text has a word, or one, two or three different words
+with a given beginning: insults are often inflected or composed, and one such word may be chance.
 """
 
 import math
 import re
-from collections.abc import Iterable
+from collections import Counter
+from collections.abc import Collection, Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,13 +22,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .tables import cut
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7)
+MOST = 3
 
 
-def features(text: str | None) -> set[str]:
-    """Words of a text in lower case, and beginnings of longer words (with a hyphen)."""
+def features(text: str | None, stems: Collection[int] = STEMS) -> set[str]:
+    """Words of a text in lower case, and beginnings of longer words with a hyphen and the numbers
+    from 1 to ``MOST`` of different words that begin so."""
     words = set(_WORDS((text or "").lower()))
-    return words | {f"{w[:k]}-" for w in words for k in STEMS if len(w) > k}
+    begun = Counter(w[:k] for w in words for k in stems if len(w) > k)
+    return words | {f"{stem}-{n}" for stem, found in begun.items() for n in range(1, min(found, MOST) + 1)}
 
 
 @dataclass(frozen=True)
@@ -41,13 +46,8 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-(latent[:, None] - np.asarray(self.thresholds)[None, :])))
 
     def latent(self, texts: Iterable[str | None]) -> np.ndarray:
-        stems = {k for w in self.weights if w.endswith("-") for k in (len(w) - 1,)}
-        out = []
-        for text in texts:
-            words = set(_WORDS((text or "").lower()))
-            found = {f"{w[:k]}-" for w in words for k in stems if len(w) > k} & self.weights.keys() | words & self.weights.keys()
-            out.append(sum(self.weights[w] for w in found))
-        return np.array(out, dtype=float)
+        stems = {f.index("-") for f in self.weights if "-" in f}
+        return np.array([math.fsum(self.weights[f] for f in features(text, stems) & self.weights.keys()) for text in texts], dtype=float)
 
 
 def _has(column: Column):
@@ -64,7 +64,7 @@ def grades(rows: DataFrame, telling: DataFrame, bounds: tuple[int, ...]) -> Data
     return rows.join(hits, "id", "left").withColumn("grade", F.when(F.col("toxic") == 1, grade).otherwise(0))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_features: int = 2048, fewest: int = 4, bounds: tuple[int, ...] = (3, 6), penalty: float = 0.001) -> OrdinalModel:
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_features: int = 2048, fewest: int = 4, bounds: tuple[int, ...] = (3, 6), penalty: float = 0.00005) -> OrdinalModel:
     """Model of ``labels`` (doc_id, toxic) over the texts of ``docs`` (doc_id, text), without the
     held-out ids.
 
