@@ -26,11 +26,12 @@ STEMS = (4, 5, 6, 7)
 MOST = 3
 
 
-def features(text: str | None, stems: Collection[int] = STEMS) -> set[str]:
-    """Words of a text in lower case, and beginnings of longer words with a hyphen and the numbers
-    from 1 to ``MOST`` of different words that begin so."""
+def features(text: str | None, stems: Collection[int] = STEMS, wanted: set[str] | None = None) -> set[str]:
+    """Words of a text in lower case, and beginnings of longer words (those ``wanted``, if given)
+    with a hyphen and the numbers from 1 to ``MOST`` of different words that begin so."""
     words = set(_WORDS((text or "").lower()))
-    begun = Counter(w[:k] for w in words for k in stems if len(w) > k)
+    starts = (w[:k] for w in words for k in stems if len(w) > k)
+    begun = Counter(starts if wanted is None else filter(wanted.__contains__, starts))
     return words | {f"{stem}-{n}" for stem, found in begun.items() for n in range(1, min(found, MOST) + 1)}
 
 
@@ -46,8 +47,9 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-(latent[:, None] - np.asarray(self.thresholds)[None, :])))
 
     def latent(self, texts: Iterable[str | None]) -> np.ndarray:
-        stems = {f.index("-") for f in self.weights if "-" in f}
-        return np.array([math.fsum(self.weights[f] for f in features(text, stems) & self.weights.keys()) for text in texts], dtype=float)
+        wanted = {f[: f.index("-")] for f in self.weights if "-" in f}
+        stems = {len(stem) for stem in wanted}
+        return np.array([math.fsum(self.weights[f] for f in features(text, stems, wanted) & self.weights.keys()) for text in texts], dtype=float)
 
 
 def _has(column: Column):
