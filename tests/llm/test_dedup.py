@@ -178,6 +178,32 @@ def test_leaks(spark):
     assert D.leaks(table, bench.where("false")).count() == 0 and D.leaks(table.where("false"), bench).count() == 0
 
 
+def test_leaks_of_long_items_equal_brute_force(spark):
+    rng, items, docs = random.Random(12), [], []
+    for n in (100, 160, 300, 1000):
+        for _ in range(4):
+            key, question, answer = len(items), prose(3000 + len(items), n - 8), prose(4000 + len(items), 8)
+            items.append((key, f"{question}. {answer}"))
+            for share in (1.0, 0.85, 0.7, 0.4):
+                copy = " ".join(w if rng.random() < share else "other" for w in question.split())
+                docs.append((len(docs), f"{prose(5000 + len(docs), rng.randint(50, 200))} {copy}. {answer} {prose(6000 + len(docs), 150)}"))
+    want = set()
+    for d, text in docs:
+        words = D.words_of(text)
+        for key, item in items:
+            asked = D.words_of(item)
+            if len(set(asked) & set(words)) > 0.3 * len(set(asked)):
+                share = D.common_subsequence(asked, words) / len(asked)
+                if share >= 0.8 or share >= 0.6 and D.common_subsequence(asked[-8:], words) >= 6.4:
+                    want.add((d, key))
+    assert want == {(d, d // 4) for d in range(len(docs)) if d % 4 < 3}
+    bench, table = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in D.leaks(table, bench).collect()} == want
+    few = D.Settings(block=100, cells=500)
+    assert {(r.doc_id, r.item_id) for r in D.leaks(table, bench, few).collect()} == want
+    assert {r.doc_id for r in D.without_leaks(table, bench).collect()} == {d for d, _ in docs} - {d for d, _ in want}
+
+
 def test_common_subsequence():
     rng = random.Random(2)
 
