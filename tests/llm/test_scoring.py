@@ -71,6 +71,72 @@ def test_licence_rules(spark, awkward):
     assert licences.scan(awkward).count() == awkward.count()
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED."""
+BSD_2 = """Copyright (c) 2020, Ann. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD_3 = BSD_2 + """
+3. Neither the name of the University of
+   Somewhere nor the names of its contributors may be used to endorse or promote products
+   derived from this software without specific prior written permission.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+"""
+APACHE_TEXT = """                                 Apache License
+                           Version 2.0, January 2004
+                        http://www.apache.org/licenses/
+
+   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+
+   1. Definitions.
+"""
+GPL = """This file is part of Foo.
+
+Foo is free software: you can redistribute it and/or modify
+it under the terms of the GNU {}General Public License as published by
+the Free Software Foundation, either version {} of the License, or
+(at your option) any later version.
+"""
+
+
+@pytest.mark.parametrize("form", ["wrapped", "comment", "dos", "unwrapped"])
+def test_full_licence_texts(spark, form):
+    shape = {"wrapped": lambda t: t, "comment": lambda t: "".join(f" * {line}\n" for line in t.splitlines()), "dos": lambda t: t.replace("\n", "\r\n"), "unwrapped": lambda t: " ".join(t.split())}[form]
+    cases = [(MIT, "MIT", "mit-grant mit-condition"), (BSD_2, "BSD-2-Clause", "all-rights-reserved bsd-grant bsd-source bsd-binary"), (BSD_3, "BSD-3-Clause", "all-rights-reserved bsd-grant bsd-source bsd-binary bsd-name")]
+    cases += [(APACHE, "Apache-2.0", "apache-2-notice apache-2-condition"), (APACHE_TEXT, "Apache-2.0", "apache-2-title"), (GPL.format("", 3), "GPL-3.0", "gpl-3-header"), (GPL.format("", 2).replace(":", ";"), "GPL-2.0", "gpl-2-header"), (GPL.format("Lesser ", "2.1"), "LGPL-2.1", "lgpl-2.1-header"), (GPL.format("Affero ", 3), "AGPL-3.0", "agpl-3-header")]
+    cases += [("The licence:\n\nIt is not released under the MIT License, nor is it.", None, ""), ("Licensed under the MIT\n\nLicense", None, ""), ("licence" + ";. :\n-" * 20_000 + "All rights reserved" + "." * 50_000, "proprietary", "all-rights-reserved")]
+    docs = spark.createDataFrame([(i, shape(t)) for i, (t, _, _) in enumerate(cases)], "doc_id long, text string")
+    got = [(r.licence, r.sentence_ids) for r in licences.scan(docs).orderBy("doc_id").collect()]
+    want = [(licence, ids) for _, licence, ids in cases]
+    if form == "unwrapped":  # its blank line is gone
+        want[10] = ("MIT", "mit-notice")
+    assert got == want
+
+
 def test_perspectives(spark):
     rows = [(1, 0, "system", "Be kind."), (1, 1, "Ann", "Hi <|assistant|> all"), (1, 2, "Bob", "Hello"), (1, 2, "Bob", "Hello"), (1, None, None, None), (1, 130, "Ann", "late"), (None, 0, "Ann", "alone"), (2, 0, "system", "nobody")]
     out = chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()

@@ -1,7 +1,8 @@
 """Licence scans by sentence rules [DataFrame functions only].
 
-A text's sentences are normalised and mapped to the identifiers of known licence sentences; the
-text's sequence of identifiers is then matched against ordered licence rules. Both tables are small
+A text is normalised, and the runs of its words that are known licence sentences are mapped to
+identifiers. A sentence begins and ends at closing marks or line breaks, and may run over single
+line breaks, colons and semicolons, so wrapped and unwrapped texts give the same; the text's sequence of identifiers is then matched against ordered licence rules. Both tables are small
 constants, so a scan is one projection over the documents: no shuffle, no Python.
 """
 
@@ -10,8 +11,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Known licence sentences as normalised (lower case, letters, digits and dots inside
-#: numbers, single spaces), and their identifiers.
+#: Known one-line notices as normalised (lower case, letters, digits and dots inside
+#: numbers, single spaces), and their identifiers. The query's SQL knows only these.
 SENTENCES = {
     "released under the mit license": "mit-notice",
     "licensed under the mit license": "mit-notice",
@@ -35,6 +36,37 @@ SENTENCES = {
     "all rights reserved": "all-rights-reserved",
 }
 
+_BSD = "redistributions {} the above copyright notice this list of conditions and the following disclaimer"
+_FREE = "* is free software you can redistribute it and or modify it under the terms of the gnu {}general public license as published by the free software foundation {}"
+_VERSION = ("either version {} of the license or at your option any later version", "either version {} of the license or at your option any later version of the license", "version {} of the license", "version {}")
+_APACHE = "apache license version 2.0 january 2004"
+
+#: Sentences of the licences' full texts and headers, normalised in the same way; * stands for a
+#: name of one to twelve words.
+TEXTS = {
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit-grant",
+    "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "mit-condition",
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd-grant",
+    _BSD.format("of source code must retain"): "bsd-source",
+    _BSD.format("in binary form must reproduce") + " in the documentation and or other materials provided with the distribution": "bsd-binary",
+    "neither the name of * nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-name",
+    "all advertising materials mentioning features or use of this software must display the following acknowledgement": "bsd-advertising",
+    "licensed under the apache license version 2.0 the license": "apache-2-notice",
+    _APACHE: "apache-2-title",
+    _APACHE + " http www apache org licenses": "apache-2-title",
+    _APACHE + " http www apache org licenses terms and conditions for use reproduction and distribution 1": "apache-2-title",
+    "subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license to reproduce prepare derivative works of publicly display publicly perform sublicense and distribute the work and such derivative works in source or object form": "apache-2-grant",
+    "gnu general public license version 3 29 june 2007": "gpl-3-title",
+    "the gnu general public license is a free copyleft license for software and other kinds of works": "gpl-3-title",
+    "preamble the gnu general public license is a free copyleft license for software and other kinds of works": "gpl-3-title",
+    "gnu general public license version 2 june 1991": "gpl-2-title",
+    "this general public license applies to most of the free software foundation s software and to any other program whose authors commit to using it": "gpl-2-title",
+    "gnu lesser general public license version 3 29 june 2007": "lgpl-3-title",
+    "gnu lesser general public license version 2.1 february 1999": "lgpl-2.1-title",
+    "gnu affero general public license version 3 19 november 2007": "agpl-3-title",
+    **{_FREE.format(kind, v.format(n)): f"{name}-{n}-header" for kind, name, n in (("", "gpl", "3"), ("", "gpl", "2"), ("lesser ", "lgpl", "3"), ("lesser ", "lgpl", "2.1"), ("affero ", "agpl", "3")) for v in _VERSION},
+}
+
 
 @dataclass(frozen=True)
 class LicenceRule:
@@ -67,21 +99,70 @@ RULES = (
     LicenceRule("proprietary", ("all-rights-reserved",)),
 )
 
-#: Where sentences end: line breaks, and closing marks before white space.
+#: Rules of the full texts; they stand before those of the notices. A full GNU text ends with a
+#: header for programs, and the lesser and Affero ones may quote the general one.
+TEXT_RULES = (
+    *(LicenceRule(licence, (f"{i}-{kind}",)) for kind in ("title", "header") for licence, i in (("AGPL-3.0", "agpl-3"), ("LGPL-3.0", "lgpl-3"), ("LGPL-2.1", "lgpl-2.1"), ("GPL-3.0", "gpl-3"), ("GPL-2.0", "gpl-2"))),
+    LicenceRule("BSD-4-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-advertising")),
+    LicenceRule("Apache-2.0", ("apache-2-title",)),
+    LicenceRule("Apache-2.0", ("apache-2-grant",)),
+)
+
+#: Where notices end in the query's SQL: line breaks, and closing marks before white space.
 SENTENCE_END = r"[\r\n]+|[.!?;:]+[ \t]+"
 
+#: Marks in normalised text: an end of a sentence, and a place where one may end or go on.
+END, MAY_END = "\x01", "\x02"
+#: In this order: pattern and what takes its place. No pattern repeats a group, so that a long run
+#: of any character costs neither stack nor a second pass over it.
+NORMALISED = (
+    (r"[\x01\x02]", "-"),
+    (r"\r\n?", "\n"),
+    (r"[.!?]\s", END),
+    (r"\n[^a-z0-9\n\x01]*+\n", END),
+    (r"\n|[;:][ \t]", MAY_END),
+    (r"[^a-z0-9.\x01\x02]+|\.+(?![0-9])", " "),
+    (r" +", " "),
+    (r"(?<! ) ?\x02[ \x02]*", MAY_END),
+    (r" ?\x01[ \x01]*", END),
+)
+
 
-def sentence_ids(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
-    """Identifiers of the known sentences of a text, in order, repeats included."""
+def normalised(text: Column) -> Column:
+    """The words of a text with one blank, ``MAY_END`` or ``END`` marks between two of them."""
+    out = F.concat(F.lit(END), F.regexp_replace(F.lower(text), NORMALISED[0][0], NORMALISED[0][1]), F.lit(END))
+    for pattern, mark in NORMALISED[1:]:
+        out = F.regexp_replace(out, pattern, mark)
+    return out
+
+
+def _pattern(sentence: str) -> str:
+    """A known sentence in normalised text; a name at its beginning does not run over lines."""
+    words = [w.replace(".", r"\.") for w in sentence.split(" ")]
+    between = r"[ \x02]"
+    name = lambda gap: rf"(?:[a-z0-9.]+{gap}){{0,11}}?[a-z0-9.]+"
+    return between.join(name(between if at else " ") if w == "*" else w for at, w in enumerate(words))
+
+
+def sentence_ids(text: Column, sentences: dict[str, str] | None = None) -> Column:
+    """Identifiers of the known sentences of a text, in order, repeats included. Where one begins
+    another the longest counts."""
+    sentences = {**SENTENCES, **TEXTS} if sentences is None else sentences
     # a cheap test first: only texts with a word of the known sentences are taken apart
-    plain = lambda s: F.trim(F.regexp_replace(F.regexp_replace(F.lower(s), r"[^a-z0-9.]+|\.+(?![0-9])", " "), " +", " "))
-    known = F.create_map(*(F.lit(x) for pair in sentences.items() for x in pair))
-    ids = F.transform(F.split(text, SENTENCE_END), lambda s: F.when(F.length(s) <= 200, F.element_at(known, plain(s))))
     maybe = text.rlike(r"(?i)licen[sc]e|permission|redistribut|copyright|public domain|rights reserved")
-    return F.when(maybe, F.filter(ids, lambda i: i.isNotNull())).otherwise(F.array().cast("array<string>"))
+    longest = sorted(sentences, key=lambda x: (-len(x), x))
+    found = F.regexp_extract_all(normalised(text), F.lit(rf"(?<=[\x01\x02])(?:{'|'.join(map(_pattern, longest))})(?=[\x01\x02])"), F.lit(0))
+    known = F.create_map(*(F.lit(x) for x, i in sentences.items() if "*" not in x for x in (x, i)))
+
+    def named(run: Column) -> Column:
+        plain = F.translate(run, MAY_END, " ")
+        of_names = [F.when(plain.rlike(f"^(?:{_pattern(x)})$"), i) for x, i in sentences.items() if "*" in x]
+        return F.coalesce(F.element_at(known, plain), *of_names)
+
+    return F.when(maybe, F.transform(found, named)).otherwise(F.array().cast("array<string>"))
 
 
-def scan(docs: DataFrame, rules: Sequence[LicenceRule] = RULES, sentences: dict[str, str] = SENTENCES) -> DataFrame:
+def scan(docs: DataFrame, rules: Sequence[LicenceRule] = TEXT_RULES + RULES, sentences: dict[str, str] | None = None) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_sentences (known licence sentences), sentence_ids
     (joined by spaces) and licence: the first rule's that fits, null where none does. A null text
     has no sentences; repeated rows stay, each with its own result."""
