@@ -137,6 +137,13 @@ def test_full_licence_texts(spark, form):
     assert got == want
 
 
+def test_padded_and_joined_notices(spark):
+    texts = ["Released under the MIT " + "*" * 300 + " License.", "This work is in the public-domain.", "This work is in the public  domain.", "(All\u00a0rights\nreserved)", "All advertising materials mentioning features or use of this software must display the following acknowledgement:", "publicdomain"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [(r.licence, r.n_sentences) for r in licences.scan(docs).orderBy("doc_id").collect()]
+    assert got == [("MIT", 1), ("public-domain", 1), ("public-domain", 1), ("proprietary", 1), (None, 1), (None, 0)]
+
+
 def test_perspectives(spark):
     rows = [(1, 0, "system", "Be kind."), (1, 1, "Ann", "Hi <|assistant|> all"), (1, 2, "Bob", "Hello"), (1, 2, "Bob", "Hello"), (1, None, None, None), (1, 130, "Ann", "late"), (None, 0, "Ann", "alone"), (2, 0, "system", "nobody")]
     out = chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()

@@ -149,7 +149,7 @@ def sentence_ids(text: Column, sentences: dict[str, str] | None = None) -> Colum
     another the longest counts."""
     sentences = {**SENTENCES, **TEXTS} if sentences is None else sentences
     # a cheap test first: only texts with a word of the known sentences are taken apart
-    maybe = text.rlike(r"(?i)licen[sc]e|permission|redistribut|copyright|public domain|rights reserved")
+    maybe = text.rlike(r"(?i)licen[sc]e|permission|redistribut|copyright|advertising|public[^a-z0-9]+domain|rights[^a-z0-9]+reserved")
     longest = sorted(sentences, key=lambda x: (-len(x), x))
     found = F.regexp_extract_all(normalised(text), F.lit(rf"(?<=[\x01\x02])(?:{'|'.join(map(_pattern, longest))})(?=[\x01\x02])"), F.lit(0))
     known = F.create_map(*(F.lit(x) for x, i in sentences.items() if "*" not in x for x in (x, i)))
