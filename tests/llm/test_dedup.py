@@ -140,18 +140,30 @@ def spliced(seed=9, n=120):
     return docs + [(n, docs[3][1]), (n + 1, docs[3][1]), (3, docs[5][1])]
 
 
-@pytest.mark.parametrize("max_blocks", [10_000, 5])
-def test_removed_words_equal_brute_force(spark, awkward, max_blocks):
+def test_removed_words_equal_brute_force(spark, awkward):
     rows = spliced() + [(None if r.doc_id is None else 500 + r.doc_id, r.text) for r in awkward.collect()]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = sorted((tuple(r) for r in L.removed_words(docs, max_blocks=max_blocks).collect()), key=repr)
+    got = sorted((tuple(r) for r in L.removed_words(docs).collect()), key=repr)
     assert got == slow_removed(rows)
 
 
 def test_parse_is_greedy_and_crosses_factor_ends():
-    blocks = [(1, [10, 11, 12, 13]), (2, [12, 13, 14, 15]), (3, [10, 11, 12, 13, 14, 15, 16])]
-    assert L.parse(blocks)[2] == [(0, 4), (4, 2)]
-    assert L.parse([(1, [1, 2]), (1, [1, 2])]) == [[], []]
+    # windows 0 to 3 are in document 1, 4 and 5 in document 2; 9 is alone; repeated rows do no harm
+    looked_up = [(4, 1, 2), (0, 3, 1), (3, 1, 1), (5, 1, 2), (9, 1, 1), (3, 1, 1)]
+    assert L.parse(looked_up) == [(0, 4, 1), (4, 2, 2), (9, 1, 1)]
+    assert L.parse([]) == []
+
+
+def test_hot_passages_make_a_row_a_block_at_most(spark):
+    """A passage and a line of all documents, and copies: blocks and looked-up windows are linear."""
+    line, passage = prose(1, 30), prose(2, 60)
+    rows = [(i, f"{prose(10 + i, 40)} {line} {prose(20_000 + i, 40)} {passage} {prose(40_000 + i, 40)}") for i in range(300)] + [(1000 + i, prose(3, 200)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in L.removed_words(docs).collect()), key=repr)
+    assert got == slow_removed(rows)
+    found = L.referenced_windows(docs, L.dealt_by_id(docs)).collect()
+    assert len(found) == 299 + 299 and all(sum(f.n for f in r.found) in (range(11, 17) if r.doc_id < 1000 else (151,)) for r in found)
+    assert all(len(r.found) <= 30 for r in found)
 
 
 def test_without_duplicates(spark, awkward):

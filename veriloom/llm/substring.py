@@ -7,22 +7,22 @@ doc_id. The steps:
    Run and k-gram together are one window long, so a window chooses one anchor from its own words
    alone, and equal windows choose equal anchors.
 2. Anchors of a single document are left out. A run of windows that choose the same anchor is a
-   block, routed by that anchor: every other copy of its windows comes to the same place.
-3. There the blocks are parsed in doc_id order, each relative to the blocks of smaller documents,
-   which are indexed by their windows. The parse is greedy: a factor starts at the first window
-   with a reference and goes on while the reference block does. At each factor's end the next
+   block, of ``width - gram + 1`` windows at most. The reference block of a content is the one of
+   its smallest document; blocks of later documents with that content are copies as they stand.
+3. Reference blocks are indexed by their windows: each window of more than one document with the
+   smallest of them. Every other window is looked up in that index.
+4. Each document is parsed greedily: a factor starts at the first window with a reference and goes
+   on while the next window has its reference in the same document. At a factor's end the next
    window is looked up anew, so that a window over a boundary is not missed. A factor of w windows
    is w + width - 1 words: a duplicate span.
-4. A document's spans meet its text and cover words of it.
 
-The blocks of an anchor with more than ``max_blocks`` of them are parsed in shares, by the hash of
-the doc_id. A window without a reference in its share is looked up in a table of the smallest
-doc_id of each such window: most copies are settled in their share, and a share keeps one at most.
+Contents and windows are counted with partial sums before anything is shuffled, and met by joins
+whose one side has a row per key, which Spark splits where a key is hot: a passage of a third of all
+documents costs no task more than its share. Two windows are equal if 64-bit hashes of their words
+and of their anchor's words are: 128 bits unless they share the anchor. Words are not compared.
 """
 
-import hashlib
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -64,6 +64,14 @@ class Hashes:
         return out
 
 
+    def of_groups(self, values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """A hash of each group of values, from one offset to the next; groups are not empty."""
+        sizes = np.diff(offsets)
+        place = np.arange(len(values)) - np.repeat(offsets[:-1], sizes)
+        up, _ = self._powers(int(sizes.max()) + 1)
+        return np.add.reduceat(values * up[place + 1], offsets[:-1]) + sizes.astype(np.uint64)
+
+
 def chosen_anchors(grams: np.ndarray, run: int) -> np.ndarray:
     """For each run of ``run`` consecutive k-grams the place of its smallest, the last of equals."""
     n = len(grams) - run + 1
@@ -115,7 +123,7 @@ def _anchors(docs: DataFrame, width: int, gram: int) -> DataFrame:
 
 def _blocks(docs: DataFrame, doc_id: str, tid: str, at: str, width: int, gram: int) -> DataFrame:
     """Of documents with the places ``at`` of shared anchors: their blocks (anchor, doc_id, tid,
-    start, windows), a run of windows that choose the same anchor."""
+    start, content, n, windows), a run of n windows that choose the same anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
@@ -142,83 +150,28 @@ def _blocks(docs: DataFrame, doc_id: str, tid: str, at: str, width: int, gram: i
             if parts:
                 anchor, doc, text_hash, start, length, windows = (np.concatenate(x) for x in zip(*parts))
                 offsets = np.r_[0, np.cumsum(length)].astype(np.int32)
+                content = hashes.of_groups(windows, offsets)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(windows.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(doc), pa.array(text_hash), pa.array(start.astype(np.int32)), lists], ["anchor", "doc_id", "tid", "start", "windows"])
-
-    return docs.mapInArrow(run, "anchor long, doc_id long, tid long, start int, windows array<long>")
-
-
-def parse(blocks: list[tuple[int, list[int]]]) -> list[list[tuple[int, int]]]:
-    """Greedy factors of each block (doc_id, windows), in ascending doc_id, relative to the blocks
-    of smaller documents; a factor is (first window, windows)."""
-    index: dict[int, tuple[int, int]] = {}
-    out, waiting, last = [], [], None
-    for number, (doc, windows) in enumerate(blocks):
-        if doc != last:
-            for block, own in waiting:
-                for place, w in enumerate(own):
-                    index.setdefault(w, (block, place))
-            waiting, last = [], doc
-        waiting.append((number, windows))
-        factors, at = [], 0
-        while at < len(windows):
-            found = index.get(windows[at])
-            if found is None:
-                at += 1
-                continue
-            block, place = found
-            reference, length = blocks[block][1], 1
-            while at + length < len(windows) and place + length < len(reference) and windows[at + length] == reference[place + length]:
-                length += 1
-            factors.append((at, length))
-            at += length  # the next window, over the factor's end, is looked up anew
-        out.append(factors)
-    return out
-
-
-def _rest(factors: list[tuple[int, int]], n: int) -> Iterator[int]:
-    """Places of the windows that no factor has."""
-    at = 0
-    for begin, length in (*factors, (n, 0)):
-        yield from range(at, begin)
-        at = begin + length
-
-
-def _parsed(blocks: DataFrame, width: int, keys: list[str], with_rest: bool = False) -> DataFrame:
-    """Spans (doc_id, tid, begin, end) of the blocks of each group of ``keys``; with_rest: also the
-    windows without a reference, whose end is null."""
+                columns = [anchor.view(np.int64), doc, text_hash, start.astype(np.int32), content.view(np.int64), length.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), lists], ["anchor", "doc_id", "tid", "start", "content", "n", "windows"])
+
+    return docs.mapInArrow(run, "anchor long, doc_id long, tid long, start int, content long, n int, windows array<long>")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry: list[tuple] = []
-        for batch in chain(batches, [None]):
-            spans: list[tuple] = []
-            rest: list[tuple] = []
-            if batch is None:
-                groups = [carry] if carry else []
-            else:
-                flat = batch.column("windows").values.to_numpy(zero_copy_only=False)
-                offsets = batch.column("windows").offsets.to_numpy()
-                names = zip(*(batch.column(c).to_pylist() for c in keys))
-                rows = zip(names, *(batch.column(c).to_pylist() for c in ("doc_id", "tid", "start")), offsets[:-1].tolist(), offsets[1:].tolist())
-                groups, key = [], carry[0][0] if carry else None
-                for r in rows:
-                    if r[0] != key:
-                        if carry:
-                            groups.append(carry)
-                        carry, key = [], r[0]
-                    carry.append((r[0], r[1], r[2], r[3], flat[r[4] : r[5]].tolist()))
-            for group in groups:
-                if len(group) > 1 or with_rest:
-                    for (_, doc, tid, start, own), factors in zip(group, parse([(g[1], g[4]) for g in group])):
-                        spans += ((doc, tid, start + at, start + at + length - 1 + width, None) for at, length in factors)
-                        if with_rest:
-                            rest += ((doc, tid, start + at, None, own[at]) for at in _rest(factors, len(own)))
-            columns = list(zip(*spans, *rest)) or [()] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "tid", "begin", "end", "window"])
-
-    dealt = blocks.repartition(*keys).sortWithinPartitions(*keys, "doc_id", "tid", "start")
-    return dealt.mapInArrow(run, "doc_id long, tid long, begin int, end int, window long")
+
+def parse(looked_up: Iterable[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Greedy factors (first window, windows, reference) of a document, given its runs of windows
+    with a reference, in the same form. A factor goes on while the next window has the same
+    reference; else the next window begins another."""
+    factors: list[list[int]] = []
+    for at, n, ref in sorted(looked_up):
+        end = factors[-1][0] + factors[-1][1] if factors else -1
+        if at < end:
+            continue  # a repeated row of the document
+        if at == end and factors[-1][2] == ref:
+            factors[-1][1] += n
+        else:
+            factors.append([at, n, ref])
+    return [tuple(f) for f in factors]
 
 
 def text_id(text: Column) -> Column:
@@ -231,70 +184,63 @@ def dealt_by_id(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("doc_id").isNotNull()).repartition("doc_id")
 
 
-def duplicate_spans(docs: DataFrame, dealt: DataFrame, width: int = WIDTH, gram: int = GRAM, max_blocks: int = 10_000) -> DataFrame:
-    """Spans of duplicated words of ``docs`` (doc_id, text), ``dealt`` out by id: doc_id and
-    ``spans``, an array of (tid, begin, end) in words, end exclusive; tid tells the texts of a
-    doc_id apart. Documents without spans have no row. Rows with a null doc_id have no order among
-    the others and take no part; rows that share a doc_id are not duplicates of each other."""
+def referenced_windows(docs: DataFrame, dealt: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+    """Windows of ``docs`` (doc_id, text), ``dealt`` out by id, that have a reference: doc_id and
+    ``found``, an array of (tid, at, n, ref): n windows from ``at`` are in the document ref as well;
+    tid tells the texts of a doc_id apart. Documents without such windows have no row. Rows with a
+    null doc_id have no order among the others and take no part; rows that share a doc_id are not
+    duplicates of each other."""
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     anchors = cut(_anchors(ids, width, gram))
-    shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"))
-    shared = cut(shared.where("low < high").select("anchor", "n", (F.col("n") > max_blocks).alias("large")))
-    places = anchors.join(shared.drop("n"), "anchor").groupBy("doc_id").agg(F.collect_list(F.when(~F.col("large"), F.col("at"))).alias("at"), F.collect_list(F.when(F.col("large"), F.col("at"))).alias("at_large"))
-    places = cut(places)
+    shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
+    places = anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list("at").alias("at"))
     of, at, tid = (free_name(docs, name) for name in ("of", "at", "tid"))
-
-    def blocks(wanted: str) -> DataFrame:
-        met = dealt.join(places.where(F.size(wanted) > 0).select(F.col("doc_id").alias(of), F.col(wanted).alias(at)), F.col("doc_id").cast("long") == F.col(of))
-        return _blocks(met.withColumn(tid, text_id(F.col("text"))), of, tid, at, width, gram)
-
-    spans = _parsed(blocks("at"), width, ["anchor"]).drop("window")
-    most = shared.agg(F.max("n")).first()[0] or 0
-    if most > max_blocks:
-        share = F.pmod(F.xxhash64("doc_id"), F.lit(-(-most // max_blocks))).alias("share")
-        parsed = cut(_parsed(blocks("at_large").select("*", share), width, ["anchor", "share"], with_rest=True))
-        rest = parsed.where("end is null").drop("end")
-        smallest = cut(rest.groupBy("window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("window", "low"))
-        twice = rest.join(smallest, "window").where(F.col("doc_id") > F.col("low"))
-        spans = spans.unionByName(parsed.where("end is not null").drop("window"))
-        spans = spans.unionByName(twice.select("doc_id", "tid", "begin", (F.col("begin") + width).alias("end")))
-    return spans.groupBy("doc_id").agg(F.collect_list(F.struct("tid", "begin", "end")).alias("spans"))
+    met = dealt.join(places.select(F.col("doc_id").alias(of), F.col("at").alias(at)), F.col("doc_id").cast("long") == F.col(of))
+    blocks = cut(_blocks(met.withColumn(tid, text_id(F.col("text"))), of, tid, at, width, gram))
+    firsts = cut(blocks.groupBy("anchor", "content").agg(F.min("doc_id").alias("first")))
+    known = lambda *columns: blocks.select("anchor", "content", "doc_id", "tid", "start", *columns).join(firsts, ["anchor", "content"])
+    copies = known("n").where("doc_id > first").select("doc_id", "tid", F.col("start").alias("at"), "n", F.col("first").alias("ref"))
+    asked = known("windows").where("doc_id = first").select("anchor", "doc_id", "tid", "start", F.posexplode("windows").alias("i", "window"))
+    asked = cut(asked.select("anchor", "window", "doc_id", "tid", (F.col("start") + F.col("i")).alias("at")))
+    index = asked.groupBy("anchor", "window").agg(F.min("doc_id").alias("ref"), F.max("doc_id").alias("high")).where("ref < high").drop("high")
+    found = asked.join(index, ["anchor", "window"]).where("doc_id > ref").select("doc_id", "tid", "at", F.lit(1).alias("n"), "ref")
+    return copies.unionByName(found).groupBy("doc_id").agg(F.collect_list(F.struct("tid", "at", "n", "ref")).alias("found"))
 
 
 _KEPT = "struct<n_words: bigint, n_removed: bigint, kept: string>"
 
 
-def kept_words(text: Column, spans: Column) -> Column:
-    """n_words, n_removed and the kept words joined by one space."""
+def kept_words(text: Column, found: Column, width: int) -> Column:
+    """n_words, n_removed and the words outside the factors' spans, joined by one space."""
 
     @F.pandas_udf(_KEPT)
-    def run(texts: pd.Series, tids: pd.Series, all_spans: pd.Series) -> pd.DataFrame:
+    def run(texts: pd.Series, tids: pd.Series, all_found: pd.Series) -> pd.DataFrame:
         rows = []
-        for t, tid, s in zip(texts, tids, all_spans):
+        for t, tid, found in zip(texts, tids, all_found):
             words = (t or "").encode().split()
             keep = np.ones(len(words), dtype=bool)
-            for span in s if s is not None else ():
-                if span["tid"] == tid:
-                    keep[span["begin"] : span["end"]] = False
+            for at, n, _ in parse((f["at"], f["n"], f["ref"]) for f in (found if found is not None else ()) if f["tid"] == tid):
+                keep[at : at + n - 1 + width] = False
             kept = words if keep.all() else [w for w, k in zip(words, keep) if k]
             rows.append((len(words), len(words) - len(kept), b" ".join(kept).decode()))
         return pd.DataFrame(rows, columns=["n_words", "n_removed", "kept"])
 
-    return run(text, text_id(text), spans)
+    return run(text, text_id(text), found)
 
 
-def with_kept(docs: DataFrame, name: str, **options) -> DataFrame:
+def with_kept(docs: DataFrame, name: str, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """``docs`` with a struct column ``name``: n_words, n_removed, kept. A null text has no words."""
     dealt = dealt_by_id(docs)
     of = free_name(docs, "of")
-    spans = duplicate_spans(docs.select("doc_id", "text"), dealt, **options).select(F.col("doc_id").alias(of), F.col("spans").alias(name))
-    met = dealt.join(spans, F.col("doc_id").cast("long") == F.col(of), "left").drop(of)
-    unnamed = docs.where(F.col("doc_id").isNull()).withColumn(name, F.lit(None).cast(spans.schema[name].dataType))
-    return met.unionByName(unnamed).withColumn(name, kept_words(F.col("text"), F.col(name)))
+    found = referenced_windows(docs.select("doc_id", "text"), dealt, width, gram).select(F.col("doc_id").alias(of), F.col("found").alias(name))
+    met = dealt.join(found, F.col("doc_id").cast("long") == F.col(of), "left").drop(of)
+    unnamed = docs.where(F.col("doc_id").isNull()).withColumn(name, F.lit(None).cast(found.schema[name].dataType))
+    return met.unionByName(unnamed).withColumn(name, kept_words(F.col("text"), F.col(name), width))
 
 
 def removed_words(docs: DataFrame, **options) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_words, n_removed, kept_sha256."""
+    """Per row of ``docs`` (doc_id, text): doc_id, n_words, n_removed, kept_sha256. Repeated rows each
+    have one; they are no duplicates of each other, and a null doc_id loses nothing."""
     out = with_kept(docs.select("doc_id", "text"), "__kept", **options)
     return out.select("doc_id", F.col("__kept.n_words").alias("n_words"), F.col("__kept.n_removed").alias("n_removed"), F.sha2(F.col("__kept.kept").cast("binary"), 256).alias("kept_sha256"))
 
