@@ -9,8 +9,8 @@ doc_id. The steps:
 2. Anchors of a single document are left out. A run of windows that choose the same anchor is a
    block, of ``width - gram + 1`` windows at most. The reference block of a content is the one of
    its smallest document; blocks of later documents with that content are copies as they stand.
-3. Reference blocks are indexed by their windows: each window of more than one document with the
-   smallest of them. Every other window is looked up in that index.
+3. Where an anchor has several contents, reference blocks are indexed by their windows: each window
+   of more than one document with the smallest of them. Every other window is looked up there.
 4. Each document is parsed greedily: a factor starts at the first window with a reference and goes
    on while the next window has its reference in the same document. At a factor's end the next
    window is looked up anew, so that a window over a boundary is not missed. A factor of w windows
@@ -193,6 +193,7 @@ def referenced_windows(docs: DataFrame, dealt: DataFrame, width: int = WIDTH, gr
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     anchors = cut(_anchors(ids, width, gram))
     shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
+    shared = cut(shared)  # a plain table, so that Spark can split the join where an anchor is hot
     places = anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list("at").alias("at"))
     of, at, tid = (free_name(docs, name) for name in ("of", "at", "tid"))
     met = dealt.join(places.select(F.col("doc_id").alias(of), F.col("at").alias(at)), F.col("doc_id").cast("long") == F.col(of))
@@ -200,9 +201,10 @@ def referenced_windows(docs: DataFrame, dealt: DataFrame, width: int = WIDTH, gr
     firsts = cut(blocks.groupBy("anchor", "content").agg(F.min("doc_id").alias("first")))
     known = lambda *columns: blocks.select("anchor", "content", "doc_id", "tid", "start", *columns).join(firsts, ["anchor", "content"])
     copies = known("n").where("doc_id > first").select("doc_id", "tid", F.col("start").alias("at"), "n", F.col("first").alias("ref"))
-    asked = known("windows").where("doc_id = first").select("anchor", "doc_id", "tid", "start", F.posexplode("windows").alias("i", "window"))
+    mixed = cut(firsts.groupBy("anchor").count().where("count > 1").select("anchor"))  # else all its blocks are copies
+    asked = known("windows").where("doc_id = first").join(mixed, "anchor", "left_semi").select("anchor", "doc_id", "tid", "start", F.posexplode("windows").alias("i", "window"))
     asked = cut(asked.select("anchor", "window", "doc_id", "tid", (F.col("start") + F.col("i")).alias("at")))
-    index = asked.groupBy("anchor", "window").agg(F.min("doc_id").alias("ref"), F.max("doc_id").alias("high")).where("ref < high").drop("high")
+    index = cut(asked.groupBy("anchor", "window").agg(F.min("doc_id").alias("ref"), F.max("doc_id").alias("high")).where("ref < high").drop("high"))
     found = asked.join(index, ["anchor", "window"]).where("doc_id > ref").select("doc_id", "tid", "at", F.lit(1).alias("n"), "ref")
     return copies.unionByName(found).groupBy("doc_id").agg(F.collect_list(F.struct("tid", "at", "n", "ref")).alias("found"))
 
