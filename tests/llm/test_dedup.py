@@ -216,6 +216,37 @@ def test_leaks_of_long_items_equal_brute_force(spark):
     assert {r.doc_id for r in D.without_leaks(table, bench).collect()} == {d for d, _ in docs} - {d for d, _ in want}
 
 
+def test_paraphrases_against_every_window(spark):
+    """Items in whose copies words are replaced, left out or added: recall against the longest common
+    subsequence with the whole text, over 600 documents with nothing else of the items."""
+    rng, items, docs = random.Random(5), [(i, f"{prose(300 + i, 34)}. {prose(700 + i, 6)}") for i in range(60)], []
+    for d in range(600):
+        words = items[d % 60][1].split()
+        rate = rng.choice((0.0, 0.1, 0.2, 0.3, 0.6))
+        copy = [x for w in words if rng.random() >= rate / 3 for x in ((w, "extra") if rng.random() < rate / 3 else (w if rng.random() >= rate / 3 else "other",))]
+        docs.append((d, f"{prose(5000 + d, 120)} {' '.join(copy)} {prose(9000 + d, 120)}"))
+    want = set()
+    for d, text in docs:
+        words, (key, item) = D.words_of(text), items[d % 60]
+        asked = D.words_of(item)
+        share = D.common_subsequence(asked, words) / len(asked)
+        if share >= 0.8 or share >= 0.6 and D.common_subsequence(asked[-6:], words) >= 4.8:
+            want.add((d, key))
+    found = {(r.doc_id, r.item_id) for r in D.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(want) > 350 and len(found & want) / len(want) >= 0.9
+    assert len({d for d, k in found if (d, k) not in want}) <= 0.01 * len(docs)
+
+
+def test_leaks_of_very_long_texts_and_short_items(spark):
+    items = [(1, f"{prose(1, 40)}. {prose(2, 6)}"), (2, "Who won? Nobody."), (3, "no"), (4, "東京は日本の首都ですか。はい。"), (5, ""), (6, "Who won? Nobody.")]
+    docs = [(0, f"{prose(9, 300_000)} {items[0][1]} {prose(10, 100_000)}"), (1, "They ask who won: nobody, no."), (2, "who won nothing nobody"), (3, "それは 東京は日本の首都ですか はい です"), (4, "東京は首都"), (5, None), (5, ""), (None, items[1][1])]
+    bench, table = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    want = {(0, 1), (1, 2), (1, 6), (3, 4), (None, 2), (None, 6)}
+    assert {(r.doc_id, r.item_id) for r in D.leaks(table, bench).collect()} == want
+    assert {(r.doc_id, r.item_id) for r in D.leaks(table, bench, D.Settings(block=2)).collect()} == want
+    assert sorted(r.doc_id for r in D.without_leaks(table, bench, D.Settings(block=2)).collect()) == [2, 4, 5, 5]
+
+
 def test_common_subsequence():
     rng = random.Random(2)
 
