@@ -145,15 +145,29 @@ def test_padded_and_joined_notices(spark):
 
 
 def test_perspectives(spark):
-    rows = [(1, 0, "system", "Be kind."), (1, 1, "Ann", "Hi <|assistant|> all"), (1, 2, "Bob", "Hello"), (1, 2, "Bob", "Hello"), (1, None, None, None), (1, 130, "Ann", "late"), (None, 0, "Ann", "alone"), (2, 0, "system", "nobody")]
+    rows = [(1, 0, "system", "Be kind."), (1, 1, "Ann", "Hi <|assistant|> all"), (1, 2, "Bob", "Hello"), (1, 2, "Bob", "Hello"), (1, None, None, None), (1, None, "Bob", "ok"), (1, None, "Bob", "ok"), (1, 130, "Ann", "late"), (None, 0, "Ann", "alone"), (2, 0, "system", "nobody")]
     out = chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
-    ann = next(r for r in out if (r.conv_id, r.perspective, r.part) == (1, "Ann", 0))
-    assert [ann.text[m.begin : m.end] for m in ann.mask] == ["Hi < |assistant|> all"]
-    assert ann.text == "<|user name=unknown|>\n\n<|system|>\nBe kind.\n<|assistant|>\nHi < |assistant|> all\n<|user name=Bob|>\nHello\n"
-    assert {(r.conv_id, r.perspective, r.part) for r in out} == {(1, p, k) for p in ("Ann", "Bob", "unknown") for k in (0, 2)} | {(None, "Ann", 0)}
+    ann = next(r for r in out if (r.conv_id, r.perspective) == (1, "Ann"))
+    assert [ann.text[m.begin : m.end] for m in ann.mask] == ["Hi < |assistant|> all", "late"]
+    assert ann.text == "<|user name=Bob|>\nok\n<|user name=Bob|>\nok\n<|user name=unknown|>\n\n<|system|>\nBe kind.\n<|assistant|>\nHi < |assistant|> all\n<|user name=Bob|>\nHello\n<|assistant|>\nlate\n"
+    assert {(r.conv_id, r.perspective, r.part) for r in out} == {(1, "Ann", 0), (1, "Bob", 0), (1, "unknown", 0), (None, "Ann", 0)}
     assert chat.rotate(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_the_parts_of_a_long_dialogue_are_its_whole_rendering(spark):
+    rows = [(7, None if i % 50 == 0 else i, f"p{i % 3}" if i % 7 else "system", f"said {i} " * (i % 5)) for i in range(1000)] + [(8, 1, "p0", "x")]
+    out = chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)).where("conv_id = 7").collect()
+    assert len(out) == 3 * -(-1000 // 64)
+    ordered = sorted((r[1] is not None, r[1] or 0, r[2], r[3]) for r in rows[:1000])
+    for who in ("p0", "p1", "p2"):
+        parts = sorted((r for r in out if r.perspective == who), key=lambda r: r.part)
+        whole = "".join(r.text for r in parts)
+        heads = {who: "assistant", "system": "system"}
+        assert whole == "".join(f"<|{heads.get(s, f'user name={s}')}|>\n{t}\n" for _, _, s, t in ordered)
+        assert [whole[m.begin : m.end] for r in parts for m in r.mask] == [t for _, _, s, t in ordered if s == who]
+        assert all(whole.startswith(r.text, r.begin) for r in parts)
+
+
 def test_cascade_is_exact(spark):
     rng = random.Random(3)
     keys = [f"k{i}.example.com" for i in range(3000)]
@@ -205,14 +219,19 @@ def test_top_k_equals_brute_force(spark):
     rows += [(400 + i, rows[0][1]) for i in range(30)] + [(900, None), (901, [None] * 8), (902, [float("nan")] * 8), (903, [float("inf")] + [0.0] * 7), (None, rows[0][1]), (950, [1.0, 2.0]), (951, [0.5, 0.5])]
     import math
 
-    usable = {i: [math.floor(256 * x) for x in v] for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)}
+    rows += [(0, rows[0][1]), (0, [0.25] * 8), (50, rows[50][1]), (120, rows[0][1]), (120, rows[0][1])]
+    usable = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     want = []
-    for q in (i for i in usable if i % 50 == 0):
-        scored = sorted((-sum(a * b for a, b in zip(usable[q], v)), i) for i, v in usable.items() if i != q and len(v) == len(usable[q]))
-        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:5])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = topk.top_k(df, F.col("vec_id") % 50 == 0, candidate_block=64, query_block=4)
+    for n, (q, v) in enumerate(usable):
+        if q % 50 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for m, (i, w) in enumerate(usable) if m != n and len(v) == len(w))
+            want += [(q, rank + 1, i, -s) for rank, (s, i) in enumerate(scored[:5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = topk.top_k(df, F.col("vec_id") % 50 == 0, candidate_block=64, query_bytes=300)
     assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 50 == 0).collect())) == sorted(want)
+    large = spark.createDataFrame([(i, [2.0**20 + i, 1.0]) for i in range(40)], "vec_id long, embedding array<double>")
+    assert [r.vec_id for r in topk.top_k(large, F.col("vec_id") == 0).orderBy("rank").collect()] == [39, 38, 37, 36, 35]
     assert topk.top_k(df.where("false"), F.col("vec_id") % 50 == 0).count() == 0
 
 

@@ -24,7 +24,7 @@ UNWANTED_SITES = tuple(f"{name}.example.{end}" for name in UNWANTED for end in (
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rendered = chat.rotate(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
     spans = F.array_join(F.transform("mask", lambda m: F.concat_ws("-", m["begin"], m["end"])), " ")
-    return rendered.select("conv_id", "perspective", "part", "text", F.col("n_turns").cast("long").alias("n_turns"), spans.alias("mask"))
+    return rendered.select("conv_id", "perspective", "part", F.col("begin").cast("long").alias("begin"), "text", F.col("n_turns").cast("long").alias("n_turns"), spans.alias("mask"))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,21 +71,24 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _OP1 = """
-with said as (
-    select distinct conv_id, turn, coalesce(role, 'unknown') as speaker, coalesce(text, '') as said, coalesce(floor(turn / 64)::bigint, 0) as part from conversations
+with once as (
+    select conv_id, turn, coalesce(role, 'unknown') as speaker, coalesce(text, '') as said, count(*) as times from conversations group by all
+), said as (
+    select conv_id, turn, speaker, said, row_number() over (partition by conv_id order by turn nulls first, speaker, said) - 1 as number
+    from (select *, unnest(range(case when turn is null then times else 1 end)) from once)
 ), people as (
     select distinct conv_id, speaker as perspective from said where speaker <> 'system'
 ), pieces as (
-    select s.conv_id, p.perspective, s.part, s.turn, s.speaker, s.said as raw, s.speaker = p.perspective as mine,
+    select s.conv_id, p.perspective, s.number // 64 as part, s.number, s.speaker = p.perspective as mine,
         '<|' || case when s.speaker = p.perspective then 'assistant' when s.speaker = 'system' then 'system'
             else 'user name=' || regexp_replace(s.speaker, '[^\\p{L}\\p{N}_-]', '_', 'g') end || '|>' || chr(10) as head,
         replace(s.said, '<|', '< |') as said
     from said s join people p on s.conv_id is not distinct from p.conv_id
 ), placed as (
-    select *, coalesce(sum(length(head) + length(said) + 1) over (partition by conv_id, perspective, part order by turn nulls first, speaker, raw rows between unbounded preceding and 1 preceding), 0)::bigint as pos from pieces
+    select *, coalesce(sum(length(head) + length(said) + 1) over (partition by conv_id, perspective order by number rows between unbounded preceding and 1 preceding), 0)::bigint as pos from pieces
 )
-select conv_id, perspective, part, string_agg(head || said || chr(10), '' order by turn nulls first, speaker, raw) as text, count(*) as n_turns,
-    coalesce(string_agg((pos + length(head))::varchar || '-' || (pos + length(head) + length(said))::varchar, ' ' order by turn nulls first, speaker, raw) filter (where mine), '') as mask
+select conv_id, perspective, part, min(pos)::bigint as begin, string_agg(head || said || chr(10), '' order by number) as text, count(*) as n_turns,
+    coalesce(string_agg((pos + length(head))::varchar || '-' || (pos + length(head) + length(said))::varchar, ' ' order by number) filter (where mine), '') as mask
 from placed group by conv_id, perspective, part"""
 
 _OP5_SENTENCES = ", ".join(f"('{s}', '{i}')" for s, i in licences.SENTENCES.items())
@@ -153,14 +156,14 @@ from placed"""
 
 _OP10 = """
 with vectors as (
-    select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+    select row_number() over () as no, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
     where vec_id is not null and embedding is not null and len(embedding) > 0
       and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), pairs as (
-    select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::bigint as score
-    from vectors q join vectors c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id
+    select q.no, q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::bigint as score
+    from vectors q join vectors c on q.vec_id % 50 = 0 and q.no <> c.no
 ), ranked as (
-    select *, row_number() over (partition by query_id order by score desc, vec_id)::integer as rank from pairs
+    select *, row_number() over (partition by no order by score desc, vec_id)::integer as rank from pairs
 )
 select query_id, rank, vec_id, score from ranked where rank <= 5"""
 

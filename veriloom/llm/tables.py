@@ -3,8 +3,10 @@
 import re
 import tempfile
 import uuid
+from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: White space between words, and the words themselves.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -34,6 +36,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
+    """``df`` with a column ``name``: the sum of ``value`` over the rows of the same ``keys`` (null is
+    a key) that come before in ``order``, nulls first.
+
+    Rows are dealt out by ranges of keys and order, so a hot key is many tasks' work; a range's own
+    sums, one row per key and range, give its start.
+    """
+    at, start = free_name(df, "range"), free_name(df, "start")
+    dealt = cut(df.repartitionByRange(*keys, *order).withColumn(at, F.spark_partition_id()))
+    sums = dealt.groupBy(at, *keys).agg(F.sum(value).alias(start))
+    earlier = Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.withColumn(start, F.coalesce(F.sum(start).over(earlier), F.lit(0)))
+    of = {c: free_name(dealt, f"of_{c}") for c in (at, *keys)}
+    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(o)) for c, o in of.items()))
+    met = dealt.join(starts.withColumnsRenamed(of), same).drop(*of.values())
+    before = Window.partitionBy(at, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return met.withColumn(name, F.col(start) + F.coalesce(F.sum(value).over(before), F.lit(0))).drop(at, start)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, every other character as it is."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -2,15 +2,19 @@
 
 Vectors are rotated onto the corpus's singular directions, so that the first coordinates hold most
 of every inner product; what the others can add is at most the product of the two residual
-lengths. Candidates are dealt out in blocks of descending length. Each query's k best of the
-longest block give a floor for its k-th score; in all blocks a candidate is scored in full only
-where the bound reaches the floor.
+lengths. Candidates are dealt out once, in blocks of descending length. The longest block gives each
+query a floor for its k-th score. Queries are sent to the candidates in parts of a bounded size: no
+candidate is shuffled for them. In each task candidates come by descending length, are scored in
+full only where the bound reaches the query's floor, and raise it; where the length alone says that
+no query can gain, the task ends.
 """
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .tables import cut
@@ -44,79 +48,128 @@ def singular_directions(vectors: DataFrame, dims: int) -> np.ndarray:
     return np.linalg.eigh(matrix)[1][:, ::-1]
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    return np.lexsort((ids, -scores))[:k]
-
-
-def top_k(vectors: DataFrame, query: Column, k: int = 5, scale: int = 256, candidate_block: int = 4096, query_block: int = 1024) -> DataFrame:
+class Longest:
+    """Some queries' ``k`` best candidates so far, ties to the smaller vec_id, and their floors: the
+    score that a candidate must reach to be one of them."""
+
+    def __init__(self, queries: pa.Table, dims: int, k: int, rotation: np.ndarray) -> None:
+        self.k, self.rotation, self.head = k, rotation, max(1, dims // 4)
+        self.row, self.floor = (queries.column(c).to_numpy() for c in ("row", "floor"))
+        self.v = _matrix(queries.column("v"), dims)
+        rotated = self.v @ rotation
+        self.start, self.length = np.ascontiguousarray(rotated[:, : self.head]), np.sqrt((rotated**2).sum(1))
+        self.tail = np.sqrt((rotated[:, self.head :] ** 2).sum(1))
+        self.floor = np.where(np.isnan(self.floor), -np.inf, self.floor)
+        self.found = [np.zeros(0, dtype=np.int64) for _ in range(3)]  # query, vec_id, score
+
+    def meet(self, row: np.ndarray, vec_id: np.ndarray, v: np.ndarray, cells: int = 2_000_000) -> None:
+        """Take in candidates, the longest first."""
+        rotated = v @ self.rotation
+        length = np.sqrt((rotated**2).sum(1))
+        order = np.argsort(-length, kind="stable")
+        row, vec_id, v, rotated, length = row[order], vec_id[order], v[order], rotated[order], length[order]
+        start, tail = np.ascontiguousarray(rotated[:, : self.head]), np.sqrt((rotated[:, self.head :] ** 2).sum(1))
+        step = max(1, cells // max(1, len(self.row)))
+        for at in range(0, len(row), step):
+            to = at + step
+            slack = SLACK * (1 + self.length * length[at])
+            asked = np.flatnonzero(length[at] * self.length + slack >= self.floor)  # those that these and all shorter ones may serve
+            if not len(asked):
+                return
+            bound = start[at:to] @ self.start[asked].T + tail[at:to, None] * self.tail[asked]
+            c, q = np.nonzero(bound + slack[asked] >= self.floor[asked])
+            q = asked[q]
+            other = row[at:to][c] != self.row[q]
+            c, q = c[other], q[other]
+            self._take(q, vec_id[at:to][c], _products(v[at:to], self.v, c, q))
+
+    def _take(self, query: np.ndarray, vec_id: np.ndarray, score: np.ndarray) -> None:
+        query, vec_id, score = (np.concatenate(x) for x in zip(self.found, (query, vec_id, score)))
+        order = np.lexsort((vec_id, -score, query))
+        query, vec_id, score = query[order], vec_id[order], score[order]
+        first = np.flatnonzero(np.r_[True, query[1:] != query[:-1]][: len(query)])
+        rank = np.arange(len(query)) - np.repeat(first, np.diff(np.r_[first, len(query)]))
+        keep = rank < self.k
+        self.found = [query[keep], vec_id[keep], score[keep]]
+        last = rank == self.k - 1
+        self.floor[query[last]] = np.maximum(self.floor[query[last]], score[last])
+
+
+def _matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
+    """Vectors of whole numbers, as doubles where these hold all sums of their products exactly."""
+    flat = column.combine_chunks().flatten().to_numpy()
+    return flat.astype(np.float64).reshape(-1, dims)
+
+
+def _products(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Exact inner products of rows i of ``a`` with rows j of ``b``."""
+    most = max(np.abs(a).max(initial=0.0), np.abs(b).max(initial=0.0))
+    if a.shape[1] * most**2 < 2.0**53:
+        if len(i) * 4 > len(a) * len(b):
+            return (a @ b.T)[i, j].astype(np.int64)
+    else:
+        a, b = a.astype(np.int64), b.astype(np.int64)
+    parts = [np.einsum("nd,nd->n", a[i[k : k + 65536]], b[j[k : k + 65536]]) for k in range(0, len(i), 65536)]
+    return np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, dtype=np.int64)
+
+
+def top_k(vectors: DataFrame, query: Column, k: int = 5, scale: int = 256, candidate_block: int = 8192, query_bytes: int = 32 << 20) -> DataFrame:
     """The k highest integer inner products of each query row with all other rows: query_id, rank
     (from 1), vec_id, score; ties go to the smaller vec_id.
 
-    ``query`` says which rows of ``vectors`` (vec_id, embedding) are queries. Rows with a null
+    ``query`` says which rows of ``vectors`` (vec_id, embedding) are queries. A row is left out of
+    its own query only: rows that repeat a vec_id are queries and candidates each. Rows with a null
     vec_id or an unusable vector take no part; vectors of another length than most are compared
-    only with their own kind, as each length is searched by itself. A vec_id that repeats counts
-    as a candidate for each of its rows but never for its own query, which is asked once (with the
-    smallest of its vectors). Fewer than k candidates give fewer rows; an empty table gives none.
+    only with their own kind, as each length is searched by itself. Fewer than k candidates give
+    fewer rows; an empty table gives none.
     """
     spark = vectors.sparkSession
     quantised = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), query.alias("asked"), to_integers(F.col("embedding"), scale).alias("v"))
-    data = cut(quantised.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()))
+    usable = quantised.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
+    data = cut(usable.withColumn("row", F.monotonically_increasing_id()))  # written once, so that a row keeps its number
     out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    for (dims,) in data.select(F.size("v")).distinct().collect():  # the lengths of vectors: one, as a rule
-        out = out.unionByName(_search(data.where(F.size("v") == dims), dims, k, candidate_block, query_block))
+    for (dims,) in data.select(F.size("v")).distinct().collect() if k > 0 else ():  # the lengths of vectors: one, as a rule
+        out = out.unionByName(_search(data.where(F.size("v") == dims), dims, k, candidate_block, query_bytes))
     return out
 
 
-def _search(data: DataFrame, dims: int, k: int, candidate_block: int, query_block: int) -> DataFrame:
+def _search(data: DataFrame, dims: int, k: int, candidate_block: int, query_bytes: int) -> DataFrame:
     spark = data.sparkSession
     rotation = singular_directions(data.select("v"), dims)
-    head = max(1, dims // 4)
     squared = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    candidates = data.select("vec_id", "v", squared.alias("squared"))
+    sized = data.withColumn("squared", squared)
     n_blocks = max(1, math.ceil(data.count() / candidate_block))
-    by_length = candidates.repartitionByRange(n_blocks, F.col("squared").desc(), F.col("vec_id"))
-    blocks = cut(by_length.withColumn("block", F.spark_partition_id()))
-    queries = data.where("asked").groupBy("vec_id").agg(F.min("v").alias("v"))
-    n_query_blocks = max(1, math.ceil(data.where("asked").count() / query_block))
-    queries = cut(queries.withColumn("query_block", F.pmod(F.xxhash64("vec_id"), F.lit(n_query_blocks)).cast("int")))
-
-    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        """The k best of a block of candidates for each query of a block of queries."""
-        found = {"query_id": [], "vec_id": [], "score": []}
-        if len(left) and len(right):
-            order = np.argsort(-left["squared"].to_numpy(), kind="stable")
-            ids, v = left["vec_id"].to_numpy()[order], np.array(left["v"].to_list(), dtype=np.int64)[order]
-            rotated = v @ rotation
-            start, length = np.ascontiguousarray(rotated[:, :head]), np.sqrt((rotated**2).sum(1))
-            tail = np.sqrt((rotated[:, head:] ** 2).sum(1))
-            for q_id, q, floor in zip(right["vec_id"], right["v"], right["floor"]):
-                q = np.asarray(q, dtype=np.int64)
-                q_rotated = q @ rotation
-                q_length, q_tail = np.sqrt((q_rotated**2).sum()), np.sqrt((q_rotated[head:] ** 2).sum())
-                least = -np.inf if floor is None or np.isnan(floor) else floor
-                slack = SLACK * (1 + q_length * length[:1].max())
-                near = int(np.searchsorted(-(length * q_length + slack), -least, side="right"))  # longer ones come first
-                bound = start[:near] @ q_rotated[:head] + tail[:near] * q_tail
-                at = np.flatnonzero(bound + slack >= least)
-                at = at[ids[at] != q_id]
-                exact = v[at] @ q
-                best = _best(exact, ids[at], k)
-                found["query_id"] += [q_id] * len(best)
-                found["vec_id"] += ids[at][best].tolist()
-                found["score"] += exact[best].tolist()
-        return pd.DataFrame(found)
-
-    def scored(candidate: DataFrame, asked: DataFrame) -> DataFrame:
-        pairs = candidate.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1))))
-        met = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-        keys = ["block", "query_block"]
-        return pairs.groupBy(keys).cogroup(met.groupBy(keys)).applyInPandas(lambda a, b: score(a, b), "query_id long, vec_id long, score long")
-
-    # the k-th best of the longest block is a floor for every query's k-th score
-    longest = scored(blocks.where("block = 0"), queries.withColumn("floor", F.lit(None).cast("double")))
-    kth = longest.groupBy("query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("best"))
-    floors = kth.select(F.col("query_id").alias("vec_id"), F.when(F.size("best") >= k, F.element_at("best", k).cast("double")).alias("floor")) if k else None
-    asked = cut(queries.join(floors, "vec_id", "left"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id")))
-    best = scored(blocks, asked).withColumn("rank", rank).where(F.col("rank") <= k)
-    return best.select("query_id", "rank", "vec_id", "score")
+    candidates = cut(sized.repartitionByRange(n_blocks, F.col("squared").desc(), F.col("vec_id")).select("row", "vec_id", "v"))
+    longest = sized.orderBy(F.col("squared").desc(), "vec_id", "row").limit(candidate_block).select("row", "vec_id", "v").toArrow()
+    top = spark.sparkContext.broadcast((longest, rotation))
+
+    def floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The queries with their k-th score among the longest candidates."""
+        rows, rotation = top.value
+        for batch in batches:
+            best = Longest(pa.Table.from_batches([batch]), dims, k, rotation)
+            best.meet(rows.column("row").to_numpy(), rows.column("vec_id").to_numpy(), _matrix(rows.column("v"), dims))
+            yield batch.set_column(batch.schema.get_field_index("floor"), "floor", pa.array(best.floor))
+
+    asked = data.where("asked").select("row", "vec_id", "v", F.lit(float("nan")).alias("floor"))
+    queries = cut(asked.mapInArrow(floors, asked.schema))
+    n_query_blocks = max(1, math.ceil(queries.count() * dims * 8 / query_bytes))
+    found = spark.createDataFrame([], "query long, query_id long, vec_id long, score long")
+    for b in range(n_query_blocks):  # a bounded part of the queries against all candidates; these are not shuffled
+        some = queries.where(F.pmod(F.xxhash64("row"), F.lit(n_query_blocks)) == b).toArrow()
+        shared = spark.sparkContext.broadcast((some, rotation))
+
+        def score(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            """The k best of a task's candidates for each of the queries."""
+            queries, rotation = shared.value
+            if not len(queries):
+                return
+            best = Longest(queries, dims, k, rotation)
+            for batch in batches:
+                best.meet(batch.column("row").to_numpy(), batch.column("vec_id").to_numpy(), _matrix(pa.chunked_array([batch.column("v")]), dims))
+            query, vec_id, points = best.found
+            yield pa.RecordBatch.from_arrays([pa.array(best.row[query]), pa.array(queries.column("vec_id").to_numpy()[query]), pa.array(vec_id), pa.array(points)], ["query", "query_id", "vec_id", "score"])
+
+        found = found.unionByName(candidates.mapInArrow(score, found.schema))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("vec_id")))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
