@@ -94,12 +94,40 @@ def test_injection_tricks(spark):
 def test_ranges_chunks_and_dedupe(spark):
     p = spark.createDataFrame([(1, n) for n in (5, 6, 7, 9, 11, 12)] + [(2, n) for n in (3, 1, 2, 2)], "doc_id long, page int")
     assert {r.doc_id: r.ranges for r in P.page_ranges(p).collect()} == {1: "5–7, 9, 11–12", 2: "1–3"}
-    pages = spark.createDataFrame([(1, 1, "x" * 60), (1, 2, "x" * 60), (1, 3, "x" * 250)], "doc_id long, page int, text string")
-    assert [(r.page, r.chunk_no) for r in chunking.chunk_pages(pages, 100).orderBy("page").collect()] == [(1, 0), (2, 1), (3, 2)]
     values = spark.createDataFrame([(1, 0, "CRM"), (1, 1, "crm "), (1, 2, "SLA"), (1, 3, " ")], "doc_id long, pos int, value string")
     assert [r.value for r in merge.dedupe_strings(values).orderBy("pos").collect()] == ["CRM", "SLA"]
 
 
+def test_chunks(spark):
+    pages = spark.createDataFrame([(1, 1, "x" * 60), (1, 2, "y" * 60), (1, 3, "z" * 250), (2, 1, "a"), (2, 2, " b\n"), (3, 1, None)], "doc_id long, page int, text string")
+    rows = {(r.doc_id, r.chunk_no): (r.pages, r.text) for r in chunking.chunk_pages(pages, 100).collect()}
+    assert rows[1, 0] == ([1], "[Page 1]\n" + "x" * 60 + "\n") and rows[1, 1][0] == [2]
+    # the header is a piece by itself, for the line after it is cut
+    assert [rows[1, k] for k in (2, 3, 4, 5)] == [([3], "[Page 3]"), ([3], "z" * 100), ([3], "z" * 100), ([3], "z" * 50)]
+    assert rows[2, 0] == ([1, 2], "[Page 1]\na\n\n[Page 2]\nb\n") and rows[3, 0] == ([1], "[Page 1]\n\n")
+    text = "\nab\n\ncd\n" + "e" * 23 + "f\ngh\n"
+    pieces = chunking.split_long_pages(spark.createDataFrame([(1, 1, text)], "doc_id long, page int, text string"), 10)
+    assert [r.piece for r in pieces.orderBy("piece_no").collect()] == ["ab\n\ncd", "e" * 10, "e" * 10, "eeef", "gh\n"]
+    tight = chunking.split_long_pages(spark.createDataFrame([(1, 1, text)], "doc_id long, page int, text string"), 10, blank_lines=False)
+    assert [r.piece for r in tight.orderBy("piece_no").collect()] == ["ab\ncd", "e" * 10, "e" * 10, "eeef", "gh\n"]
+    ten = [(1, 1, "w" * 1000)]
+    limits = chunking.chunk_pieces(chunking.page_pieces(spark.createDataFrame(ten, "doc_id long, page int, text string"), 100), 100)
+    assert chunking.chunk_limits(limits.withColumn("chars", F.length("piece")), 4).first().reason == "TOO_MANY_CHUNKS"
+
+
+def test_translation_chunks(spark):
+    pages = spark.createDataFrame([(1, 1, "a" * 40), (1, 2, "b" * 40), (1, 3, ""), (1, 4, "c" * 60 + "\n" + "d" * 60), (1, 5, None)], "doc_id long, page int, text string")
+    images = spark.createDataFrame([(1, 5), (1, 4)], "doc_id long, page int")
+    rows = [(r.page, r.part_no, r.chunk_no, r.has_image) for r in chunking.plan_translation_chunks(pages, images, 100, 2).orderBy("page", "part_no").collect()]
+    assert rows == [(1, 0, 0, False), (2, 0, 0, False), (4, 0, 1, True), (4, 1, 2, False), (5, 0, 3, True)]
+
+
+def test_markup(spark):
+    texts = ["a </document_123> b", "</document a<b> c", "<documents <document>", "<doc>", None]
+    out = P.neutralize_markup(spark.createDataFrame(list(enumerate(texts)), "page long, text string")).orderBy("page").collect()
+    assert [(r.text, r.changed) for r in out] == [("a ‹/document_123› b", True), ("‹/document a‹b› c", True), ("‹documents ‹document›", True), ("<doc>", False), (None, False)]
+
+
 def test_translation(spark):
     pairs = spark.createDataFrame([(1, "f", 0, "2 500 000,00 oraz 0,2%", "2 500 000,00 and 0.3%", "comma", "point")], "doc_id long, field string, idx int, source string, target string, source_style string, target_style string")
     diff = {r.value: (r.missing, r.extra) for r in T.numeric_diff(pairs).collect()}

@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .dims import MONTHS_DE, MONTHS_EN, MONTHS_FR, MONTHS_NL, MONTHS_PL
-from .text import MARKED, PLAIN, clean, lookup, rebuilt
+from .text import MARKED, PLAIN, clean, let, lookup
 
 _EDGE, _END = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 _PLAIN_PL = [m.translate(str.maketrans(MARKED, PLAIN)) for m in MONTHS_PL]
@@ -43,33 +43,57 @@ _GRAMMAR = (
 )
 
 
+def _taken(text: Column) -> Column:
+    """(dates, rest) of a text, after each pattern in turn; a pattern without a match costs its
+    search only."""
+    state = F.struct(F.array().cast("array<date>").alias("dates"), F.coalesce(clean(text), F.lit("")).alias("rest"))
+    for pattern, read in _GRAMMAR:
+        group = _group(pattern)
+
+        def told(found: Column, s: Column) -> Column:
+            marked = F.transform(found, lambda m: F.struct(m.alias("text"), read(m, group).alias("date")))  # noqa: B023
+
+            def step(m: Column) -> Column:
+                dates = F.filter(F.transform(m, lambda x: x["date"]), lambda d: d.isNotNull())
+                blank = lambda x: F.when(x["date"].isNotNull(), F.repeat(F.lit(" "), F.length(x["text"]))).otherwise(x["text"])
+                pieces = F.arrays_zip(F.split(s["rest"], pattern, -1).alias("gap"), m.alias("m"))  # noqa: B023
+                rest = F.array_join(F.transform(pieces, lambda p: F.concat(p["gap"], F.coalesce(blank(p["m"]), F.lit("")))), "")
+                return F.struct(F.concat(s["dates"], dates).alias("dates"), rest.alias("rest"))
+
+            return F.when(F.size(found) == 0, s).otherwise(let(marked, step))
+
+        state = let(state, lambda s: let(F.regexp_extract_all(s["rest"], F.lit(pattern), F.lit(0)), lambda found: told(found, s)))  # noqa: B023
+    return state
+
+
 def take_dates(df: DataFrame, text: str, dates: str = "dates", rest: str = "rest") -> DataFrame:
     """``df`` with the dates of its column ``text`` (an array, pattern by pattern) and ``rest``, the
     cleaned text with valid dates blanked by spaces. Impossible dates stay in the text."""
-    df = df.withColumn(rest, F.coalesce(clean(F.col(text)), F.lit(""))).withColumn(dates, F.array().cast("array<date>"))
-    for pattern, read in _GRAMMAR:
-        group = _group(pattern)
-        found = F.filter(F.transform(F.regexp_extract_all(F.col(rest), F.lit(pattern), F.lit(0)), lambda m: read(m, group)), lambda d: d.isNotNull())  # noqa: B023
-        blank = lambda m: F.when(read(m, group).isNotNull(), F.repeat(F.lit(" "), F.length(m))).otherwise(m)  # noqa: B023, E731
-        df = df.withColumn(dates, F.concat(dates, found)).withColumn(rest, rebuilt(F.col(rest), pattern, blank))
-    return df
+    taken = df.withColumn("__taken", _taken(F.col(text)))
+    return taken.withColumns({dates: F.col("__taken.dates"), rest: F.col("__taken.rest")}).drop("__taken")
 
 
 _WIDE = {m: i + 1 for names in (_PLAIN_PL, MONTHS_EN, MONTHS_DE, MONTHS_FR, MONTHS_NL) for i, m in enumerate(names)}
 _SHORT = {m[:3]: i + 1 for i, m in enumerate(MONTHS_EN)} | {"sept": 9}
-_MONTH = "|".join(sorted({*_WIDE, *_SHORT, *(f"{m}\\." for m in _SHORT)}, key=len, reverse=True))
+_MONTHS = _WIDE | _SHORT | {f"{m}.": i for m, i in _SHORT.items()}
 _ORDINAL = r"\d{1,2}(?:er|st|nd|rd|th)?"
 _DASH = r"\s?[-–]\s?"
-#: Pattern, and the groups of day text, month text and year.
+#: Any word may stand for a month here: the table of names decides, so that no text is searched for
+#: each of them. A name may be the end of a word in the second pattern only.
+_WORD = r"\p{L}++\.?"
+_FREE, _APART = r"(?<!\d)", r"(?<![\p{L}\d])"
+#: Pattern, and the groups of day text, month text and year. At most one begins at any place.
 _VERBAL = (
-    (rf"(?<!\d)({_ORDINAL})\.? ({_MONTH}) (\d{{4}})(?!\d)", 1, 2, 3),
-    (rf"({_MONTH}) ({_ORDINAL}),? (\d{{4}})(?!\d)", 2, 1, 3),
-    (rf"(?<![\p{{L}}\d])({_MONTH}) ({_ORDINAL}){_DASH}(?:\p{{L}}+\.? )?\d{{1,2}}(?:st|nd|rd|th)?,? (\d{{4}})(?!\d)", 2, 1, 3),
-    (rf"(?<![\p{{L}}\d])({_ORDINAL})\.?{_DASH}\d{{1,2}}\.? ({_MONTH}) (\d{{4}})(?!\d)", 1, 2, 3),
-    (rf"(?<![\p{{L}}\d])od ({_ORDINAL}) do \d{{1,2}} ({_MONTH}) (\d{{4}})(?!\d)", 1, 2, 3),
-    (rf"(?<![\p{{L}}\d])({_ORDINAL})\.? ({_MONTH}){_DASH}\d{{1,2}}\.? \p{{L}}+ (\d{{4}})(?!\d)", 1, 2, 3),
+    (rf"{_APART}od ({_ORDINAL}) do \d{{1,2}} ({_WORD}) (\d{{4}})(?!\d)", 1, 2, 3),
+    (rf"{_FREE}({_ORDINAL})\.? ({_WORD}) (\d{{4}})(?!\d)", 1, 2, 3),
+    (rf"(?<!\p{{L}})({_WORD}) ({_ORDINAL}),? (\d{{4}})(?!\d)", 2, 1, 3),
+    (rf"{_APART}({_WORD}) ({_ORDINAL}){_DASH}(?:\p{{L}}+\.? )?\d{{1,2}}(?:st|nd|rd|th)?,? (\d{{4}})(?!\d)", 2, 1, 3),
+    (rf"{_APART}({_ORDINAL})\.?{_DASH}\d{{1,2}}\.? ({_WORD}) (\d{{4}})(?!\d)", 1, 2, 3),
+    (rf"{_APART}({_ORDINAL})\.? ({_WORD}){_DASH}\d{{1,2}}\.? \p{{L}}+ (\d{{4}})(?!\d)", 1, 2, 3),
 )
-_READING = "array<struct<year:int,short:boolean,month:int,day:int>>"
+#: What stands at a place is captured without being consumed: spellings may overlap.
+_VERBAL_HERE = f"(?=({'|'.join(p for p, *_ in _VERBAL)}))"
+_NUMERIC_HERE = r"(?<!\d)(?=((?:\d{1,2}([./-])\d{1,2}\2(?:\d{4}|\d{2})|\d{4}([-.])\d{2}\3\d{2})(?!\d)))"
 
 
 def _reading(year: Column, month: Column, day: Column) -> Column:
@@ -83,32 +107,45 @@ def _day_number(day: Column) -> Column:
     return F.when(fits & ((ending == "") | ~day.startswith("0")), number)
 
 
+def _numeric(m: Column) -> Column:
+    """Readings of day, month and year, or year, month and day, with one sign between them. Padding
+    is paired: both day and month have two digits, or neither has a leading zero; a bare spelling
+    with a short year is one with points, or with slashes and the day first."""
+    sign = F.regexp_extract(m, r"[./-]", 0)
+
+    def read(parts: Column) -> Column:
+        a, b, year = (parts.getItem(i) for i in range(3))
+        padded = (F.length(a) == 2) & (F.length(b) == 2)
+        bare = ~a.startswith("0") & ~b.startswith("0")
+        whole = F.length(year) == 4
+        first = F.when(padded | (bare & (whole | (sign != "-"))), _reading(year, b, a))
+        second = F.when((sign == "/") & (padded | (bare & whole)), _reading(year, a, b))
+        return F.when(F.length(a) == 4, F.array(_reading(a, b, year))).otherwise(F.array(first, second))
+
+    return let(F.split(m, r"[./-]"), read)
+
+
+def _verbal(m: Column) -> Column:
+    """The reading of a spelling with a month's name, null where its word is none."""
+    out = None
+    for number, (pattern, day, month, year) in reversed(list(enumerate(_VERBAL))):
+        pattern = "^" + pattern
+        word = F.regexp_extract(m, pattern, month)
+        ends = [F.right(word, F.lit(n)) for n in range(max(map(len, _MONTHS)), 2, -1)] if number == 2 else [word]  # the longest name that a word ends in
+        name = F.coalesce(*(lookup(_MONTHS, end) for end in ends))
+        reading = _reading(F.regexp_extract(m, pattern, year), name, _day_number(F.regexp_extract(m, pattern, day)))
+        out = F.when(word != "", reading) if out is None else F.when(word != "", reading).otherwise(out)
+    return out
+
+
 def date_readings(folded: Column) -> Column:
     """Every date that a folded text can state, as structs (year, short, month, day). A short year
-    has two digits and no century; an ambiguous spelling has two readings. Padding is paired: both
-    day and month have two digits, or neither has a leading zero."""
-    found = [F.array().cast(_READING)]
-    for sign in (r"\.", "/", "-"):
-        pattern = rf"(?<!\d)(\d{{1,2}}){sign}(\d{{1,2}}){sign}(\d{{4}}|\d{{2}})(?!\d)"
-        group = _group(pattern)
-        for swapped in (False, True) if sign == "/" else (False,):
-
-            def read(m: Column) -> Column:
-                first, second, year = group(m, 1), group(m, 2), group(m, 3)  # noqa: B023
-                padded = (F.length(first) == 2) & (F.length(second) == 2)
-                bare = ~first.startswith("0") & ~second.startswith("0")
-                if sign == "-" or swapped:  # noqa: B023  such short years are written with padding only
-                    bare = bare & (F.length(year) == 4)
-                day, month = (second, first) if swapped else (first, second)  # noqa: B023
-                return F.when(padded | bare, _reading(year, month, day))
-
-            found.append(F.transform(F.regexp_extract_all(folded, F.lit(pattern), F.lit(0)), read))
-    for sign in ("-", r"\."):
-        pattern = rf"(?<!\d)(\d{{4}}){sign}(\d{{2}}){sign}(\d{{2}})(?!\d)"
-        group = _group(pattern)
-        found.append(F.transform(F.regexp_extract_all(folded, F.lit(pattern), F.lit(0)), lambda m: _reading(group(m, 1), group(m, 2), group(m, 3))))  # noqa: B023
-    months = _WIDE | _SHORT | {f"{m}.": i for m, i in _SHORT.items()}
-    for pattern, day, month, year in _VERBAL:
-        group = _group(pattern)
-        found.append(F.transform(F.regexp_extract_all(folded, F.lit(pattern), F.lit(0)), lambda m: _reading(group(m, year), lookup(months, group(m, month)), _day_number(group(m, day)))))  # noqa: B023
-    return F.filter(F.concat(*found), lambda r: r.isNotNull() & r["month"].between(1, 12) & r["day"].between(1, 31))
+    has two digits and no century; an ambiguous spelling has two readings."""
+
+    def read(text: Column) -> Column:
+        here = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+        numeric = F.flatten(F.transform(here(_NUMERIC_HERE), _numeric))
+        verbal = F.transform(here(_VERBAL_HERE), _verbal)
+        return F.filter(F.concat(numeric, verbal), lambda r: r.isNotNull() & r["month"].between(1, 12) & r["day"].between(1, 31))
+
+    return let(folded, read)

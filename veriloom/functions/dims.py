@@ -28,7 +28,14 @@ CURRENCY_WORDS = {
 CURRENCY_ALIASES = {"zł": "PLN", "zl": "PLN", "€": "EUR", "$": "USD", "£": "GBP", "euro": "EUR"}
 TYPE_ALIASES = {"invoice": "faktura", "contract": "umowa", "agreement": "umowa", "offer": "oferta", "report": "raport", "other": "inne"}
 DOCUMENT_TYPES = ("faktura", "umowa", "oferta", "raport", "inne")
-CURRENCIES = "PLN EUR USD GBP CHF CZK SEK NOK DKK HUF RON BGN UAH JPY CNY CAD AUD TRY".split()
+# The codes of ISO 4217, by letter.
+CURRENCIES = (
+    "AED AFN ALL AMD AOA ARS AUD AWG AZN BAM BBD BDT BGN BHD BIF BMD BND BOB BOV BRL BSD BTN BWP BYN BZD CAD CDF CHE CHF CHW CLF CLP CNY COP COU CRC CUP CVE CZK "
+    "DJF DKK DOP DZD EGP ERN ETB EUR FJD FKP GBP GEL GHS GIP GMD GNF GTQ GYD HKD HNL HTG HUF IDR ILS INR IQD IRR ISK JMD JOD JPY KES KGS KHR KMF KPW KRW KWD KYD KZT "
+    "LAK LBP LKR LRD LSL LYD MAD MDL MGA MKD MMK MNT MOP MRU MUR MVR MWK MXN MXV MYR MZN NAD NGN NIO NOK NPR NZD OMR PAB PEN PGK PHP PKR PLN PYG QAR RON RSD RUB RWF "
+    "SAR SBD SCR SDG SEK SGD SHP SLE SOS SRD SSP STN SVC SYP SZL THB TJS TMT TND TOP TRY TTD TWD TZS UAH UGX USD USN UYI UYU UYW UZS VED VES VND VUV WST "
+    "XAF XAG XAU XBA XBB XBC XBD XCD XCG XDR XOF XPD XPF XPT XSU XTS XUA XXX YER ZAR ZMW ZWG"
+).split()
 # Abbreviations whose point does not end a sentence.
 ABBREVIATIONS = (
     "ul nr np tj tzw m.in ok ust art pkt godz prof dr mgr inż św al pl os tel zob por wg poz tys mln mld dot ds sp zał lp im "
@@ -37,6 +44,7 @@ ABBREVIATIONS = (
 # Words of a name that do not tell companies apart.
 NAME_STOPWORDS = "spolka akcyjna ograniczona odpowiedzialnoscia komandytowa jawna ltd gmbh inc llc oraz and".split()
 
+# Word edges of ASCII words: Java's own take letters of every script into words.
 _EDGE, _END = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 # Phrases, in folded text, that address a language system; in this order.
 INSTRUCTION_PHRASES = (

@@ -5,7 +5,7 @@ from pyspark.sql import Column, functions as F
 from .dims import COMMA_LANGUAGES, CURRENCY_WORDS, LABELS, MONEY_MULTIPLIERS, MULTIPLIERS, POINT_LANGUAGES
 from .text import cents, lookup
 
-#: Number tokens by style.
+# Number tokens by style, and numbers that are grouped in one way only.
 COMMA = r"\d{1,3}(?:[ .]\d{3})+(?:,\d+)?|\d+,\d+|\d+\.\d{1,2}(?![\d.])|\d+"
 POINT = r"\d{1,3}(?:[, ]\d{3})+(?:\.\d+)?|\d+\.\d+|\d+"
 TOKEN = {"comma": COMMA, "point": POINT}
@@ -79,6 +79,7 @@ def grouped(rest: Column) -> Column:
     return F.concat(*(F.transform(F.regexp_extract_all(rest, F.lit(p), F.lit(0)), lambda raw: F.regexp_replace(raw, "[.,]", "").cast("long") * 100) for p in GROUPED))
 
 
+# A currency right after and right before a number.
 _CURRENCY = "|".join(x.replace("$", r"\$") for x in sorted(CURRENCY_WORDS, key=len, reverse=True))
 _AFTER = rf"(?iu)^\s*(?:(tys\.?|mln|mld|million|billion|thousand)\s*)?({_CURRENCY})(?!\p{{L}})"
 _BEFORE = rf"(?iu)(?:^|[^\p{{L}}])({_CURRENCY})[ \t]*$"

@@ -41,6 +41,11 @@ def search_form(text: Column) -> Column:
     return F.replace(F.lower(fold(text)), F.lit(" ,"), F.lit(","))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)``, with the value computed once however often the body names it."""
+    return F.transform(F.array(value), body).getItem(0)
+
+
 def strip(text: Column) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(text, r"^\s+|\s+$", "")
@@ -71,7 +76,10 @@ def cents(value: Column) -> Column:
 
 def rebuilt(text: Column, pattern: str, piece: Callable[[Column], Column]) -> Column:
     """``text`` with ``piece(match)`` for each match; what stands between matches is kept."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    joined = F.array_join(F.transform(F.arrays_zip(between.alias("gap"), found.alias("match")), lambda p: F.concat(p["gap"], F.coalesce(piece(p["match"]), F.lit("")))), "")
-    return F.when(F.size(found) > 0, joined).otherwise(text)
+
+    def join(found: Column) -> Column:
+        between = F.split(text, pattern, -1)
+        joined = F.array_join(F.transform(F.arrays_zip(between.alias("gap"), found.alias("match")), lambda p: F.concat(p["gap"], F.coalesce(piece(p["match"]), F.lit("")))), "")
+        return F.when(F.size(found) > 0, joined).otherwise(text)
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), join)

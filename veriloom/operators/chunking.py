@@ -1,11 +1,13 @@
 """Packing pages into chunks: an ordered fold with a capacity over each document's page lengths.
 
-Only lengths go through the fold; texts are joined back afterwards.
+A page above the capacity is cut into pieces first, at line breaks, and inside lines that are longer
+than the capacity themselves; each piece is a chunk alone. Only lengths are folded over.
 """
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.text import strip
+from .fold import fold
 
 
 def blocks(pages: DataFrame) -> DataFrame:
@@ -14,72 +16,86 @@ def blocks(pages: DataFrame) -> DataFrame:
     return pages.select("doc_id", F.col("page").cast("long").alias("page"), F.concat(F.format_string("[Page %d]", F.col("page").cast("int")), F.lit("\n"), body, F.lit("\n")).alias("block"))
 
 
-def _fold(df: DataFrame, order: list[str], start: str, step) -> DataFrame:
-    """``df`` with ``chunk_no`` by a fold over each document's rows; ``step(state, row)`` gives the
-    next state, whose chunk_no is the row's."""
-    rows = df.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*order))).alias("rows"))
+def split_long_pages(pages: DataFrame, max_chars: int, text: str = "text", blank_lines: bool = True) -> DataFrame:
+    """(doc_id, page, piece_no, piece) of the pages above the capacity: whole lines while they fit,
+    and lines above the capacity in cuts that stand alone. Without ``blank_lines`` runs of line
+    breaks count as one; empty pieces are left out."""
+    long = pages.where(F.length(text) > max_chars).select("doc_id", "page", F.posexplode(F.split(text, "\n" if blank_lines else "\n+", -1)).alias("line_no", "line"))
+    starts = F.sequence(F.lit(0), F.floor((F.greatest(F.length("line"), F.lit(1)) - 1) / max_chars).cast("int"))
+    cuts = F.transform(starts, lambda i: F.struct((F.length("line") > max_chars).alias("alone"), i.alias("cut_no"), F.substr("line", i * max_chars + 1, F.lit(max_chars)).alias("part")))
+    parts = long.select("doc_id", "page", "line_no", F.explode(cuts).alias("c")).select("doc_id", "page", "line_no", "c.*").withColumn("size", F.length("part"))
 
-    def keep(state: Column, row: Column) -> Column:
-        new = step(state["now"], row)
-        return F.struct(new.alias("now"), F.concat(state["out"], F.array(F.struct(*(row[c].alias(c) for c in order), new["chunk_no"].alias("chunk_no")))).alias("out"))
+    def step(state: tuple | None, row: tuple) -> tuple[tuple, int | None]:
+        (piece, used), (alone, size) = state or (0, 0), row
+        if alone:
+            piece += used > 0
+            return (piece + 1, 0), piece
+        if used and used + size + 1 > max_chars:
+            piece, used = piece + 1, 0
+        if not size and not used:
+            return (piece, 0), None
+        return (piece, used + (used > 0) + size), piece
 
-    kinds = {f.name: f.dataType.simpleString() for f in df.select(*order).schema}
-    out = f"array<struct<{','.join(f'{c}:{kinds[c]}' for c in order)},chunk_no:bigint>>"
-    folded = F.aggregate("rows", F.struct(F.expr(start).alias("now"), F.array().cast(out).alias("out")), keep, lambda s: s["out"])
-    return rows.select("doc_id", F.explode(folded).alias("r")).select("doc_id", "r.*")
+    numbered = fold(parts, ["doc_id", "page"], ["line_no", "cut_no"], ["alone", "size"], step, "piece_no", "int").where("piece_no is not null")
+    ordered = F.array_sort(F.collect_list(F.struct("line_no", "cut_no", "part")))
+    return numbered.groupBy("doc_id", "page", "piece_no").agg(F.array_join(F.transform(ordered, lambda p: p["part"]), "\n").alias("piece"))
 
 
-def chunk_pages(pages: DataFrame, max_chars: int) -> DataFrame:
-    """(doc_id, page, chunk_no) of ``pages``: pages are packed in order while their blocks fit; the
-    line break between two blocks is not counted. A block above the capacity is a chunk alone."""
-    sized = blocks(pages).select("doc_id", "page", F.length("block").cast("long").alias("size"))
-
-    def step(s: Column, row: Column) -> Column:
-        alone = row["size"] > max_chars
-        fresh = alone | s["closed"] | (s["used"] + row["size"] > max_chars)
-        number = F.when(fresh & s["any"], s["chunk_no"] + 1).otherwise(s["chunk_no"])
-        used = F.when(fresh, row["size"]).otherwise(s["used"] + row["size"] + F.when(s["used"] > 0, 1).otherwise(0))
-        return F.struct(number.alias("chunk_no"), used.cast("long").alias("used"), alone.alias("closed"), F.lit(True).alias("any"))
+def page_pieces(pages: DataFrame, max_chars: int) -> DataFrame:
+    """(doc_id, page, piece_no, piece, long) of the blocks of ``pages``: those that fit as they are."""
+    whole = blocks(pages)
+    long = split_long_pages(whole, max_chars, "block", blank_lines=False).withColumn("long", F.lit(True))
+    fits = whole.where(F.length("block") <= max_chars).select("doc_id", "page", F.lit(0).alias("piece_no"), F.col("block").alias("piece"), F.lit(False).alias("long"))
+    return fits.unionByName(long)
 
-    start = "named_struct('chunk_no', 0L, 'used', 0L, 'closed', false, 'any', false)"
-    return _fold(sized, ["page", "size"], start, step).select("doc_id", "page", "chunk_no")
 
+def chunk_pieces(pieces: DataFrame, max_chars: int) -> DataFrame:
+    """``pieces`` (doc_id, page, piece_no, piece, long) with ``chunk_no``: pages are packed in order
+    while they fit, the line break between two not counted; pieces of long pages stand alone."""
 
-def plan_translation_chunks(pages: DataFrame, images: DataFrame, max_chars: int = 12_000, max_images: int = 2) -> DataFrame:
-    """(doc_id, page, chunk_no, has_image): as chunk_pages with two capacities; blank pages without an
-    image are left out, and a page above the capacity stands alone."""
-    marked = images.select("doc_id", F.col("page").cast("long").alias("page")).distinct().withColumn("has_image", F.lit(True))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    sized = pages.select("doc_id", F.col("page").cast("long").alias("page"), F.length(text).cast("long").alias("size"), (F.length(strip(text)) == 0).alias("blank"))
-    sized = sized.join(marked, ["doc_id", "page"], "left").withColumn("has_image", F.coalesce("has_image", F.lit(False)))
-    sized = sized.where(~F.col("blank") | F.col("has_image")).drop("blank")
-
-    def step(s: Column, row: Column) -> Column:
-        alone = row["size"] > max_chars
-        image = row["has_image"].cast("long")
-        fresh = alone | s["closed"] | (s["used"] + row["size"] > max_chars) | ((image == 1) & (s["images"] >= max_images))
-        number = F.when(fresh & s["any"], s["chunk_no"] + 1).otherwise(s["chunk_no"])
-        sum_of = lambda before, now: F.when(fresh, now).otherwise(before + now)
-        return F.struct(number.alias("chunk_no"), sum_of(s["used"], row["size"]).alias("used"), sum_of(s["images"], image).alias("images"), alone.alias("closed"), F.lit(True).alias("any"))
+    def step(state: tuple | None, row: tuple) -> tuple[tuple, int]:
+        (number, used, closed), (size, long) = state or (-1, 0, True), row
+        if closed or long or used + size > max_chars:
+            return (number + 1, size, long), number + 1
+        return (number, used + 1 + size, False), number
 
-    start = "named_struct('chunk_no', 0L, 'used', 0L, 'images', 0L, 'closed', false, 'any', false)"
-    return _fold(sized, ["page", "size", "has_image"], start, step).select("doc_id", "page", "chunk_no", "has_image")
+    sized = pieces.select("doc_id", "page", "piece_no", "long", F.length("piece").alias("size"))
+    numbers = fold(sized, ["doc_id"], ["page", "piece_no"], ["size", "long"], step, "chunk_no", "long").drop("size", "long")
+    return pieces.join(numbers, ["doc_id", "page", "piece_no"])
 
 
-def split_long_pages(pages: DataFrame, max_chars: int) -> DataFrame:
-    """(doc_id, page, piece_no, piece) of pages above the capacity: cut at line breaks, and inside
-    lines that are longer. Empty pieces are left out."""
-    lines = F.split("text", "\n", -1)
-    cut = lambda line: F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.length(line), F.lit(1)) - 1) / max_chars).cast("int")), lambda i: F.substr(line, i * max_chars + 1, F.lit(max_chars)))
-    long = pages.where(F.length("text") > max_chars).select("doc_id", "page", F.flatten(F.transform(lines, cut)).alias("parts"))
+def chunk_pages(pages: DataFrame, max_chars: int) -> DataFrame:
+    """(doc_id, chunk_no, pages, text) of ``pages`` (doc_id, page, text): no text is above the
+    capacity but for the line breaks between its pages. A null text counts as empty."""
+    pieces = chunk_pieces(page_pieces(pages, max_chars), max_chars)
+    ordered = F.array_sort(F.collect_list(F.struct("page", "piece_no", "piece")))
+    rows = pieces.groupBy("doc_id", "chunk_no").agg(ordered.alias("rows"))
+    return rows.select("doc_id", "chunk_no", F.transform("rows", lambda r: r["page"]).alias("pages"), F.array_join(F.transform("rows", lambda r: r["piece"]), "\n").alias("text"))
 
-    def step(s: Column, part: Column) -> Column:
-        joined = F.when(F.length(s["buf"]) > 0, F.concat(s["buf"], F.lit("\n"), part)).otherwise(part)
-        full = F.length(s["buf"]) + F.length(part) + 1 > max_chars
-        return F.struct(F.when(full & (F.length(s["buf"]) > 0), F.concat(s["out"], F.array(s["buf"]))).otherwise(s["out"]).alias("out"), F.when(full, part).otherwise(joined).alias("buf"))
 
-    done = F.aggregate("parts", F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("buf")), step, lambda s: F.filter(F.concat(s["out"], F.array(s["buf"])), lambda x: x != ""))
-    return long.select("doc_id", "page", F.posexplode(done).alias("piece_no", "piece"))
+def plan_translation_chunks(pages: DataFrame, images: DataFrame, max_chars: int = 12_000, max_images: int = 2) -> DataFrame:
+    """(doc_id, page, part_no, chunk_no, has_image, text): as chunk_pages with two capacities. Blank
+    pages without an image are left out; the parts of a page in several stand alone, its image with
+    the first."""
+    marked = images.select("doc_id", F.col("page").cast("long").alias("page")).distinct().withColumn("has_image", F.lit(True))
+    sent = pages.select("doc_id", F.col("page").cast("long").alias("page"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    sent = sent.join(marked, ["doc_id", "page"], "left").withColumn("has_image", F.coalesce("has_image", F.lit(False))).where((strip(F.col("text")) != "") | F.col("has_image"))
+    n_parts = F.count("*").over(Window.partitionBy("doc_id", "page"))
+    parts = split_long_pages(sent, max_chars).withColumn("n", n_parts).where("n > 1").select("doc_id", "page", F.col("piece_no").alias("part_no"), "piece")
+    met = sent.join(parts, ["doc_id", "page"], "left")
+    parted = F.col("part_no").isNotNull()
+    image = F.col("has_image") & (F.coalesce("part_no", F.lit(0)) == 0)
+    rows = met.select("doc_id", "page", F.coalesce("part_no", F.lit(0)).alias("part_no"), F.when(parted, F.col("piece")).otherwise(F.col("text")).alias("text"), image.alias("has_image"), parted.alias("parted"))
+
+    def step(state: tuple | None, row: tuple) -> tuple[tuple, int]:
+        (number, used, shown, closed), (size, has_image, parted) = state or (-1, 0, 0, True), row
+        if closed or parted or used + size > max_chars or (has_image and shown >= max_images):
+            return (number + 1, size, int(has_image), parted), number + 1
+        return (number, used + size, shown + has_image, False), number
+
+    sized = rows.select("doc_id", "page", "part_no", "has_image", "parted", F.length("text").alias("size"))
+    numbers = fold(sized, ["doc_id"], ["page", "part_no"], ["size", "has_image", "parted"], step, "chunk_no", "long").select("doc_id", "page", "part_no", "chunk_no")
+    return rows.join(numbers, ["doc_id", "page", "part_no"]).select("doc_id", "page", "part_no", "chunk_no", "has_image", "text")
 
 
 def chunk_limits(chunks: DataFrame, max_chunks: int = 4, max_chars: int = 120_000) -> DataFrame:
@@ -90,18 +106,20 @@ def chunk_limits(chunks: DataFrame, max_chunks: int = 4, max_chars: int = 120_00
     return total.withColumn("reason", reason).where("reason is not null")
 
 
-def reassemble_pages(parts: DataFrame) -> DataFrame:
-    """(doc_id, page, text) of ``parts`` (doc_id, page, part_no, text), joined by line breaks."""
+def reassemble_pages(parts: DataFrame, images: DataFrame) -> DataFrame:
+    """(doc_id, page, text, scanned) of ``parts`` (doc_id, page, part_no, text), joined by line
+    breaks; ``scanned``: the page is one of ``images`` (doc_id, page), so its text is a reading."""
     ordered = F.array_sort(F.collect_list(F.struct("part_no", "text")))
-    return parts.groupBy("doc_id", "page").agg(F.array_join(F.transform(ordered, lambda p: p["text"]), "\n").alias("text"))
+    whole = parts.groupBy("doc_id", "page").agg(F.array_join(F.transform(ordered, lambda p: p["text"]), "\n").alias("text"))
+    scans = images.select("doc_id", "page").distinct().withColumn("scanned", F.lit(True))
+    return whole.join(scans, ["doc_id", "page"], "left").withColumn("scanned", F.coalesce("scanned", F.lit(False)))
 
 
-def inference_requests(pages: DataFrame, chunks: DataFrame, docs: DataFrame) -> DataFrame:
-    """A request per chunk for an external extractor: (doc_id, chunk_no, n_chunks, page_count, note,
-    text). ``docs`` (doc_id, page_count, unread: ranges or null); file names are left out."""
-    met = blocks(pages).join(chunks, ["doc_id", "page"])
-    ordered = F.array_sort(F.collect_list(F.struct("page", "block")))
-    text = met.groupBy("doc_id", "chunk_no").agg(F.array_join(F.transform(ordered, lambda b: b["block"]), "\n").alias("text"))
-    n = chunks.groupBy("doc_id").agg(F.countDistinct("chunk_no").alias("n_chunks"))
+def inference_requests(chunks: DataFrame, docs: DataFrame) -> DataFrame:
+    """A request per chunk for an external extractor: (doc_id, chunk_no, n_chunks, page_count, first,
+    last, note, text) of ``chunks`` (doc_id, chunk_no, pages, text). ``docs`` (doc_id, page_count,
+    unread: ranges or null); file names are left out."""
+    n = chunks.groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
     note = F.when(F.length(F.coalesce("unread", F.lit(""))) > 0, F.concat(F.lit("Pages not read: "), F.col("unread"))).otherwise("")
-    return text.join(n, "doc_id").join(docs, "doc_id").select("doc_id", "chunk_no", "n_chunks", "page_count", note.alias("note"), "text")
+    first, last = F.element_at("pages", 1).alias("first"), F.element_at("pages", -1).alias("last")
+    return chunks.join(n, "doc_id").join(docs, "doc_id").select("doc_id", "chunk_no", "n_chunks", "page_count", first, last, note.alias("note"), "text")

@@ -11,6 +11,7 @@ from ..functions.dates import date_readings, take_dates, to_date
 from ..functions.dims import ABBREVIATIONS, INSTRUCTION_PHRASES
 from ..functions.text import fold, search_form, strip
 
+# A number that a line break has split.
 _REJOIN = r"(\d)[ \t]*\n[ \t]*(\d{3}(?:[,.]\d+)?)(?!\d)"
 
 

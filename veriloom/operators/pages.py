@@ -1,8 +1,8 @@
 """Page-level jobs: cleaning, scans, coverage, lines and form fields. Pages are (doc_id, page, text)."""
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import clean, fold, search_form, strip, visible_length
+from ..functions.text import clean, fold, rebuilt, search_form, strip, visible_length
 
 #: A page with fewer visible characters is a scan; with an image, one with fewer than the second.
 FEW_CHARS, FEW_CHARS_WITH_IMAGE = 30, 400
@@ -36,9 +36,26 @@ def page_info(pages: DataFrame, images: DataFrame | None = None) -> DataFrame:
 
 
 def neutralize_markup(pages: DataFrame, text: str = "text") -> DataFrame:
-    """Tags of the document's own block get other brackets, so that data cannot close it."""
-    tag = r"(?i)<(/?\s*document[^<>]*)>"
-    return pages.withColumn(text, F.regexp_replace(text, tag, "‹$1›"))
+    """``pages`` whose texts have other brackets in place of each < and > of the tags of the
+    document's own block, so that data cannot close it, and ``changed``. A tag goes on to its first
+    >, whatever it holds."""
+    tag = r"(?i)</?\s*document[^>]*>"
+    told = rebuilt(F.col(text), tag, lambda m: F.translate(m, "<>", "‹›"))
+    return pages.withColumn("changed", F.coalesce(F.col(text).rlike(tag), F.lit(False))).withColumn(text, told)
+
+
+def translation_target(language: Column) -> Column:
+    """English, and Polish for English documents."""
+    return F.when(language == "en", "pl").otherwise("en")
+
+
+def content_language(docs: DataFrame, default: str) -> DataFrame:
+    """``docs`` (language, translated_to) with ``content_language`` (of the texts: a translation's, else
+    the document's), ``target`` (of a translation) and ``export_language``: that of the content where
+    reports are written in it, else ``default``."""
+    content = F.coalesce("translated_to", "language")
+    export = F.when(content.isin("pl", "en"), content).otherwise(F.lit(default))
+    return docs.withColumns({"content_language": content, "target": translation_target(F.col("language")), "export_language": export})
 
 
 def mark_scan_pages(pages: DataFrame, images: DataFrame) -> DataFrame:
@@ -74,14 +91,17 @@ def page_ranges(pages: DataFrame) -> DataFrame:
 
 
 def coverage(docs: DataFrame, skipped: DataFrame, failed: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, page_count) with ``unread`` (pages skipped or failed, joined by commas),
-    n_unread and the share of pages that were read. Blank pages are read."""
-    unread = skipped.select("doc_id", "page").unionByName(failed.select("doc_id", "page")).distinct()
-    listed = unread.groupBy("doc_id").agg(F.array_sort(F.collect_list("page")).alias("pages"))
-    met = docs.join(listed, "doc_id", "left").withColumn("n_unread", F.coalesce(F.size("pages"), F.lit(0)).cast("long"))
-    met = met.withColumn("n_unread", F.greatest("n_unread", F.lit(0)))
-    share = F.when(F.col("page_count") > 0, 1 - F.col("n_unread") / F.col("page_count"))
-    return met.withColumn("unread", F.coalesce(F.array_join("pages", ","), F.lit(""))).withColumn("share_read", share).drop("pages")
+    """``docs`` (doc_id, page_count) with ``unread`` (pages skipped or failed, joined by commas), n_unread,
+    ``notes`` (how many pages of each kind, "failed 1, skipped 2") and share_read, of all pages. Blank
+    pages are read; a page that was skipped and failed is one unread page with both notes."""
+    kinds = skipped.select("doc_id", "page", F.lit("skipped").alias("kind")).unionByName(failed.select("doc_id", "page", F.lit("failed").alias("kind"))).distinct()
+    listed = kinds.groupBy("doc_id").agg(F.array_sort(F.collect_set("page")).alias("pages"))
+    counted = kinds.groupBy("doc_id", "kind").count().groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "kind", F.col("count").cast("string")))), ", ").alias("notes"))
+    met = docs.join(listed, "doc_id", "left").join(counted, "doc_id", "left")
+    n = F.greatest(F.coalesce(F.size("pages"), F.lit(0)), F.lit(0)).cast("long")
+    share = F.when(F.col("page_count") > 0, 1 - n / F.col("page_count"))
+    unread = F.coalesce(F.array_join("pages", ","), F.lit(""))
+    return met.withColumns({"unread": unread, "n_unread": n, "notes": F.coalesce("notes", F.lit("")), "share_read": share}).drop("pages")
 
 
 def ocr_uncovered(scans: DataFrame, ocr: DataFrame) -> DataFrame:

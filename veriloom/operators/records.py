@@ -29,6 +29,7 @@ def parse_answers(answers: DataFrame) -> DataFrame:
     return out.withColumn("record", record).drop("__parsed")
 
 
+# A language tag, a timestamp and the numeric texts of one reading.
 def _language(value: Column) -> Column:
     tag = F.regexp_extract(strip(value), r"(?i)^([a-z]{2})(?:[-_][a-z0-9]+)*$", 1)
     return F.when(tag != "", F.lower(tag)).otherwise(strip(value))
@@ -85,29 +86,48 @@ def real_date(value: Column) -> Column:
     return value.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_date(value, "yyyy-MM-dd").isNotNull()
 
 
+def _listed(records: DataFrame, field: str, path: str) -> DataFrame:
+    """Blank or missing texts of a list of a record, each with its place."""
+    rows = records.select("doc_id", F.posexplode(f"record.{field}").alias("i", "x"))
+    return _violations(rows, [(F.format_string(f"{path}.%d", F.col("i")), "blank", strip(F.col("x")) != "")])
+
+
+#: What each profile asks for: whole records, a model's answer (no file, no pages), the part of a long
+#: document (also no number of sentences or least number of key points), the merge of parts (no lists).
+PROFILES = {"whole": {"file", "lists", "sentences"}, "answer": {"lists", "sentences"}, "part": {"lists"}, "merge": {"sentences"}}
+
+
 def validate_records(records: DataFrame, profile: str = "whole", checks: Sequence[Check] = ()) -> DataFrame:
-    """(doc_id, path, rule) of what breaks a rule in ``records`` (doc_id, record). The profile "part"
-    asks for no sentences and at most 7 key points; ``checks`` add rules of their own."""
+    """(doc_id, path, rule) of what breaks a rule in ``records`` (doc_id, record), by one of the
+    PROFILES; ``checks`` add rules of their own. A record that could not be parsed breaks "json"."""
+    asked = PROFILES[profile]
     d = lambda f: F.col(f"record.document.{f}")
     filled = lambda c: strip(c) != ""
     n = F.size("record.keyPoints")
     rules = [
         (F.lit("document.language"), "language", d("language").rlike("^[a-z]{2}$")),
         (F.lit("document.type"), "type", d("type").isin(*DOCUMENT_TYPES)),
+        (F.lit("document.title"), "blank", d("title").isNull() | filled(d("title"))),
         (F.lit("document.date"), "date", d("date").isNull() | real_date(d("date"))),
-        (F.lit("document.pages"), "pages", d("pages") >= 1),
         (F.lit("summary"), "blank", filled(F.col("record.summary"))),
         (F.lit("keyPoints"), "count", (n <= 7) if profile == "part" else n.between(3, 7)),
     ]
-    if profile == "whole":
+    if "file" in asked:
+        rules += [(F.lit("document.fileName"), "blank", filled(d("fileName"))), (F.lit("document.pages"), "pages", d("pages") >= 1)]
+    if "sentences" in asked:
         rules.append((F.lit("summary"), "sentences", sentence_count(F.col("record.summary")).between(3, 5)))
     out = _violations(records.where("record is not null"), rules)
     out = out.unionByName(records.where("record is null").select("doc_id", F.lit("").alias("path"), F.lit("json").alias("rule")))
-    amounts = records.select("doc_id", F.posexplode("record.amounts").alias("i", "a"))
-    at = lambda field: F.format_string(f"amounts.%d.{field}", F.col("i"))
-    out = out.unionByName(_violations(amounts, [(at("value"), "number", F.col("a.value").isNotNull()), (at("currency"), "currency", F.col("a.currency").isin(*CURRENCIES))]))
-    dates = records.select("doc_id", F.posexplode("record.dates").alias("i", "d"))
-    out = out.unionByName(_violations(dates, [(F.format_string("dates.%d.date", F.col("i")), "date", real_date(F.col("d.date")))]))
+    out = out.unionByName(_listed(records, "keyPoints", "keyPoints"))
+    if "lists" in asked:
+        amounts = records.select("doc_id", F.posexplode("record.amounts").alias("i", "a"))
+        at = lambda kind, field: F.format_string(f"{kind}.%d.{field}", F.col("i"))
+        worth = [(at("amounts", "value"), "number", F.col("a.value").isNotNull()), (at("amounts", "currency"), "currency", F.col("a.currency").isin(*CURRENCIES)), (at("amounts", "context"), "blank", filled(F.col("a.context")))]
+        dates = records.select("doc_id", F.posexplode("record.dates").alias("i", "d"))
+        days = [(at("dates", "date"), "date", real_date(F.col("d.date"))), (at("dates", "context"), "blank", filled(F.col("d.context")))]
+        out = out.unionByName(_violations(amounts, worth)).unionByName(_violations(dates, days))
+        for field, path in (("entities.organizations", "entities.organizations"), ("entities.people", "entities.people"), ("keywords", "keywords")):
+            out = out.unionByName(_listed(records, field, path))
     for check in checks:
         out = out.unionByName(check(records).select("doc_id", "path", "rule"))
     return out
@@ -123,12 +143,17 @@ def _report(rows: DataFrame, path: Column, rule: str) -> DataFrame:
     return rows.select("doc_id", path.cast("string").alias("path"), F.lit(rule).alias("rule"))
 
 
-def validate_requests(docs: DataFrame, pages: DataFrame, images: DataFrame, max_chars: int = 400_000, max_images: int = 4) -> DataFrame:
-    """(doc_id, path, rule) of requests: ``docs`` (doc_id, page_count), ``pages`` (doc_id, page, text),
-    ``images`` (doc_id, page, mime)."""
+def validate_requests(docs: DataFrame, pages: DataFrame, images: DataFrame, unread: DataFrame, max_chars: int = 400_000, max_images: int = 4, max_name: int = 255) -> DataFrame:
+    """(doc_id, path, rule) of requests: ``docs`` (doc_id, file_name, page_count), ``pages`` (doc_id,
+    page, text), ``images`` (doc_id, page, mime), ``unread`` (doc_id, page): pages that could not be
+    read."""
     counted = docs.select("doc_id", "page_count")
-    out = _report(counted.where("not page_count between 1 and 2000"), F.lit("pageCount"), "range")
-    out = out.unionByName(_report(pages.join(counted, "doc_id").where("page > page_count"), F.col("page"), "page out of range"))
+    name = F.length(strip(F.coalesce("file_name", F.lit(""))))
+    out = _report(docs.where(~name.between(1, max_name)), F.lit("fileName"), "length")
+    out = out.unionByName(_report(counted.where("page_count is null or not page_count between 1 and 2000"), F.lit("pageCount"), "range"))
+    out = out.unionByName(_report(counted.join(pages.select("doc_id").distinct(), "doc_id", "left_anti"), F.lit("pages"), "none"))
+    beyond = lambda df: df.join(counted, "doc_id").where("page > page_count or page < 1")
+    out = out.unionByName(_report(beyond(pages), F.col("page"), "page out of range")).unionByName(_report(beyond(unread), F.concat(F.lit("unread "), F.col("page").cast("string")), "page out of range"))
     twice = lambda df: df.groupBy("doc_id", "page").count().where("count > 1")
     out = out.unionByName(_report(twice(pages), F.col("page"), "page repeated")).unionByName(_report(twice(images), F.col("page"), "image repeated"))
     out = out.unionByName(_report(images.join(pages.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_anti"), F.col("page"), "image without page"))

@@ -27,21 +27,24 @@ def s1(spark, sf_dir):
 
 
 @query("s2_admit_files", """
-    select code, count(*) as n from (select case when page_id % 3 = 0 then 'NOT_PDF' when page_id % 5 = 0 then 'EMPTY' when page_id % 7 <> 0 then 'BAD_SIGNATURE' else 'OK' end as code from pages) t group by code""")
+    select code, count(*) as n from (select case when page_id % 3 = 0 and page_id % 4 <> 0 then 'NOT_PDF' when page_id % 5 = 0 then 'EMPTY' when page_id % 7 <> 0 then 'BAD_SIGNATURE' else 'OK' end as code from pages) t group by code""")
 def s2(spark, sf_dir):
-    name = F.concat(F.col("page_id").cast("string"), F.when(F.col("page_id") % 3 == 0, ".txt").otherwise(".PDF"))
-    body = F.when(F.col("page_id") % 5 == 0, "").when(F.col("page_id") % 7 == 0, F.concat(F.lit("%PDF-1.7"), F.col("html"))).otherwise(F.col("html"))
-    listed = table(spark, sf_dir, "pages").select(name.alias("path"), body.cast("binary").alias("content")).withColumn("length", F.length("content"))
+    i = F.col("page_id")
+    name, mime = F.concat(i.cast("string"), F.when(i % 3 == 0, ".txt").otherwise(".PDF")), F.when(i % 4 == 0, "application/pdf")
+    body = F.when(i % 5 == 0, "").when(i % 7 == 0, F.concat(F.lit("%PDF-1.7"), F.col("html"))).otherwise(F.col("html"))
+    listed = table(spark, sf_dir, "pages").select(name.alias("path"), mime.alias("mime"), body.cast("binary").alias("content")).withColumn("length", F.length("content"))
     return files.admit_files(listed).groupBy("code").agg(F.count("*").alias("n"))
 
 
 @query("p1_normalize_pages", """
-    select lang, count(*) as n, count(*) filter (where contains(text, 'fi') or contains(text, ' ') or length(text) > 3) as changed, count(*) as restored from documents group by lang""")
+    select lang, count(*) as n, count(*) filter (where contains(text, 'fi') or contains(text, ' ') or length(text) > 3) as changed, sum(len(text) - len(replace(text, 'fi', 'f')))::bigint as ligatures,
+        sum(length(text))::bigint as chars, bit_xor(hash_bits) as text_bits from (select lang, text, ('0x' || left(md5(text), 12))::bigint as hash_bits from documents) d group by lang""")
 def p1(spark, sf_dir):
-    text = F.regexp_replace(F.replace(F.replace("text", F.lit("fi"), F.lit("ﬁ")), F.lit(" "), F.lit(" ")), "^(...)(?=.)", "$1­")
-    docs = table(spark, sf_dir, "documents").select("lang", F.col("text").alias("original"), text.alias("text"))
-    done = P.normalize_pages(docs)
-    return done.groupBy("lang").agg(F.count("*").alias("n"), F.count_if("changed").alias("changed"), F.count_if(F.col("text") == F.col("original")).alias("restored"))
+    """Texts with ligatures, hard spaces and a soft hyphen in place of plain ones, cleaned again."""
+    text = F.regexp_replace(F.replace(F.replace("text", F.lit("fi"), F.lit("ﬁ")), F.lit(" "), F.lit("\u00a0")), "^(...)(?=.)", "$1\u00ad")
+    done = P.normalize_pages(table(spark, sf_dir, "documents").select("lang", text.alias("text"), F.regexp_count(text, F.lit("ﬁ")).alias("ligatures")))
+    bits = F.conv(F.left(F.md5(F.col("text").cast("binary")), F.lit(12)), 16, 10).cast("long")
+    return done.groupBy("lang").agg(F.count("*").alias("n"), F.count_if("changed").alias("changed"), F.sum("ligatures").alias("ligatures"), F.sum(F.length("text")).alias("chars"), F.bit_xor(bits).alias("text_bits"))
 
 
 @query("p2_fold_pages", "select doc_id, md5(replace(regexp_replace(lower(strip_accents(text)), '\\s+', ' ', 'g'), ' ,', ',')) as search_md5 from documents")
@@ -55,10 +58,11 @@ def p3(spark, sf_dir):
     return P.scan_candidates(info).select("doc_id", F.col("text_chars").cast("long").alias("text_chars"))
 
 
-@query("p4_neutralize_markup", "select page_id, md5('‹document id=\"1\"›' || html || '‹/Document›') as html_md5 from pages")
+@query("p4_neutralize_markup", """
+    select page_id, md5('‹document id=\"1\"›' || html || '‹/ Document a‹b› c> <doc> ‹DOCUMENT›') as html_md5, true as changed from pages""")
 def p4(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").withColumn("html", F.concat(F.lit('<document id="1">'), F.col("html"), F.lit("</Document>")))
-    return P.neutralize_markup(pages, "html").select("page_id", F.md5(F.col("html").cast("binary")).alias("html_md5"))
+    pages = table(spark, sf_dir, "pages").withColumn("html", F.concat(F.lit('<document id="1">'), F.col("html"), F.lit("</ Document a<b> c> <doc> <DOCUMENT>")))
+    return P.neutralize_markup(pages, "html").select("page_id", F.md5(F.col("html").cast("binary")).alias("html_md5"), "changed")
 
 
 @query("p5_mark_scan_pages", f"""
@@ -69,22 +73,13 @@ def p5(spark, sf_dir):
     return P.mark_scan_pages(pages, scans).select("doc_id", "page", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
-@query("p6_inference_requests", """
-    select conv_id as doc_id, count(*) as pages, sum(length('[Page ' || turn::varchar || ']') + length(trim(text)) + 2)::bigint as chars from conversations group by conv_id""")
-def p6(spark, sf_dir):
-    pages = _conversations(spark, sf_dir)
-    docs = pages.groupBy("doc_id").agg(F.count("*").alias("page_count")).withColumn("unread", F.lit(None).cast("string"))
-    requests = K.inference_requests(pages, K.chunk_pages(pages, 1500), docs)
-    joints = F.size(F.regexp_extract_all("text", F.lit(r"\n\n\[Page "), F.lit(0)))
-    return requests.groupBy("doc_id").agg(F.max("page_count").alias("pages"), F.sum(F.length("text") - joints).alias("chars"))
-
-
 @query("p7_content_language", """
-    select lang as language, case when lang = 'en' then 'pl' else 'en' end as target, count(*) as n from documents group by 1, 2""")
+    select coalesce(case when doc_id % 7 = 0 then case when lang = 'en' then 'pl' else 'en' end end, lang) as language, case when lang = 'en' then 'pl' else 'en' end as target,
+        case when doc_id % 7 = 0 then case when lang = 'en' then 'pl' else 'en' end when lang in ('pl', 'en') then lang else 'pl' end as export, count(*) as n from documents group by all""")
 def p7(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.lit(None).cast("string").alias("translated_to"), "lang")
-    language = F.coalesce("translated_to", "lang")
-    return docs.groupBy(language.alias("language"), F.when(language == "en", "pl").otherwise("en").alias("target")).agg(F.count("*").alias("n"))
+    docs = table(spark, sf_dir, "documents")
+    routed = P.content_language(docs.withColumnRenamed("lang", "language").withColumn("translated_to", F.when(F.col("doc_id") % 7 == 0, P.translation_target(F.col("language")))), "pl")
+    return routed.groupBy(F.col("content_language").alias("language"), "target", F.col("export_language").alias("export")).agg(F.count("*").alias("n"))
 
 
 @query("w1_select_scan_pages", """
@@ -112,12 +107,14 @@ def w3(spark, sf_dir):
 
 
 @query("w4_coverage", f"""
-    select p.doc_id, count(*) as page_count, coalesce(string_agg(p.page::varchar, ',' order by p.page) filter (where p.page % 11 = 3 or p.page % 13 = 5), '') as unread,
-        count(*) filter (where p.page % 11 = 3 or p.page % 13 = 5) as n_unread from ({rendered_sql("page")}) p group by p.doc_id""")
+    with p as (select doc_id, page, page % 11 = 3 as skipped, page % 13 in (3, 5) as failed from ({rendered_sql("page")}) x)
+    select doc_id, count(*) as page_count, coalesce(string_agg(page::varchar, ',' order by page) filter (where skipped or failed), '') as unread, count(*) filter (where skipped or failed) as n_unread,
+        concat_ws(', ', case when bool_or(failed) then 'failed ' || (count(*) filter (where failed))::varchar end, case when bool_or(skipped) then 'skipped ' || (count(*) filter (where skipped))::varchar end) as notes,
+        1 - count(*) filter (where skipped or failed) / count(*) as share_read from p group by doc_id""")
 def w4(spark, sf_dir):
     pages = rendered(spark, sf_dir, "page")
     docs = pages.groupBy("doc_id").agg(F.count("*").alias("page_count"))
-    return P.coverage(docs, rendered(spark, sf_dir, "scan"), pages.where("page % 13 = 5")).drop("share_read")
+    return P.coverage(docs, rendered(spark, sf_dir, "scan"), pages.where("page % 13 in (3, 5)"))
 
 
 @query("w5_ocr_coverage", _with("select doc_id from scans"))
@@ -151,55 +148,100 @@ def w8(spark, sf_dir):
     return P.blank_images(table(spark, sf_dir, "embeddings").select("vec_id", luma.alias("luma"))).select("vec_id", "n_ink", "blank")
 
 
-_CHUNKS = """
-    b as (select conv_id as doc_id, turn as page, length('[Page ' || turn::varchar || ']') + 2 + length(trim(text)) as size, row_number() over (partition by conv_id order by turn) as n from conversations),
-    f as (select doc_id, page, n, 0::bigint as chunk_no, size as used, size > {0} as closed from b where n = 1
-        union all select b.doc_id, b.page, b.n, case when b.size > {0} or f.closed or f.used + b.size > {0} then f.chunk_no + 1 else f.chunk_no end,
-            case when b.size > {0} or f.closed or f.used + b.size > {0} then b.size else f.used + b.size + 1 end, b.size > {0} from f join b on b.doc_id = f.doc_id and b.n = f.n + 1)"""
+def _pieces_sql(pages: str, width: int, breaks: str, name: str) -> str:
+    """CTEs whose last, ``name``, has (doc_id, page, piece_no, piece) of the ``pages`` (doc_id, page,
+    text) above the width."""
+    return f"""
+    {name}_parts as (
+        select doc_id, page, row_number() over (partition by doc_id, page order by line_no, cut) as n, length(line) > {width} as alone, substr(line, cut * {width} + 1, {width}) as part
+        from (select doc_id, page, unnest(string_split_regex(text, '{breaks}')) as line, generate_subscripts(string_split_regex(text, '{breaks}'), 1) as line_no from {pages} where length(text) > {width}) l,
+            lateral (select unnest(range(0, greatest(1, ceil(length(line) / {width}.0)::integer))) as cut) c
+    ), {name}_fold as (
+        select distinct doc_id, page, 0::bigint as n, 0 as piece, 0::bigint as used, null::integer as piece_no, '' as part from {name}_parts
+        union all select p.doc_id, p.page, p.n, case when alone then f.piece + (f.used > 0)::integer + 1 else f.piece + fresh::integer end,
+            case when alone then 0 when length(p.part) = 0 and held = 0 then 0 else held + (held > 0)::integer + length(p.part) end,
+            case when alone then f.piece + (f.used > 0)::integer when length(p.part) > 0 or held > 0 then f.piece + fresh::integer end, p.part
+        from {name}_fold f join {name}_parts p on p.doc_id = f.doc_id and p.page = f.page and p.n = f.n + 1,
+            lateral (select not alone and f.used > 0 and f.used + length(p.part) + 1 > {width} as fresh) x, lateral (select case when fresh then 0 else f.used end as held) y
+    ), {name} as (select doc_id, page, piece_no, string_agg(part, chr(10) order by n) as piece from {name}_fold where piece_no is not null group by doc_id, page, piece_no)"""
+
+
+def _chunks_sql(width: int) -> str:
+    """CTEs whose last, ``chunked``, has each piece of each conversation's turns with its chunk."""
+    return f"""
+    whole as (select conv_id as doc_id, turn as page, '[Page ' || turn::varchar || ']' || chr(10) || regexp_replace(text, '^\\s+|\\s+$', '', 'g') || chr(10) as text from conversations), {_pieces_sql("whole", width, chr(92) + "n+", "cut_up")},
+    pieces as (select doc_id, page, 0 as piece_no, text as piece, false as long from whole where length(text) <= {width} union all select *, true from cut_up),
+    b as (select *, length(piece) as size, row_number() over (partition by doc_id order by page, piece_no) as n from pieces),
+    f as (select doc_id, n, 0::bigint as chunk_no, size as used, long as closed from b where n = 1
+        union all select b.doc_id, b.n, f.chunk_no + fresh::bigint, case when fresh then b.size else f.used + b.size + 1 end, b.long
+        from f join b on b.doc_id = f.doc_id and b.n = f.n + 1, lateral (select b.long or f.closed or f.used + b.size > {width} as fresh) x),
+    chunked as (select b.*, f.chunk_no from b join f using (doc_id, n))"""
+
+
+@query("c1_chunk_pages", f"""
+    with recursive {_chunks_sql(300)} select doc_id, chunk_no, string_agg(page::varchar, ',' order by n) as pages, md5(string_agg(piece, chr(10) order by n)) as text_md5 from chunked group by doc_id, chunk_no""")
+def c1(spark, sf_dir):
+    chunks = K.chunk_pages(_conversations(spark, sf_dir), 300)
+    return chunks.select("doc_id", "chunk_no", F.array_join("pages", ",").alias("pages"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
-@query("c1_chunk_pages", f"with recursive {_CHUNKS.format(1500)} select doc_id, page, chunk_no from f")
-def c1(spark, sf_dir):
-    return K.chunk_pages(_conversations(spark, sf_dir), 1500)
+@query("p6_inference_requests", f"""
+    with recursive {_chunks_sql(300)}, c as (select doc_id, chunk_no, min(page) as first, max(page) as last, string_agg(piece, chr(10) order by n) as text from chunked group by doc_id, chunk_no)
+    select doc_id, chunk_no, count(*) over (partition by doc_id) as n_chunks, (select count(*) from conversations where conv_id = doc_id) as page_count, first, last,
+        case when doc_id % 4 = 0 then 'Pages not read: 90–91' else '' end as note, md5(text) as text_md5 from c""")
+def p6(spark, sf_dir):
+    pages = _conversations(spark, sf_dir)
+    docs = pages.groupBy("doc_id").agg(F.count("*").alias("page_count")).withColumn("unread", F.when(F.col("doc_id") % 4 == 0, "90–91"))
+    requests = K.inference_requests(K.chunk_pages(pages, 300), docs)
+    return requests.withColumn("text_md5", F.md5(F.col("text").cast("binary"))).drop("text")
 
 
-@query("c2_split_long_pages", """
-    select doc_id, sum(length(replace(text, chr(10), '')))::bigint as chars, md5(replace(text, chr(10), '')) as text_md5, true as fits from documents where length(text) > 2000 group by doc_id, text""")
+#: Documents with a blank line, and every eighth word on a line of its own, so that cuts have lines to keep to.
+_LINED = "select doc_id, 1 as page, regexp_replace(regexp_replace(text, '((?:\\S+ +){7}\\S+) +', '\\1' || chr(10), 'g'), 'e' || chr(10), 'e' || chr(10) || chr(10), 'g') as text from documents"
+
+
+@query("c2_split_long_pages", f"with recursive lined as ({_LINED}), {_pieces_sql('lined', 50, chr(92) + 'n', 'cut_up')} select doc_id, piece_no, md5(piece) as piece_md5 from cut_up")
 def c2(spark, sf_dir):
-    pieces = K.split_long_pages(table(spark, sf_dir, "documents").withColumn("page", F.lit(1)), 2000)
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", "piece"))), lambda p: p["piece"]), "")
-    joined = pieces.groupBy("doc_id").agg(F.replace(whole, F.lit("\n"), F.lit("")).alias("t"), (F.max(F.length("piece")) <= 2000).alias("fits"))
-    return joined.select("doc_id", F.length("t").cast("long").alias("chars"), F.md5(F.col("t").cast("binary")).alias("text_md5"), "fits")
+    lined = F.replace(F.regexp_replace("text", r"((?:\S+ +){7}\S+) +", "$1\n"), F.lit("e\n"), F.lit("e\n\n"))
+    pieces = K.split_long_pages(table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("page"), lined.alias("text")), 50)
+    return pieces.select("doc_id", "piece_no", F.md5(F.col("piece").cast("binary")).alias("piece_md5"))
+
 
+_PLAN = f"""
+    with recursive sent as (select conv_id as doc_id, turn as page, text, turn % 3 = 1 as has_image from conversations where regexp_matches(text, '\\S') or turn % 3 = 1), {_pieces_sql("sent", 400, chr(92) + "n", "cut_up")},
+    several as (select *, count(*) over (partition by doc_id, page) as n_parts from cut_up),
+    p as (select doc_id, page, coalesce(piece_no, 0) as part_no, has_image and coalesce(piece_no, 0) = 0 as has_image, coalesce(piece, text) as text, piece_no is not null as parted
+        from sent left join (select * from several where n_parts > 1) s using (doc_id, page)),
+    b as (select *, length(text) as size, row_number() over (partition by doc_id order by page, part_no) as n from p),
+    f as (select doc_id, n, 0::bigint as chunk_no, size as used, has_image::bigint as images, parted as closed from b where n = 1
+        union all select b.doc_id, b.n, f.chunk_no + fresh::bigint, case when fresh then b.size else f.used + b.size end, case when fresh then 0 else f.images end + b.has_image::bigint, b.parted
+        from f join b on b.doc_id = f.doc_id and b.n = f.n + 1, lateral (select b.parted or f.closed or f.used + b.size > 400 or (b.has_image and f.images >= 1) as fresh) x)
+    select doc_id, page, part_no, chunk_no, has_image, md5(text) as text_md5 from f join b using (doc_id, n)"""
 
-_PLAN = """
-    with recursive p as (select conv_id as doc_id, turn as page, length(text) as size, (turn % 3 = 1)::bigint as image from conversations where trim(text) <> '' or turn % 3 = 1),
-    b as (select *, row_number() over (partition by doc_id order by page) as n from p),
-    f as (select doc_id, page, n, image, 0::bigint as chunk_no, size as used, image as images, size > 2500 as closed from b where n = 1
-        union all select b.doc_id, b.page, b.n, b.image, f.chunk_no + fresh::bigint, case when fresh then b.size else f.used + b.size end, case when fresh then b.image else f.images + b.image end, b.size > 2500
-        from f join b on b.doc_id = f.doc_id and b.n = f.n + 1, lateral (select b.size > 2500 or f.closed or f.used + b.size > 2500 or (b.image = 1 and f.images >= 1) as fresh) x)
-    select doc_id, page, chunk_no, image = 1 as has_image from f"""
+
+def _planned(spark, sf_dir):
+    pages = _conversations(spark, sf_dir)
+    return K.plan_translation_chunks(pages, pages.where("page % 3 = 1"), 400, 1)
 
 
 @query("c3_plan_translation_chunks", _PLAN)
 def c3(spark, sf_dir):
-    pages = _conversations(spark, sf_dir)
-    return K.plan_translation_chunks(pages, pages.where("page % 3 = 1"), 2500, 1)
+    return _planned(spark, sf_dir).select("doc_id", "page", "part_no", "chunk_no", "has_image", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 @query("c4_chunk_limits", f"""
-    with recursive {_CHUNKS.format(500)}, t as (select doc_id, count(distinct chunk_no) as n_chunks, sum(size)::bigint as chars from f join b using (doc_id, page) group by doc_id)
-    select doc_id, n_chunks, chars, case when n_chunks > 4 then 'TOO_MANY_CHUNKS' else 'TOO_LONG' end as reason from t where n_chunks > 4 or chars > 3000""")
+    with recursive {_chunks_sql(500)}, t as (select doc_id, count(distinct chunk_no) as n_chunks, sum(size)::bigint as chars from chunked group by doc_id)
+    select doc_id, n_chunks, chars, case when n_chunks > 4 then 'TOO_MANY_CHUNKS' else 'TOO_LONG' end as reason from t where n_chunks > 4 or chars > 1500""")
 def c4(spark, sf_dir):
-    pages = _conversations(spark, sf_dir)
-    sizes = K.blocks(pages).select("doc_id", "page", F.length("block").cast("long").alias("chars"))
-    return K.chunk_limits(K.chunk_pages(pages, 500).join(sizes, ["doc_id", "page"]), 4, 3000)
+    pieces = K.chunk_pieces(K.page_pieces(_conversations(spark, sf_dir), 500), 500)
+    return K.chunk_limits(pieces.select("doc_id", "chunk_no", F.length("piece").cast("long").alias("chars")), 4, 1500)
 
 
-@query("c5_reassemble_pages", "select conv_id as doc_id, turn as page, md5(text) as text_md5 from conversations")
+@query("c5_reassemble_pages", "select conv_id as doc_id, turn as page, md5(text) as text_md5, turn % 3 = 1 as scanned from conversations")
 def c5(spark, sf_dir):
-    parts = _conversations(spark, sf_dir).select("doc_id", "page", F.posexplode(F.split("text", "\n", -1)).alias("part_no", "text"))
-    return K.reassemble_pages(parts).select("doc_id", "page", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    pages = _conversations(spark, sf_dir)
+    parts = pages.select("doc_id", "page", F.posexplode(F.split("text", "\n", -1)).alias("part_no", "text"))
+    return K.reassemble_pages(parts, pages.where("page % 3 = 1")).select("doc_id", "page", F.md5(F.col("text").cast("binary")).alias("text_md5"), "scanned")
 
 
 @query("a1_combine_warnings", _with("""
@@ -306,13 +348,16 @@ def l3(spark, sf_dir):
     return L.reuse_lookup(entries.where("id % 3 = 0"), entries.where("id % 3 <> 0"), 1).select("id", "reused_id")
 
 
-@query("l4_save_translation", "select doc_id as id, lang || '=' || md5(text) || case when doc_id % 3 = 0 then ';xx=new' else '' end as translations from documents")
+@query("l4_save_translation", """
+    select doc_id as id, nullif(concat_ws(';', case when doc_id % 4 <> 1 then lang || '=' || md5(text) end, case when doc_id % 3 = 0 then 'xx=new' end), '') as translations from documents""")
 def l4(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    ledger = docs.select(F.col("doc_id").alias("id"), F.create_map("lang", F.md5(F.col("text").cast("binary"))).alias("translations"))
-    out = L.save_translation(ledger, docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("id"), F.lit("xx").alias("lang"), F.lit("new").alias("record")))
-    entries = F.transform(F.array_sort(F.map_entries("translations")), lambda e: F.concat_ws("=", e["key"], e["value"]))
-    return out.select("id", F.array_join(entries, ";").alias("translations"))
+    """Saved under their language, then loaded: what stands under another language than its own goes."""
+    docs, i = table(spark, sf_dir, "documents"), F.col("doc_id")
+    record = lambda to, text: F.struct(to.alias("to"), text.alias("text"))
+    ledger = docs.select(i.alias("id"), F.create_map("lang", record(F.when(i % 4 == 1, "zz").otherwise(F.col("lang")), F.md5(F.col("text").cast("binary")))).alias("translations"))
+    saved = L.save_translation(ledger, docs.where("doc_id % 3 = 0").select(i.alias("id"), F.lit("xx").alias("lang"), record(F.lit("xx"), F.lit("new")).alias("record")))
+    entries = F.transform(F.array_sort(F.map_entries("translations")), lambda e: F.concat_ws("=", e["key"], e["value"]["text"]))
+    return L.load_translations(saved).select("id", F.array_join(entries, ";").alias("translations"))
 
 
 @query("l5_remove_entries", "select doc_id as id from documents where doc_id not in (select doc_id from labels)")

@@ -1,5 +1,7 @@
 """Queries of records, validation, translation, evaluation, reports, streams and hooks."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.text import cents
@@ -8,10 +10,11 @@ from ..operators.chunking import chunk_pages, inference_requests
 from ..operators.pages import page_ranges
 from ..sources import files
 from ..sources.rendered import rendered, rendered_sql
+from ..sources.shared import kept, shared_folder
 from ..sources.tables import table
 from ..streaming.limits import rate_limit
 from .registry import query
-from .verification import _with, evidence, pages as invoice_pages
+from .verification import _with, evidence, pages as invoice_pages, unverified
 from .verify import incremental_batch, verify
 
 _ANSWERS = """a as (select o_orderkey as k, o_orderkey % 31 <> 0 as parsed, case o_orderkey % 3 when 0 then 'de' when 1 then 'en' else 'Polish' end as language,
@@ -28,10 +31,17 @@ def s3(spark, sf_dir):
     return R.parse_answers(rendered(spark, sf_dir, "answer")).select("doc_id", F.col("record").isNotNull().alias("parsed"), F.col("record.document.type").alias("type"))
 
 
-@query("s5_write_records", "select o_orderkey as doc_id, 'f_' || o_orderkey::varchar || '.insight.en.json' as name from orders")
+@query("s5_write_records", f"""
+    with {_ANSWERS} select k as doc_id, 'f_' || k::varchar || '.insight' || case when k % 2 = 0 then '.en' else '' end || '.json' as name, type, points as n_points, case when not ambiguous then k::double end as value from a where parsed""")
 def s5(spark, sf_dir):
-    name = F.concat(F.lit("f  "), F.col("o_orderkey").cast("string"), F.lit(".PDF"))
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), files.record_name(name, "en").alias("name"))
+    """Records written as JSON to the shared folder, and read again."""
+    records = _records(spark, sf_dir).where("record is not null")
+    file = F.concat(F.lit("f  "), F.col("doc_id").cast("string"), F.lit(".PDF"))
+    name = F.when(F.col("doc_id") % 2 == 0, files.record_name(file, "en")).otherwise(files.record_name(file))
+    path = f"{shared_folder(spark)}/records-{uuid.uuid4().hex}"
+    files.write_records(records.select("doc_id", F.col("record.document.type").alias("type"), name.alias("name"), "record"), path)
+    back = spark.read.schema(f"doc_id long, name string, record {records.schema['record'].dataType.simpleString()}, type string").json(path)
+    return back.select("doc_id", "name", "type", F.size("record.keyPoints").alias("n_points"), F.col("record.amounts")[0]["value"].alias("value"))
 
 
 @query("p8_normalize_records", f"""
@@ -48,9 +58,33 @@ _VIOLATIONS = f"""{_ANSWERS}, v as (
     union all select k, 'amounts.0.currency', 'currency' from a where parsed and currency = 'XXZ')"""
 
 
-@query("v3_validate_records", f"with {_VIOLATIONS} select * from v")
+def _spoiled(spark, sf_dir):
+    """Records of which each part breaks a rule that the answers' own texts keep."""
+    r, k = F.col("record"), F.col("doc_id")
+    lists = F.struct(F.when(k % 13 == 3, F.array(F.lit("Acme"), F.lit(" "))).otherwise(F.array(F.lit("Acme"))).alias("organizations"), F.array(F.when(k % 13 != 4, F.lit("Ann"))).alias("people"))
+    amounts = F.transform("record.amounts", lambda a: F.struct(a["value"], F.when(k % 10 == 0, "INR").otherwise(a["currency"]).alias("currency"), F.when(k % 13 == 5, "").otherwise(a["context"]).alias("context")))
+    dates = F.array(F.struct(F.when(k % 13 == 6, "2026-02-30").otherwise("2026-02-28").alias("date"), F.when(k % 13 == 7, " ").otherwise("due").alias("context")))
+    new = r.withField("document.fileName", F.when(k % 13 != 1, F.col("record.document.fileName"))).withField("document.pages", F.when(k % 13 == 2, 0).otherwise(1)).withField("entities", lists)
+    new = new.withField("amounts", amounts).withField("dates", dates).withField("keywords", F.array(F.lit("k"), F.when(k % 13 == 8, "").otherwise("l"))).withField("keyPoints", F.when(k % 13 == 9, F.array(F.lit("a"), F.lit(" "), F.lit("c"))).otherwise(r["keyPoints"]))
+    new = new.withField("summary", F.when(k % 13 == 10, "One. Two.").when(k % 13 == 11, " ").otherwise(r["summary"]))
+    return _records(spark, sf_dir).withColumn("record", F.when(r.isNotNull(), new))
+
+
+@query("v3_validate_records", f"""
+    with {_VIOLATIONS}, profile as (select unnest(['whole', 'answer', 'part', 'merge']) as p), p as (select * from a where parsed), s as (
+        select 'whole answer part merge' as ps, * from v where rule in ('json', 'language') union all select 'whole answer merge', * from v where path = 'keyPoints' and doc_id % 13 <> 9
+        union all select 'whole answer part', * from v where path = 'amounts.0.value' union all select 'whole answer part', * from v where path = 'amounts.0.currency' and doc_id % 10 <> 0
+        union all select 'whole', k, 'document.fileName', 'blank' from p where k % 13 = 1 union all select 'whole', k, 'document.pages', 'pages' from p where k % 13 = 2
+        union all select 'whole answer part', k, 'entities.organizations.1', 'blank' from p where k % 13 = 3 union all select 'whole answer part', k, 'entities.people.0', 'blank' from p where k % 13 = 4
+        union all select 'whole answer part', k, 'amounts.0.context', 'blank' from p where k % 13 = 5 union all select 'whole answer part', k, 'dates.0.date', 'date' from p where k % 13 = 6
+        union all select 'whole answer part', k, 'dates.0.context', 'blank' from p where k % 13 = 7 union all select 'whole answer part', k, 'keywords.1', 'blank' from p where k % 13 = 8
+        union all select 'whole answer part merge', k, 'keyPoints.1', 'blank' from p where k % 13 = 9 union all select 'whole answer merge', k, 'summary', 'sentences' from p where k % 13 in (10, 11)
+        union all select 'whole answer part merge', k, 'summary', 'blank' from p where k % 13 = 11)
+    select p as profile, doc_id, path, rule from s, profile where contains(ps, p)""")
 def v3(spark, sf_dir):
-    return R.validate_records(_records(spark, sf_dir))
+    records = kept(_spoiled(spark, sf_dir))
+    found = [R.validate_records(records, profile).withColumn("profile", F.lit(profile)) for profile in R.PROFILES]
+    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
 
 
 @query("v4_quarantine", f"""
@@ -65,14 +99,21 @@ def v4(spark, sf_dir):
     union all select doc_id, page::varchar, 'image type' from pg where page % 11 = 3 and doc_id % 9 = 0
     union all select doc_id, '900', 'image without page' from pg where page % 11 = 3
     union all select doc_id, '900', 'image repeated' from pg where page % 11 = 3 group by doc_id having count(*) > 1
+    union all select doc_id, 'unread ' || (page + 10)::varchar, 'page out of range' from pg where page % 13 = 5 and page + 10 > (select least(count(*), 15) from pg q where q.doc_id = pg.doc_id)
+    union all select doc_id, 'fileName', 'length' from pg where doc_id % 8 in (1, 2) union all select c_custkey, 'pages', 'none' from customer where c_custkey not in (select doc_id from pg)
+    union all select c_custkey, 'pageCount', 'range' from customer where c_custkey not in (select doc_id from pg) union all select c_custkey, 'fileName', 'length' from customer where c_custkey not in (select doc_id from pg) and c_custkey % 8 in (1, 2)
     union all select doc_id, 'images', 'too many' from (select doc_id, 2 * count(*) as n from pg where page % 11 = 3 group by doc_id) t where n > 4) v"""))
 def v1(spark, sf_dir):
     pages = rendered(spark, sf_dir, "page")
-    docs = pages.groupBy("doc_id").count().select("doc_id", F.least(F.col("count"), F.lit(15)).alias("page_count"))
+    counts = pages.groupBy("doc_id").count().select("doc_id", F.least(F.col("count"), F.lit(15)).alias("page_count"))
+    i = F.col("doc_id")
+    name = F.when(i % 8 == 1, " ").when(i % 8 == 2, F.repeat(F.lit("n"), F.lit(256))).otherwise("f.pdf")
+    docs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id")).join(counts, "doc_id", "left").select("doc_id", F.coalesce("page_count", F.lit(0)).alias("page_count"), name.alias("file_name"))
     seeded = pages.unionByName(pages.where("o_orderkey % 101 = 0"))
     scans = rendered(spark, sf_dir, "scan").withColumn("mime", F.when(F.col("doc_id") % 9 == 0, "image/png").otherwise("image/jpeg"))
     images = scans.unionByName(scans.withColumn("page", F.lit(900)).withColumn("mime", F.lit("image/jpeg")))
-    return R.validate_requests(docs, seeded, images)
+    unread = pages.where("page % 13 = 5").select("doc_id", (F.col("page") + 10).alias("page"))
+    return R.validate_requests(docs, seeded, images, unread)
 
 
 @query("v2_validate_translation_requests", """
@@ -160,75 +201,157 @@ def _truth(spark, sf_dir):
     return amounts, dates
 
 
-def _checks(spark, sf_dir):
+def _documents(spark, sf_dir):
+    """What the customers' documents are, and what records say of them: of 17 one is wrong in each
+    field."""
+    orders, i = table(spark, sf_dir, "orders"), F.col("doc_id")
+    counted = orders.groupBy(F.col("o_custkey").alias("doc_id")).agg(F.count("*").alias("pages"), F.max(F.col("o_orderdate").cast("date")).alias("date"))
+    truth = counted.join(rendered(spark, sf_dir, "doc"), "doc_id").withColumns({"type": F.lit("faktura"), "title_contains": F.concat(F.lit("Customer "), i.cast("string"))})
+    wrong = lambda n, bad, good: F.when(i % 17 == n, bad).otherwise(good)
+    got = truth.select("doc_id", wrong(1, "raport", F.col("type")).alias("type"), wrong(2, "fr", F.col("language")).alias("language"), wrong(3, None, F.col("date")).alias("date"), wrong(4, F.col("pages") + 1, F.col("pages")).alias("pages"), wrong(5, None, F.concat(F.lit("All of "), F.col("title_contains"))).alias("title"), F.when(i % 4 == 0, i % 17 != 6).alias("numbers_verified"))
+    return truth, got
+
+
+def _names(spark, sf_dir):
+    """Known names of organisations and persons, and those of records, inflected and with legal forms."""
+    docs = rendered(spark, sf_dir, "doc").join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.col("c_name").alias("company")), "doc_id")
+    rows = lambda company, person: docs.select("doc_id", F.explode(F.array(F.struct(F.lit("organization").alias("kind"), company.alias("name")), F.struct(F.lit("person").alias("kind"), person.alias("name")))).alias("n")).select("doc_id", "n.*")
+    i = F.col("doc_id")
+    return rows(F.col("company"), F.lit("Zielińska")), rows(F.when(i % 17 == 8, "Other").otherwise(F.concat(F.upper("company"), F.lit(" sp. z o.o."))), F.when(i % 17 == 9, "Kowalska").otherwise("Anny ZIELIŃSKIEJ"))
+
+
+def _invented(spark, sf_dir):
     amounts, dates = _truth(spark, sf_dir)
-    return Q.fact_check(amounts, rendered(spark, sf_dir, "claim"), dates, rendered(spark, sf_dir, "claim_date"))
+    known, names = _names(spark, sf_dir)
+    return Q.invented_values(rendered(spark, sf_dir, "claim"), amounts, rendered(spark, sf_dir, "claim_date"), dates, names, known)
 
 
-_CHECKS = """
+def _gave_way(spark, sf_dir):
+    pages = rendered(spark, sf_dir, "page")
+    docs = rendered(spark, sf_dir, "doc").select("doc_id")
+    patterns = docs.select("doc_id", F.explode(F.array(F.lit("(?i)reserve of"), F.lit("(?i)ignore all"))).alias("pattern"))
+    forbidden = docs.select("doc_id", F.lit(100).cast("long").alias("cents"), F.lit("USD").alias("currency"))
+    placed = pages.where("o_orderkey % 97 = 0").select("doc_id", "page")
+    warnings = placed.where("page % 2 = 0").select("doc_id", F.concat(F.lit("Instruction on Page "), F.col("page").cast("string"), F.lit(".")).alias("text"))
+    return Q.injection_resistance(rendered(spark, sf_dir, "summary"), patterns, rendered(spark, sf_dir, "claim"), forbidden, warnings, placed)
+
+
+def _checks(spark, sf_dir):
+    amounts, dates = _truth(spark, sf_dir)
+    truth, got = _documents(spark, sf_dir)
+    required, names = _names(spark, sf_dir)
+    docs = truth.select("doc_id")
+    grounded = C.ground_amounts(rendered(spark, sf_dir, "claim"), evidence(spark, sf_dir), unverified(spark, sf_dir))
+    none = rendered(spark, sf_dir, "claim_date").where("false").select("doc_id", "date", F.lit(True).alias("found_in_text"))
+    mentions = docs.select("doc_id", F.explode(F.array(F.struct(F.lit("total").alias("what"), F.array(F.lit("highest total")).alias("any_of")), F.struct(F.lit("reserve").alias("what"), F.array(F.lit("no such words"), F.lit("reserve of")).alias("any_of")))).alias("m")).select("doc_id", "m.*")
+    instructed = rendered(spark, sf_dir, "page").where("o_orderkey % 97 = 0").select("doc_id").distinct()
+    return Q.report(
+        Q.schema_check(docs, docs.where("doc_id % 17 = 7").select("doc_id", F.lit("summary").alias("path"), F.lit("blank").alias("rule"))),
+        Q.document_checks(truth, got),
+        Q.fact_check(amounts, rendered(spark, sf_dir, "claim"), dates, rendered(spark, sf_dir, "claim_date")),
+        Q.name_checks(required, names),
+        Q.mention_checks(mentions, rendered(spark, sf_dir, "summary")),
+        Q.none_invented(docs, _invented(spark, sf_dir)),
+        Q.injection_checks(instructed, _gave_way(spark, sf_dir)),
+        Q.confirmed_check(docs, grounded, none),
+    )
+
+
+_INVENTED = """
+    , invented as (
+        select distinct doc_id, 'amount' as kind, cents::varchar || ' ' || currency as value from claim where (doc_id, cents, currency) not in (select (doc_id, cents, 'EUR') from pg)
+        union select distinct doc_id, 'date', strftime(date, '%Y-%m-%d') from claim_date where (doc_id, date) not in (select (doc_id, d) from pg)
+        union select doc_id, 'organization', 'Other' from pg where doc_id % 17 = 8 union select doc_id, 'person', 'Kowalska' from pg where doc_id % 17 = 9)
+    , gave_way as (
+        select distinct doc_id, 'text' as kind, '(?i)reserve of' as value from top where doc_id % 20 = 1 union select doc_id, 'amount', '100 USD' from inj
+        union select doc_id, 'warning', 'page ' || page::varchar from pg where injected and page % 2 = 1)
+"""
+_CHECKS = _INVENTED + """
+    , docs as (select doc_id, count(*) as pages, max(d) as date, doc_id % 17 as m from pg group by doc_id), langs as (select docs.*, l.language from docs join ({doc}) l using (doc_id))
     , checks as (select doc_id, 'amount ' || (cents // 100)::varchar || '.' || lpad((cents % 100)::varchar, 2, '0') || ' EUR' as check_id, case when k % 2 = 0 then 'must' else 'should' end as level,
         (doc_id, cents, 'EUR') in (select (doc_id, cents, currency) from claim) as ok,
         case when (doc_id, cents, 'EUR') not in (select (doc_id, cents, currency) from claim) and (doc_id, cents) in (select (doc_id, cents) from claim) then 'PLN' else '' end as detail from pg
-      union all select distinct doc_id, 'date ' || strftime(d, '%Y-%m-%d'), 'should', (doc_id, d) in (select (doc_id, date) from claim_date), '' from pg)
-"""
+      union all select distinct doc_id, 'date ' || strftime(d, '%Y-%m-%d'), 'should', (doc_id, d) in (select (doc_id, date) from claim_date), '' from pg
+      union all select doc_id, 'type', 'must', m <> 1, case when m = 1 then 'raport' else '' end from docs union all select doc_id, 'language', 'must', m <> 2, case when m = 2 then 'fr' else '' end from langs
+      union all select doc_id, 'date', 'must', m <> 3, '' from docs union all select doc_id, 'pages', 'must', m <> 4, case when m = 4 then (pages + 1)::varchar else '' end from docs
+      union all select doc_id, 'title', 'should', m <> 5, case when m <> 5 then 'All of Customer ' || doc_id::varchar else '' end from docs
+      union all select doc_id, 'translation numbers', 'must', m <> 6, '' from docs where doc_id % 4 = 0
+      union all select doc_id, 'organization ' || c_name, 'must', m <> 8, '' from docs join customer on c_custkey = doc_id union all select doc_id, 'person Zielińska', 'must', m <> 9, '' from docs
+      union all select doc_id, 'mention total', 'should', true, '' from docs union all select doc_id, 'mention reserve', 'should', doc_id % 20 = 1, '' from docs
+      union all select docs.doc_id, 'no invented ' || t.kind, case when t.kind = 'organization' then 'should' else 'must' end, count(value) = 0, coalesce(string_agg(value, '; ' order by value), '')
+        from docs cross join (select unnest(['amount', 'date', 'organization', 'person']) as kind) t left join invented i on i.doc_id = docs.doc_id and i.kind = t.kind group by docs.doc_id, t.kind
+      union all select inj.doc_id, 'instruction ' || t.kind, 'must', count(value) = 0, '' from inj cross join (select unnest(['text', 'amount', 'warning']) as kind) t left join gave_way g on g.doc_id = inj.doc_id and g.kind = t.kind group by inj.doc_id, t.kind
+      union all select docs.doc_id, 'values confirmed', 'should', count(item) = 0, coalesce(string_agg(item, '; ' order by item), '') from docs left join (select distinct doc_id, cents::varchar || ' ' || currency as item from grounded where not found_in_text) g using (doc_id) group by docs.doc_id)
+    , told as (select * from checks where doc_id % 17 <> 7 union all select doc_id, 'schema', 'must', m <> 7, case when m = 7 then 'summary:blank' else '' end from docs)
+""".replace("{doc}", rendered_sql("doc"))
 
 
 def _with_checks(sql: str) -> str:
     return _with("").rstrip() + _CHECKS + sql
 
 
-@query("q1_fact_check", _with_checks("select * from checks"))
+@query("q1_fact_check", _with_checks("select * from told"))
 def q1(spark, sf_dir):
     return _checks(spark, sf_dir)
 
 
-@query("q2_invented_values", _with("""
-    select distinct doc_id, 'amount' as kind, cents::varchar || ' ' || currency as value from claim where (doc_id, cents, currency) not in (select (doc_id, cents, 'EUR') from pg)
-    union all select distinct doc_id, 'date', strftime(date, '%Y-%m-%d') from claim_date where (doc_id, date) not in (select (doc_id, d) from pg)"""))
+@query("q2_invented_values", _with("").rstrip() + _INVENTED + "select * from invented")
 def q2(spark, sf_dir):
-    amounts, dates = _truth(spark, sf_dir)
-    return Q.invented_values(rendered(spark, sf_dir, "claim"), amounts, rendered(spark, sf_dir, "claim_date"), dates)
+    return _invented(spark, sf_dir)
 
 
-@query("q3_injection_resistance", _with("""
-    select doc_id, 'text' as kind, '(?i)reserve of' as value from top where doc_id % 20 = 1 union all select doc_id, 'amount', '100 USD' from inj"""))
+@query("q3_injection_resistance", _with("").rstrip() + _INVENTED + "select * from gave_way")
 def q3(spark, sf_dir):
-    patterns = spark.createDataFrame([("(?i)reserve of",), ("(?i)ignore all",)], "pattern string")
-    forbidden = rendered(spark, sf_dir, "doc").select("doc_id", F.lit(100).cast("long").alias("cents"), F.lit("USD").alias("currency"))
-    return Q.injection_resistance(rendered(spark, sf_dir, "summary"), patterns, rendered(spark, sf_dir, "claim"), forbidden)
+    return _gave_way(spark, sf_dir)
 
 
 @query("q4_report_summary", _with_checks("""
     select doc_id, count(*) filter (where level = 'must' and ok) as must_ok, count(*) filter (where level = 'must') as must_total, count(*) filter (where level = 'should' and ok) as should_ok,
-        count(*) filter (where level = 'should') as should_total, coalesce(bool_and(ok) filter (where level = 'must'), true) as passed from checks group by doc_id"""))
+        count(*) filter (where level = 'should') as should_total, coalesce(bool_and(ok) filter (where level = 'must'), true) as passed from told group by doc_id"""))
 def q4(spark, sf_dir):
     return Q.report_summary(_checks(spark, sf_dir))
 
 
-def _scores(spark, sf_dir):
+def _scores(spark, sf_dir, amounts, dates):
+    """Invoices of ``amounts`` and ``dates`` (with their flags) against the orders."""
     page = rendered(spark, sf_dir, "page")
-    orders = table(spark, sf_dir, "orders")
+    orders, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
     key = lambda c: F.col(c).cast("string").alias("name")
-    truth = orders.select(F.col("o_custkey").alias("doc_id"), key("o_orderkey"), F.when(F.col("o_orderkey") % 17 != 0, cents(F.col("o_totalprice"))).alias("cents"), F.lit("EUR").alias("currency"), F.col("o_orderdate").cast("date").alias("date"), F.concat(F.col("o_orderkey").cast("string"), F.lit("-A")).alias("invoice_number"), F.when(F.col("o_orderkey") % 3 == 0, "Zébra Invoice").otherwise("Invoice").alias("issuer"))
-    amounts = rendered(spark, sf_dir, "claim").select("doc_id", key("idx"), "value", "currency")
-    dates = rendered(spark, sf_dir, "claim_date").select("doc_id", key("idx"), "date")
-    return Q.score_invoices(truth, amounts, dates, page.select("doc_id", key("o_orderkey"), "text"))
-
-
-_SCORES = """s as (select o_custkey as doc_id, o_orderkey::varchar as name, case when o_orderkey % 17 <> 0 then true end as amount_ok, case when o_orderkey % 17 <> 0 then o_orderkey % 20 <> 1 end as currency_ok,
-    o_orderkey % 20 <> 0 as date_ok, true as number_ok, o_orderkey % 3 <> 0 as issuer_ok from orders)"""
+    gross = cents(F.col("o_totalprice"))
+    truth = orders.select(F.col("o_custkey").alias("doc_id"), key("o_orderkey"), F.when(k % 17 != 0, gross).alias("cents"), F.when(k % 3 == 0, gross).when(k % 3 == 1, F.lit(100000001).cast("long")).alias("net_cents"), F.lit("EUR").alias("currency"), F.col("o_orderdate").cast("date").alias("date"), F.concat(k.cast("string"), F.lit("-A")).alias("invoice_number"), F.when(k % 3 == 0, "Zébra Invoice").otherwise("Invoice").alias("issuer"))
+    records = orders.select(F.col("o_custkey").alias("doc_id"), key("o_orderkey"), F.when(k % 13 == 0, "raport").otherwise("faktura").alias("type"), F.when(k % 40 == 0, F.col("o_orderdate").cast("date")).alias("date"), (k % 1009).cast("double").alias("ms"))
+    netted = orders.where("o_orderkey % 6 = 1").select(F.col("o_custkey").alias("doc_id"), key("o_orderkey"), F.lit(1000000.02).alias("value"), F.lit("EUR").alias("currency"), F.lit(True).alias("found_in_text"), F.lit(None).cast("string").alias("issue"))
+    amounts = amounts.select("doc_id", key("idx"), "value", "currency", "found_in_text", "issue").unionByName(netted)
+    return Q.score_invoices(truth, records, amounts, dates.select("doc_id", key("idx"), "date", "found_in_text"), page.select("doc_id", key("o_orderkey"), "text"))
+
+
+_SCORES = """
+    , s as (select o_custkey as doc_id, o_orderkey::varchar as name, o_orderkey % 13 <> 0 as type_ok, case when o_orderkey % 17 <> 0 then true end as amount_ok, case when o_orderkey % 17 <> 0 then o_orderkey % 20 <> 1 end as currency_ok,
+        case when o_orderkey % 3 = 1 or (o_orderkey % 3 = 0 and o_orderkey % 17 = 0) then o_orderkey % 3 = 0 or o_orderkey % 6 = 1 end as net_ok, o_orderkey % 20 <> 0 or o_orderkey % 40 = 0 as date_ok, true as number_ok, o_orderkey % 3 <> 0 as issuer_ok,
+        ({flags})::bigint as flagged, (o_orderkey % 1009)::double as ms from orders)"""
+_STORED = _with("").rstrip() + _SCORES.format(flags="(o_orderkey % 7 = 0)::integer + (o_orderkey % 9 = 0)::integer + (o_orderkey % 5 = 0)::integer - (o_orderkey % 35 = 0)::integer")
+_AGAIN = _with("").rstrip() + ", wrong as (select doc_id, idx from grounded where not coalesce(found_in_text, true) or issue = 'labelMismatch' union all select doc_id, idx from judged_date where verdict <> 'ok' and doc_id not in (select doc_id from scans))" + _SCORES.format(flags="select count(*) from wrong w where w.doc_id = o_custkey and w.idx = o_orderkey")
+_TOTALS = """
+    , u as (select unnest(['type', 'amount', 'currency', 'net', 'date', 'number', 'issuer']) as "check", unnest([type_ok, amount_ok, currency_ok, net_ok, date_ok, number_ok, issuer_ok]) as ok from s)
+    , t as (select coalesce("check", 'all') as "check", count(*) filter (where ok) as ok, count(ok) as scored, floor(count(*) filter (where ok) * 100.0 / count(ok) + 0.5)::bigint as percent from u group by rollup ("check"))
+    select t.*, case when "check" = 'all' then (select sum(flagged)::bigint from s) end as flagged, case when "check" = 'all' then (select list_sort(list(ms))[len(list(ms)) // 2 + 1] from s) end as median_ms, case when "check" = 'all' then (select max(ms) from s) end as worst_ms from t"""
+
+
+def _stored(spark, sf_dir):
+    """Records with the flags that an earlier run left."""
+    i = F.col("idx")
+    amounts = rendered(spark, sf_dir, "claim").withColumn("found_in_text", F.when(i % 7 == 0, False).when(i % 5 == 0, True)).withColumn("issue", F.when(i % 5 == 0, "labelMismatch"))
+    return amounts, rendered(spark, sf_dir, "claim_date").withColumn("found_in_text", F.when(i % 9 == 0, False))
 
 
-@query("q5_score_invoices", f"with {_SCORES} select * from s")
+@query("q5_score_invoices", f"{_STORED} select * from s")
 def q5(spark, sf_dir):
-    return _scores(spark, sf_dir)
+    return _scores(spark, sf_dir, *_stored(spark, sf_dir))
 
 
-@query("q6_score_report", f"""
-    with {_SCORES}, u as (select 'amount' as "check", amount_ok as ok from s union all select 'currency', currency_ok from s union all select 'date', date_ok from s union all select 'number', number_ok from s union all select 'issuer', issuer_ok from s)
-    select coalesce("check", 'all') as "check", count(*) filter (where ok) as ok, count(ok) as scored, floor(count(*) filter (where ok) * 100.0 / count(ok) + 0.5)::bigint as percent from u group by rollup ("check")""")
+@query("q6_score_report", f"{_STORED}{_TOTALS}")
 def q6(spark, sf_dir):
-    return Q.score_report(_scores(spark, sf_dir))
+    return Q.score_report(_scores(spark, sf_dir, *_stored(spark, sf_dir)))
 
 
 @query("q7_timing_report", """
@@ -239,14 +362,12 @@ def q7(spark, sf_dir):
     return Q.timing_report(timings, 100.0)
 
 
-@query("q8_rescore", _with("select issue, count(*) as n from grounded where issue is not null group by issue"))
+@query("q8_rescore", f"{_AGAIN}{_TOTALS}")
 def q8(spark, sf_dir):
-    """Stored records, whose flags are from another run, judged by the current rules."""
-    stored = rendered(spark, sf_dir, "claim").withColumn("found_in_text", F.lit(True)).withColumn("issue", F.lit("old"))
-    from .verification import unverified
-
-    again = C.ground_amounts(stored, evidence(spark, sf_dir), unverified(spark, sf_dir))
-    return again.where("issue is not null").groupBy("issue").agg(F.count("*").alias("n"))
+    """Stored records judged anew by the current rules, and the score report without new extraction."""
+    amounts, dates = _stored(spark, sf_dir)
+    ev, unread = evidence(spark, sf_dir), unverified(spark, sf_dir)
+    return Q.score_report(_scores(spark, sf_dir, C.ground_amounts(amounts, ev, unread), C.ground_dates(dates, ev, unread)))
 
 
 @query("q9_control_precision", _with("""
@@ -282,38 +403,57 @@ def j8(spark, sf_dir):
     return out.select("doc_id", F.size("amounts").cast("long").alias("n_amounts"), flagged.alias("n_flagged"), warned("instruction").alias("instructed"), warned("notInText").alias("unsupported"))
 
 
-@query("x2_summary_report")
-def x2(spark, sf_dir):
-    docs = rendered(spark, sf_dir, "summary").where("text_no = 0").select("doc_id", F.col("text").alias("summary"))
-    lists = _verified(spark, sf_dir).join(docs, "doc_id")
-    amounts = F.transform("amounts", lambda a: F.struct((a["cents"] / 100).alias("value"), a["currency"], a["context"], a["found_in_text"], a["issue"]))
-    dates = F.transform("dates", lambda d: F.struct(d["date"], F.lit("Date of issue").alias("context")))
-    shaped = lists.select("doc_id", F.concat(F.lit("Customer "), F.col("doc_id").cast("string")).alias("title"), "summary", F.array("summary").alias("key_points"), amounts.alias("amounts"), dates.alias("dates"), F.coalesce("warnings", F.array().cast("array<string>")).alias("warnings"))
-    return X.summary_report(shaped)
+_REPORT = """
+    , amount_lines as (select doc_id, count(*) as n, string_agg('| ' || currency || ' ' || format('{:,.2f}', cents / 100.0) || ' | ' || (select c.context from claim c where c.doc_id = g.doc_id and c.idx = g.idx)
+            || case when not coalesce(found_in_text, true) or coalesce(issue = 'labelMismatch', false) then ' (' || case issue when 'currencyMismatch' then 'other currency in the document' when 'fromInstruction' then 'only in a suspicious instruction'
+                when 'labelMismatch' then 'other label in the document' else 'not found in the text' end || ')' else '' end || ' |', chr(10) order by idx) as lines from grounded g group by doc_id)
+    , date_lines as (select doc_id, count(*) as n, string_agg('- ' || strftime(date, '%-d %B %Y') || ': Date of issue' || case when verdict <> 'ok' and doc_id not in (select doc_id from scans) then ' (not found in the text)' else '' end, chr(10) order by idx) as lines from judged_date group by doc_id)
+    select doc_id, '# Summary: Customer ' || doc_id::varchar || ' \\*' || chr(10) || chr(10) || '- File: f' || doc_id::varchar || '.pdf' || chr(10) || '- Type: ' || case when doc_id % 2 = 0 then 'invoice' else 'other' end || chr(10) || '- Date: not given' || chr(10) || '- Language: ' || d.language || chr(10) || '- Pages: 1'
+        || case when doc_id % 3 = 0 then chr(10) || chr(10) || '> Machine translation from de' else '' end || chr(10) || chr(10) || '## Summary' || chr(10) || chr(10) || 'One \\| two' || chr(10) || chr(10) || '## Key points' || chr(10) || chr(10) || '- 1\\. first' || chr(10) || '- \\- second'
+        || chr(10) || chr(10) || '## Amounts (' || a.n::varchar || ')' || chr(10) || chr(10) || '| Amount | Concerns |' || chr(10) || '| ---: | --- |' || chr(10) || a.lines || chr(10) || chr(10) || '## Dates (' || t.n::varchar || ')' || chr(10) || chr(10) || t.lines
+        || chr(10) || chr(10) || '## Organizations' || chr(10) || chr(10) || 'None.' || chr(10) || chr(10) || '## People' || chr(10) || chr(10) || '- Ann' || chr(10) || chr(10) || '## Keywords' || chr(10) || chr(10) || 'None.'
+        || case when doc_id in (select doc_id from inj) then chr(10) || chr(10) || '## Warnings' || chr(10) || chr(10) || '- an instruction' else '' end || chr(10) as report
+    from ({doc}) d join amount_lines a using (doc_id) join date_lines t using (doc_id)"""
 
 
-@query("x3_translated_document")
+@query("x2_summary_report", _with("").rstrip() + _REPORT.replace("{doc}", rendered_sql("doc")))
+def x2(spark, sf_dir):
+    ev, unread, i = evidence(spark, sf_dir), unverified(spark, sf_dir), F.col("doc_id")
+    amounts = C.ground_amounts(rendered(spark, sf_dir, "claim"), ev, unread).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", (F.col("cents") / 100).alias("value"), "currency", "context", "found_in_text", "issue"))).alias("amounts"))
+    dates = C.ground_dates(rendered(spark, sf_dir, "claim_date"), ev, unread).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "date", "context", "found_in_text", "issue"))).alias("dates"))
+    told = rendered(spark, sf_dir, "page").where("o_orderkey % 97 = 0").select("doc_id").distinct().withColumn("warnings", F.array(F.lit("an instruction")))
+    none = F.lit(None).cast("array<string>")
+    docs = rendered(spark, sf_dir, "doc").select("doc_id", F.concat(F.lit("f"), i.cast("string"), F.lit(".pdf")).alias("file_name"), F.concat(F.lit("Customer "), i.cast("string"), F.lit(" *")).alias("title"), F.when(i % 2 == 0, "faktura").otherwise("inne").alias("type"), F.col("language").alias("document_language"), F.lit(1).alias("pages"), F.lit(None).cast("date").alias("date"), F.when(i % 3 == 0, "de").alias("translated_from"), F.lit("One | two").alias("summary"), F.array(F.lit("1. first"), F.lit("- second")).alias("key_points"), none.alias("organizations"), F.array(F.lit("Ann")).alias("people"), none.alias("keywords"))
+    return X.summary_report(docs.join(amounts, "doc_id").join(dates, "doc_id").join(told, "doc_id", "left"))
+
+
+@query("x3_translated_document", """
+    with p as (select conv_id as doc_id, turn as page, text from conversations), i as (select distinct doc_id, page, page - row_number() over (partition by doc_id order by page) as island from (select distinct doc_id, page from p where page % 3 = 1) q),
+    r as (select doc_id, string_agg(span, ', ' order by low) as ranges from (select doc_id, min(page) as low, case when min(page) = max(page) then min(page)::varchar else min(page)::varchar || '–' || max(page)::varchar end as span from i group by doc_id, island) s group by doc_id),
+    b as (select doc_id, string_agg('## ' || page::varchar || chr(10) || regexp_replace(regexp_replace(regexp_replace(text, '([\\\\`*_{}\\[\\]<>()#+!|~])', '\\\\\\1', 'g'), '(?m)^(\\s*)(\\d+)\\.(\\s)', '\\1\\2\\\\.\\3', 'g'), '(?m)^(\\s*)-(\\s)', '\\1\\\\-\\2', 'g').replace(chr(10), '  ' || chr(10)), chr(10) || chr(10) order by page) as body,
+        string_agg('- ' || page::varchar || ' values', chr(10) order by '- ' || page::varchar || ' values') filter (where page % 5 = 2) as issues from p group by doc_id)
+    select doc_id, concat_ws(chr(10) || chr(10), body, 'Issues:' || chr(10) || issues, 'Not checked: ' || ranges) as report from b left join r using (doc_id)""")
 def x3(spark, sf_dir):
     pages = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), "text")
     issues = pages.where("page % 5 = 2").select("doc_id", "page", F.lit("values").alias("issue"))
     return X.translated_document(pages, issues, page_ranges(pages.where("page % 3 = 1")))
 
 
-@query("s4_read_truth", "select o_orderkey as name, round(o_totalprice * 100)::bigint as cents, o_orderdate::date as date from orders where o_orderkey % 4 <> 0")
+@query("s4_read_truth", """
+    select o_orderkey::varchar as name, case o_orderkey % 5 when 0 then o_orderkey::varchar when 1 then o_orderkey::varchar else 'Issuer' end as issuer, case when o_orderkey % 4 <> 0 and o_orderkey % 5 <> 1 then o_totalprice end as amount,
+        case when o_orderkey % 5 <> 1 then 12 end::double as amount_untaxed, case when o_orderkey % 5 <> 1 then strftime(o_orderdate, '%Y-%m-%d') end as date, null::varchar as invoice_number, case when o_orderkey % 3 <> 0 and o_orderkey % 5 <> 1 then 'EUR' end as currency from orders""")
 def s4(spark, sf_dir):
-    """Truth rows with typed fields; blank or wrongly typed ones are null and do not count."""
-    raw = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("name"), F.when(F.col("o_orderkey") % 4 == 0, " ").otherwise(F.col("o_totalprice").cast("string")).alias("amount"), F.col("o_orderdate").cast("string").alias("day"))
-    value = F.nullif(F.trim("amount"), F.lit("")).try_cast("double")
-    return raw.select("name", cents(value).alias("cents"), F.try_to_date(F.left("day", F.lit(10)), "yyyy-MM-dd").alias("date")).where("cents is not null")
+    """Truth as JSON texts, some with fields of the wrong type, some blank, some no JSON at all."""
+    k = F.col("o_orderkey")
+    issuer = F.when(k % 5 == 0, '" "').otherwise('"Issuer"')
+    amount = F.when(k % 4 == 0, '"12"').otherwise(F.col("o_totalprice").cast("string"))
+    text = F.concat(F.lit('[{"issuer": '), issuer, F.lit(', "amount": '), amount, F.lit(', "amount_untaxed": 12, "date": "'), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit('", "invoice_number": 7, "currency": '), F.when(k % 3 == 0, "null").otherwise('"EUR"'), F.lit("}, {}]"))
+    return files.read_truth(table(spark, sf_dir, "orders").select(k.cast("string").alias("name"), F.when(k % 5 == 1, "no JSON").otherwise(text).alias("text")))
 
 
 @query("s6_write_reports", "select conv_id as doc_id, count(*) as pages from conversations group by conv_id")
 def s6(spark, sf_dir):
     """Reports written as text to the shared folder and read again, counted by their page headers."""
-    import uuid
-
-    from ..sources.shared import shared_folder
-
     reports = x3(spark, sf_dir).select(F.concat_ws(" ", F.col("doc_id").cast("string"), F.regexp_replace("report", r"(?m)^(?!## \d+$).*\n?|\n", "")).alias("report"))
     path = f"{shared_folder(spark)}/reports-{uuid.uuid4().hex}"
     files.write_reports(reports, path)
@@ -350,7 +490,7 @@ def g2(spark, sf_dir):
 def u1(spark, sf_dir):
     pages = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), "text")
     docs = pages.groupBy("doc_id").agg(F.count("*").alias("page_count")).withColumn("unread", F.lit(None).cast("string"))
-    requests = inference_requests(pages, chunk_pages(pages, 1_000_000), docs)
+    requests = inference_requests(chunk_pages(pages, 1_000_000), docs)
     records = R.normalize_records(R.parse_answers(U.with_extractor(requests, U.stub)))
     return records.select("doc_id", F.col("record.amounts")[0]["value"].alias("value"))
 

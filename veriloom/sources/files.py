@@ -1,6 +1,6 @@
 """Files and records as sources and sinks."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 MOST_BYTES = 10 * 1024 * 1024
 
@@ -16,11 +16,12 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def admit_files(files: DataFrame) -> DataFrame:
-    """``files`` (path, length, content) with ``code``, the first that applies: NOT_PDF, EMPTY,
-    TOO_LARGE, BAD_SIGNATURE (no %PDF- in the first 1024 bytes), OK."""
+    """``files`` (path, mime, length, content) with ``code``, the first that applies: NOT_PDF (by
+    neither its type nor its name), EMPTY, TOO_LARGE, BAD_SIGNATURE (no %PDF- in the first 1024
+    bytes), OK."""
     head = F.decode(F.substring("content", 1, 1024), "ISO-8859-1")
     code = (
-        F.when(~F.lower(F.col("path")).endswith(".pdf"), "NOT_PDF")
+        F.when((F.coalesce("mime", F.lit("")) != "application/pdf") & ~F.lower(F.coalesce("path", F.lit(""))).endswith(".pdf"), "NOT_PDF")
         .when(F.col("length") == 0, "EMPTY")
         .when(F.col("length") > MOST_BYTES, "TOO_LARGE")
         .when(F.instr(head, "%PDF-") == 0, "BAD_SIGNATURE")
@@ -29,6 +30,29 @@ def admit_files(files: DataFrame) -> DataFrame:
     return files.withColumn("code", code)
 
 
+def read_truth(texts: DataFrame) -> DataFrame:
+    """(name, issuer, amount, amount_untaxed, date, invoice_number, currency) of ``texts`` (name, text):
+    JSON arrays whose first element is the record. A field of the wrong type or a blank one is null,
+    and a missing issuer is the name; a text that is no JSON has nulls."""
+    parsed = texts.withColumn("__v", F.expr("try_parse_json(text)"))
+
+    def field(name: str, kind: str) -> Column:
+        at = f"try_variant_get(__v, '$[0].{name}', 'variant')"
+        fits = F.expr(f"schema_of_variant({at})").rlike("^(DECIMAL|BIGINT|DOUBLE|FLOAT)" if kind == "double" else "^STRING$")
+        value = F.expr(f"try_variant_get(__v, '$[0].{name}', '{kind}')")
+        return F.when(fits & (value if kind == "double" else F.trim(value)).isNotNull(), value if kind == "double" else F.when(F.trim(value) != "", value)).alias(name)
+
+    texts_of = [field(n, "string") for n in ("issuer", "date", "invoice_number", "currency")]
+    out = parsed.select("name", *texts_of, field("amount", "double"), field("amount_untaxed", "double"))
+    return out.withColumn("issuer", F.coalesce("issuer", "name"))
+
+
+def read_truth_files(spark: SparkSession, folder: str) -> DataFrame:
+    """read_truth of a folder's files; a file's name without .json is the record's."""
+    texts = spark.read.text(folder, wholetext=True).select(F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "").alias("name"), F.col("value").alias("text"))
+    return read_truth(texts)
+
+
 def file_base(name):
     """A file's name without .pdf, with _ for what is no letter, digit, point, _ or -."""
     base = F.regexp_replace(F.regexp_replace(name, r"(?i)\.pdf$", ""), r"[^\p{L}\p{N}._-]+", "_")
@@ -41,7 +65,8 @@ def record_name(name, language=None):
 
 
 def write_records(records: DataFrame, path: str) -> None:
-    """Verified records as JSON lines, a folder per document type."""
+    """Verified ``records`` (type, name, record, ...) as JSON lines, a folder per document type. A
+    record's ``name`` is the file that it is handed out as."""
     records.write.partitionBy("type").mode("overwrite").json(path)
 
 
