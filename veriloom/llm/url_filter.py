@@ -6,14 +6,13 @@ through, and so on until a level lets nothing through by mistake. Over the whole
 membership is then exact, and testing a row needs no join: the levels are constants of the plan.
 """
 
-import base64
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .tables import ascii_lower, cut
+from .tables import ascii_lower, cut, free_name
 
 
 def url_host(url: Column) -> Column:
@@ -32,9 +31,10 @@ def _after_scheme(url: Column) -> Column:
     return F.when(at > 0, F.substr(url, at + 3)).otherwise(F.lit(""))
 
 
-def site(host: Column) -> Column:
-    """The last three labels of a host: the key that lists of sites hold."""
-    return F.substring_index(host, ".", -3)
+def sites(host: Column) -> Column:
+    """A host and every domain that it belongs to: the keys under which a list may hold it."""
+    labels = F.split(host, r"\.")
+    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.array_join(F.slice(labels, n, F.size(labels)), "."))
 
 
 @dataclass(frozen=True)
@@ -68,10 +68,10 @@ class Level:
     hashes: int
 
     def holds(self, key: Column) -> Column:
-        data, size = F.unbase64(F.lit(base64.b64encode(self.bits).decode())), len(self.bits) * 8
+        data, size = F.lit(self.bits), len(self.bits) * 8
         out = F.lit(True)
         for place in _places(key, self.number, self.hashes, size):
-            byte = F.conv(F.hex(F.substr(data, (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10)
+            byte = F.conv(F.hex(F.substr(data, (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10)  # without reading the others
             out = out & (F.getbit(byte.cast("int"), (place % 8).cast("int")) == 1)
         return out
 
@@ -125,34 +125,45 @@ def _encode(keys: DataFrame, key: str, number: int, count: int, rate: float) ->
     hashes = max(1, round(size / max(1, count) * math.log(2))) if count else 1
     hashes = min(hashes, 16)
     place = F.explode(F.array(*_places(F.col(key), number, hashes, size)))
-    words = keys.select(place.alias("place")).groupBy(F.floor(F.col("place") / 8).alias("at")).agg(F.bit_or(F.expr("shiftleft(1, cast(place % 8 as int))")).alias("byte"))
-    bits = bytearray(size // 8)
-    for at, byte in words.collect():  # at most size / 8 rows, bounded by max_keys
-        bits[at] = byte
-    return Level(number, bytes(bits), hashes)
-
-
-def listed_flag(df: DataFrame, key: Column, listed: DataFrame, name: str, **options) -> DataFrame:
-    """``df`` with a boolean column ``name``: is ``key`` in ``listed``? By a cascade built over all
-    keys of ``df``; by an exact join where the list is too long for one."""
+    places = keys.select(place.alias("place"))
+    # words of 64 bits, the first byte highest, so that their hexadecimal digits are the bytes in order
+    bit = F.expr("shiftleft(1L, cast(8 * (7 - (place % 64) div 8) + place % 8 as int))")
+    n_words = -(-size // 64)
+    none = keys.sparkSession.range(n_words).select(F.col("id").alias("at"), F.lit(0).cast("long").alias("word"))
+    words = places.groupBy(F.floor(F.col("place") / 64).alias("at")).agg(F.bit_or(bit).alias("word")).unionByName(none).groupBy("at").agg(F.bit_or("word").alias("word"))
+    digits = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda w: F.lpad(F.hex(w["word"]), 16, "0")), "")
+    rows = words.groupBy(F.floor(F.col("at") / 4096).alias("piece")).agg(digits.alias("digits")).orderBy("piece").collect()  # size / 2^18 rows of 64 KB
+    return Level(number, b"".join(bytes.fromhex(r.digits) for r in rows)[: size // 8], hashes)
+
+
+def listed_flag(df: DataFrame, keys: Column, listed: DataFrame, name: str, **options) -> DataFrame:
+    """``df`` with a boolean column ``name``: is one of the ``keys`` (an array of strings) in ``listed``?
+    By a cascade built over all keys of ``df``; by an exact join where the list is too long for one,
+    with the same result."""
+    universe = df.select(F.explode(keys).alias("key"))
     try:
-        cascade = build_cascade(df.select(key.alias("key")), listed, **options)
-        return df.withColumn(name, cascade.contains(key))
+        cascade = build_cascade(universe, listed, **options)
+        return df.withColumn(name, F.coalesce(F.exists(keys, cascade.contains), F.lit(False)))
     except TooManyKeys:
-        marked = listed.select(F.col(listed.columns[0]).alias("__listed_key"), F.lit(True).alias(name)).dropna().distinct()
-        return df.join(marked, key == F.col("__listed_key"), "left").drop("__listed_key").withColumn(name, F.coalesce(F.col(name), F.lit(False)))
+        row, key = free_name(df, "row"), free_name(df, "listed_key")
+        numbered = cut(df.withColumn(row, F.monotonically_increasing_id()))
+        known = listed.select(F.col(listed.columns[0]).alias(key)).dropna().distinct()
+        hits = numbered.select(row, F.explode(keys).alias(key)).join(known, key, "left_semi").select(row).distinct().withColumn(name, F.lit(True))
+        return numbered.join(hits, row, "left").drop(row).withColumn(name, F.coalesce(F.col(name), F.lit(False)))
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[Rule], listed_sites: DataFrame, url: str = "url") -> DataFrame:
     """``pages`` with host, path, rule and verdict: the longest fitting rule's verdict, else
-    ``block`` for hosts of a listed site and ``allow`` for the rest.
+    ``block`` for hosts of a listed site or below one and ``allow`` for the rest.
 
     A null url has an empty host and path, which no rule fits. Repeated rows stay, each judged
     alike; an empty table stays empty. Columns named host, path, rule or verdict are replaced.
     """
-    host, path = F.col("__host"), F.col("__path")
-    parts = pages.withColumns({"__host": url_host(F.col(url)), "__path": url_path(F.col(url))})
-    flagged = listed_flag(parts, site(host), listed_sites, "__listed")
+    host_name, path_name = free_name(pages, "host"), free_name(pages, "path")
+    host, path = F.col(host_name), F.col(path_name)
+    parts = pages.withColumns({host_name: url_host(F.col(url)), path_name: url_path(F.col(url))})
+    listed = free_name(parts, "listed")
+    flagged = listed_flag(parts, sites(host), listed_sites, listed)
     rule = first_rule(rules, host, path, lambda r: r.text)
-    verdict = F.coalesce(first_rule(rules, host, path, lambda r: r.verdict), F.when(F.col("__listed"), "block").otherwise("allow"))
-    return flagged.withColumns({"host": host, "path": path, "rule": rule, "verdict": verdict}).drop("__host", "__path", "__listed")
+    verdict = F.coalesce(first_rule(rules, host, path, lambda r: r.verdict), F.when(F.col(listed), "block").otherwise("allow"))
+    return flagged.withColumns({"host": host, "path": path, "rule": rule, "verdict": verdict}).drop(host_name, path_name, listed)
