@@ -1,8 +1,10 @@
 """Quality, toxicity, licences, chat, urls, mixing and top-k: held-out accuracy, SQL, brute force."""
 
+import math
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,6 +65,44 @@ def test_toxicity_of_awkward_rows(spark, awkward):
     assert toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int")).weights == {}
 
 
+def ordinal_rows(seed=3, n=300, d=6, levels=2):
+    """Rows of the model itself: grades drawn with two weights that count and four that do not."""
+    rng = np.random.default_rng(seed)
+    dense = rng.random((n, d)) < 0.4
+    latent = dense @ np.r_[2.0, -1.5, np.zeros(d - 2)] + rng.logistic(size=n)
+    grade = (latent[:, None] > np.arange(levels)[None, :] * 1.5 + 0.5).sum(1)
+    sizes = dense.sum(1)
+    return toxicity.Rows(np.nonzero(dense)[1], np.cumsum(sizes) - sizes, grade, d), dense
+
+
+def test_ordinal_loss_and_gradient_equal_brute_force():
+    rows, dense = ordinal_rows(n=40)
+    w, theta = np.array([0.5, -0.2, 0.1, 0.0, 0.3, -0.4]), np.array([0.2, -0.5])
+
+    def slow(w, theta):
+        cuts = [theta[0], theta[0] + math.exp(theta[1])]
+        total = 0.0
+        for x, g in zip(dense, rows.grade):
+            more = [1.0, *(1 / (1 + math.exp(-(float(x @ w) - c))) for c in cuts), 0.0]
+            total -= math.log(more[g] - more[g + 1])
+        return total / len(dense)
+
+    value, by_w, by_theta = toxicity.loss(rows, w, theta)
+    assert abs(value - slow(w, theta)) < 1e-9
+    for got, k in zip(np.r_[by_w, by_theta], range(8)):
+        e = np.eye(8)[k] * 1e-6
+        assert abs(got - (slow(w + e[:6], theta + e[6:]) - slow(w - e[:6], theta - e[6:])) / 2e-6) < 1e-5
+
+
+def test_ordinal_fit_is_the_optimum():
+    rows, _ = ordinal_rows()
+    w, theta = toxicity.fit_rows(rows, 2, 0.01, most_steps=5000, tolerance=1e-13)
+    _, by_w, by_theta = toxicity.loss(rows, w, theta)
+    assert np.abs(by_theta).max() < 1e-4
+    assert all(abs(g + 0.01 * np.sign(x)) < 1e-4 if x else abs(g) <= 0.01 + 1e-4 for x, g in zip(w, by_w))
+    assert w[0] > 1 and w[1] < -0.5 and np.abs(w[2:]).max() < 0.4 and len(rows.take(rows.grade > 0).grade) == (rows.grade > 0).sum()
+
+
 def test_licence_rules(spark, awkward):
     texts = ["Text.\nReleased under the MIT License.\nmore", "Licensed under the Apache License, Version 2.0. You may not use this file except in compliance with the License.", "This program is free software: you can redistribute it and/or modify it\nunder the terms of the GNU General Public License, version 3.", "Released under the MIT License", "a licence of some kind", None, ""]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -178,8 +218,18 @@ def test_cascade_is_exact(spark):
     assert got == listed and len(cascade.levels) > 1
     empty = url_filter.build_cascade(universe, universe.where("false"))
     assert universe.where(empty.contains(F.col("key"))).count() == 0
-    joined = url_filter.listed_flag(universe, F.col("key"), spark.createDataFrame([(k,) for k in listed], "site string"), "hit", max_keys=10)
-    assert {r.key for r in joined.where("hit").collect()} == listed
+    for options in ({}, {"max_keys": 10}):  # by a cascade, and by the join that takes its place
+        flagged = url_filter.listed_flag(universe, F.array("key"), spark.createDataFrame([(k,) for k in listed], "site string"), "hit", **options)
+        assert {r.key for r in flagged.where("hit").collect()} == listed and flagged.count() == universe.count()
+
+
+def test_sites_below_listed_ones_in_tables_with_clashing_names(spark):
+    urls = ["http://www.spam.com/x", "http://spam.com", "http://notspam.com", "http://a.b.spam.com?q", None, "http://spam.com.org"]
+    pages = spark.createDataFrame([(i, u, "p", "q", "r", "s") for i, u in enumerate(urls)], "page_id long, url string, __host string, __path string, __listed string, verdict string")
+    out = url_filter.filter_urls(pages, [], spark.createDataFrame([("spam.com",), (None,)], "site string"))
+    assert [r.verdict for r in out.orderBy("page_id").collect()] == ["block", "block", "allow", "block", "allow", "allow"]
+    assert [c for c in out.columns if c.startswith("__")] == ["__host", "__path", "__listed"] and out.first()["__host"] == "p"
+    assert url_filter.filter_urls(pages.where("false"), [], pages.select("url").where("false")).count() == 0
 
 
 def test_urls(spark):
@@ -217,8 +267,6 @@ def test_top_k_equals_brute_force(spark):
     rng = random.Random(8)
     rows = [(i, [float(rng.gauss(0, 1)) for _ in range(8)]) for i in range(400)]
     rows += [(400 + i, rows[0][1]) for i in range(30)] + [(900, None), (901, [None] * 8), (902, [float("nan")] * 8), (903, [float("inf")] + [0.0] * 7), (None, rows[0][1]), (950, [1.0, 2.0]), (951, [0.5, 0.5])]
-    import math
-
     rows += [(0, rows[0][1]), (0, [0.25] * 8), (50, rows[50][1]), (120, rows[0][1]), (120, rows[0][1])]
     usable = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     want = []

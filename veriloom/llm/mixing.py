@@ -9,7 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .tables import cut, word_count
+from .tables import cut, running_total, word_count
 
 WEIGHTS = (5, 2, 1)
 #: Slope of each source's schedule: above 0 the weight falls over time, below 0 it rises.
@@ -27,23 +27,22 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int
 
     Targets share ``total_share`` of all words by weight and stop at ``most`` times the source's
     size; what is above is shared again. With sources in order of cap / weight, the level at which
-    the rest share by weight is found with two running sums: the first source that stays under its
-    cap has the final level.
+    the rest share by weight is found with running sums, which are dealt out over ranges of the
+    sources: the first source that stays under its cap has the final level.
     """
-    by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())  # a row per source
-    ranked = by_source.withColumn("source_no", F.row_number().over(order) - 1)
-    ranked = ranked.withColumn("weight", _cycle(weights, F.col("source_no")))
+    by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("unnamed", F.col("source").isNull())
+    by_source = running_total(by_source.withColumn("one", F.lit(1)), [], ["unnamed", "source"], "one", "source_no").drop("one", "unnamed")
+    ranked = by_source.withColumn("weight", _cycle(weights, F.col("source_no")).cast("long"))
     ranked = ranked.withColumn("cap", F.col("source_size") * most).withColumn("full_at", F.col("cap").cast("double") / F.col("weight"))
-    by_fill = Window.orderBy("full_at", "source_no")
-    before, onward = by_fill.rowsBetween(Window.unboundedPreceding, -1), by_fill.rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.partitionBy(F.lit(1))
-    total = F.sum("source_size").over(everything) * F.lit(float(total_share))
-    level = (total - F.coalesce(F.sum("cap").over(before), F.lit(0))) / F.sum("weight").over(onward)
+    ranked = running_total(running_total(ranked, [], ["full_at", "source_no"], "cap", "caps"), [], ["full_at", "source_no"], "weight", "weights")
+    ranked = cut(ranked)
+    total, weight = ranked.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    level = (F.lit(total) * F.lit(float(total_share)) - F.col("caps")) / (F.lit(weight) - F.col("weights"))
     levels = ranked.withColumn("level", level)
-    final = F.min(F.when(F.col("level") <= F.col("full_at"), F.struct("full_at", "source_no", "level"))).over(everything)
-    target = F.least(F.col("weight") * final["level"], F.col("cap").cast("double"))
-    return levels.select("source_no", "source", "source_size", F.coalesce(target, F.col("cap").cast("double")).alias("target"))
+    final = levels.where("level <= full_at").agg(F.min_by("level", F.struct("full_at", "source_no"))).first()[0]
+    cap = F.col("cap").cast("double")
+    target = cap if final is None else F.least(F.col("weight") * F.lit(final), cap)
+    return levels.select("source_no", "source", "source_size", target.alias("target"))
 
 
 def demand_time(share: Column, tilt: Column) -> Column:
@@ -59,13 +58,14 @@ def curriculum(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MO
     target, taken and ``positions``, the times at which training meets it (none where it is left
     out), range-sorted by the first of them.
 
-    Within a source documents come in the order of md5(doc_id), then size and text: reruns agree.
+    Within a source documents come in the order of md5(doc_id), or of the text where there is no id,
+    then size and text: reruns agree.
     A source's target is met by whole passes and then a part of one: the last pass takes the
     documents whose middle lies before its end, so a source is off by half a document at most.
-    A null or empty text has size 0 and is never in the way; a null source is a source of its own;
-    a null doc_id is ordered first. Rows that repeat are mixed like any others.
+    A null or empty text has size 0 and is never in the way; a null source is a source of its own.
+    Rows that repeat are mixed like any others.
     """
-    sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit("")).alias("place"), F.xxhash64("text").alias("tie")))
+    sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.coalesce("text", F.lit("")))).cast("binary")).alias("place"), F.xxhash64("text").alias("tie")))
     targets = cut(source_targets(sized, weights, most))
     largest = sized.groupBy("source").count().agg(F.max("count")).first()[0] or 0
     digits = 2

@@ -63,7 +63,8 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.curriculum(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    millionths = F.array_join(F.transform("positions", lambda p: F.floor(p * 1_000_000).cast("string")), " ")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", millionths.alias("positions"))
 
 
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +132,7 @@ from ruled""" % "|".join(UNWANTED)
 _OP9 = f"""
 with sized as (
     select doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::bigint as size,
-           coalesce(md5(doc_id::varchar), '') as place from documents
+           md5(coalesce(doc_id::varchar, 'text ' || coalesce(text, ''))) as place from documents
 ), by_source as (
     select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) - 1 as source_no from sized group by source
 ), weighed as (
@@ -143,16 +144,16 @@ with sized as (
         - coalesce(sum(cap) over (order by full_at, source_no rows between unbounded preceding and 1 preceding), 0)::double)
         / (sum(weight) over (order by full_at, source_no rows between current row and unbounded following))::double as level from filled
 ), targets as (
-    select source, source_size, coalesce(least(weight * (select arg_min(level, (full_at, source_no)) from levels where level <= full_at), cap::double), cap::double) as target from levels
+    select source, source_size, case source_no % 3 when 0 then -0.5 when 1 then 0.0 else 0.5 end::double as tilt, coalesce(least(weight * (select arg_min(level, (full_at, source_no)) from levels where level <= full_at), cap::double), cap::double) as target from levels
 ), placed as (
-    select s.*, t.source_size, t.target,
+    select s.*, t.source_size, t.target, t.tilt,
         coalesce(sum(size) over (partition by s.source order by place, doc_id, size rows between unbounded preceding and 1 preceding), 0) as before,
         case when t.source_size > 0 then floor(t.target / t.source_size)::bigint else 0 end as passes
     from sized s join targets t on s.source is not distinct from t.source
 )
-select doc_id, size, source_size, target,
-    (size * (passes + case when before::double + size::double / 2 < target - (passes * source_size)::double then 1 else 0 end))::bigint as taken
-from placed"""
+select doc_id, size, source_size, target, (size * times)::bigint as taken, array_to_string(list_transform(list_transform(range(times), lambda i: least((i * source_size + before) / target, 1.0::double)),
+    lambda share: floor(case when tilt = 0 then share else ((1 + tilt) - sqrt(greatest((1 + tilt) * (1 + tilt) - 4 * tilt * share, 0.0::double))) / (2 * tilt) + 0.0 end * 1000000)::bigint), ' ') as positions
+from (select *, passes + case when before::double + size::double / 2 < target - (passes * source_size)::double then 1 else 0 end as times from placed) p"""
 
 _OP10 = """
 with vectors as (
