@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Known one-line notices as normalised (lower case, letters, digits and dots inside
-#: numbers, single spaces), and their identifiers. The query's SQL knows only these.
+#: numbers, single spaces), and their identifiers.
 SENTENCES = {
     "released under the mit license": "mit-notice",
     "licensed under the mit license": "mit-notice",
@@ -39,6 +39,13 @@ SENTENCES = {
 _BSD = "redistributions {} the above copyright notice this list of conditions and the following disclaimer"
 _FREE = "* is free software you can redistribute it and or modify it under the terms of the gnu {}general public license as published by the free software foundation {}"
 _VERSION = ("either version {} of the license or at your option any later version", "either version {} of the license or at your option any later version of the license", "version {} of the license", "version {}")
+_CREATIVE = {"attribution": "cc-by", "attribution sharealike": "cc-by-sa", "attribution noncommercial": "cc-by-nc", "attribution noncommercial sharealike": "cc-by-nc-sa", "attribution noderivatives": "cc-by-nd", "attribution noncommercial noderivatives": "cc-by-nc-nd"}
+#: Tags that files may name their licence by, and the licence.
+SPDX = {
+    "MIT": "MIT", "Apache-2.0": "Apache-2.0", "BSD-2-Clause": "BSD-2-Clause", "BSD-3-Clause": "BSD-3-Clause", "ISC": "ISC", "Zlib": "Zlib", "MPL-2.0": "MPL-2.0", "BSL-1.0": "BSL-1.0", "Unlicense": "Unlicense", "CC0-1.0": "CC0-1.0",
+    "GPL-2.0": "GPL-2.0", "GPL-2.0-only": "GPL-2.0", "GPL-2.0-or-later": "GPL-2.0", "GPL-3.0": "GPL-3.0", "GPL-3.0-only": "GPL-3.0", "GPL-3.0-or-later": "GPL-3.0", "LGPL-2.1-only": "LGPL-2.1", "LGPL-2.1-or-later": "LGPL-2.1",
+    "LGPL-3.0-only": "LGPL-3.0", "LGPL-3.0-or-later": "LGPL-3.0", "AGPL-3.0-only": "AGPL-3.0", "AGPL-3.0-or-later": "AGPL-3.0", "CC-BY-4.0": "CC-BY-4.0", "CC-BY-SA-4.0": "CC-BY-SA-4.0", "CC-BY-NC-4.0": "CC-BY-NC-4.0",
+}
 _APACHE = "apache license version 2.0 january 2004"
 
 #: Sentences of the licences' full texts and headers, normalised in the same way; * stands for a
@@ -64,6 +71,18 @@ TEXTS = {
     "gnu lesser general public license version 3 29 june 2007": "lgpl-3-title",
     "gnu lesser general public license version 2.1 february 1999": "lgpl-2.1-title",
     "gnu affero general public license version 3 19 november 2007": "agpl-3-title",
+    "mozilla public license version 2.0": "mpl-2-title",
+    "this source code form is subject to the terms of the mozilla public license v": "mpl-header",
+    "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2.0": "mpl-2-source",
+    "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2.0": "mpl-2-source",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "zlib-grant",
+    "this is free and unencumbered software released into the public domain": "unlicense-notice",
+    "boost software license version 1.0 august 17th 2003": "bsl-1-title",
+    "distributed under the boost software license version 1.0": "bsl-1-notice",
+    "to the extent possible under law * has waived all copyright and related or neighboring rights to *": "cc0-waiver",
+    **{f"{begin} creative commons {kind} 4.0 {form}license": f"{name}-4-text" for kind, name in _CREATIVE.items() for begin in ("this work is licensed under a", "this work is licensed under the", "licensed under a") for form in ("international ", "international public ", "")},
+    **{f"spdx license identifier {tag.lower().replace('-', ' ')}": f"spdx-{tag.lower()}" for tag in SPDX},
     **{_FREE.format(kind, v.format(n)): f"{name}-{n}-header" for kind, name, n in (("", "gpl", "3"), ("", "gpl", "2"), ("lesser ", "lgpl", "3"), ("lesser ", "lgpl", "2.1"), ("affero ", "agpl", "3")) for v in _VERSION},
 }
 
@@ -106,11 +125,18 @@ TEXT_RULES = (
     LicenceRule("BSD-4-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-advertising")),
     LicenceRule("Apache-2.0", ("apache-2-title",)),
     LicenceRule("Apache-2.0", ("apache-2-grant",)),
+    *(LicenceRule(licence, (f"spdx-{tag.lower()}",)) for tag, licence in SPDX.items()),
+    LicenceRule("MPL-2.0", ("mpl-header", "mpl-2-source")),
+    LicenceRule("MPL-2.0", ("mpl-2-title",)),
+    *(LicenceRule(f"{name.upper()}-4.0", (f"{name}-4-text",)) for name in _CREATIVE.values()),
+    LicenceRule("CC0-1.0", ("cc0-waiver",)),
+    LicenceRule("ISC", ("isc-grant",)),
+    LicenceRule("Zlib", ("zlib-grant",)),
+    LicenceRule("Unlicense", ("unlicense-notice",)),
+    LicenceRule("BSL-1.0", ("bsl-1-title",)),
+    LicenceRule("BSL-1.0", ("bsl-1-notice",)),
 )
 
-#: Where notices end in the query's SQL: line breaks, and closing marks before white space.
-SENTENCE_END = r"[\r\n]+|[.!?;:]+[ \t]+"
-
 #: Marks in normalised text: an end of a sentence, and a place where one may end or go on.
 END, MAY_END = "\x01", "\x02"
 #: In this order: pattern and what takes its place. No pattern repeats a group, so that a long run
@@ -136,27 +162,34 @@ def normalised(text: Column) -> Column:
     return out
 
 
-def _pattern(sentence: str) -> str:
+def pattern_of(sentence: str, between: str = r"[ \x02]") -> str:
     """A known sentence in normalised text; a name at its beginning does not run over lines."""
     words = [w.replace(".", r"\.") for w in sentence.split(" ")]
-    between = r"[ \x02]"
     name = lambda gap: rf"(?:[a-z0-9.]+{gap}){{0,11}}?[a-z0-9.]+"
     return between.join(name(between if at else " ") if w == "*" else w for at, w in enumerate(words))
 
 
+#: A cheap test first: only texts with a word of the known sentences are taken apart.
+MAYBE = r"(?i)licen[sc]e|permission|redistribut|copyright|advertising|public[^a-z0-9]+domain|rights[^a-z0-9]+reserved"
+
+
+def by_length(sentences: dict[str, str]) -> list[str]:
+    """The longest first: where one begins another, that is the one that is meant."""
+    return sorted(sentences, key=lambda x: (-len(x), x))
+
+
 def sentence_ids(text: Column, sentences: dict[str, str] | None = None) -> Column:
     """Identifiers of the known sentences of a text, in order, repeats included. Where one begins
     another the longest counts."""
     sentences = {**SENTENCES, **TEXTS} if sentences is None else sentences
-    # a cheap test first: only texts with a word of the known sentences are taken apart
-    maybe = text.rlike(r"(?i)licen[sc]e|permission|redistribut|copyright|advertising|public[^a-z0-9]+domain|rights[^a-z0-9]+reserved")
-    longest = sorted(sentences, key=lambda x: (-len(x), x))
-    found = F.regexp_extract_all(normalised(text), F.lit(rf"(?<=[\x01\x02])(?:{'|'.join(map(_pattern, longest))})(?=[\x01\x02])"), F.lit(0))
+    maybe = text.rlike(MAYBE)
+    longest = by_length(sentences)
+    found = F.regexp_extract_all(normalised(text), F.lit(rf"(?<=[\x01\x02])(?:{'|'.join(map(pattern_of, longest))})(?=[\x01\x02])"), F.lit(0))
     known = F.create_map(*(F.lit(x) for x, i in sentences.items() if "*" not in x for x in (x, i)))
 
     def named(run: Column) -> Column:
         plain = F.translate(run, MAY_END, " ")
-        of_names = [F.when(plain.rlike(f"^(?:{_pattern(x)})$"), i) for x, i in sentences.items() if "*" in x]
+        of_names = [F.when(plain.rlike(f"^(?:{pattern_of(x)})$"), i) for x, i in sentences.items() if "*" in x]
         return F.coalesce(F.element_at(known, plain), *of_names)
 
     return F.when(maybe, F.transform(found, named)).otherwise(F.array().cast("array<string>"))

@@ -92,20 +92,25 @@ select conv_id, perspective, part, min(pos)::bigint as begin, string_agg(head ||
     coalesce(string_agg((pos + length(head))::varchar || '-' || (pos + length(head) + length(said))::varchar, ' ' order by number) filter (where mine), '') as mask
 from placed group by conv_id, perspective, part"""
 
-_OP5_SENTENCES = ", ".join(f"('{s}', '{i}')" for s, i in licences.SENTENCES.items())
-_OP5_RULES = " ".join(f"when regexp_matches(' ' || replace(sentence_ids, ' ', '  ') || ' ', '{'.*'.join(f' {i} ' for i in r.sequence)}') then '{r.licence}'" for r in licences.RULES)
+_KNOWN = licences.SENTENCES | licences.TEXTS
+#: Marks stand twice in the SQL's normalised text, for its patterns cannot look behind.
+_OP5_FOUND = "[\\x01\\x02](?:%s)[\\x01\\x02]" % "|".join(licences.pattern_of(k, "(?: |\\x02\\x02)") for k in licences.by_length(_KNOWN))
+_OP5_IDS = " ".join(f"when s = '{k}' then '{i}'" for k, i in _KNOWN.items() if "*" not in k) + " " + " ".join(f"when regexp_full_match(s, '{licences.pattern_of(k)}') then '{i}'" for k, i in _KNOWN.items() if "*" in k)
+_OP5_RULES = " ".join(f"when regexp_matches(' ' || replace(sentence_ids, ' ', '  ') || ' ', '{'.*'.join(f' {i} ' for i in r.sequence)}') then '{r.licence}'" for r in licences.TEXT_RULES + licences.RULES)
+_OP5_STEPS = (
+    (r"\r\n?", "chr(10)"), (r"[.!?]\s", "chr(1)"), (r"\n[^a-z0-9\n\x01]*\n", "chr(1)"), (r"\n|[;:][ \t]", "chr(2)"), (r"\.+(\.[0-9])", r"' \1'"), (r"\.+([^0-9.]|$)", r"' \1'"),
+    (r"[^a-z0-9.\x01\x02]+", "' '"), (r" +", "' '"), (r" ?\x02[ \x02]*", "chr(2)"), (r" ?\x01[ \x01]*", "chr(1)"),
+)
+_OP5_PLAIN = "chr(1) || regexp_replace(lower(text), '[\\x01\\x02]', '-', 'g') || chr(1)"
+for _found, _instead in _OP5_STEPS:
+    _OP5_PLAIN = f"regexp_replace({_OP5_PLAIN}, '{_found}', {_instead}, 'g')"
 _OP5 = f"""
-with known(sentence, id) as (values {_OP5_SENTENCES}), rows_of as (
-    select row_number() over () as r, doc_id, text from documents
-), pieces as (
-    select r, s, i from (select r, string_split_regex(text, '{licences.SENTENCE_END}') as l from rows_of where regexp_matches(text, '(?i)licen[sc]e|permission|redistribut|copyright|public domain|rights reserved')) t,
-        lateral (select unnest(l) as s, generate_subscripts(l, 1) as i)
-), plain as (
-    select r, i, trim(regexp_replace(regexp_replace(regexp_replace(lower(s), '[^a-z0-9.]+', ' ', 'g'), '\\.+([^0-9.]|$)', ' \\1', 'g'), ' +', ' ', 'g')) as sentence from pieces where length(s) <= 200
+with plain as (
+    select doc_id, case when regexp_matches(text, '{licences.MAYBE}') then replace(replace({_OP5_PLAIN}, chr(1), chr(1) || chr(1)), chr(2), chr(2) || chr(2)) else '' end as t from documents
 ), found as (
-    select r, count(*) as n_sentences, string_agg(id, ' ' order by i) as sentence_ids from plain join known using (sentence) group by r
+    select doc_id, list_transform(regexp_extract_all(t, '{_OP5_FOUND}'), lambda x: replace(replace(x[2:-2], chr(2) || chr(2), ' '), chr(2), '')) as ss from plain
 ), named as (
-    select doc_id, coalesce(n_sentences, 0) as n_sentences, coalesce(sentence_ids, '') as sentence_ids from rows_of left join found using (r)
+    select doc_id, len(ss)::bigint as n_sentences, array_to_string(list_transform(ss, lambda s: case {_OP5_IDS} end), ' ') as sentence_ids from found
 )
 select *, case {_OP5_RULES} end as licence from named"""
 
