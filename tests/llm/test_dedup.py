@@ -101,10 +101,17 @@ def test_keep_one(spark, awkward):
     kept = S.keep_one(awkward)
     assert kept.columns == awkward.columns
     rows = kept.collect()
-    assert sorted(r.doc_id for r in rows if r.doc_id is not None) == sorted({c for r in S.near_duplicates(awkward.select("doc_id", "text")).collect() if (c := r.component_id) is not None})
+    assert sorted({r.doc_id for r in rows if r.doc_id is not None}) == sorted({c for r in S.near_duplicates(awkward.select("doc_id", "text")).collect() if (c := r.component_id) is not None})
     assert sum(r.doc_id is None for r in rows) == 2
 
 
+def test_rows_that_share_an_id_go_only_with_their_own_group(spark):
+    a, b = prose(1, 80), prose(2, 80)
+    rows = [(5, a), (5, b), (3, b), (7, a), (9, b), (5, a), (4, prose(3, 60)), (4, prose(4, 60))]
+    kept = S.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted({(5, a), (3, b), (4, prose(3, 60)), (4, prose(4, 60))})
+
+
 def slow_removed(rows, width=50):
     first = {}
     for doc, text in rows:

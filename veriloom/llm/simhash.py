@@ -5,8 +5,13 @@ each is filed under its six pairs of blocks and every linked pair meets in a sha
 fingerprints form a BK-tree (children keyed by their Hamming distance to the parent), and a search
 follows only the edges within the radius. A shard above ``max_shard`` is filed again by pairs of
 four 8-bit blocks of its other 32 bits; such a shard holds at most 2^16 fingerprints by
-construction. Trees stay where their shard is: together they grow with the corpus, so they are
-dealt out with the fingerprints that ask them instead of being sent to every task.
+construction.
+
+What prunes: in a corpus of unrelated texts the filing leaves few fingerprints in a shard, and a pair
+in a shard of two is compared without a tree. The trees do the pruning where fingerprints crowd: in
+groups of near copies and in shards that are filed again. Trees stay where their shard is: together
+they grow with the corpus, so they are dealt out with the fingerprints that ask them instead of
+being sent to every task.
 
 A shard reports a spanning forest of its links, never all pairs; connected components join the
 forests.
@@ -42,15 +47,17 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp) for every row of ``docs`` (doc_id, text); fp is the signed form of the bits."""
+    """(doc_id, tid, fp) for every row of ``docs`` (doc_id, text); tid is a hash of the text, fp the
+    signed form of the bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             fp = np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tid"), pa.array(fp)], ["doc_id", "tid", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tid"), text.alias("text")).mapInArrow(run, "doc_id long, tid long, fp long")
 
 
 class BKTree:
@@ -165,6 +172,16 @@ def links(fps: DataFrame, radius: int = RADIUS, max_shard: int = 4096) -> DataFr
     return shards.repartition("key", "finer").sortWithinPartitions("key", "finer", "fp").mapInArrow(run, "a long, b long")
 
 
+def _grouped(docs: DataFrame, shingle: int, radius: int, max_shard: int) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of ``docs``, and (fp, root, component_id) of each different one."""
+    marked = cut(fingerprints(docs, shingle))
+    first = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    member = connected_components(links(first.select("fp"), radius, max_shard))
+    rooted = cut(first.join(member.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    return marked, cut(rooted.select("fp", "root").join(smallest, "root").select("fp", "root", "component_id"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, max_shard: int = 4096) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs`` (doc_id, text).
 
@@ -173,25 +190,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, max
     repeat a doc_id stay, each with its own text's fingerprint. A row with a null doc_id links its
     fingerprint, but is never a component's id; where no row has an id the component is null.
     """
-    marked = cut(fingerprints(docs, shingle))
-    first = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    member = connected_components(links(first.select("fp"), radius, max_shard))
-    rooted = first.join(member.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    rooted = cut(rooted)
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_fp = cut(rooted.select("fp", "root").join(smallest, "root").select("fp", "component_id"))
+    marked, of_fp = _grouped(docs, shingle, radius, max_shard)
     named = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return marked.join(of_fp, "fp").select("doc_id", named, "component_id")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each group of near-duplicates: its smallest doc_id. Of rows
-    that share that doc_id the one with the smallest text hash stays; rows without a doc_id cannot
-    be told apart and stay."""
-    found = near_duplicates(docs.select("doc_id", "text"), **options)
-    kept = free_name(docs, "kept")
-    keepers = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(kept)).distinct()
-    order = free_name(docs, "order")
-    nth = F.row_number().over(Window.partitionBy(kept).orderBy(F.xxhash64("text")))
-    stay = docs.join(keepers, docs["doc_id"].cast("long") == F.col(kept)).withColumn(order, nth).where(F.col(order) == 1)
+def keep_one(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, max_shard: int = 4096) -> DataFrame:
+    """``docs`` with one document of each group of near-duplicates: that of its smallest doc_id. Where
+    rows share that doc_id, the one with the smallest text hash in the group stays, so that a text
+    goes only if another of its own group is kept. Rows without a doc_id cannot be told apart and
+    stay."""
+    marked, of_fp = _grouped(docs.select("doc_id", "text"), shingle, radius, max_shard)
+    kept, tid, order = (free_name(docs, name) for name in ("kept", "tid", "order"))
+    keepers = marked.join(of_fp, "fp").where(F.col("doc_id") == F.col("component_id")).groupBy("root").agg(F.min("doc_id").alias(kept), F.min("tid").alias(tid)).select(kept, tid).distinct()
+    nth = F.row_number().over(Window.partitionBy(kept, tid).orderBy(F.lit(0)))  # repeated rows are alike
+    same = (docs["doc_id"].cast("long") == F.col(kept)) & (F.xxhash64(docs["text"].cast("string")) == F.col(tid))
+    stay = docs.join(keepers, same).withColumn(order, nth).where(F.col(order) == 1)
     return stay.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
