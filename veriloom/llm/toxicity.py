@@ -65,30 +65,31 @@ def grades(rows: DataFrame, telling: DataFrame, bounds: tuple[int, ...]) -> Data
     return rows.join(hits, "id", "left").withColumn("grade", F.when(F.col("toxic") == 1, grade).otherwise(0))
 
 
-@dataclass
 class Rows:
     """Sparse 0/1 rows: ``at`` holds the places of the ones, row after row from ``starts``."""
 
-    at: np.ndarray
-    starts: np.ndarray
-    grade: np.ndarray
-    n_features: int
+    def __init__(self, at: np.ndarray, starts: np.ndarray, grade: np.ndarray, n_features: int) -> None:
+        self.at, self.grade, self.n_features = at.astype(np.int32), grade, n_features
+        self.sizes = np.diff(np.r_[starts, len(at)]).astype(np.int64)
+        self.filled = np.flatnonzero(self.sizes)
+        self.starts = starts[self.filled].astype(np.int64)
+        self.owner = np.repeat(np.arange(len(grade), dtype=np.int32), self.sizes)
 
     def take(self, mask: np.ndarray) -> "Rows":
-        sizes = np.diff(np.r_[self.starts, len(self.at)])
-        kept = sizes[mask]
-        return Rows(self.at[np.repeat(mask, sizes)], np.cumsum(kept) - kept, self.grade[mask], self.n_features)
+        kept = self.sizes[mask]
+        return Rows(self.at[np.repeat(mask, self.sizes)], np.cumsum(kept) - kept, self.grade[mask], self.n_features)
 
     def latent(self, w: np.ndarray) -> np.ndarray:
-        total = np.r_[0.0, np.cumsum(w[self.at])]
-        return total[np.r_[self.starts[1:], len(self.at)].astype(int)] - total[self.starts.astype(int)] if len(self.starts) else np.zeros(0)
+        out = np.zeros(len(self.grade))
+        if len(self.filled):
+            out[self.filled] = np.add.reduceat(w[self.at], self.starts)
+        return out
 
     def back(self, residual: np.ndarray) -> np.ndarray:
-        sizes = np.diff(np.r_[self.starts, len(self.at)])
-        return np.bincount(self.at, np.repeat(residual, sizes), self.n_features)
+        return np.bincount(self.at, residual[self.owner], self.n_features)
 
 
-def loss(rows: Rows, w: np.ndarray, theta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+def loss(rows: Rows, w: np.ndarray, theta: np.ndarray, gradients: bool = True) -> tuple:
     """Mean negative log likelihood of the grades, and its gradients by weights and by ``theta``: the
     first threshold and the logarithms of the steps to the next ones."""
     cuts = thresholds_of(theta)
@@ -97,19 +98,22 @@ def loss(rows: Rows, w: np.ndarray, theta: np.ndarray) -> tuple[float, np.ndarra
     i, n = np.arange(len(z)), len(z)
     hi, lo = above[i, rows.grade], above[i, rows.grade + 1]
     p = np.maximum(hi - lo, 1e-12)
+    value = float(-np.log(p).mean())
+    if not gradients:
+        return (value,)
     by_cut = np.zeros((n, len(cuts) + 2))
     by_cut[i, rows.grade] += hi * (1 - hi) / p
     by_cut[i, rows.grade + 1] -= lo * (1 - lo) / p
     by_cuts = by_cut[:, 1:-1].sum(0) / n
     later = np.cumsum(by_cuts[::-1])[::-1]  # a step moves all later thresholds
-    return float(-np.log(p).mean()), rows.back((hi + lo - 1) / n), np.r_[later[0], later[1:] * np.exp(theta[1:])]
+    return value, rows.back((hi + lo - 1) / n), np.r_[later[0], later[1:] * np.exp(theta[1:])]
 
 
 def thresholds_of(theta: np.ndarray) -> np.ndarray:
     return theta[0] + np.r_[0.0, np.cumsum(np.exp(theta[1:]))]
 
 
-def fit_rows(rows: Rows, levels: int, penalty: float, start: tuple[np.ndarray, np.ndarray] | None = None, most_steps: int = 400, tolerance: float = 1e-7) -> tuple[np.ndarray, np.ndarray]:
+def fit_rows(rows: Rows, levels: int, penalty: float, start: tuple[np.ndarray, np.ndarray] | None = None, most_steps: int = 300, tolerance: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
     """Weights and theta of least loss + penalty * sum |w|, by accelerated proximal gradient steps
     with a step length that is halved where a step is too long, and restarts."""
     if start is None:
@@ -126,7 +130,7 @@ def fit_rows(rows: Rows, levels: int, penalty: float, start: tuple[np.ndarray, n
             new = y - length * gradient
             new[:n] = np.sign(new[:n]) * np.maximum(np.abs(new[:n]) - length * penalty, 0)
             step = new - y
-            after = loss(rows, new[:n], new[n:])[0]
+            after = loss(rows, new[:n], new[n:], gradients=False)[0]
             if after <= value + gradient @ step + step @ step / (2 * length) + 1e-12 or length < 1e-6:
                 break
             length /= 2
@@ -155,13 +159,13 @@ def chosen_fit(rows: Rows, fold: np.ndarray, levels: int, penalties: Sequence[fl
         if len(np.unique(train.grade)) < 2:
             continue
         for penalty in lost:  # from few weights to many, each from the last
-            start = fit_rows(train, levels, penalty, start, most_steps=150)
-            lost[penalty] += loss(test, *start)[0] * len(test.grade)
+            start = fit_rows(train, levels, penalty, start, most_steps=40)
+            lost[penalty] += loss(test, *start, gradients=False)[0] * len(test.grade)
     best = min(lost, key=lost.get)
     return *fit_rows(rows, levels, best), best
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, least_z: float = 2.5, fewest: int = 4, bounds: tuple[int, ...] = (3, 6), penalties: Sequence[float] = (0.0004, 0.0002, 0.0001, 0.00005), folds: int = 3) -> OrdinalModel:
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, least_z: float = 2.5, fewest: int = 4, bounds: tuple[int, ...] = (3, 6), penalties: Sequence[float] = (0.0002, 0.0001, 0.00005), folds: int = 3) -> OrdinalModel:
     """Model of ``labels`` (doc_id, toxic) over the texts of ``docs`` (doc_id, text), without the
     held-out ids.
 
@@ -190,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, least_z: fl
     whole = by_fold.groupBy("feature").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     names = sorted(r[0] for r in _scored(whole, fewest, bad / (total - bad)).where(F.abs("z") >= least_z).select("feature").collect())
     # of each fold: what the other folds tell
-    others = whole.join(by_fold.withColumnsRenamed({"n": "own_n", "bad": "own_bad"}), "feature").select("feature", "fold", (F.col("n") - F.col("own_n")).alias("n"), (F.col("bad") - F.col("own_bad")).alias("bad"))
+    others = whole.where("bad > 0").join(by_fold.withColumnsRenamed({"n": "own_n", "bad": "own_bad"}), "feature").select("feature", "fold", (F.col("n") - F.col("own_n")).alias("n"), (F.col("bad") - F.col("own_bad")).alias("bad"))
     telling = _scored(others, fewest, bad / (total - bad)).where("z > 4 and share > 0.6").select("fold", "feature")
     place, levels = {w: i for i, w in enumerate(names)}, len(bounds) + 1
     shared = docs.sparkSession.sparkContext.broadcast(place)
