@@ -1,9 +1,12 @@
 import datetime as dt
 
-from veriloom.streaming.limits import incremental, rate_limit, rate_limit_stream
+from veriloom.operators.ledger import upsert_ledger
+from veriloom.plans.verify import incremental_verify
+from veriloom.streaming.limits import ROCKSDB, incremental, rate_limit, rate_limit_stream
 
 
 def test_rate_limit_stream_equals_batch(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     base = dt.datetime(2026, 1, 1)
     rows = [(f"k{i % 3}", base + dt.timedelta(minutes=7 * i % 400), i) for i in range(120)]
     events = spark.createDataFrame(rows, "key string, ts timestamp, id long")
@@ -23,3 +26,21 @@ def test_incremental_stream_skips_repeats(spark, tmp_path):
     files = spark.readStream.schema("file_hash string, id long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     incremental(files, lambda batch, n: seen.extend(r.file_hash for r in batch.collect()), str(tmp_path / "c")).awaitTermination(120)
     assert sorted(seen) == ["h0", "h1", "h2", "h3"]
+
+
+def test_incremental_runs_verify_what_is_new_and_upsert_it(spark):
+    kind = "id long, doc_id long, saved_at timestamp, owner string, file_hash string, pipeline_version int, backup boolean"
+    t = dt.datetime(2026, 1, 1)
+    ledger = spark.createDataFrame([(1, 1, t, "a", "h1", 2, False, 7), (2, 2, t, "a", "h2", 1, False, 8)], kind + ", n long")
+    files = spark.createDataFrame([(3, 3, t, "a", "h1", 2, False), (4, 4, t, "a", "h2", 2, False), (5, 5, t, "a", "h5", 2, False), (6, 6, t, "a", "h5", 2, False)], kind)
+    asked = []
+
+    def check(fresh):
+        asked.extend(sorted(r.file_hash for r in fresh.collect()))
+        return fresh.select("doc_id", fresh["doc_id"].alias("n"))
+
+    after, answered = incremental_verify(files, ledger, 2, check)
+    assert asked == ["h2", "h5"] and [(r.id, r.reused_id) for r in answered.collect()] == [(3, 1)]
+    rows = {r.file_hash: (r.id, r.n) for r in after.collect()}
+    assert rows["h1"] == (1, 7) and rows["h2"] == (4, 4) and rows["h5"][0] in (5, 6) and len(rows) == 3
+    assert upsert_ledger(after, after).count() == 3

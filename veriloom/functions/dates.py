@@ -66,6 +66,11 @@ def _taken(text: Column) -> Column:
     return state
 
 
+def without_dates(text: Column) -> Column:
+    """The cleaned text with valid dates blanked by spaces."""
+    return _taken(text)["rest"]
+
+
 def take_dates(df: DataFrame, text: str, dates: str = "dates", rest: str = "rest") -> DataFrame:
     """``df`` with the dates of its column ``text`` (an array, pattern by pattern) and ``rest``, the
     cleaned text with valid dates blanked by spaces. Impossible dates stay in the text."""

@@ -31,12 +31,15 @@ def build_evidence(pages: DataFrame, docs: DataFrame) -> Evidence:
     pages have no evidence; a null language leaves the decimal style to the pages.
     """
     split = kept(M.split_injected_lines(pages.select("doc_id", "page", "text")).drop("text"))
-    styles = kept(M.decimal_styles(split, docs.select("doc_id", "language"), "clean"))
-    clean = kept(M.readable(split, styles, "clean"))
-    numbers = kept(M.number_evidence(clean))
-    money = kept(M.money_mentions(clean).distinct())
+    rests = kept(M.undated(split, "clean"))
+    styles = kept(M.styles_of(rests, docs.select("doc_id", "language")))
+    clean = M.readable_of(rests, styles)
+    tokens = kept(M.tokens_of(clean))
+    numbers = kept(M.numbers_of(tokens, clean))
+    money = kept(M.money_of(tokens).distinct())
     suspect = split.where("injected <> ''")
-    injected = kept(M.readable(suspect, styles, "injected", rejoin=False))
+    injected = M.readable(suspect, styles, "injected", rejoin=False)
+    told = kept(M.tokens_of(injected))
     dates = kept(M.date_evidence(split, "clean"))
     stated = kept(M.date_mentions(suspect, "injected").select("doc_id", "date").distinct())
     return Evidence(
@@ -44,10 +47,10 @@ def build_evidence(pages: DataFrame, docs: DataFrame) -> Evidence:
         styles=styles,
         numbers=numbers,
         money=money,
-        labels=kept(M.label_mentions(clean)),
+        labels=kept(M.labels_of(tokens)),
         dates=dates,
-        injected_numbers=M.number_evidence(injected).join(numbers, ["doc_id", "cents"], "left_anti"),
-        injected_money=M.money_mentions(injected).distinct().join(money, ["doc_id", "cents", "currency"], "left_anti"),
+        injected_numbers=M.numbers_of(told, injected).join(numbers, ["doc_id", "cents"], "left_anti"),
+        injected_money=M.money_of(told).distinct().join(money, ["doc_id", "cents", "currency"], "left_anti"),
         injected_dates=without_dates(stated, dates),
     )
 

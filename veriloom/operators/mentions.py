@@ -7,7 +7,7 @@ expressions, so nothing is shuffled but the final distinct or sum per document.
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import numbers as N
-from ..functions.dates import date_readings, take_dates, to_date
+from ..functions.dates import date_readings, take_dates, to_date, without_dates
 from ..functions.dims import ABBREVIATIONS, INSTRUCTION_PHRASES
 from ..functions.text import fold, search_form, strip
 
@@ -61,22 +61,44 @@ def date_mentions(pages: DataFrame, text: str = "text") -> DataFrame:
     return take_dates(pages, text).select("doc_id", "page", F.explode("dates").alias("date"))
 
 
-def decimal_styles(pages: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, style) of every document of ``docs`` (doc_id, language): as its pages write numbers,
-    else as its language does."""
+def undated(pages: DataFrame, text: str = "text", rejoin: bool = True) -> DataFrame:
+    """(doc_id, page, rest, joined): the text without its dates, and the same of the text in which
+    numbers that a line break has split are rejoined, null where there are none."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    split = whole.rlike(_REJOIN) if rejoin else F.lit(False)
+    return pages.select("doc_id", "page", without_dates(whole).alias("rest"), F.when(split, without_dates(F.regexp_replace(whole, _REJOIN, "$1 $2"))).alias("joined"))
+
+
+def styles_of(rests: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, style) of every document of ``docs`` (doc_id, language): as its pages write numbers
+    in ``rests`` (doc_id, rest), else as its language does."""
     comma, point = N.style_scores(F.col("rest"))
-    scores = take_dates(pages, text).select("doc_id", comma.alias("comma"), point.alias("point")).groupBy("doc_id").agg(F.sum("comma").alias("comma"), F.sum("point").alias("point"))
+    scores = rests.select("doc_id", comma.alias("comma"), point.alias("point")).groupBy("doc_id").agg(F.sum("comma").alias("comma"), F.sum("point").alias("point"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return docs.join(scores, "doc_id", "left").select("doc_id", N.style_of(zero("comma"), zero("point"), F.col("language")).alias("style"))
 
 
+def decimal_styles(pages: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+    return styles_of(undated(pages, text, rejoin=False), docs)
+
+
+def readable_of(rests: DataFrame, styles: DataFrame) -> DataFrame:
+    """Texts ready for number reading, of undated pages: (doc_id, page, rest, style)."""
+    both = F.filter(F.array("rest", "joined"), lambda x: x.isNotNull())
+    return rests.select("doc_id", "page", F.explode(both).alias("rest")).join(styles, "doc_id")
+
+
 def readable(pages: DataFrame, styles: DataFrame, text: str = "text", rejoin: bool = True) -> DataFrame:
-    """Pages ready for number reading: (doc_id, page, rest, style), also with numbers rejoined that a
-    line break has split."""
-    whole = F.coalesce(F.col(text), F.lit(""))
-    texts = F.array_distinct(F.array(whole, F.regexp_replace(whole, _REJOIN, "$1 $2"))) if rejoin else F.array(whole)
-    rows = pages.select("doc_id", "page", F.explode(texts).alias("__text"))
-    return take_dates(rows, "__text").drop("__text", "dates").join(styles, "doc_id")
+    return readable_of(undated(pages, text, rejoin), styles)
+
+
+def tokens_of(read: DataFrame, *keep: str) -> DataFrame:
+    """(doc_id, *keep, style, t) of each number token; an unknown style has both readings."""
+    return read.select("doc_id", *keep, "style", F.explode(N.read(F.col("rest"), F.col("style"), True)).alias("t"))
+
+
+#: Readings of tokens next to words: an unknown style counts as the comma's.
+_ONE_READING = "style <> 'unknown' or t.reading = 'comma'"
 
 
 def number_mentions(read: DataFrame) -> DataFrame:
@@ -86,30 +108,38 @@ def number_mentions(read: DataFrame) -> DataFrame:
     return tokens.select("doc_id", "page", "seq", "t.raw", "t.cents", "t.before", "t.after")
 
 
-def number_evidence(read: DataFrame) -> DataFrame:
+def numbers_of(tokens: DataFrame, read: DataFrame) -> DataFrame:
     """Distinct (doc_id, cents): tokens, multiplied tokens, ends of spaced tokens, grouped numbers."""
-    tokens = read.withColumn("t", N.read(F.col("rest"), F.col("style"), True))
-    values = F.concat(
-        F.transform("t", lambda t: t["cents"]),
-        F.transform("t", N.multiplied),
-        F.flatten(F.transform("t", lambda t: N.tails(t, F.col("style")))),
-        N.grouped(F.col("rest")),
-    )
-    return tokens.select("doc_id", F.explode(F.array_distinct(values)).alias("cents")).where("cents is not null").distinct()
+    t = F.col("t")
+    spaced = F.when(F.col("t.raw").rlike(r"\s"), N.tails(t, F.col("style"))).otherwise(F.array().cast("array<bigint>"))
+    told = tokens.select("doc_id", F.explode(F.concat(F.array(t["cents"], N.multiplied(t)), spaced)).alias("cents"))
+    grouped = read.select("doc_id", F.explode(N.grouped(F.col("rest"))).alias("cents"))
+    return told.unionByName(grouped).where("cents is not null").distinct()
 
 
-def money_mentions(read: DataFrame, *keep: str) -> DataFrame:
+def number_evidence(read: DataFrame) -> DataFrame:
+    return numbers_of(tokens_of(read), read)
+
+
+def money_of(tokens: DataFrame, *keep: str) -> DataFrame:
     """(doc_id, *keep, cents, currency) of each number with a currency next to it."""
-    tokens = read.select("doc_id", *keep, F.explode(N.read(F.col("rest"), F.col("style"), False)).alias("t"))
-    found = tokens.select("doc_id", *keep, N.money_cents(F.col("t")).alias("cents"), N.currency_of(F.col("t")).alias("currency"))
-    return found.where("currency is not null")
+    found = tokens.where(_ONE_READING).select("doc_id", *keep, "t", N.currency_of(F.col("t")).alias("currency")).where("currency is not null")
+    return found.select("doc_id", *keep, N.money_cents(F.col("t")).alias("cents"), "currency")
 
 
-def label_mentions(read: DataFrame, *keep: str) -> DataFrame:
+def money_mentions(read: DataFrame, *keep: str) -> DataFrame:
+    return money_of(tokens_of(read, *keep), *keep)
+
+
+def labels_of(tokens: DataFrame, *keep: str) -> DataFrame:
     """Distinct (doc_id, *keep, cents, kind, label) of words next to numbers."""
-    tokens = read.select("doc_id", *keep, F.explode(N.read(F.col("rest"), F.col("style"), False)).alias("t"))
     pairs = F.concat(*(F.transform(N.labels_of(F.col("t"), kind), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("label"))) for kind in N.LABELS))  # noqa: B023
-    return tokens.select("doc_id", *keep, F.col("t.cents").alias("cents"), F.explode(pairs).alias("p")).select("doc_id", *keep, "cents", "p.kind", "p.label").distinct()
+    told = tokens.where(_ONE_READING).select("doc_id", *keep, F.col("t.cents").alias("cents"), F.explode(pairs).alias("p"))
+    return told.select("doc_id", *keep, "cents", "p.kind", "p.label").distinct()
+
+
+def label_mentions(read: DataFrame, *keep: str) -> DataFrame:
+    return labels_of(tokens_of(read, *keep), *keep)
 
 
 def date_evidence(pages: DataFrame, text: str = "text") -> DataFrame:

@@ -15,7 +15,7 @@ from ..sources.tables import table
 from ..streaming.limits import rate_limit
 from .registry import query
 from .verification import _with, evidence, pages as invoice_pages, unverified
-from .verify import incremental_batch, verify
+from .verify import incremental_verify, verify
 
 _ANSWERS = """a as (select o_orderkey as k, o_orderkey % 31 <> 0 as parsed, case o_orderkey % 3 when 0 then 'de' when 1 then 'en' else 'Polish' end as language,
     case o_orderkey % 4 when 0 then 'faktura' when 1 then 'faktura' else 'raport' end as type, o_orderkey % 9 = 0 as ambiguous,
@@ -393,14 +393,25 @@ def _verified(spark, sf_dir):
     return verify(invoice_pages(spark, sf_dir), r("doc"), r("claim"), r("claim_date"), r("summary"), r("claim_name"), r("scan"), r("ocr"))
 
 
-@query("j8_verify", _with("").rstrip() + """
-    , a as (select doc_id, count(*) as n_amounts, count(*) filter (where issue is not null) as n_flagged from grounded group by doc_id)
-    select doc_id, n_amounts, n_flagged, doc_id in (select doc_id from inj) as instructed, doc_id % 20 = 1 and doc_id not in (select doc_id from scans) as unsupported from a""")
+_VERIFIED = """
+    , money_rows as (select doc_id, count(*) as n_amounts, count(*) filter (where issue is not null) as n_flagged,
+        string_agg(concat_ws(' ', idx::varchar, cents::varchar, currency, coalesce(found_in_text::varchar, '?'), coalesce(issue, '-')), ';' order by idx) as amounts from grounded group by doc_id)
+    , date_rows as (select doc_id, string_agg(concat_ws(' ', idx::varchar, strftime(date, '%Y-%m-%d'), case when verdict = 'ok' then 'true' when doc_id in (select doc_id from scans) then '?' else 'false' end,
+        case when verdict = 'ok' or doc_id in (select doc_id from scans) then '-' else verdict end), ';' order by idx) as dates from judged_date group by doc_id)
+"""
+
+
+@query("j8_verify", _with("").rstrip() + _VERIFIED + """
+    select doc_id, amounts, dates, n_flagged, doc_id in (select doc_id from inj) as instructed, doc_id % 20 = 1 and doc_id not in (select doc_id from scans) as unsupported,
+        doc_id not in (select doc_id from scans) as unnamed from money_rows join date_rows using (doc_id)""")
 def j8(spark, sf_dir):
     out = _verified(spark, sf_dir)
     warned = lambda what: F.coalesce(F.exists("warnings", lambda w: w.startswith(what)), F.lit(False))
     flagged = F.size(F.filter("amounts", lambda a: a["issue"].isNotNull())).cast("long")
-    return out.select("doc_id", F.size("amounts").cast("long").alias("n_amounts"), flagged.alias("n_flagged"), warned("instruction").alias("instructed"), warned("notInText").alias("unsupported"))
+    said = lambda x, *fields: F.concat_ws(" ", *(F.coalesce(x[f].cast("string"), F.lit("-" if f == "issue" else "?")) for f in fields))
+    amounts = F.array_join(F.transform("amounts", lambda a: said(a, "idx", "cents", "currency", "found_in_text", "issue")), ";")
+    dates = F.array_join(F.transform("dates", lambda d: said(d, "idx", "date", "found_in_text", "issue")), ";")
+    return out.select("doc_id", amounts.alias("amounts"), dates.alias("dates"), flagged.alias("n_flagged"), warned("instruction").alias("instructed"), warned("notInText").alias("unsupported"), warned("name").alias("unnamed"))
 
 
 _REPORT = """
@@ -471,18 +482,25 @@ def g1(spark, sf_dir):
     return rate_limit(events, 2, 3600)
 
 
-@query("g2_incremental_verify", """
-    with e as (select doc_id as id, sha256(text) as file_hash, (doc_id % 2)::integer as v, doc_id % 5 = 0 as backup from documents)
-    select file_hash, min(id) as first_id from e where id % 3 = 0 and file_hash not in (select file_hash from e where id % 3 <> 0 and v = 1 and not backup) group by file_hash""")
+@query("g2_incremental_verify", _with("").rstrip() + _VERIFIED + """
+    , old as (select distinct doc_id from pg where doc_id % 3 <> 0), come as (select distinct doc_id from pg where doc_id % 3 = 0 or doc_id % 4 = 1),
+    fresh as (select doc_id from come where not (doc_id in (select doc_id from old) and doc_id % 2 = 1 and doc_id % 5 <> 0))
+    select doc_id as id, -1::bigint as n_amounts, -1::bigint as n_flagged from old where doc_id not in (select doc_id from fresh) union all select doc_id + 1000000000, n_amounts, n_flagged from fresh join money_rows using (doc_id)""")
 def g2(spark, sf_dir):
-    from .corpus import _entries
-
-    entries = _entries(spark, sf_dir).withColumn("file_hash", F.lit(None).cast("string")).drop("file_hash")
-    hashed = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("file_hash"))
-    entries = entries.join(hashed, "id")
-    _, fresh = incremental_batch(entries.where("id % 3 = 0"), entries.where("id % 3 <> 0"), 1)
-    every = entries.where("id % 3 = 0").groupBy("file_hash").agg(F.min("id").alias("first_id"))
-    return every.join(fresh.select("file_hash"), "file_hash", "left_semi")
+    """Arriving invoices of customers, some of them answered by the ledger: the ledger afterwards."""
+    i = F.col("doc_id")
+    docs = rendered(spark, sf_dir, "doc")
+    hashed = docs.select(i.alias("id"), "doc_id", F.timestamp_seconds(i).alias("saved_at"), F.lit("owner").alias("owner"), F.sha2(i.cast("string"), 256).alias("file_hash"), (i % 2).cast("int").alias("pipeline_version"), (i % 5 == 0).alias("backup"))
+    ledger = hashed.where("doc_id % 3 <> 0").withColumns({"n_amounts": F.lit(-1).cast("long"), "n_flagged": F.lit(-1).cast("long")})
+    files = hashed.where("doc_id % 3 = 0 or doc_id % 4 = 1").withColumns({"id": i + 1_000_000_000, "pipeline_version": F.lit(1)})
+
+    def check(fresh):
+        r = lambda name: rendered(spark, sf_dir, name).join(fresh.select("doc_id"), "doc_id", "left_semi")
+        done = verify(r("page").drop("o_orderkey"), r("doc"), r("claim"), r("claim_date"), r("summary"), r("claim_name"), r("scan"), r("ocr"))
+        return done.select("doc_id", F.size("amounts").cast("long").alias("n_amounts"), F.size(F.filter("amounts", lambda a: a["issue"].isNotNull())).cast("long").alias("n_flagged"))
+
+    after, _ = incremental_verify(files, ledger, 1, check)
+    return after.select("id", "n_amounts", "n_flagged")
 
 
 @query("u1_with_extractor", """

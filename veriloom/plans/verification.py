@@ -59,15 +59,20 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendered(spark, sf_dir, "page").drop("o_orderkey")
 
 
-_BUILT: dict[tuple[str, str], Evidence] = {}
+_BUILT: dict[str, tuple[tuple, Evidence]] = {}
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> Evidence:
-    """The corpus's mention tables: written once a session, and read by every check."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _BUILT:
-        _BUILT[key] = build_evidence(pages(spark, sf_dir), rendered(spark, sf_dir, "doc"))
-    return _BUILT[key]
+    """The corpus's mention tables: written once for the files as they are, and read by every check. Of
+    a session only the last corpus's are known; files that were written anew are read anew."""
+    stamp = "_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time"
+    files = table(spark, sf_dir, "orders").select(*stamp).unionByName(table(spark, sf_dir, "customer").select(*stamp)).distinct()
+    state = tuple(sorted(map(tuple, files.collect())))  # a row per file
+    session = spark.sparkContext.applicationId
+    if _BUILT.get(session, (None,))[0] != state:
+        _BUILT.clear()
+        _BUILT[session] = state, build_evidence(pages(spark, sf_dir), rendered(spark, sf_dir, "doc"))
+    return _BUILT[session][1]
 
 
 def _clean(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,51 +3,69 @@
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import ArrayType, LongType, StructType
+
+from ..operators.fold import fold
+
+#: The state store that transformWithState needs.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def accept(accepted: tuple[int, ...], now: int, limit: int, window_us: int) -> tuple[tuple[int, ...], bool]:
+    """The accepted times after a request at ``now``, and is it allowed? Times are microseconds; at
+    most ``limit`` are held."""
+    recent = tuple(t for t in accepted if now - t < window_us)
+    return ((*recent, now), True) if len(recent) < limit else (recent, False)
 
 
 def rate_limit(events: DataFrame, limit: int, window_s: float) -> DataFrame:
     """``events`` (key, ts, id) with ``allowed``: are fewer than ``limit`` accepted requests of the
-    key younger than the window? The batch form: a fold over each key's requests by time."""
-    rows = events.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("ts", "id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")))).alias("rows"))
-    age = lambda row, t: row["us"] - t < int(window_s * 1_000_000)
+    key younger than the window? The batch form: each key's requests are read by time, and only the
+    accepted times of the window are held."""
+    timed = events.select("key", "ts", "id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    window = int(window_s * 1_000_000)
+    step = lambda state, row: accept(state or (), row[0], limit, window)
+    return fold(timed, ["key"], ["us", "id"], ["us"], step, "allowed", "boolean").select("key", "ts", "id", "allowed")
 
-    def step(s: Column, row: Column) -> Column:
-        recent = F.filter(s["accepted"], lambda t: age(row, t))
-        allowed = F.size(recent) < limit
-        accepted = F.when(allowed, F.concat(recent, F.array(row["us"]))).otherwise(recent)
-        return F.struct(accepted.alias("accepted"), F.concat(s["out"], F.array(F.struct(row["ts"].alias("ts"), row["id"].alias("id"), allowed.alias("allowed")))).alias("out"))
 
-    kind = events.select("ts", "id").schema
-    out = f"array<struct<ts:{kind['ts'].dataType.simpleString()},id:{kind['id'].dataType.simpleString()},allowed:boolean>>"
-    start = F.struct(F.array().cast("array<bigint>").alias("accepted"), F.array().cast(out).alias("out"))
-    return rows.select("key", F.explode(F.aggregate("rows", start, step, lambda s: s["out"])).alias("r")).select("key", "r.*")
+class Limiter(StatefulProcessor):
+    """Holds the accepted times of a key; a timer drops them when event time has passed the window."""
 
+    def __init__(self, limit: int, window_us: int) -> None:
+        self.limit, self.window = limit, window_us
 
-def rate_limit_stream(events: DataFrame, limit: int, window_s: float, lateness: str = "10 minutes") -> DataFrame:
-    """The same for a stream of ``events`` (key: string, ts, id: long): the accepted times of a key
-    are its state, which is dropped when event time has passed the window."""
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        accepted = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["ts", "id"])
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.accepted = handle.getValueState("accepted", StructType().add("times", ArrayType(LongType())))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        times = tuple(self.accepted.get()[0]) if self.accepted.exists() else ()
+        table = pd.concat(list(rows)).sort_values(["ts", "id"])
         allowed = []
-        for ts in rows["ts"]:
-            now = int(ts.value // 1000)
-            accepted = [t for t in accepted if now - t < window_s * 1_000_000]
-            allowed.append(len(accepted) < limit)
-            if allowed[-1]:
-                accepted.append(now)
-        state.update((accepted,))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, int(rows["ts"].max().value // 1_000_000 + window_s * 1000)))
-        yield pd.DataFrame({"key": key[0], "ts": rows["ts"].to_numpy(), "id": rows["id"].to_numpy(), "allowed": allowed})
+        for ts in table["ts"]:
+            times, ok = accept(times, int(ts.value // 1000), self.limit, self.window)
+            allowed.append(ok)
+        self.accepted.update((list(times),))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(max(timerValues.getCurrentWatermarkInMs() + 1, (int(table["ts"].max().value // 1000) + self.window) // 1000))
+        yield pd.DataFrame({"key": key[0], "ts": table["ts"].to_numpy(), "id": table["id"].to_numpy(), "allowed": allowed})
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.accepted.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
 
+
+def rate_limit_stream(events: DataFrame, limit: int, window_s: float, lateness: str = "10 minutes") -> DataFrame:
+    """The same for a stream of ``events`` (key: string, ts, id: long). The session's state store must be
+    ROCKSDB (spark.sql.streaming.stateStore.providerClass)."""
     watched = events.withWatermark("ts", lateness).groupBy("key")
-    return watched.applyInPandasWithState(run, "key string, ts timestamp, id long, allowed boolean", "accepted array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    return watched.transformWithStateInPandas(Limiter(limit, int(window_s * 1_000_000)), "key string, ts timestamp, id long, allowed boolean", "append", "EventTime")
 
 
 def incremental(files: DataFrame, handle, checkpoint: str):
