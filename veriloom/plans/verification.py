@@ -6,6 +6,7 @@ from.
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.dims import ABBREVIATIONS
 from ..functions.text import cents
 from ..operators import claims as C, mentions as M
 from ..operators.evidence import Evidence, build_evidence, union_ocr
@@ -144,10 +145,18 @@ def m10(spark, sf_dir):
     return texts.select("doc_id", "text_no", M.clause_with(F.col("text"), lambda c: c.contains("EUR")).alias("context"))
 
 
-@query("m11_sentence_counts")
+_ABBREVIATED = ", ".join(f"'{a}'" for a in ABBREVIATIONS)
+
+
+@query("m11_sentence_counts", f"""
+    with w as (select doc_id, lang, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') as ws from documents),
+    g as (select doc_id, lang, ws, list_filter(range(1, len(ws)), lambda i: regexp_matches(ws[i], '[.!?…]+["''”»)]*$') and regexp_matches(ws[i + 1], '^["''„«(]?\\p{{Lu}}')) as ends from w),
+    k as (select doc_id, lang, ws, list_filter(ends, lambda i: not (ws[i][len(regexp_extract(ws[i], '^(.*?)[.!?…]+["''”»)]*$', 1)) + 1] = '.'
+        and (regexp_full_match(regexp_replace(regexp_extract(ws[i], '^(.*?)[.!?…]+["''”»)]*$', 1), '^[("„«'']+', ''), '\\p{{Lu}}')
+             or lower(regexp_replace(regexp_extract(ws[i], '^(.*?)[.!?…]+["''”»)]*$', 1), '^[("„«'']+', '')) in ({_ABBREVIATED})))) as held from g)
+    select doc_id, lang, case when len(ws) = 0 then 0 else len(held) + 1 end::integer as sentences from k""")
 def m11(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", "lang", M.sentence_count(F.col("text")).alias("sentences")).groupBy("lang").agg(F.count("*").alias("n"), F.sum("sentences").alias("sentences"), F.max("sentences").alias("most"))
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", M.sentence_count(F.col("text")).alias("sentences"))
 
 
 @query("e1_build_evidence", _with("""
