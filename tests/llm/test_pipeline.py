@@ -26,3 +26,16 @@ def test_stages(spark):
         docs, before = after, rows
     mixed = P.STAGES[-1][1](spark, docs, SF).collect()
     assert sorted(r.doc_id for r in mixed) == sorted(before)
+
+
+def test_stages_keep_awkward_rows_in_order(spark, awkward):
+    """Nulls, empty and very long texts, repeated rows and columns with the operators' own names."""
+    docs = awkward.selectExpr("doc_id", "text", "'en' as lang", "source", "length(text) as n_chars", "fp", "kept as __kept", "size as __ids")
+    columns, before = docs.columns, docs.count()
+    for name, stage in P.STAGES[:-1]:
+        docs = cut(stage(spark, docs, SF))
+        assert docs.columns == columns and 0 < docs.count() <= before, name
+        before = docs.count()
+        empty = stage(spark, docs.where("false"), SF)
+        assert empty.columns == columns and empty.count() == 0, name
+    assert P.STAGES[-1][1](spark, docs, SF).count() == before
