@@ -78,6 +78,21 @@ def test_evidence_with_scans_and_instructions(spark):
     }
 
 
+def test_money_and_labels_of_other_kinds(spark):
+    styles = spark.createDataFrame([(1, "comma"), (2, "point"), (3, "unknown")], "doc_id long, style string")
+    pages = spark.createDataFrame(
+        [(1, 1, "Abonament 1 200,50 zł miesięcznie, 14 406 zł rocznie; razem 2,5 mln USD."), (2, 1, "GBP 99.50 per month\n$ 1,200 annual fee, net 300 EUR and CHF 5"), (3, 1, "7,50 PLN")], "doc_id long, page int, text string"
+    )
+    read = M.readable(pages, styles)
+    money = {(r.doc_id, r.cents, r.currency) for r in M.money_mentions(read).collect()}
+    assert money == {(1, 120050, "PLN"), (1, 1440600, "PLN"), (1, 250000000, "USD"), (2, 9950, "GBP"), (2, 120000, "USD"), (2, 30000, "EUR"), (2, 500, "CHF"), (3, 750, "PLN")}
+    labels = {(r.doc_id, r.cents, r.kind, r.label) for r in M.label_mentions(read).collect()}
+    assert {(1, 120050, "period", "monthly"), (1, 1440600, "period", "yearly"), (2, 9950, "period", "monthly"), (2, 120000, "period", "yearly")} <= labels
+    ev = build_evidence(pages, spark.createDataFrame([(1, "pl"), (2, "en"), (3, None)], "doc_id long, language string"))
+    said = spark.createDataFrame([(1, 1, 120050, "fee per year"), (1, 2, 1440600, "rocznie"), (2, 3, 9950, "yearly"), (2, 4, 9950, "a fee")], "doc_id long, idx long, cents long, context string")
+    assert sorted((r.idx, r.kind, r.said, r.in_document) for r in claims.check_labels(said, ev).collect()) == [(1, "period", "yearly", "monthly"), (3, "period", "yearly", "monthly")]
+
+
 def test_names(spark):
     pages = spark.createDataFrame([(1, "umowa z Annę Kowalczyk oraz Acme sp.")], "doc_id long, clean string")
     names = spark.createDataFrame([(1, "person", 1, "Anna Kowalczyk"), (1, "person", 2, "Piotr Nowak"), (1, "organization", 3, "ABC Ltd"), (1, "organization", 4, "Ltd")], "doc_id long, kind string, idx long, name string")

@@ -96,11 +96,28 @@ def translatable_fields(records: DataFrame) -> DataFrame:
     return records.where("record is not null").select("doc_id", F.explode(F.concat(*parts)).alias("t")).select("doc_id", "t.*").where("text is not null")
 
 
-def apply_translation(source: DataFrame, target: DataFrame, issues: DataFrame) -> DataFrame:
-    """(doc_id, field, idx, text, numbers_verified) of documents without structure issues: the
-    target's text, else the source's; verified where ``issues`` (doc_id) has none."""
-    bad = structure_issues(source.where("field not in ('amounts', 'dates')"), target.where("field not in ('amounts', 'dates')")).select("doc_id").distinct()
-    translated = target.select(*KEY, F.col("text").alias("__new"))
-    flagged = issues.select("doc_id").distinct().withColumn("__issue", F.lit(True))
-    met = source.join(bad, "doc_id", "left_anti").join(translated, list(KEY), "left").join(flagged, "doc_id", "left")
-    return met.select(*KEY, F.coalesce("__new", "text").alias("text"), F.col("__issue").isNull().alias("numbers_verified"))
+def apply_translation(records: DataFrame, target: DataFrame, issues: DataFrame, to: str) -> DataFrame:
+    """``records`` (doc_id, record) with ``translated`` records and their ``translation`` (from, to,
+    numbers_verified, issues): each text is the ``target``'s (doc_id, field, idx, text) at its place;
+    contexts without one keep the source's. Values, currencies and dates stay. ``issues`` are
+    (doc_id, field, idx, missing, extra, wrong_format). A document whose other lists differ in length
+    is left out, as is one without a target."""
+    source = translatable_fields(records)
+    free = "field not in ('amounts', 'dates')"
+    bad = structure_issues(source.where(free), target.where(free)).select("doc_id").distinct()
+    texts = target.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "field", F.col("idx").cast("string")), "text"))).alias("__texts"))
+    fields = [F.col(c) for c in ("field", "idx", "missing", "extra", "wrong_format")]
+    told = issues.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("__issues"))
+    met = records.where("record is not null").join(bad, "doc_id", "left_anti").join(texts, "doc_id").join(told, "doc_id", "left")
+    at = lambda field, i: F.try_element_at("__texts", F.concat(F.lit(f"{field}:"), i.cast("string")))
+    listed = lambda field: F.transform(f"record.{field}", lambda t, i: F.coalesce(at(field, i), t))
+    context = lambda field: F.transform(f"record.{field}", lambda x, i: x.withField("context", F.coalesce(at(field, i), x["context"])))
+    title = F.col("record.document.title")
+    record = F.col("record").withField("document.title", F.when(title.isNotNull(), F.coalesce(at("title", F.lit(0)), title))).withField("summary", F.coalesce(at("summary", F.lit(0)), F.col("record.summary")))
+    for field in ("keyPoints", "keywords", "warnings"):
+        record = record.withField(field, listed(field))
+    for field in ("amounts", "dates"):
+        record = record.withField(field, context(field))
+    found = F.coalesce("__issues", F.array().cast(met.schema["__issues"].dataType))
+    translation = F.struct(F.col("record.document.language").alias("from"), F.lit(to).alias("to"), (F.size(found) == 0).alias("numbers_verified"), found.alias("issues"))
+    return met.select("doc_id", "record", record.alias("translated"), translation.alias("translation"))

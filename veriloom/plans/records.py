@@ -179,19 +179,31 @@ def t4(spark, sf_dir):
     return T.check_pages(as_pages(source), returned, none, _styles(source))
 
 
-@query("t5_translatable_fields", f"""
-    with {_ANSWERS} select k as doc_id, (points + 3 + (k % 5 <> 0)::integer)::bigint as n from a where parsed""")
+_FIELDS = f"""{_ANSWERS}, fields as (
+    select k as doc_id, 'title' as field, 0 as idx, 'Bill' as text from a where parsed and k % 5 <> 0 union all select k, 'summary', 0, 'First it is. Then it was. Now it ends.' from a where parsed
+    union all select k, 'keyPoints', unnest(range(points))::integer, unnest(case when points = 4 then ['a', 'b', 'c', 'd'] else ['a', 'd'] end) from a where parsed
+    union all select k, 'amounts', 0, 'Total' from a where parsed union all select k, 'keywords', 0, 'k' from a where parsed)"""
+
+
+@query("t5_translatable_fields", f"with {_FIELDS} select * from fields")
 def t5(spark, sf_dir):
-    return T.translatable_fields(_records(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("n"))
+    return T.translatable_fields(_records(spark, sf_dir))
 
 
 @query("t6_apply_translation", f"""
-    with {_KEPT} select k as doc_id, count(*) as n, k % 10 not in (1, 2, 3) as numbers_verified from ok group by k""")
+    with {_FIELDS}, kept as (select * from a where parsed and k % 10 <> 1)
+    select k as doc_id, case when k % 5 <> 0 then 'Bill*' end as title, 'First it is. Then it was. Now it ends.*' as summary, case when points = 4 then 'a*,b*,c*,d*' else 'a*,d*' end as points,
+        case when k % 4 = 0 then 'Total' else 'Total*' end as context, case when not ambiguous then k::double end as value, 'k*' as keywords, language as "from", 'en' as "to", k % 6 <> 5 as numbers_verified, case when k % 6 = 5 then 'summary 12' else '' end as issues from kept""")
 def t6(spark, sf_dir):
-    source, target = _sides(spark, sf_dir)
-    issues = T.check_texts(source, target, _styles(source)).select("doc_id").distinct()
-    out = T.apply_translation(source, target, issues)
-    return out.groupBy("doc_id", "numbers_verified").agg(F.count("*").alias("n"))
+    """Each text with a mark for its translation; some contexts have none, some records lack a point."""
+    records = kept(_records(spark, sf_dir))
+    source = T.translatable_fields(records)
+    target = source.where("not (field = 'amounts' and doc_id % 4 = 0) and not (field = 'keyPoints' and idx = 1 and doc_id % 10 = 1)").withColumn("text", F.concat("text", F.lit("*")))
+    issues = records.where("doc_id % 6 = 5 and record is not null").select("doc_id", F.lit("summary").alias("field"), F.lit(0).alias("idx"), F.lit("12").alias("missing"), F.lit("").alias("extra"), F.lit("").alias("wrong_format"))
+    out = T.apply_translation(records, target, issues, "en")
+    t = "translated"
+    told = F.array_join(F.transform("translation.issues", lambda i: F.concat_ws(" ", i["field"], i["missing"])), ";")
+    return out.select("doc_id", f"{t}.document.title", f"{t}.summary", F.array_join(f"{t}.keyPoints", ",").alias("points"), F.col(f"{t}.amounts")[0]["context"].alias("context"), F.col(f"{t}.amounts")[0]["value"].alias("value"), F.array_join(f"{t}.keywords", ",").alias("keywords"), F.col("translation.from").alias("from"), F.col("translation.to").alias("to"), F.col("translation.numbers_verified").alias("numbers_verified"), told.alias("issues"))
 
 
 def _truth(spark, sf_dir):
