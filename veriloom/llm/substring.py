@@ -198,12 +198,15 @@ def referenced_windows(docs: DataFrame, dealt: DataFrame, width: int = WIDTH, gr
     of, at, tid = (free_name(docs, name) for name in ("of", "at", "tid"))
     met = dealt.join(places.select(F.col("doc_id").alias(of), F.col("at").alias(at)), F.col("doc_id").cast("long") == F.col(of))
     blocks = cut(_blocks(met.withColumn(tid, text_id(F.col("text"))), of, tid, at, width, gram))
-    firsts = cut(blocks.groupBy("anchor", "content").agg(F.min("doc_id").alias("first")))
-    known = lambda *columns: blocks.select("anchor", "content", "doc_id", "tid", "start", *columns).join(firsts, ["anchor", "content"])
-    copies = known("n").where("doc_id > first").select("doc_id", "tid", F.col("start").alias("at"), "n", F.col("first").alias("ref"))
-    mixed = cut(firsts.groupBy("anchor").count().where("count > 1").select("anchor"))  # else all its blocks are copies
-    asked = known("windows").where("doc_id = first").join(mixed, "anchor", "left_semi").select("anchor", "doc_id", "tid", "start", F.posexplode("windows").alias("i", "window"))
-    asked = cut(asked.select("anchor", "window", "doc_id", "tid", (F.col("start") + F.col("i")).alias("at")))
+    contents = cut(blocks.groupBy("anchor", "content").agg(F.min("doc_id").alias("first")))
+    several = cut(contents.groupBy("anchor").count().select("anchor", (F.col("count") > 1).alias("mixed")))  # else all its blocks are copies
+    firsts = cut(contents.join(several, "anchor"))
+    # a copy is a run of windows with a reference; a reference block's windows are looked up one by one
+    copy = F.array(F.struct(F.col("start").alias("at"), F.col("n").alias("n"), F.col("first").alias("ref"), F.lit(None).cast("long").alias("window")))
+    alone = F.transform("windows", lambda w, i: F.struct((F.col("start") + i).alias("at"), F.lit(1).alias("n"), F.lit(None).cast("long").alias("ref"), w.alias("window")))
+    parts = F.when(F.col("doc_id") > F.col("first"), copy).when(F.col("mixed"), alone)
+    looked = cut(blocks.join(firsts, ["anchor", "content"]).select("anchor", "doc_id", "tid", F.explode(parts).alias("p")).select("anchor", "doc_id", "tid", "p.*"))
+    copies, asked = looked.where("ref is not null").select("doc_id", "tid", "at", "n", "ref"), looked.where("ref is null").drop("n", "ref")
     index = cut(asked.groupBy("anchor", "window").agg(F.min("doc_id").alias("ref"), F.max("doc_id").alias("high")).where("ref < high").drop("high"))
     found = asked.join(index, ["anchor", "window"]).where("doc_id > ref").select("doc_id", "tid", "at", F.lit(1).alias("n"), "ref")
     return copies.unionByName(found).groupBy("doc_id").agg(F.collect_list(F.struct("tid", "at", "n", "ref")).alias("found"))
