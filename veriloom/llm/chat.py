@@ -39,7 +39,7 @@ def rotate(messages: DataFrame, messages_a_part: int = 64) -> DataFrame:
     """
     said = messages.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("speaker"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("said"))
     said = said.groupBy("conv_id", "turn", "speaker", "said").agg(F.count("*").alias("times")).withColumn("times", F.when(F.col("turn").isNull(), F.col("times")).otherwise(F.lit(1)))
-    counted = running_total(said, ["conv_id"], ["turn", "speaker", "said"], "times", "before")
+    counted = running_total(said.withColumn("lead", F.left("said", F.lit(32))), ["conv_id"], ["turn", "speaker", "lead", "said"], "times", "before", n_dealt=3)
     numbered = counted.select("conv_id", "speaker", "said", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("times") - 1)).alias("number"))
     part = F.floor(F.col("number") / messages_a_part).cast("long").alias("part")
     parts = cut(numbered.groupBy("conv_id", part).agg(F.array_sort(F.collect_list(F.struct("number", "speaker", "said"))).alias("turns")))

@@ -36,15 +36,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
+def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str, n_dealt: int | None = None) -> DataFrame:
     """``df`` with a column ``name``: the sum of ``value`` over the rows of the same ``keys`` (null is
     a key) that come before in ``order``, nulls first.
 
-    Rows are dealt out by ranges of keys and order, so a hot key is many tasks' work; a range's own
-    sums, one row per key and range, give its start.
+    Rows are dealt out by ranges of keys and order (its first ``n_dealt`` columns: bounds of ranges
+    are held by the driver, so they are not to be long), so a hot key is many tasks' work; a range's
+    own sums, one row per key and range, give its start.
     """
     at, start = free_name(df, "range"), free_name(df, "start")
-    dealt = cut(df.repartitionByRange(*keys, *order).withColumn(at, F.spark_partition_id()))
+    dealt = cut(df.repartitionByRange(*keys, *order[:n_dealt]).withColumn(at, F.spark_partition_id()))
     sums = dealt.groupBy(at, *keys).agg(F.sum(value).alias(start))
     earlier = Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn(start, F.coalesce(F.sum(start).over(earlier), F.lit(0)))
