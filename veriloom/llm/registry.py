@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 
-from . import chat, decontaminate, licences, mixing, quality, simhash, substring, topk, toxicity, url_filter
+from . import chat, decontaminate, language, lexical, licences, mixing, quality, simhash, substring, topk, toxicity, url_filter, whitening
 from .tables import WORD, table
 
 #: Rules by host and path, and the sites that the list of unwanted sites holds.
@@ -71,6 +71,18 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 _OP1 = """
 with once as (
     select conv_id, turn, coalesce(role, 'unknown') as speaker, coalesce(text, '') as said, count(*) as times from conversations group by all
@@ -173,6 +185,27 @@ with vectors as (
 )
 select query_id, rank, vec_id, score from ranked where rank <= 5"""
 
+_OP11 = """
+with words as (
+    select doc_id, row_number() over () as d, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as ws from documents
+), sizes as (
+    select count(*)::bigint as n_docs, sum(len(ws))::bigint as length from words where len(ws) > 0
+), postings as (
+    select d, doc_id, n, term, count(*)::bigint as tf from (select d, doc_id, len(ws)::bigint as n, unnest(ws) as term from words) group by all
+), frequent as (
+    select term, count(*)::bigint as df from postings group by term
+), asked as (
+    select i, item_id, term, count(*)::bigint as times from (
+        select item_id, row_number() over () as i, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term from benchmark) group by all
+), scored as (
+    select i, any_value(item_id) as item_id, d, any_value(doc_id) as doc_id,
+        sum(times * floor(1000 * ln((2 * n_docs + 2)::double / (2 * df + 1)::double))::bigint * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * n * n_docs) // length)))))::bigint as score
+    from asked join frequent using (term) join postings using (term), sizes group by i, d
+), ranked as (
+    select *, row_number() over (partition by i order by score desc, doc_id nulls last)::integer as rank from scored where score > 0
+)
+select item_id, rank, doc_id, score from ranked where rank <= 20"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_quality_classifier": op2_quality_classifier,
@@ -184,7 +217,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filters": op8_url_filters,
     "op9_mixing": op9_mixing,
     "op10_exact_top_k": op10_exact_top_k,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_language_id": op12_language_id,
+    "op13_whitening": op13_whitening,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_chat_formatting": _OP1, "op5_license_scans": _OP5, "op8_url_filters": _OP8, "op9_mixing": _OP9, "op10_exact_top_k": _OP10}
+ORACLE_SQL: dict[str, str] = {"op1_chat_formatting": _OP1, "op5_license_scans": _OP5, "op8_url_filters": _OP8, "op9_mixing": _OP9, "op10_exact_top_k": _OP10, "op11_ranked_search": _OP11}
