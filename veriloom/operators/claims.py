@@ -24,7 +24,8 @@ def _support(ev: Evidence) -> DataFrame:
 
 def check_amounts(claims: DataFrame, ev: Evidence) -> DataFrame:
     """``claims`` (doc_id, cents, currency, ...) with ``verdict``: fromInstruction, currencyMismatch,
-    ok or notInText, the first that applies. Null cents are notInText."""
+    ok or notInText, the first that applies, and ``in_document``, the currencies that stand next to the
+    value. Null cents are notInText."""
     flag = lambda c: F.coalesce(F.col(c), F.lit(False))
     has = lambda c: F.coalesce(F.array_contains(F.col(c), F.col("currency")), F.lit(False))
     verdict = (
@@ -33,7 +34,7 @@ def check_amounts(claims: DataFrame, ev: Evidence) -> DataFrame:
         .when(flag("clean"), "ok")
         .otherwise("notInText")
     )
-    out = claims.join(_support(ev), ["doc_id", "cents"], "left").withColumn("verdict", verdict)
+    out = claims.join(_support(ev), ["doc_id", "cents"], "left").withColumn("verdict", verdict).withColumn("in_document", F.array_sort("currencies"))
     return out.drop("clean", "injected", "currencies", "injected_currencies")
 
 
@@ -68,21 +69,28 @@ def check_labels(claims: DataFrame, ev: Evidence) -> DataFrame:
     return _contradicted(said, ev).select("doc_id", "idx", "cents", "kind", "said", F.array_join("in_document", "/").alias("in_document"))
 
 
+def priced(cents: Column, currency: Column) -> Column:
+    """An amount in text, as in "12.50 EUR"."""
+    return F.concat_ws(" ", F.format_string("%d.%02d", F.floor(cents / 100), cents % 100), currency)
+
+
 def _found(verdict: Column, unverified: Column) -> Column:
     return F.when(verdict == "ok", True).when((verdict == "notInText") & unverified, F.lit(None).cast("boolean")).otherwise(False)
 
 
 def ground_amounts(claims: DataFrame, ev: Evidence, unverified: DataFrame) -> DataFrame:
     """``claims`` (doc_id, idx, value, currency, context) with found_in_text (null: cannot be
-    checked, a scan of a document of ``unverified`` (doc_id) may have it) and issue. Flags that
-    claims bring along are replaced."""
-    plain = claims.drop("found_in_text", "issue", "cents", "verdict").withColumn("cents", cents(F.col("value")))
-    wrong = check_labels(plain, ev).select("doc_id", "idx").distinct().withColumn("mislabelled", F.lit(True))
+    checked, a scan of a document of ``unverified`` (doc_id) may have it), issue and ``detail``: what the
+    document says instead of another currency or label. Flags that claims bring along are replaced."""
+    plain = claims.drop("found_in_text", "issue", "cents", "verdict", "detail", "in_document").withColumn("cents", cents(F.col("value")))
+    told = F.concat(F.col("said"), F.lit(", document: "), F.col("in_document"))
+    wrong = check_labels(plain, ev).groupBy("doc_id", "idx").agg(F.array_join(F.array_sort(F.collect_set(told)), "; ").alias("mislabelled"))
     scans = unverified.select("doc_id").distinct().withColumn("scans", F.lit(True))
     out = check_amounts(plain, ev).join(wrong, ["doc_id", "idx"], "left").join(scans, "doc_id", "left")
     found = _found(F.col("verdict"), F.coalesce("scans", F.lit(False)))
-    issue = F.when(F.col("verdict") == "ok", F.when(F.col("mislabelled"), "labelMismatch")).when(F.col("found_in_text").isNotNull(), F.col("verdict"))
-    return out.withColumn("found_in_text", found).withColumn("issue", issue).drop("verdict", "mislabelled", "scans")
+    issue = F.when(F.col("verdict") == "ok", F.when(F.col("mislabelled").isNotNull(), "labelMismatch")).when(F.col("found_in_text").isNotNull(), F.col("verdict"))
+    detail = F.when(F.col("issue") == "labelMismatch", F.col("mislabelled")).when(F.col("issue") == "currencyMismatch", F.concat(F.lit("document: "), F.array_join("in_document", "/")))
+    return out.withColumn("found_in_text", found).withColumn("issue", issue).withColumn("detail", detail).drop("verdict", "mislabelled", "scans", "in_document")
 
 
 def ground_dates(claims: DataFrame, ev: Evidence, unverified: DataFrame) -> DataFrame:
@@ -109,8 +117,7 @@ def ground_texts(texts: DataFrame, ev: Evidence, unverified: DataFrame) -> DataF
     stated = kept(_stated(texts, ev.styles))
     amounts = check_amounts(stated.where("currency is not null").select("doc_id", "cents", "currency").distinct(), ev)
     dates = check_dates(stated.where("date is not null").select("doc_id", "date").distinct(), ev)
-    item = F.concat_ws(" ", F.format_string("%d.%02d", F.floor(F.col("cents") / 100), F.col("cents") % 100), "currency")
-    rows = amounts.select("doc_id", "verdict", item.alias("item")).unionByName(dates.select("doc_id", "verdict", F.col("date").cast("string").alias("item")))
+    rows = amounts.select("doc_id", "verdict", priced(F.col("cents"), F.col("currency")).alias("item")).unionByName(dates.select("doc_id", "verdict", F.col("date").cast("string").alias("item")))
     hidden = unverified.select("doc_id").distinct().withColumn("verdict", F.lit("notInText"))
     return rows.where("verdict <> 'ok'").join(hidden, ["doc_id", "verdict"], "left_anti").distinct()
 

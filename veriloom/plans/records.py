@@ -400,30 +400,54 @@ def x1(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), X.format_money(value, pln, "pl").alias("pl"), X.format_money(value, pln, "en").alias("en"), X.format_date(day, "pl").alias("date_pl"), X.format_date(day, "en").alias("date_en"))
 
 
+def _told(spark, sf_dir):
+    """What the extractor warns of: of one topic with the instructions, and one thing twice."""
+    said = F.array(F.lit("The prompt was odd"), F.lit("Totals differ"), F.lit("totals  differ"), F.lit("fromInstruction:  1.00 usd"))
+    return rendered(spark, sf_dir, "doc").select("doc_id", F.posexplode(said).alias("pos", "value"))
+
+
 def _verified(spark, sf_dir):
     r = lambda name: rendered(spark, sf_dir, name)
-    return verify(invoice_pages(spark, sf_dir), r("doc"), r("claim"), r("claim_date"), r("summary"), r("claim_name"), r("scan"), r("ocr"))
+    return verify(invoice_pages(spark, sf_dir), r("doc"), r("claim"), r("claim_date"), r("summary"), r("claim_name"), r("scan"), r("ocr"), _told(spark, sf_dir))
 
 
-_VERIFIED = """
+_PRICED = "(cents // 100)::varchar || '.' || lpad((cents % 100)::varchar, 2, '0') || ' ' || currency"
+_VERIFIED = f"""
     , money_rows as (select doc_id, count(*) as n_amounts, count(*) filter (where issue is not null) as n_flagged,
         string_agg(concat_ws(' ', idx::varchar, cents::varchar, currency, coalesce(found_in_text::varchar, '?'), coalesce(issue, '-')), ';' order by idx) as amounts from grounded group by doc_id)
     , date_rows as (select doc_id, string_agg(concat_ws(' ', idx::varchar, strftime(date, '%Y-%m-%d'), case when verdict = 'ok' then 'true' when doc_id in (select doc_id from scans) then '?' else 'false' end,
         case when verdict = 'ok' or doc_id in (select doc_id from scans) then '-' else verdict end), ';' order by idx) as dates from judged_date group by doc_id)
+    , spoken as (select doc_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) as other from (select doc_id, case when k % 97 = 0 then left(text, strpos(text, 'Ignore all') - 2) else text end as text from (select *, o_orderkey as k from ({rendered_sql("page")}) p0) p
+        union all select doc_id, text from ({rendered_sql("ocr")}) o)), words as (select distinct doc_id, other from spoken where len(other) >= 3)
+    , tokens as (select doc_id, idx, name, unnest(string_split_regex(lower(name), '[^a-z0-9]+')) as word from ({rendered_sql("claim_name")}) n)
+    , unknown as (select distinct t.doc_id, t.idx, t.name from tokens t where len(word) >= 3 and word <> 'ltd' and doc_id not in (select doc_id from scans)
+        and not exists (select 1 from words w where w.doc_id = t.doc_id and left(word, greatest(3, least(len(word), len(other)) - 3)) = left(other, greatest(3, least(len(word), len(other)) - 3))))
+    , items as (
+        select doc_id, 3 as n, 'text notInText' as outcome, 0 as part, row_number() over (partition by doc_id order by item) as idx, item from (select distinct doc_id, unnest(['777777.77 EUR', '2031-05-06']) as item from pg where doc_id % 20 = 1 and doc_id not in (select doc_id from scans))
+        union all select doc_id, 5, issue, 0, idx, {_PRICED} from grounded where issue = 'fromInstruction' union all select doc_id, 6, issue, 0, idx, {_PRICED} || ' (document: EUR)' from grounded where issue = 'currencyMismatch'
+        union all select doc_id, 7, issue, 0, idx, {_PRICED} || ' (net, document: gross)' from grounded where issue = 'labelMismatch' union all select doc_id, 8, issue, 0, idx, {_PRICED} from grounded where issue = 'notInText'
+        union all select doc_id, 8, verdict, 1, idx, strftime(date, '%Y-%m-%d') from judged_date where verdict <> 'ok' and doc_id not in (select doc_id from scans) union all select doc_id, 9, 'name', 0, idx, name from unknown)
+    , numbered as (select *, row_number() over (partition by doc_id, n order by part, idx) as r, count(*) over (partition by doc_id, n) as total from items)
+    , told as (
+        select doc_id, 0 as n, page as m, 'instruction: page ' || page::varchar as warning from pg where injected union all select distinct doc_id, 1, 0, 'The prompt was odd' from pg where doc_id not in (select doc_id from inj)
+        union all select distinct doc_id, 1, 1, 'Totals differ' from pg union all select distinct doc_id, 1, 2, 'fromInstruction:  1.00 usd' from pg
+        union all select doc_id, n, 0, outcome || ': ' || string_agg(item, ', ' order by r) filter (where r <= 10) || case when max(total) > 10 then ' and ' || (max(total) - 10)::varchar || ' more' else '' end from numbered where n <> 5 group by doc_id, n, outcome)
+    , warned as (select doc_id, string_agg(warning, ' | ' order by n, m) as warnings from told group by doc_id)
+    , ocr_rows as (select doc_id, string_agg(page::varchar, ',' order by page) as ocr_pages from ({rendered_sql("ocr")}) o group by doc_id)
+    , text_rows as (select doc_id, max(text) filter (where text_no = 0) as summary, count(*) filter (where text_no > 0) as n_points from ({rendered_sql("summary")}) t group by doc_id)
 """
 
 
-@query("j8_verify", _with("").rstrip() + _VERIFIED + """
-    select doc_id, amounts, dates, n_flagged, doc_id in (select doc_id from inj) as instructed, doc_id % 20 = 1 and doc_id not in (select doc_id from scans) as unsupported,
-        doc_id not in (select doc_id from scans) as unnamed from money_rows join date_rows using (doc_id)""")
+@query("j8_verify", _with("").rstrip() + _VERIFIED + f"""
+    select doc_id, language, md5(summary) as summary_md5, n_points, 'Customer#' || lpad(doc_id::varchar, 9, '0') as company, amounts, dates, n_flagged, coalesce(ocr_pages, '') as ocr_pages, warnings
+    from money_rows join date_rows using (doc_id) join warned using (doc_id) join text_rows using (doc_id) join ({rendered_sql("doc")}) d using (doc_id) left join ocr_rows using (doc_id)""")
 def j8(spark, sf_dir):
-    out = _verified(spark, sf_dir)
-    warned = lambda what: F.coalesce(F.exists("warnings", lambda w: w.startswith(what)), F.lit(False))
     flagged = F.size(F.filter("amounts", lambda a: a["issue"].isNotNull())).cast("long")
     said = lambda x, *fields: F.concat_ws(" ", *(F.coalesce(x[f].cast("string"), F.lit("-" if f == "issue" else "?")) for f in fields))
     amounts = F.array_join(F.transform("amounts", lambda a: said(a, "idx", "cents", "currency", "found_in_text", "issue")), ";")
     dates = F.array_join(F.transform("dates", lambda d: said(d, "idx", "date", "found_in_text", "issue")), ";")
-    return out.select("doc_id", amounts.alias("amounts"), dates.alias("dates"), flagged.alias("n_flagged"), warned("instruction").alias("instructed"), warned("notInText").alias("unsupported"), warned("name").alias("unnamed"))
+    company = F.element_at(F.filter("organizations", lambda n: n.startswith("Customer#")), 1)
+    return _verified(spark, sf_dir).select("doc_id", "language", F.md5(F.col("summary").cast("binary")).alias("summary_md5"), F.size("key_points").cast("long").alias("n_points"), company.alias("company"), amounts.alias("amounts"), dates.alias("dates"), flagged.alias("n_flagged"), F.array_join("ocr_pages", ",").alias("ocr_pages"), F.array_join("warnings", " | ").alias("warnings"))
 
 
 _REPORT = """
