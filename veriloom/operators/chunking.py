@@ -1,13 +1,14 @@
-"""Packing pages into chunks: an ordered fold with a capacity over each document's page lengths.
+"""Packing pages into chunks of a capacity.
 
 A page above the capacity is cut into pieces first, at line breaks, and inside lines that are longer
-than the capacity themselves; each piece is a chunk alone. Only lengths are folded over.
+than the capacity themselves; each piece is a chunk alone. Only lengths are packed; texts are joined
+to their chunk's number.
 """
 
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.text import strip
-from .fold import fold
+from .packing import pack
 
 
 def blocks(pages: DataFrame) -> DataFrame:
@@ -25,18 +26,7 @@ def split_long_pages(pages: DataFrame, max_chars: int, text: str = "text", blank
     cuts = F.transform(starts, lambda i: F.struct((F.length("line") > max_chars).alias("alone"), i.alias("cut_no"), F.substr("line", i * max_chars + 1, F.lit(max_chars)).alias("part")))
     parts = long.select("doc_id", "page", "line_no", F.explode(cuts).alias("c")).select("doc_id", "page", "line_no", "c.*").withColumn("size", F.length("part"))
 
-    def step(state: tuple | None, row: tuple) -> tuple[tuple, int | None]:
-        (piece, used), (alone, size) = state or (0, 0), row
-        if alone:
-            piece += used > 0
-            return (piece + 1, 0), piece
-        if used and used + size + 1 > max_chars:
-            piece, used = piece + 1, 0
-        if not size and not used:
-            return (piece, 0), None
-        return (piece, used + (used > 0) + size), piece
-
-    numbered = fold(parts, ["doc_id", "page"], ["line_no", "cut_no"], ["alone", "size"], step, "piece_no", "int").where("piece_no is not null")
+    numbered = pack(parts, ["doc_id", "page"], ["line_no", "cut_no"], F.col("size") + 1, max_chars + 1, "piece_no", alone=F.col("alone"), blank=F.col("size") == 0).where("piece_no is not null").withColumn("piece_no", F.col("piece_no").cast("int"))
     ordered = F.array_sort(F.collect_list(F.struct("line_no", "cut_no", "part")))
     return numbered.groupBy("doc_id", "page", "piece_no").agg(F.array_join(F.transform(ordered, lambda p: p["part"]), "\n").alias("piece"))
 
@@ -53,14 +43,8 @@ def chunk_pieces(pieces: DataFrame, max_chars: int) -> DataFrame:
     """``pieces`` (doc_id, page, piece_no, piece, long) with ``chunk_no``: pages are packed in order
     while they fit, the line break between two not counted; pieces of long pages stand alone."""
 
-    def step(state: tuple | None, row: tuple) -> tuple[tuple, int]:
-        (number, used, closed), (size, long) = state or (-1, 0, True), row
-        if closed or long or used + size > max_chars:
-            return (number + 1, size, long), number + 1
-        return (number, used + 1 + size, False), number
-
     sized = pieces.select("doc_id", "page", "piece_no", "long", F.length("piece").alias("size"))
-    numbers = fold(sized, ["doc_id"], ["page", "piece_no"], ["size", "long"], step, "chunk_no", "long").drop("size", "long")
+    numbers = pack(sized, ["doc_id"], ["page", "piece_no"], F.col("size") + 1, max_chars + 2, "chunk_no", alone=F.col("long")).drop("size", "long")
     return pieces.join(numbers, ["doc_id", "page", "piece_no"])
 
 
@@ -87,14 +71,8 @@ def plan_translation_chunks(pages: DataFrame, images: DataFrame, max_chars: int
     image = F.col("has_image") & (F.coalesce("part_no", F.lit(0)) == 0)
     rows = met.select("doc_id", "page", F.coalesce("part_no", F.lit(0)).alias("part_no"), F.when(parted, F.col("piece")).otherwise(F.col("text")).alias("text"), image.alias("has_image"), parted.alias("parted"))
 
-    def step(state: tuple | None, row: tuple) -> tuple[tuple, int]:
-        (number, used, shown, closed), (size, has_image, parted) = state or (-1, 0, 0, True), row
-        if closed or parted or used + size > max_chars or (has_image and shown >= max_images):
-            return (number + 1, size, int(has_image), parted), number + 1
-        return (number, used + size, shown + has_image, False), number
-
     sized = rows.select("doc_id", "page", "part_no", "has_image", "parted", F.length("text").alias("size"))
-    numbers = fold(sized, ["doc_id"], ["page", "part_no"], ["size", "has_image", "parted"], step, "chunk_no", "long").select("doc_id", "page", "part_no", "chunk_no")
+    numbers = pack(sized, ["doc_id"], ["page", "part_no"], F.col("size"), max_chars, "chunk_no", alone=F.col("parted"), counted=F.col("has_image"), most=max_images).select("doc_id", "page", "part_no", "chunk_no")
     return rows.join(numbers, ["doc_id", "page", "part_no"]).select("doc_id", "page", "part_no", "chunk_no", "has_image", "text")
 
 
