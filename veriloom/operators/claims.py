@@ -134,15 +134,17 @@ def check_names(names: DataFrame, pages: DataFrame, text: str = "clean") -> Data
     """``names`` (doc_id, kind, idx, name) with ``supported``: every word of the name (three letters
     or more, no legal form) has a word in the document that is equal or differs in the ending only.
 
-    The prefix comparison is an equality join on the first three letters, which both words share
-    whenever they match; a name without such words is supported.
+    Both words share their first three letters whenever they match. A document's wanted beginnings, packed
+    into one row, meet its pages first, so that only words that begin so are taken out of a page; the
+    rest is an equality join on the beginning. A name without such words is supported.
     """
     words = lambda c: F.array_distinct(F.filter(F.split(search_form(c), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 3))
     asked = names.select("doc_id", "kind", "idx", F.explode(words(F.col("name"))).alias("word")).where(~F.col("word").isin(NAME_STOPWORDS))
     asked = asked.withColumn("head", F.left("word", F.lit(3)))
-    wanted = asked.select("doc_id", "head").distinct()
-    there = pages.select("doc_id", F.explode(words(F.col(text))).alias("other")).withColumn("head", F.left("other", F.lit(3)))
-    there = there.join(wanted, ["doc_id", "head"], "left_semi").distinct()
+    wanted = asked.groupBy("doc_id").agg(F.collect_set("head").alias("heads"))
+    begun = lambda w: F.array_contains("heads", F.left(w, F.lit(3)))
+    there = pages.select("doc_id", F.col(text).alias("__text")).join(wanted, "doc_id")
+    there = there.select("doc_id", F.explode(F.filter(words(F.col("__text")), begun)).alias("other")).withColumn("head", F.left("other", F.lit(3))).distinct()
     shared = F.greatest(F.lit(3), F.least(F.length("word"), F.length("other")) - 3)
     met = asked.join(there, ["doc_id", "head"]).where(F.left("word", shared) == F.left("other", shared))
     hits = met.select("doc_id", "kind", "idx", "word").distinct()

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import clean, fold, rebuilt, search_form, strip, visible_length
+from .running import dealt, running
 
 #: A page with fewer visible characters is a scan; with an image, one with fewer than the second.
 FEW_CHARS, FEW_CHARS_WITH_IMAGE = 30, 400
@@ -75,8 +76,8 @@ def select_scan_pages(candidates: DataFrame, most: int = 4) -> DataFrame:
 
 def text_budget_cutoff(pages: DataFrame, budget: int = 400_000) -> DataFrame:
     """(doc_id, page, total): the first page of a document with which its text exceeds the budget."""
-    running = F.sum(F.length(F.coalesce("text", F.lit("")))).over(Window.partitionBy("doc_id").orderBy("page").rowsBetween(Window.unboundedPreceding, 0))
-    over = pages.select("doc_id", "page", running.alias("total")).where(F.col("total") > budget)
+    sized = dealt(pages.select("doc_id", "page", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("size")), ["doc_id"], ["page"])
+    over = running(sized, ["doc_id"], ["page"], {"total": F.col("size")}, inclusive=True).where(F.col("total") > budget)
     return over.groupBy("doc_id").agg(F.min("page").alias("page"), F.min_by("total", "page").alias("total"))
 
 

@@ -1,12 +1,16 @@
 """Queries of page jobs, chunking, merging and the ledger."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import chunking as K, ledger as L, merge as A, pages as P
 from ..sources import files
 from ..sources.rendered import rendered, rendered_sql
+from ..sources.named import file_heads, write_named
+from ..sources.shared import shared_folder
 from ..sources.tables import table
-from .registry import query
+from .registry import ORACLE_SQL, query
 from .verification import TRUTH, _with, j4
 
 _SPACES = "'\\s+'"
@@ -29,10 +33,14 @@ def s1(spark, sf_dir):
 @query("s2_admit_files", """
     select code, count(*) as n from (select case when page_id % 3 = 0 and page_id % 4 <> 0 then 'NOT_PDF' when page_id % 5 = 0 then 'EMPTY' when page_id % 7 <> 0 then 'BAD_SIGNATURE' else 'OK' end as code from pages) t group by code""")
 def s2(spark, sf_dir):
+    """Pages written as files, and admitted by what their first bytes say."""
     i = F.col("page_id")
-    name, mime = F.concat(i.cast("string"), F.when(i % 3 == 0, ".txt").otherwise(".PDF")), F.when(i % 4 == 0, "application/pdf")
+    name = F.concat(i.cast("string"), F.when(i % 3 == 0, ".txt").otherwise(".PDF"))
     body = F.when(i % 5 == 0, "").when(i % 7 == 0, F.concat(F.lit("%PDF-1.7"), F.col("html"))).otherwise(F.col("html"))
-    listed = table(spark, sf_dir, "pages").select(name.alias("path"), mime.alias("mime"), body.cast("binary").alias("content")).withColumn("length", F.length("content"))
+    folder = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    write_named(table(spark, sf_dir, "pages").select(name.alias("name"), body.cast("binary").alias("content")), folder)
+    number = F.regexp_extract("path", r"([0-9]+)\.[^.]*$", 1).cast("long")
+    listed = file_heads(spark, folder, 500).withColumn("mime", F.when(number % 4 == 0, "application/pdf"))
     return files.admit_files(listed).groupBy("code").agg(F.count("*").alias("n"))
 
 
@@ -334,6 +342,21 @@ def l1(spark, sf_dir):
     return L.upsert_ledger(entries.where("id % 3 <> 0"), entries.where("id % 3 = 0")).select("id", "file_hash")
 
 
+def _ranged(spark, entries):
+    path = f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
+    L.write_ledger(entries, path, 16)
+    return path
+
+
+@query("l1_upsert_ranges", ORACLE_SQL["l1_upsert_ledger"])
+def l1_ranges(spark, sf_dir):
+    """The same on a stored ledger, of which only the ranges that new entries fall into are rewritten."""
+    entries = _entries(spark, sf_dir)
+    path = _ranged(spark, entries.where("id % 3 <> 0"))
+    L.upsert_ranges(spark, path, entries.where("id % 3 = 0"), 16)
+    return L.read_ledger(spark, path).select("id", "file_hash")
+
+
 @query("l2_recent_results", "select user_id as owner, event_id as id, rank from (select *, row_number() over (partition by user_id order by ts desc, event_id desc)::integer as rank from events) t where rank <= 8")
 def l2(spark, sf_dir):
     events = table(spark, sf_dir, "events").select(F.col("user_id").alias("owner"), F.col("ts").alias("saved_at"), F.col("event_id").alias("id"))
@@ -365,6 +388,14 @@ def l5(spark, sf_dir):
     return L.remove_entries(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")))
 
 
+@query("l5_remove_ranges", ORACLE_SQL["l5_remove_entries"])
+def l5_ranges(spark, sf_dir):
+    """The same on a stored ledger."""
+    path = _ranged(spark, _entries(spark, sf_dir))
+    L.remove_ranges(spark, path, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")))
+    return L.read_ledger(spark, path).select("id")
+
+
 @query("l6_evict_to_fit", f"with {_ENTRIES} select id, total::bigint as total from (select id, sum(bytes) over (partition by owner order by saved_at desc, id desc rows unbounded preceding) as total from e) t where total <= 30000")
 def l6(spark, sf_dir):
     return L.evict_to_fit(_entries(spark, sf_dir), 30_000).select("id", "total")

@@ -5,17 +5,18 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.text import cents
-from ..operators import claims as C, evaluate as Q, extract as U, records as R, report as X, translation as T
+from ..operators import claims as C, evaluate as Q, extract as U, ledger as L, records as R, report as X, translation as T
 from ..operators.chunking import chunk_pages, inference_requests
 from ..operators.pages import page_ranges
 from ..sources import files
 from ..sources.rendered import rendered, rendered_sql
 from ..sources.shared import kept, shared_folder
 from ..sources.tables import table
+from ..streaming.arrivals import batch_handler, incremental, read_ledger, start_ledger
 from ..streaming.limits import rate_limit
-from .registry import query
+from .registry import ORACLE_SQL, query
 from .verification import _with, evidence, pages as invoice_pages, unverified
-from .verify import incremental_verify, verify
+from .verify import incremental_verify, rescored, verify
 
 _ANSWERS = """a as (select o_orderkey as k, o_orderkey % 31 <> 0 as parsed, case o_orderkey % 3 when 0 then 'de' when 1 then 'en' else 'Polish' end as language,
     case o_orderkey % 4 when 0 then 'faktura' when 1 then 'faktura' else 'raport' end as type, o_orderkey % 9 = 0 as ambiguous,
@@ -32,16 +33,17 @@ def s3(spark, sf_dir):
 
 
 @query("s5_write_records", f"""
-    with {_ANSWERS} select k as doc_id, 'f_' || k::varchar || '.insight' || case when k % 2 = 0 then '.en' else '' end || '.json' as name, type, points as n_points, case when not ambiguous then k::double end as value from a where parsed""")
+    with {_ANSWERS}, named as (select *, 'f_' || (k % 1000)::varchar || '.insight' || case when k % 2 = 0 then '.en' else '' end as base from a where parsed), n as (select *, row_number() over (partition by base order by k) as nth from named)
+    select case when nth = 1 then base else replace(base, '.insight', '-' || nth::varchar || '.insight') end || '.json' as name, type, points as n_points, case when not ambiguous then k::double end as value from n""")
 def s5(spark, sf_dir):
-    """Records written as JSON to the shared folder, and read again."""
+    """Records written as files under their own names, some of which collide, and read again."""
     records = _records(spark, sf_dir).where("record is not null")
-    file = F.concat(F.lit("f  "), F.col("doc_id").cast("string"), F.lit(".PDF"))
+    file = F.concat(F.lit("f  "), (F.col("doc_id") % 1000).cast("string"), F.lit(".PDF"))
     name = F.when(F.col("doc_id") % 2 == 0, files.record_name(file, "en")).otherwise(files.record_name(file))
     path = f"{shared_folder(spark)}/records-{uuid.uuid4().hex}"
-    files.write_records(records.select("doc_id", F.col("record.document.type").alias("type"), name.alias("name"), "record"), path)
-    back = spark.read.schema(f"doc_id long, name string, record {records.schema['record'].dataType.simpleString()}, type string").json(path)
-    return back.select("doc_id", "name", "type", F.size("record.keyPoints").alias("n_points"), F.col("record.amounts")[0]["value"].alias("value"))
+    files.write_records(records.select("doc_id", name.alias("name"), "record"), path)
+    back = files.read_records_files(spark, path, records.schema["record"].dataType.simpleString())
+    return back.select("name", F.col("record.document.type").alias("type"), F.size("record.keyPoints").alias("n_points"), F.col("record.amounts")[0]["value"].alias("value"))
 
 
 @query("p8_normalize_records", f"""
@@ -254,7 +256,7 @@ def _checks(spark, sf_dir):
     required, names = _names(spark, sf_dir)
     docs = truth.select("doc_id")
     grounded = C.ground_amounts(rendered(spark, sf_dir, "claim"), evidence(spark, sf_dir), unverified(spark, sf_dir))
-    none = rendered(spark, sf_dir, "claim_date").where("false").select("doc_id", "date", F.lit(True).alias("found_in_text"))
+    days = C.ground_dates(rendered(spark, sf_dir, "claim_date"), evidence(spark, sf_dir), unverified(spark, sf_dir))
     mentions = docs.select("doc_id", F.explode(F.array(F.struct(F.lit("total").alias("what"), F.array(F.lit("highest total")).alias("any_of")), F.struct(F.lit("reserve").alias("what"), F.array(F.lit("no such words"), F.lit("reserve of")).alias("any_of")))).alias("m")).select("doc_id", "m.*")
     instructed = rendered(spark, sf_dir, "page").where("o_orderkey % 97 = 0").select("doc_id").distinct()
     return Q.report(
@@ -265,7 +267,7 @@ def _checks(spark, sf_dir):
         Q.mention_checks(mentions, rendered(spark, sf_dir, "summary")),
         Q.none_invented(docs, _invented(spark, sf_dir)),
         Q.injection_checks(instructed, _gave_way(spark, sf_dir)),
-        Q.confirmed_check(docs, grounded, none),
+        Q.confirmed_check(docs, grounded, days),
     )
 
 
@@ -293,7 +295,7 @@ _CHECKS = _INVENTED + """
       union all select docs.doc_id, 'no invented ' || t.kind, case when t.kind = 'organization' then 'should' else 'must' end, count(value) = 0, coalesce(string_agg(value, '; ' order by value), '')
         from docs cross join (select unnest(['amount', 'date', 'organization', 'person']) as kind) t left join invented i on i.doc_id = docs.doc_id and i.kind = t.kind group by docs.doc_id, t.kind
       union all select inj.doc_id, 'instruction ' || t.kind, 'must', count(value) = 0, '' from inj cross join (select unnest(['text', 'amount', 'warning']) as kind) t left join gave_way g on g.doc_id = inj.doc_id and g.kind = t.kind group by inj.doc_id, t.kind
-      union all select docs.doc_id, 'values confirmed', 'should', count(item) = 0, coalesce(string_agg(item, '; ' order by item), '') from docs left join (select distinct doc_id, cents::varchar || ' ' || currency as item from grounded where not found_in_text) g using (doc_id) group by docs.doc_id)
+      union all select docs.doc_id, 'values confirmed', 'should', count(item) = 0, coalesce(string_agg(item, '; ' order by item), '') from docs left join (select doc_id, cents::varchar || ' ' || currency as item from grounded where not found_in_text union select doc_id, strftime(date, '%Y-%m-%d') from judged_date where verdict <> 'ok' and doc_id not in (select doc_id from scans)) g using (doc_id) group by docs.doc_id)
     , told as (select * from checks where doc_id % 17 <> 7 union all select doc_id, 'schema', 'must', m <> 7, case when m = 7 then 'summary:blank' else '' end from docs)
 """.replace("{doc}", rendered_sql("doc"))
 
@@ -376,10 +378,19 @@ def q7(spark, sf_dir):
 
 @query("q8_rescore", f"{_AGAIN}{_TOTALS}")
 def q8(spark, sf_dir):
-    """Stored records judged anew by the current rules, and the score report without new extraction."""
+    """Records of a written ledger with the flags of an earlier run, verified anew by the current rules as
+    a whole, and the score report without new extraction."""
     amounts, dates = _stored(spark, sf_dir)
-    ev, unread = evidence(spark, sf_dir), unverified(spark, sf_dir)
-    return Q.score_report(_scores(spark, sf_dir, C.ground_amounts(amounts, ev, unread), C.ground_dates(dates, ev, unread)))
+    lists = amounts.groupBy("doc_id").agg(F.collect_list(F.struct("idx", "value", "currency", "context", "found_in_text", "issue")).alias("amounts"))
+    lists = lists.join(dates.groupBy("doc_id").agg(F.collect_list(F.struct("idx", "date", "context", "found_in_text")).alias("dates")), "doc_id", "full")
+    record = F.struct("amounts", "dates")
+    entries = lists.select(F.col("doc_id").alias("id"), "doc_id", F.timestamp_seconds("doc_id").alias("saved_at"), F.sha2(F.col("doc_id").cast("string"), 256).alias("file_hash"), F.to_json(record).alias("record"))
+    path = f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
+    L.write_ledger(entries, path, 8)
+    r = lambda name: rendered(spark, sf_dir, name)
+    again = kept(rescored(L.read_ledger(spark, path), lists.select(record.alias("record")).schema["record"].dataType.simpleString(), invoice_pages(spark, sf_dir), r("doc"), r("summary"), r("claim_name"), r("scan"), r("ocr")))
+    found = again.select("doc_id", F.explode("amounts").alias("a")).select("doc_id", "a.*").withColumn("value", F.col("cents") / 100)
+    return Q.score_report(_scores(spark, sf_dir, found, again.select("doc_id", F.explode("dates").alias("d")).select("doc_id", "d.*")))
 
 
 @query("q9_control_precision", _with("""
@@ -518,12 +529,30 @@ def g1(spark, sf_dir):
     return rate_limit(events, 2, 3600)
 
 
+@query("g1_rate_limit_scopes", """
+    with recursive e as (select user_id as key, event_type as scope, ts, event_id as id, case event_type when 'click' then 1 when 'view' then 2 end as most, row_number() over (partition by user_id, event_type order by ts, event_id) as n from events),
+    f as (select key, scope, ts, id, n, true as allowed, [ts] as accepted from e where n = 1
+        union all select e.key, e.scope, e.ts, e.id, e.n, coalesce(len(r) < most, true), case when coalesce(len(r) < most, true) then list_append(r, e.ts) else r end from f join e on e.key = f.key and e.scope = f.scope and e.n = f.n + 1,
+            lateral (select list_filter(f.accepted, lambda t: e.ts - t < interval 2 hour) as r) x)
+    select key, scope, ts, id, allowed from f""")
+def g1_scopes(spark, sf_dir):
+    """Clicks and views of a user are limited apart; other events are not."""
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_type").alias("scope"), "ts", F.col("event_id").alias("id"))
+    return rate_limit(events, {"click": 1, "view": 2}, 7200)
+
+
 @query("g2_incremental_verify", _with("").rstrip() + _VERIFIED + """
     , old as (select distinct doc_id from pg where doc_id % 3 <> 0), come as (select distinct doc_id from pg where doc_id % 3 = 0 or doc_id % 4 = 1),
     fresh as (select doc_id from come where not (doc_id in (select doc_id from old) and doc_id % 2 = 1 and doc_id % 5 <> 0))
     select doc_id as id, -1::bigint as n_amounts, -1::bigint as n_flagged from old where doc_id not in (select doc_id from fresh) union all select doc_id + 1000000000, n_amounts, n_flagged from fresh join money_rows using (doc_id)""")
 def g2(spark, sf_dir):
     """Arriving invoices of customers, some of them answered by the ledger: the ledger afterwards."""
+    files, ledger, check = _arriving(spark, sf_dir)
+    after, _ = incremental_verify(files, ledger, 1, check)
+    return after.select("id", "n_amounts", "n_flagged")
+
+
+def _arriving(spark, sf_dir):
     i = F.col("doc_id")
     docs = rendered(spark, sf_dir, "doc")
     hashed = docs.select(i.alias("id"), "doc_id", F.timestamp_seconds(i).alias("saved_at"), F.lit("owner").alias("owner"), F.sha2(i.cast("string"), 256).alias("file_hash"), (i % 2).cast("int").alias("pipeline_version"), (i % 5 == 0).alias("backup"))
@@ -531,12 +560,25 @@ def g2(spark, sf_dir):
     files = hashed.where("doc_id % 3 = 0 or doc_id % 4 = 1").withColumns({"id": i + 1_000_000_000, "pipeline_version": F.lit(1)})
 
     def check(fresh):
+        spark = fresh.sparkSession
         r = lambda name: rendered(spark, sf_dir, name).join(fresh.select("doc_id"), "doc_id", "left_semi")
         done = verify(r("page").drop("o_orderkey"), r("doc"), r("claim"), r("claim_date"), r("summary"), r("claim_name"), r("scan"), r("ocr"))
         return done.select("doc_id", F.size("amounts").cast("long").alias("n_amounts"), F.size(F.filter("amounts", lambda a: a["issue"].isNotNull())).cast("long").alias("n_flagged"))
 
-    after, _ = incremental_verify(files, ledger, 1, check)
-    return after.select("id", "n_amounts", "n_flagged")
+    return files, ledger, check
+
+
+@query("g2_incremental_stream", ORACLE_SQL["g2_incremental_verify"])
+def g2_stream(spark, sf_dir):
+    """The same files as a stream in two batches; some come twice."""
+    files, ledger, check = _arriving(spark, sf_dir)
+    folder = f"{shared_folder(spark)}/arrivals-{uuid.uuid4().hex}"
+    start_ledger(ledger, f"{folder}/ledger")
+    for part in (F.col("doc_id") % 2 == 0, (F.col("doc_id") % 2 == 1) | (F.col("doc_id") % 8 == 0)):
+        files.where(part).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    incremental(stream, batch_handler(spark, f"{folder}/ledger", 1, check), f"{folder}/checkpoint").awaitTermination()
+    return read_ledger(spark, f"{folder}/ledger").select("id", "n_amounts", "n_flagged")
 
 
 @query("u1_with_extractor", """

@@ -139,9 +139,10 @@ def m9(spark, sf_dir):
 
 
 @query("m10_clause_context", _with("""
-    select doc_id, 0 as text_no, 'the highest total is ' || case when comma then translate(format('{:,.2f}', cents / 100.0), ',.', ' ,') || ' EUR gross' else 'EUR ' || format('{:,.2f}', cents / 100.0) || ' gross' end as context from top"""))
+    select doc_id, 0 as text_no, 'the highest total is ' || case when comma then translate(format('{:,.2f}', cents / 100.0), ',.', ' ,') || ' EUR gross' else 'EUR ' || format('{:,.2f}', cents / 100.0) || ' gross' end as context from top
+    union all select doc_id, 1, 'a reserve of ' || case when comma then '777 777,77 EUR' else 'EUR 777,777.77' end || ' net is kept' from top where doc_id % 20 = 1"""))
 def m10(spark, sf_dir):
-    texts = rendered(spark, sf_dir, "summary").where("text_no = 0")
+    texts = rendered(spark, sf_dir, "summary")
     return texts.select("doc_id", "text_no", M.clause_with(F.col("text"), lambda c: c.contains("EUR")).alias("context"))
 
 

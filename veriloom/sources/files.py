@@ -2,6 +2,9 @@
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..operators.running import RANGE, dealt, running
+from .named import HEAD_BYTES, file_heads, write_named
+
 MOST_BYTES = 10 * 1024 * 1024
 
 
@@ -10,16 +13,11 @@ def read_pages(spark: SparkSession, path: str, doc_id: str = "doc_id", page: str
     return spark.read.parquet(path).select(F.col(doc_id).alias("doc_id"), F.col(page).alias("page"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
-def list_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, modificationTime, length, content) of a folder's files."""
-    return spark.read.format("binaryFile").load(folder)
-
-
 def admit_files(files: DataFrame) -> DataFrame:
-    """``files`` (path, mime, length, content) with ``code``, the first that applies: NOT_PDF (by
-    neither its type nor its name), EMPTY, TOO_LARGE, BAD_SIGNATURE (no %PDF- in the first 1024
-    bytes), OK."""
-    head = F.decode(F.substring("content", 1, 1024), "ISO-8859-1")
+    """``files`` (path, mime, length, head: the first 1024 bytes) with ``code``, the first that applies:
+    NOT_PDF (by neither its type nor its name), EMPTY, TOO_LARGE, BAD_SIGNATURE (no %PDF- in the head),
+    OK."""
+    head = F.decode(F.substring("head", 1, HEAD_BYTES), "ISO-8859-1")
     code = (
         F.when((F.coalesce("mime", F.lit("")) != "application/pdf") & ~F.lower(F.coalesce("path", F.lit(""))).endswith(".pdf"), "NOT_PDF")
         .when(F.col("length") == 0, "EMPTY")
@@ -64,10 +62,25 @@ def record_name(name, language=None):
     return F.concat(file_base(name), F.lit(ending))
 
 
+def told_apart(records: DataFrame, name: str = "name", order: str = "doc_id") -> DataFrame:
+    """``records`` with names that differ: of equal ones the second is ``a-2.insight.json`` and so on, in
+    ``order``. Numbers are running counts, so a name that very many records share is many tasks' work."""
+    counted = running(dealt(records, [name], [order]), [name], [order], {"__nth": F.lit(1)}).drop(RANGE)
+    other = F.regexp_replace(name, r"(\.insight(?:\.[^.]*)?\.json)$", F.concat(F.lit("-"), (F.col("__nth") + 1).cast("string"), F.lit("$1")))
+    return counted.withColumn(name, F.when(F.col("__nth") == 0, F.col(name)).otherwise(other)).drop("__nth")
+
+
 def write_records(records: DataFrame, path: str) -> None:
-    """Verified ``records`` (type, name, record, ...) as JSON lines, a folder per document type. A
-    record's ``name`` is the file that it is handed out as."""
-    records.write.partitionBy("type").mode("overwrite").json(path)
+    """Verified ``records`` (doc_id, name, record: struct) as files of a folder, each under its ``name``,
+    with JSON of the record; all or none of them."""
+    named = told_apart(records.select("doc_id", "name", F.to_json("record").alias("json")))
+    write_named(named.select("name", F.col("json").cast("binary").alias("content")), path)
+
+
+def read_records_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(name, record) of the files of a folder of write_records."""
+    whole = file_heads(spark, path, n_bytes=0)  # Spark's own readers pass over names that begin with _
+    return whole.select(F.substring_index("path", "/", -1).alias("name"), F.from_json(F.col("head").cast("string"), schema).alias("record"))
 
 
 def write_reports(reports: DataFrame, path: str) -> None:

@@ -17,9 +17,9 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """``df`` written once and read again: what is read many times is computed once, plans stay
-    small, and a lost executor costs nothing that was done before."""
+def kept(df: DataFrame, reader: SparkSession | None = None) -> DataFrame:
+    """``df`` written once and read again, by another session if one is given: what is read many times is
+    computed once, plans stay small, and a lost executor costs nothing that was done before."""
     path = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return (reader or df.sparkSession).read.schema(df.schema).parquet(path)
