@@ -30,7 +30,7 @@ def build_evidence(pages: DataFrame, docs: DataFrame) -> Evidence:
     Pages without text state nothing. Pages that repeat state their values once. Documents without
     pages have no evidence; a null language leaves the decimal style to the pages.
     """
-    split = kept(M.split_injected_lines(pages.select("doc_id", "page", "text")).drop("text"))
+    split = kept(M.split_injected_lines(M.spread(pages.select("doc_id", "page", "text"))).drop("text"))
     rests = kept(M.undated(split, "clean"))
     styles = kept(M.styles_of(rests, docs.select("doc_id", "language")))
     clean = M.readable_of(rests, styles)

@@ -15,6 +15,14 @@ from ..functions.text import fold, search_form, strip
 _REJOIN = r"(\d)[ \t]*\n[ \t]*(\d{3}(?:[,.]\d+)?)(?!\d)"
 
 
+def spread(pages: DataFrame, *keys: str) -> DataFrame:
+    """``pages`` dealt over as many tasks as shuffles have: mining a text costs far more than its bytes say,
+    so few bytes are no reason for few tasks. By default by document and page, so that a document of
+    very many pages is many tasks' work."""
+    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pages.repartition(n, *(keys or ("doc_id", "page")))
+
+
 def has_instruction(folded: Column) -> Column:
     out = F.lit(False)
     for phrase in INSTRUCTION_PHRASES:

@@ -7,9 +7,10 @@ from ..functions import numbers as N
 from ..functions.dates import take_dates
 from ..functions.text import cents, rebuilt
 from ..sources.shared import kept
+from .mentions import spread
 
 KEY = ("doc_id", "field", "idx")
-#: Numbers in the other notation than the style's.
+# Numbers in the other notation than the style's.
 _WRONG = {"point": (r"\d{1,3}(?: \d{3})*,\d{1,2}(?!\d)", "comma"), "comma": (r"\d{1,3}(?:,\d{3})+\.\d+", "point")}
 
 
@@ -38,6 +39,7 @@ def numeric_diff(pairs: DataFrame) -> DataFrame:
     missing from the target or extra in it. A number in the wrong notation counts with the value
     that its own notation gives."""
     either = lambda style: F.when(style == "unknown", "comma").otherwise(style)
+    pairs = spread(pairs, *KEY)
     source = take_dates(pairs, "source").select(*KEY, F.explode(_values(F.col("dates"), F.transform(N.read(F.col("rest"), either(F.col("source_style")), False), lambda t: t["cents"]))).alias("value"))
     target = take_dates(pairs, "target").withColumn("wrong", _wrong(F.col("rest"), F.col("target_style")))
     blank = lambda m: F.repeat(F.lit(" "), F.length(m))

@@ -509,13 +509,15 @@ def s4(spark, sf_dir):
     return files.read_truth(table(spark, sf_dir, "orders").select(k.cast("string").alias("name"), F.when(k % 5 == 1, "no JSON").otherwise(text).alias("text")))
 
 
-@query("s6_write_reports", "select conv_id as doc_id, count(*) as pages from conversations group by conv_id")
+@query("s6_write_reports", """
+    select 'doc_' || (conv_id // 2)::varchar || case when conv_id % 2 = 1 and conv_id - 1 in (select conv_id from conversations) then '-2' else '' end || '.en.md' as name, count(*) as pages from conversations group by conv_id""")
 def s6(spark, sf_dir):
-    """Reports written as text to the shared folder and read again, counted by their page headers."""
-    reports = x3(spark, sf_dir).select(F.concat_ws(" ", F.col("doc_id").cast("string"), F.regexp_replace("report", r"(?m)^(?!## \d+$).*\n?|\n", "")).alias("report"))
+    """Reports written as files under their names, two documents to a name, and read again; counted by
+    their page headers."""
+    file = F.concat(F.lit("doc "), F.floor(F.col("doc_id") / 2).cast("string"), F.lit(".pdf"))
     path = f"{shared_folder(spark)}/reports-{uuid.uuid4().hex}"
-    files.write_reports(reports, path)
-    return spark.read.text(path).select(F.substring_index("value", " ", 1).cast("long").alias("doc_id"), F.regexp_count("value", F.lit("## ")).cast("long").alias("pages"))
+    files.write_reports(x3(spark, sf_dir).select("doc_id", files.report_name(file, F.lit("en")).alias("name"), "report"), path)
+    return files.read_reports(spark, path).select("name", F.regexp_count("report", F.lit(r"(?m)^## \d+$")).cast("long").alias("pages"))
 
 
 @query("g1_rate_limit", """

@@ -77,7 +77,7 @@ def evidence(spark: SparkSession, sf_dir: str) -> Evidence:
 
 
 def _clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.split_injected_lines(pages(spark, sf_dir)).drop("text")
+    return M.split_injected_lines(M.spread(pages(spark, sf_dir))).drop("text")
 
 
 def _read(spark: SparkSession, sf_dir: str, rejoin: bool = True) -> DataFrame:
@@ -87,7 +87,7 @@ def _read(spark: SparkSession, sf_dir: str, rejoin: bool = True) -> DataFrame:
 
 @query("m1_date_mentions", _with("select doc_id, page, d as date from pg"))
 def m1(spark, sf_dir):
-    return M.date_mentions(pages(spark, sf_dir))
+    return M.date_mentions(M.spread(pages(spark, sf_dir)))
 
 
 @query("m2_decimal_style", _with("select doc_id, case when bool_or(comma) then 'comma' else 'point' end as style from pg group by doc_id"))
@@ -120,7 +120,7 @@ def m6(spark, sf_dir):
 
 @query("m7_date_evidence", _with("select distinct doc_id, d as date from pg"))
 def m7(spark, sf_dir):
-    return M.full_dates(M.date_evidence(pages(spark, sf_dir)))
+    return M.full_dates(M.date_evidence(M.spread(pages(spark, sf_dir))))
 
 
 @query("m8_injection_findings", f"""

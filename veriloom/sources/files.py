@@ -66,7 +66,7 @@ def told_apart(records: DataFrame, name: str = "name", order: str = "doc_id") ->
     """``records`` with names that differ: of equal ones the second is ``a-2.insight.json`` and so on, in
     ``order``. Numbers are running counts, so a name that very many records share is many tasks' work."""
     counted = running(dealt(records, [name], [order]), [name], [order], {"__nth": F.lit(1)}).drop(RANGE)
-    other = F.regexp_replace(name, r"(\.insight(?:\.[^.]*)?\.json)$", F.concat(F.lit("-"), (F.col("__nth") + 1).cast("string"), F.lit("$1")))
+    other = F.regexp_replace(name, r"((?:\.(?:insight|summary))?(?:\.[a-z]{2})?\.(?:json|md))$", F.concat(F.lit("-"), (F.col("__nth") + 1).cast("string"), F.lit("$1")))
     return counted.withColumn(name, F.when(F.col("__nth") == 0, F.col(name)).otherwise(other)).drop("__nth")
 
 
@@ -83,6 +83,17 @@ def read_records_files(spark: SparkSession, path: str, schema: str) -> DataFrame
     return whole.select(F.substring_index("path", "/", -1).alias("name"), F.from_json(F.col("head").cast("string"), schema).alias("record"))
 
 
+def report_name(name: Column, language: Column | None = None) -> Column:
+    """The file of a report on the file ``name``; with a language, of its translation."""
+    return F.concat(file_base(name), F.lit(".summary.md") if language is None else F.concat(F.lit("."), language, F.lit(".md")))
+
+
 def write_reports(reports: DataFrame, path: str) -> None:
-    """``report`` texts, one file a partition."""
-    reports.select("report").write.mode("overwrite").text(path)
+    """``reports`` (doc_id, name, report) as files of a folder, each under its ``name``; all or none."""
+    named = told_apart(reports.select("doc_id", "name", "report"))
+    write_named(named.select("name", F.col("report").cast("binary").alias("content")), path)
+
+
+def read_reports(spark: SparkSession, path: str) -> DataFrame:
+    """(name, report) of the files of a folder of write_reports."""
+    return file_heads(spark, path, n_bytes=0).select(F.substring_index("path", "/", -1).alias("name"), F.col("head").cast("string").alias("report"))
