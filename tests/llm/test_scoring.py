@@ -231,6 +231,32 @@ def test_full_licence_texts(spark, form):
     assert got == want
 
 
+@pytest.mark.parametrize(
+    "text,licence",
+    [
+        ("This project is licensed under the MIT License - see the LICENSE file for details.", "MIT"),
+        ("This project is licensed under the MIT License - see the [LICENSE.md](LICENSE.md) file for details", "MIT"),
+        ("The code is Licensed under the MIT License.", "MIT"),
+        ("# Foo\n\nAll sources of foo are licensed under the Apache License, Version 2.0 unless noted otherwise.\n", "Apache-2.0"),
+        ("// SPDX-License-Identifier: MIT OR Apache-2.0\nint x;", "MIT"),
+        ("# SPDX-License-Identifier: Apache-2.0 WITH LLVM-exception\n", "Apache-2.0"),
+        ("# SPDX-License-Identifier: GPL-2.0-only\n", "GPL-2.0"),
+        ("License: MIT. Copyright (c) 2020 Foo. All rights reserved.", "MIT"),
+        ("name: foo\nlicense: BSD-3-Clause\n", "BSD-3-Clause"),
+        ("Copyright 2020 Foo. All rights reserved.", "proprietary"),
+        ("The museum is licensed under the city council.", None),
+        ("A license to thrill, and MIT is a school.", None),
+    ],
+)
+def test_notices_inside_longer_sentences(spark, text, licence):
+    assert licences.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().licence == licence
+
+
+def test_the_author_clause_of_bsd(spark):
+    text = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n3. The name of the author may not be used to endorse or promote products derived from this software without specific prior written permission.\n"
+    assert licences.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().licence == "BSD-3-Clause"
+
+
 def test_padded_and_joined_notices(spark):
     texts = ["Released under the MIT " + "*" * 300 + " License.", "This work is in the public-domain.", "This work is in the public  domain.", "(All\u00a0rights\nreserved)", "All advertising materials mentioning features or use of this software must display the following acknowledgement:", "publicdomain"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")

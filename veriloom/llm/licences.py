@@ -46,6 +46,8 @@ SPDX = {
     "GPL-2.0": "GPL-2.0", "GPL-2.0-only": "GPL-2.0", "GPL-2.0-or-later": "GPL-2.0", "GPL-3.0": "GPL-3.0", "GPL-3.0-only": "GPL-3.0", "GPL-3.0-or-later": "GPL-3.0", "LGPL-2.1-only": "LGPL-2.1", "LGPL-2.1-or-later": "LGPL-2.1",
     "LGPL-3.0-only": "LGPL-3.0", "LGPL-3.0-or-later": "LGPL-3.0", "AGPL-3.0-only": "AGPL-3.0", "AGPL-3.0-or-later": "AGPL-3.0", "CC-BY-4.0": "CC-BY-4.0", "CC-BY-SA-4.0": "CC-BY-SA-4.0", "CC-BY-NC-4.0": "CC-BY-NC-4.0",
 }
+#: Licences as notices name them.
+_NAMED = {"mit license": "mit-notice", "mit licence": "mit-notice", "apache license version 2.0": "apache-2-notice", "apache license 2.0": "apache-2-notice"}
 _APACHE = "apache license version 2.0 january 2004"
 
 #: Sentences of the licences' full texts and headers, normalised in the same way; * stands for a
@@ -82,7 +84,11 @@ TEXTS = {
     "distributed under the boost software license version 1.0": "bsl-1-notice",
     "to the extent possible under law * has waived all copyright and related or neighboring rights to *": "cc0-waiver",
     **{f"{begin} creative commons {kind} 4.0 {form}license": f"{name}-4-text" for kind, name in _CREATIVE.items() for begin in ("this work is licensed under a", "this work is licensed under the", "licensed under a") for form in ("international ", "international public ", "")},
-    **{f"spdx license identifier {tag.lower().replace('-', ' ')}": f"spdx-{tag.lower()}" for tag in SPDX},
+    "the name of the author may not be used to endorse or promote products derived from this software without specific prior written permission": "bsd-name",
+    # notices inside a longer sentence: of something, or with what follows
+    **{f"{begin}licensed under the {name}{end}": i for begin in ("", "* is ", "* are ") for end in ("", " *") for name, i in _NAMED.items() if begin or end},
+    # tags, alone or with what an expression adds; of alternatives the first counts
+    **{f"{begin} {tag.lower().replace('-', ' ')}{end}": f"spdx-{tag.lower()}" for tag in SPDX for begin, end in (("spdx license identifier", ""), ("spdx license identifier", " *"), ("license", ""))},
     **{_FREE.format(kind, v.format(n)): f"{name}-{n}-header" for kind, name, n in (("", "gpl", "3"), ("", "gpl", "2"), ("lesser ", "lgpl", "3"), ("lesser ", "lgpl", "2.1"), ("affero ", "agpl", "3")) for v in _VERSION},
 }
 
