@@ -28,6 +28,7 @@ def _by_slash(m: Column, g: Callable[[Column, int], Column]) -> Column:
     return F.when(second.cast("int") > 12, to_date(g(m, 3), first, second)).otherwise(to_date(g(m, 3), second, first))
 
 
+# The strict grammar of dates.
 _ISO = rf"{_EDGE}(\d{{4}})-(\d{{2}})-(\d{{2}}){_END}"
 _DOTS = rf"{_EDGE}(\d{{1,2}})\.(\d{{1,2}})\.(\d{{4}}){_END}"
 _SLASHES = rf"{_EDGE}(\d{{1,2}})/(\d{{1,2}})/(\d{{4}}){_END}"

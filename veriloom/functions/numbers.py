@@ -29,6 +29,7 @@ def language_style(language: Column) -> Column:
 def style_scores(rest: Column) -> tuple[Column, Column]:
     """How much of a text without dates is written with decimal commas and with decimal points."""
     count = lambda pattern: F.regexp_count(rest, F.lit(pattern))
+    # What counts for a style, and how much.
     comma = count(r"\d,\d{1,2}(?!\d)") + 2 * count(r"\d{1,3}(?: \d{3})+,\d")
     point = count(r"\d\.\d{1,2}(?![\d.])") + 2 * count(r"\d{1,3}(?:,\d{3})+\.\d")
     return comma, point
@@ -60,6 +61,7 @@ def read(rest: Column, style: Column, both: bool) -> Column:
 
 def multiplied(token: Column) -> Column:
     """Cents of a token times the multiplier word that follows it, null without one."""
+    # How far a multiplier may be, and its letters.
     word = F.lower(F.regexp_extract(F.left(token["after"], F.lit(12)), r"(?i)^\s*([a-ząćęłńóśźż]+)\.?", 1))
     factor = lookup(MULTIPLIERS, word)
     return F.when(factor.isNotNull(), cents(token["cents"] / 100 * factor))

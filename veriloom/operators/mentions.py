@@ -169,6 +169,7 @@ def clause_with(text: Column, has) -> Column:
     return F.when(F.length(whole) <= 100, whole).otherwise(F.concat(F.regexp_replace(F.left(whole, F.lit(100)), r"\s+\S*$", ""), F.lit("…")))
 
 
+# Where a sentence ends.
 _BOUNDARY = r"""[.!?…]+["'”»)]*\s+(?=["'„«(]?\p{Lu})"""
 
 

@@ -172,13 +172,16 @@ def t3(spark, sf_dir):
 
 @query("t4_check_pages", f"""
     with {_LINES} select distinct k as doc_id, null::integer as page, 'pages' as issue from l where k % 40 = 1 and idx = 1
-    union all select k, idx, 'blank' from l where k % 10 = 4 and idx = 2 union all select k, idx, 'values' from l where k % 10 in (1, 3) and not (k % 40 = 1 and idx = 1)""")
+    union all select k, idx, 'blank' from l where k % 10 = 4 and idx = 2 union all select k, idx, 'values' from l where k % 10 in (1, 3) and not (k % 40 = 1 and idx = 1) union all select k, idx, 'values' from l where k % 10 = 6 and idx = 1""")
 def t4(spark, sf_dir):
+    """Some pages are scans, of which those without text are left out; some that are none have no text."""
     source, target = _sides(spark, sf_dir)
     as_pages = lambda df: df.select("doc_id", F.col("idx").alias("page"), "text")
+    blank = F.expr("doc_id % 10 = 5 and page % 2 = 1 or doc_id % 10 = 6 and page = 1")
+    expected = as_pages(source).withColumn("text", F.when(blank, " ").otherwise(F.col("text")))
     returned = as_pages(target).withColumn("text", F.when((F.col("doc_id") % 10 == 4) & (F.col("page") == 2), "").otherwise(F.col("text")))
-    none = as_pages(source).where("false")
-    return T.check_pages(as_pages(source), returned, none, _styles(source))
+    scans = expected.where("doc_id % 10 in (1, 5) and page % 2 = 1")
+    return T.check_pages(expected, returned, scans, _styles(source))
 
 
 _FIELDS = f"""{_ANSWERS}, fields as (
