@@ -68,22 +68,19 @@ class Level:
     hashes: int
 
     def holds(self, key: Column) -> Column:
-        data, size = F.lit(self.bits), len(self.bits) * 8
-        out = F.lit(True)
-        for place in _places(key, self.number, self.hashes, size):
+        data = F.lit(self.bits)  # once in the plan, however many hashes there are
+
+        def is_set(place: Column) -> Column:
             byte = F.conv(F.hex(F.substr(data, (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10)  # without reading the others
-            out = out & (F.getbit(byte.cast("int"), (place % 8).cast("int")) == 1)
-        return out
+            return F.getbit(byte.cast("int"), (place % 8).cast("int")) == 1
+
+        return F.forall(F.array(*_places(key, self.number, self.hashes, len(self.bits) * 8)), is_set)
 
 
 def _places(key: Column, level: int, hashes: int, size: int) -> list[Column]:
     return [F.pmod(F.xxhash64(key, F.lit(level), F.lit(i)), F.lit(size).cast("long")) for i in range(hashes)]
 
 
-class TooManyKeys(ValueError):
-    """The list is too long to be held in the plan; use a semi join."""
-
-
 @dataclass(frozen=True)
 class Cascade:
     levels: tuple[Level, ...]
@@ -96,12 +93,12 @@ class Cascade:
         return F.coalesce(out, F.lit(False))
 
 
-def build_cascade(universe: DataFrame, listed: DataFrame, false_positives: float = 0.01, max_keys: int = 4_000_000) -> Cascade:
+def build_cascade(universe: DataFrame, listed: DataFrame, false_positives: float = 0.01) -> Cascade:
     """Cascade over all keys of ``universe`` (one string column) for those of ``listed``.
 
     Nulls and repeated keys are left out; an empty list gives a cascade that contains nothing. A
-    level holds about 10 bits a key, so ``max_keys`` bounds what the driver and the plan hold
-    (5 MB); beyond it TooManyKeys is raised and ``listed_flag`` joins instead.
+    level holds about 10 bits a key; ``listed_flag`` deals more keys than a plan can hold over
+    several cascades.
     """
     key = universe.columns[0]
     inside = cut(listed.select(F.col(listed.columns[0]).alias(key)).dropna().distinct())
@@ -109,10 +106,7 @@ def build_cascade(universe: DataFrame, listed: DataFrame, false_positives: float
     levels: list[Level] = []
     encode, other = inside, outside
     while True:
-        count = encode.count()
-        if count > max_keys:
-            raise TooManyKeys(f"{count} keys in level {len(levels) + 1}")
-        level = _encode(encode, key, len(levels) + 1, count, false_positives if not levels else 0.5)
+        level = _encode(encode, key, len(levels) + 1, encode.count(), false_positives if not levels else 0.5)
         levels.append(level)
         wrong = cut(other.where(level.holds(F.col(key))))  # a few of the universe, fewer each level
         if wrong.isEmpty():
@@ -136,20 +130,32 @@ def _encode(keys: DataFrame, key: str, number: int, count: int, rate: float) ->
     return Level(number, b"".join(bytes.fromhex(r.digits) for r in rows)[: size // 8], hashes)
 
 
-def listed_flag(df: DataFrame, keys: Column, listed: DataFrame, name: str, **options) -> DataFrame:
+def listed_flag(df: DataFrame, keys: Column, listed: DataFrame, name: str, false_positives: float = 0.01, max_keys: int = 4_000_000, at_once: int = 8) -> DataFrame:
     """``df`` with a boolean column ``name``: is one of the ``keys`` (an array of strings) in ``listed``?
-    By a cascade built over all keys of ``df``; by an exact join where the list is too long for one,
-    with the same result."""
-    universe = df.select(F.explode(keys).alias("key"))
-    try:
-        cascade = build_cascade(universe, listed, **options)
-        return df.withColumn(name, F.coalesce(F.exists(keys, cascade.contains), F.lit(False)))
-    except TooManyKeys:
-        row, key = free_name(df, "row"), free_name(df, "listed_key")
-        numbered = cut(df.withColumn(row, F.monotonically_increasing_id()))
-        known = listed.select(F.col(listed.columns[0]).alias(key)).dropna().distinct()
-        hits = numbered.select(row, F.explode(keys).alias(key)).join(known, key, "left_semi").select(row).distinct().withColumn(name, F.lit(True))
-        return numbered.join(hits, row, "left").drop(row).withColumn(name, F.coalesce(F.col(name), F.lit(False)))
+
+    A hash deals all keys over as many cascades as keep each level near ``max_keys`` keys (5 MB); a
+    key asks its own. ``at_once`` cascades are tested in one pass over ``df``, which is then written,
+    so plan and driver hold about 40 MB however long the list is. One cascade, as a rule, is one pass
+    and no writing. Null keys are in no list; an empty or null array gives false.
+    """
+    universe = cut(df.select(F.explode(keys).alias("key")).dropna().distinct())
+    known = cut(listed.select(F.col(listed.columns[0]).alias("key")).dropna().distinct())
+    n = max(1, math.ceil(known.count() / max_keys), math.ceil(universe.count() * false_positives / max_keys))
+    part = lambda key: F.pmod(F.xxhash64(F.lit("part"), key), F.lit(n).cast("long"))
+    out = df.withColumn(name, F.lit(False))
+    for first in range(0, n, at_once):
+        some = range(first, min(first + at_once, n))
+        cascades = [(i, build_cascade(universe.where(part(F.col("key")) == i), known.where(part(F.col("key")) == i), false_positives)) for i in some]
+
+        def contains(key: Column) -> Column:
+            inside = F.lit(False)
+            for i, cascade in cascades:
+                inside = F.when(part(key) == i, cascade.contains(key)).otherwise(inside)
+            return inside
+
+        out = out.withColumn(name, F.col(name) | F.coalesce(F.exists(keys, contains), F.lit(False)))
+        out = cut(out) if some.stop < n else out
+    return out
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[Rule], listed_sites: DataFrame, url: str = "url") -> DataFrame:
