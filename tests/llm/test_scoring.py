@@ -298,7 +298,7 @@ def test_cascade_is_exact(spark):
     assert got == listed and len(cascade.levels) > 1
     empty = url_filter.build_cascade(universe, universe.where("false"))
     assert universe.where(empty.contains(F.col("key"))).count() == 0
-    for options in ({}, {"max_keys": 10}):  # by a cascade, and by the join that takes its place
+    for options in ({}, {"max_keys": 150}, {"max_keys": 100, "at_once": 2}):  # by one cascade, by three, by four in two passes
         flagged = url_filter.listed_flag(universe, F.array("key"), spark.createDataFrame([(k,) for k in listed], "site string"), "hit", **options)
         assert {r.key for r in flagged.where("hit").collect()} == listed and flagged.count() == universe.count()
 
@@ -357,6 +357,11 @@ def test_top_k_equals_brute_force(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
     got = topk.top_k(df, F.col("vec_id") % 50 == 0, candidate_block=64, query_bytes=300)
     assert sorted(map(tuple, got.collect())) == sorted(want)
+    short = df.where("vec_id is not null").select("vec_id", F.expr("transform(embedding, x -> x / (1 + vec_id))").alias("embedding"))
+    lengths = topk.top_k(short.where("vec_id < 400"), F.col("vec_id") % 50 == 0, k=2, candidate_block=32, query_bytes=300)
+    exact = [(i, [math.floor(256 * (x / (1 + i))) for x in v]) for i, v in rows if i is not None and i < 400 and v]
+    best = {(n, q): sorted((-sum(a * b for a, b in zip(v, w)), i) for m, (i, w) in enumerate(exact) if m != n)[:2] for n, (q, v) in enumerate(exact) if q % 50 == 0}
+    assert sorted(map(tuple, lengths.collect())) == sorted((q, r + 1, i, -s) for (_, q), found in best.items() for r, (s, i) in enumerate(found))
     assert sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 50 == 0).collect())) == sorted(want)
     large = spark.createDataFrame([(i, [2.0**20 + i, 1.0]) for i in range(40)], "vec_id long, embedding array<double>")
     assert [r.vec_id for r in topk.top_k(large, F.col("vec_id") == 0).orderBy("rank").collect()] == [39, 38, 37, 36, 35]

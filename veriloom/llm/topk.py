@@ -2,11 +2,12 @@
 
 Vectors are rotated onto the corpus's singular directions, so that the first coordinates hold most
 of every inner product; what the others can add is at most the product of the two residual
-lengths. Candidates are dealt out once, in blocks of descending length. The longest block gives each
-query a floor for its k-th score. Queries are sent to the candidates in parts of a bounded size: no
-candidate is shuffled for them. In each task candidates come by descending length, are scored in
-full only where the bound reaches the query's floor, and raise it; where the length alone says that
-no query can gain, the task ends.
+lengths. Candidates are dealt out in blocks of descending length. The longest block gives each query a
+floor for its k-th score, and so the length that a candidate must have; queries are dealt out in parts
+by that length. A block meets only the parts that it reaches, in tasks of their own, and no query
+passes the driver. There candidates come by descending length, are scored in full only where the
+bound reaches the query's floor, and raise it; where the length alone says that no query can
+gain, the task ends.
 """
 
 import math
@@ -15,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .tables import cut
@@ -134,42 +136,69 @@ def top_k(vectors: DataFrame, query: Column, k: int = 5, scale: int = 256, candi
 
 
 def _search(data: DataFrame, dims: int, k: int, candidate_block: int, query_bytes: int) -> DataFrame:
-    spark = data.sparkSession
-    rotation = singular_directions(data.select("v"), dims)
+    rotation = data.sparkSession.sparkContext.broadcast(singular_directions(data.select("v"), dims))
     squared = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     sized = data.withColumn("squared", squared)
-    n_blocks = max(1, math.ceil(data.count() / candidate_block))
-    candidates = cut(sized.repartitionByRange(n_blocks, F.col("squared").desc(), F.col("vec_id")).select("row", "vec_id", "v"))
-    longest = sized.orderBy(F.col("squared").desc(), "vec_id", "row").limit(candidate_block).select("row", "vec_id", "v").toArrow()
-    top = spark.sparkContext.broadcast((longest, rotation))
-
-    def floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The queries with their k-th score among the longest candidates."""
-        rows, rotation = top.value
-        for batch in batches:
-            best = Longest(pa.Table.from_batches([batch]), dims, k, rotation)
-            best.meet(rows.column("row").to_numpy(), rows.column("vec_id").to_numpy(), _matrix(rows.column("v"), dims))
-            yield batch.set_column(batch.schema.get_field_index("floor"), "floor", pa.array(best.floor))
-
-    asked = data.where("asked").select("row", "vec_id", "v", F.lit(float("nan")).alias("floor"))
-    queries = cut(asked.mapInArrow(floors, asked.schema))
-    n_query_blocks = max(1, math.ceil(queries.count() * dims * 8 / query_bytes))
-    found = spark.createDataFrame([], "query long, query_id long, vec_id long, score long")
-    for b in range(n_query_blocks):  # a bounded part of the queries against all candidates; these are not shuffled
-        some = queries.where(F.pmod(F.xxhash64("row"), F.lit(n_query_blocks)) == b).toArrow()
-        shared = spark.sparkContext.broadcast((some, rotation))
-
-        def score(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            """The k best of a task's candidates for each of the queries."""
-            queries, rotation = shared.value
-            if not len(queries):
-                return
-            best = Longest(queries, dims, k, rotation)
-            for batch in batches:
-                best.meet(batch.column("row").to_numpy(), batch.column("vec_id").to_numpy(), _matrix(pa.chunked_array([batch.column("v")]), dims))
+    candidates = _ranges(sized.select("row", "vec_id", "v", "squared"), "block", math.ceil(data.count() / candidate_block), F.col("squared").desc(), "vec_id", "row")
+    asked = _with_floors(sized, dims, k, candidate_block, rotation)
+    queries = _ranges(asked, "part", math.ceil(asked.count() * dims * 8 / query_bytes), "reach", "row")
+    pairs = _pairs(queries, candidates)
+
+    def score(queries: pa.Table, candidates: pa.Table) -> pa.Table:
+        """The k best of a block's candidates for each query of a part."""
+        found = [[] for _ in range(4)]
+        if len(queries) and len(candidates):
+            best = Longest(queries, dims, k, rotation.value)
+            best.meet(candidates.column("row").to_numpy(), candidates.column("vec_id").to_numpy(), _matrix(candidates.column("v"), dims))
             query, vec_id, points = best.found
-            yield pa.RecordBatch.from_arrays([pa.array(best.row[query]), pa.array(queries.column("vec_id").to_numpy()[query]), pa.array(vec_id), pa.array(points)], ["query", "query_id", "vec_id", "score"])
+            found = [best.row[query], queries.column("vec_id").to_numpy()[query], vec_id, points]
+        return pa.table([pa.array(x, pa.int64()) for x in found], ["query", "query_id", "vec_id", "score"])
 
-        found = found.unionByName(candidates.mapInArrow(score, found.schema))
+    n_pairs = pairs.count()
+    n_tasks = max(1, min(n_pairs, max(int(data.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_pairs // 64)))
+    met = [_dealt(rows, pairs, own, other).repartition(n_tasks, "part", "block").groupBy("part", "block") for rows, own, other in ((queries.select("part", "row", "vec_id", "v", "floor"), "part", "block"), (candidates.select("block", "row", "vec_id", "v"), "block", "part"))]
+    found = met[0].cogroup(met[1]).applyInArrow(score, "query long, query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("vec_id")))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _ranges(df: DataFrame, name: str, n: int, *order: Column | str) -> DataFrame:
+    """``df`` in about ``n`` ranges of ``order``, numbered in a column ``name``, and written."""
+    return cut(df.repartitionByRange(max(1, n), *order).withColumn(name, F.spark_partition_id()))
+
+
+def _with_floors(sized: DataFrame, dims: int, k: int, n_longest: int, rotation: Broadcast) -> DataFrame:
+    """The queries with their k-th score among the ``n_longest`` longest candidates, and the length
+    that a candidate must reach to come up to that."""
+    longest = sized.orderBy(F.col("squared").desc(), "vec_id", "row").limit(n_longest).select("row", "vec_id", "v").toArrow()
+    top = sized.sparkSession.sparkContext.broadcast(longest)
+
+    def floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = top.value
+        for batch in batches:
+            best = Longest(pa.Table.from_batches([batch]), dims, k, rotation.value)
+            best.meet(rows.column("row").to_numpy(), rows.column("vec_id").to_numpy(), _matrix(rows.column("v"), dims))
+            reach = np.where(best.floor > 0, best.floor, 0.0) / np.maximum(best.length, 1e-300) * (1 - 1e-6)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(best.floor), pa.array(reach)], schema=batch.schema)
+
+    none = F.lit(float("nan"))
+    asked = sized.where("asked").select("row", "vec_id", "v", none.alias("floor"), none.alias("reach"))
+    return cut(asked.mapInArrow(floors, asked.schema))
+
+
+def _pairs(queries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Parts of queries with the blocks whose longest candidate reaches any query's floor: one row for
+    thousands of rows of either side."""
+    parts = queries.groupBy("part").agg(F.min("reach").alias("reach"))
+    blocks = candidates.groupBy("block").agg(F.sqrt(F.max("squared")).alias("longest"))
+    last = candidates.agg(F.coalesce(F.max("block"), F.lit(0))).first()[0]
+    every = parts.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(last))))
+    return cut(every.join(blocks, "block").where(F.col("longest") >= F.col("reach")).select("part", "block"))
+
+
+def _dealt(rows: DataFrame, pairs: DataFrame, own: str, other: str, stripe: int = 256) -> DataFrame:
+    """``rows`` once for each pair of their ``own`` number. A number's pairs are dealt over stripes of the
+    ``other``, so that no task writes out more than ``stripe`` times what it reads."""
+    last = pairs.agg(F.coalesce(F.max(other), F.lit(0))).first()[0] // stripe
+    striped = pairs.withColumn("stripe", F.floor(F.col(other) / stripe).cast("int"))
+    return rows.withColumn("stripe", F.explode(F.sequence(F.lit(0), F.lit(last)))).join(striped, [own, "stripe"]).drop("stripe")
