@@ -53,6 +53,12 @@ def test_fingerprints_and_components_equal_brute_force(spark, awkward):
     assert got == want
 
 
+def test_no_documents_have_no_near_duplicates(spark, awkward):
+    none = awkward.where("false")
+    assert S.near_duplicates(none.select("doc_id", "text")).count() == 0
+    assert S.keep_one(none).columns == none.columns and S.keep_one(none).count() == 0
+
+
 @pytest.mark.parametrize("max_shard", [4096, 2])
 def test_links_of_random_fingerprints(spark, max_shard):
     rng, fps = random.Random(4), set()

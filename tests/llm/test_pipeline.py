@@ -1,7 +1,10 @@
 """The pipeline's stages one after the other, each against what it is given."""
 
+import hashlib
+
 import corpus_pipeline as P
-from veriloom.llm import decontaminate, quality, simhash
+from test_dedup import slow_components, slow_fingerprint, slow_removed
+from veriloom.llm import decontaminate, quality
 from veriloom.llm.tables import cut, table
 
 SF = "/root/testdata/sf0.001"
@@ -19,7 +22,16 @@ def test_stages(spark):
             want = {r.doc_id for r in quality.classify(docs, table(spark, SF, "labels")).where("predicted = 1").collect()}
             assert set(rows) == want
         elif name == "simhash_near_dedup":
-            assert set(rows) == {r.component_id for r in simhash.near_duplicates(docs).collect()}
+            fps = {d: slow_fingerprint(t) for d, t in before.items()}
+            roots, first = slow_components(set(fps.values())), {}
+            for d, f in sorted(fps.items()):
+                first.setdefault(roots[f], d)
+            assert set(rows) == set(first.values())
+        elif name == "substring_dedup":
+            told = {d: (n, lost, digest) for d, n, lost, digest in slow_removed(list(before.items()))}
+            assert set(rows) == {d for d, (n, lost, _) in told.items() if lost == 0 or lost < n}
+            for d, text in rows.items():
+                assert (hashlib.sha256(text.encode()).hexdigest() == told[d][2]) if told[d][1] else text == before[d]
         elif name == "benchmark_decontamination":
             leaky = {r.doc_id for r in decontaminate.leaks(docs, table(spark, SF, "benchmark")).collect()}
             assert set(rows) == set(before) - leaky
