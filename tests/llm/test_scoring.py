@@ -91,7 +91,10 @@ def test_toxicity_of_awkward_rows(spark, awkward):
     assert len(out) == awkward.count() and all(0 <= r.severity <= 3 for r in out)
     graded = {r.doc_id: r for r in toxicity.severity(docs, model).collect()}
     assert graded[101].toxic == 1 and graded[3].toxic == 0 and graded[101].severity > graded[3].severity
-    assert toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int")).weights == {}
+    unlearned = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert unlearned.weights == {}
+    for m in (model, unlearned):
+        assert toxicity.severity(awkward.where("false"), m).count() == 0
 
 
 def ordinal_rows(seed=3, n=300, d=6, levels=2):
@@ -310,6 +313,8 @@ def test_sites_below_listed_ones_in_tables_with_clashing_names(spark):
     assert [r.verdict for r in out.orderBy("page_id").collect()] == ["block", "block", "allow", "block", "allow", "allow"]
     assert [c for c in out.columns if c.startswith("__")] == ["__host", "__path", "__listed"] and out.first()["__host"] == "p"
     assert url_filter.filter_urls(pages.where("false"), [], pages.select("url").where("false")).count() == 0
+    twice = url_filter.filter_urls(pages.unionByName(pages), [], spark.createDataFrame([("spam.com",), ("spam.com",)], "site string"))
+    assert sorted(map(str, twice.collect())) == sorted(2 * list(map(str, out.collect())))
 
 
 def test_urls(spark):
