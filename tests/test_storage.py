@@ -3,6 +3,7 @@
 import glob
 import os
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -43,6 +44,17 @@ def test_only_the_beginnings_of_files_are_read(spark, tmp_path):
     assert file_heads(spark, f"file://{tmp_path}/in/sub").count() == 1
 
 
+def test_files_are_written_and_read_in_any_thread(spark, tmp_path):
+    df = spark.range(3).select(F.col("id").cast("string").alias("name"), F.lit("x").cast("binary").alias("content"))
+
+    def there_and_back(folder):
+        write_named(df, folder)
+        return file_heads(spark, folder).count()
+
+    with ThreadPoolExecutor(2) as pool:
+        assert list(pool.map(there_and_back, [str(tmp_path / "a"), str(tmp_path / "b")])) == [3, 3]
+
+
 def parts(path):
     return {r: set(glob.glob(f"{path}/range={r}/part-*")) for r in range(8)}
 

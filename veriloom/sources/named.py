@@ -126,12 +126,19 @@ class NamedFiles(DataSource):
         return _NamedWriter(self.options["path"])
 
 
+def _known(spark: SparkSession, source: type[DataSource]) -> None:
+    """Registers ``source``. Formats are looked up in the thread's active session, which a thread that did
+    not make the session may lack; createDataFrame makes ``spark`` that."""
+    spark.createDataFrame([], "none int")
+    spark.dataSource.register(source)
+
+
 def file_heads(spark: SparkSession, folder: str, per_task: int = 1000, n_bytes: int = HEAD_BYTES) -> DataFrame:
-    spark.dataSource.register(FileHeads)
+    _known(spark, FileHeads)
     return spark.read.format("file_heads").option("perTask", per_task).option("bytes", n_bytes).load(folder)
 
 
 def write_named(files: DataFrame, folder: str) -> None:
     """``files`` (name, content) as files of a folder."""
-    files.sparkSession.dataSource.register(NamedFiles)
+    _known(files.sparkSession, NamedFiles)
     files.select("name", "content").write.format("named_files").mode("append").save(folder)
