@@ -5,7 +5,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.dims import CURRENCIES, CURRENCY_ALIASES, DOCUMENT_TYPES, TYPE_ALIASES
-from ..functions.text import lookup, strip
+from ..functions.text import let, lookup, strip
 from .mentions import sentence_count
 
 #: What an answer may hold, before repair: texts where a repair may be needed.
@@ -18,15 +18,21 @@ ANSWER = (
 
 def parse_answers(answers: DataFrame) -> DataFrame:
     """``answers`` (doc_id, raw) with ``record``, null where the text has no JSON object: a code fence
-    is taken off, else what stands from the first { to the last }."""
+    is taken off, else what stands from the first { to the last }. The object is exploded, so that it is
+    parsed once a text, whatever later reads or filters name of the record."""
+
+    def body(bare: Column) -> Column:
+        first, last = F.instr(bare, "{"), F.length(bare) - F.instr(F.reverse(bare), "}") + 1
+        return F.when((first > 0) & F.contains(bare, F.lit("}")) & (last > first), F.substr(bare, first, last - first + 1))
+
+    def record(parsed: Column) -> Column:
+        return F.when(parsed.isNotNull() & parsed["broken"].isNull(), F.struct(*(parsed[n].alias(n) for n in names)))
+
     bare = F.regexp_replace(strip(F.col("raw")), r"^```[A-Za-z]*\s*|\s*```$", "")
-    first, last = F.instr(bare, "{"), F.length(bare) - F.instr(F.reverse(bare), "}") + 1
-    body = F.when((first > 0) & F.contains(bare, F.lit("}")) & (last > first), F.substr(bare, first, last - first + 1))
-    parsed = F.from_json(body, f"{ANSWER}, broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"})
-    out = answers.withColumn("__parsed", parsed)
-    names = [f.name for f in out.schema["__parsed"].dataType.fields if f.name != "broken"]
-    record = F.when(F.col("__parsed").isNotNull() & F.col("__parsed.broken").isNull() & body.isNotNull(), F.struct(*(F.col(f"__parsed.{n}").alias(n) for n in names)))
-    return out.withColumn("record", record).drop("__parsed")
+    found = answers.select("*", F.explode(F.array(let(bare, body))).alias("__body"))
+    parsed = F.from_json("__body", f"{ANSWER}, broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"})
+    names = [f.name for f in found.select(parsed.alias("p")).schema["p"].dataType.fields if f.name != "broken"]
+    return found.select(*answers.columns, F.explode(F.array(let(parsed, record))).alias("record"))
 
 
 # A language tag, a timestamp and the numeric texts of one reading.
