@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import numbers as N
 from ..functions.dates import take_dates
-from ..functions.text import cents, rebuilt
+from ..functions.text import cents, let, rebuilt
 from ..sources.shared import kept
 from .mentions import spread
 
@@ -39,15 +39,21 @@ def numeric_diff(pairs: DataFrame) -> DataFrame:
     missing from the target or extra in it. A number in the wrong notation counts with the value
     that its own notation gives."""
     either = lambda style: F.when(style == "unknown", "comma").otherwise(style)
-    pairs = spread(pairs, *KEY)
-    source = take_dates(pairs, "source").select(*KEY, F.explode(_values(F.col("dates"), F.transform(N.read(F.col("rest"), either(F.col("source_style")), False), lambda t: t["cents"]))).alias("value"))
-    target = take_dates(pairs, "target").withColumn("wrong", _wrong(F.col("rest"), F.col("target_style")))
+    read = take_dates(take_dates(spread(pairs, *KEY), "source", "__said", "__source"), "target", "__put", "rest")
+    read = read.withColumn("wrong", _wrong(F.col("rest"), F.col("target_style")))
     blank = lambda m: F.repeat(F.lit(" "), F.length(m))
-    target = target.withColumn("rest", _by_style(F.col("target_style"), lambda s: rebuilt(F.col("rest"), _WRONG[s][0], blank), F.col("rest")))
-    read = F.transform(N.read(F.col("rest"), either(F.col("target_style")), False), lambda t: t["cents"])
-    target = target.select(*KEY, F.explode(_values(F.col("dates"), F.concat(F.transform("wrong", lambda w: w["cents"]), read))).alias("value"))
-    both = source.withColumn("n", F.lit(1)).unionByName(target.withColumn("n", F.lit(-1)))
-    left = both.groupBy(*KEY, "value").agg(F.sum("n").alias("n")).where("n <> 0")
+    read = read.withColumn("rest", _by_style(F.col("target_style"), lambda s: rebuilt(F.col("rest"), _WRONG[s][0], blank), F.col("rest")))
+    numbers = lambda rest, style: F.transform(N.read(F.col(rest), either(F.col(style)), False), lambda t: t["cents"])
+    source = _values(F.col("__said"), numbers("__source", "source_style"))
+    target = _values(F.col("__put"), F.concat(F.transform("wrong", lambda w: w["cents"]), numbers("rest", "target_style")))
+
+    def counted(sides: Column) -> Column:
+        """Values with 1 and -1 by their side; a pair whose sides hold the same has none to tell."""
+        signed = lambda side, n: F.transform(sides[side], lambda v: F.struct(v.alias("value"), F.lit(n).alias("n")))
+        both = F.concat(signed("source", 1), signed("target", -1))
+        return F.when(F.array_sort(sides["source"]) != F.array_sort(sides["target"]), both)
+
+    left = read.select(*KEY, F.explode(let(F.struct(source.alias("source"), target.alias("target")), counted)).alias("v")).groupBy(*KEY, "v.value").agg(F.sum("v.n").alias("n")).where("n <> 0")
     return left.select(*KEY, "value", F.greatest("n", F.lit(0)).alias("missing"), F.greatest(-F.col("n"), F.lit(0)).alias("extra"))
 
 
