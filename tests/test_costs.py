@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from veriloom.operators import records as R
+from veriloom.functions import text as X
+from veriloom.operators import mentions as M, records as R, translation as T
 
 
 def plan_of(df):
@@ -14,3 +15,25 @@ def test_answers_are_parsed_once_whatever_is_filtered(spark):
     got = R.parse_answers(answers).where("record is not null").select("doc_id", F.col("record.summary").alias("s"))
     assert sorted(map(tuple, got.collect())) == [(1, "s"), (3, None)]
     assert plan_of(got).count("from_json") == 1
+
+
+def test_number_tokens_are_found_once_a_reading(spark):
+    read = spark.createDataFrame([(1, 1, "EUR 1,234.56 gross, 5 tys. zl", "unknown")], "doc_id long, page long, rest string, style string")
+    tokens = M.tokens_of(read)
+    assert plan_of(tokens).count("regexp_extract_all") == 4  # comma, point, and both for unknown
+    assert {(r.raw, r.cents, r.before, r.after) for r in tokens.where("t.reading = 'point'").select("t.*").collect()} == {("1,234.56", 123456, "EUR ", " gross, "), ("5", 500, " gross, ", " tys. zl")}
+
+
+def test_sides_of_a_pair_are_read_in_one_pass(spark):
+    rows = [(1, "f", 0, "1 234,50 i 7 i 7", "1,234.50 and 7 and 7"), (2, "f", 0, "7 i 7", "7"), (2, "f", 0, "8", "8 and 7"), (3, "f", 0, "5.05.2020", "6.05.2020"), (4, "f", 0, None, "3")]
+    pairs = spark.createDataFrame([(*r, "comma", "point") for r in rows], "doc_id long, field string, idx int, source string, target string, source_style string, target_style string")
+    diff = T.numeric_diff(pairs)
+    assert plan_of(diff).count("Repartition") == 1
+    assert sorted((r.doc_id, r.value, r.missing, r.extra) for r in diff.collect()) == [(3, "2020-05-05", 1, 0), (3, "2020-05-06", 0, 1), (4, "300", 0, 1)]
+
+
+def test_special_characters_are_told_from_plain_ones(spark):
+    """Every character that cleaning or folding changes is one that the cheap test finds."""
+    chars = spark.range(1, 0x1F000).where("id not between 55296 and 57343").select(F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')").alias("c")).where("c is not null")
+    slow = F.regexp_replace(F.regexp_replace(F.translate(X._cleaned(F.col("c")), X.MARKED, X.PLAIN), r"\p{M}", ""), r"\s+", " ")
+    assert chars.where((X.clean(F.col("c")) != X._cleaned(F.col("c"))) | (X.fold(F.col("c")) != slow)).count() == 0
