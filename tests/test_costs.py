@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from veriloom.functions import text as X
+from veriloom.functions import numbers as N, text as X
+from veriloom.functions.dims import LABELS
 from veriloom.operators import mentions as M, records as R, translation as T
+from veriloom.operators.evidence import build_evidence
 
 
 def plan_of(df):
@@ -37,3 +39,23 @@ def test_special_characters_are_told_from_plain_ones(spark):
     chars = spark.range(1, 0x1F000).where("id not between 55296 and 57343").select(F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')").alias("c")).where("c is not null")
     slow = F.regexp_replace(F.regexp_replace(F.translate(X._cleaned(F.col("c")), X.MARKED, X.PLAIN), r"\p{M}", ""), r"\s+", " ")
     assert chars.where((X.clean(F.col("c")) != X._cleaned(F.col("c"))) | (X.fold(F.col("c")) != slow)).count() == 0
+
+
+def test_every_label_has_its_hint(spark):
+    """What the cheap test before labels leaves out holds none, also in letters that only count as the same."""
+    words = "netto net excl. vat|bez podatku vat|excluding vat|brutto|gross|z podatkiem vat|incl. vat|miesięcznie|/mies.|na miesiąc|za miesiąc|monthly|per month|/month|roczny|/rok|za rok|w roku|annually|yearly|per year|/year|per annum|no label|ten".split("|")
+    odd = [w.translate(table) for w in words for table in ({}, str.maketrans("is", "ıſ"), str.maketrans("ik", "İ\u212a"))]
+    texts = spark.createDataFrame([(x,) for w in odd for x in (w, w.upper(), w.title(), f"a {w} b")] + [("",), (None,)], "t string")
+    for kind in N.LABELS:
+        slow = F.array(*(F.coalesce(F.col("t").rlike(f"(?iu){p}"), F.lit(False)) for p in LABELS[kind].values()))
+        fast = F.array(*(F.array_contains(N.labels_in(F.col("t"), kind), label) for label in LABELS[kind]))
+        assert texts.where(slow != fast).count() == 0
+        assert texts.where(F.size(N.labels_in(F.col("t"), kind)) > 0).count() > 20
+
+
+def test_evidence_makes_what_is_read_only(spark):
+    pages = spark.createDataFrame([(1, 1, "Total: EUR 12.50 gross of 5 May 2020"), (1, 2, "1\n234,50")], "doc_id long, page int, text string")
+    ev = build_evidence(pages, spark.createDataFrame([(1, "en")], "doc_id long, language string"))
+    assert {"labels", "dates", "money", "numbers"}.isdisjoint(vars(ev))
+    assert [tuple(r) for r in ev.labels.collect()] == [(1, 1250, "tax", "gross")]
+    assert {"dates", "money", "numbers"}.isdisjoint(vars(ev)) and ev.labels is ev.labels
