@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from veriloom.operators import chunking
 from veriloom.operators.packing import pack
 from veriloom.operators.running import dealt, running
 
@@ -67,3 +68,18 @@ def test_running_sums_and_maxima(spark):
         for k, i, _ in rows:
             before = [v for k2, i2, v in rows if k2 == k and (i2 < i or inclusive and i2 == i) and v is not None]
             assert sums[k, i] == sum(before) and tops[k, i] == max(before, default=None)
+
+
+def test_pages_are_taken_apart_in_their_row_as_by_packing(spark, monkeypatch):
+    """Pages of few lines and cuts are folded without a shuffle, larger ones packed, with equal pieces."""
+    rng = random.Random(3)
+    line = lambda: "".join(rng.choice("ab ") for _ in range(rng.choice([0, 0, 1, 3, 5, 9, 10, 11, 19, 20, 21, 40])))
+    rows = [(i, 1, "\n".join(line() for _ in range(rng.randint(1, 14)))) for i in range(100)] + [(100, 1, None), (101, 1, "")]
+    pages = spark.createDataFrame(rows, "doc_id long, page int, text string")
+    for blank_lines in (True, False):
+        monkeypatch.setattr(chunking, "_FOLDED", 4096)
+        folded = chunking.split_long_pages(pages, 10, blank_lines=blank_lines)
+        assert "Exchange" not in folded._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.setattr(chunking, "_FOLDED", 6)
+        packed = chunking.split_long_pages(pages, 10, blank_lines=blank_lines)
+        assert sorted(map(tuple, folded.collect())) == sorted(map(tuple, packed.collect()))

@@ -5,9 +5,10 @@ than the capacity themselves; each piece is a chunk alone. Only lengths are pack
 to their chunk's number.
 """
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import strip
+from ..sources.shared import kept
 from .packing import pack
 
 
@@ -21,7 +22,42 @@ def split_long_pages(pages: DataFrame, max_chars: int, text: str = "text", blank
     """(doc_id, page, piece_no, piece) of the pages above the capacity: whole lines while they fit,
     and lines above the capacity in cuts that stand alone. Without ``blank_lines`` runs of line
     breaks count as one; empty pieces are left out."""
-    long = pages.where(F.length(text) > max_chars).select("doc_id", "page", F.posexplode(F.split(text, "\n" if blank_lines else "\n+", -1)).alias("line_no", "line"))
+    long = kept(pages.where(F.length(text) > max_chars).select("doc_id", "page", F.split(text, "\n" if blank_lines else "\n+", -1).alias("lines")))
+    cuts = lambda line: F.floor((F.greatest(F.length(line), F.lit(1)) - 1) / max_chars) + 1
+    n_parts = F.aggregate("lines", F.lit(0).cast("long"), lambda n, line: n + cuts(line))
+    folded = long.where(n_parts <= _FOLDED).select("doc_id", "page", F.posexplode(_folded(F.col("lines"), max_chars)).alias("piece_no", "piece"))
+    large = long.where(n_parts > _FOLDED)
+    if large.isEmpty():
+        return folded
+    return folded.unionByName(_packed(large.select("doc_id", "page", F.posexplode("lines").alias("line_no", "line")), max_chars))
+
+
+#: Pages of up to so many lines and cuts are taken apart in their row; above, a page is many tasks' work.
+_FOLDED = 4096
+
+
+def _folded(lines: Column, max_chars: int) -> Column:
+    """The pieces of a page's lines, in order; nothing is shuffled."""
+    kind = "struct<done:array<string>,open:string>"
+    state = lambda done, open: F.struct(done.alias("done"), open.alias("open")).cast(kind)
+    none = F.lit(None).cast("string")
+    closed = lambda s: F.when(s["open"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["open"])))
+
+    def step(s: Column, line: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.length(line) - 1) / max_chars).cast("int"))
+        parts = F.transform(starts, lambda i: F.substr(line, i * max_chars + 1, F.lit(max_chars)))
+        fits = F.length(s["open"]) + 1 + F.length(line) <= max_chars
+        return (
+            F.when(F.length(line) > max_chars, state(F.concat(closed(s), parts), none))
+            .when(fits, state(s["done"], F.concat(s["open"], F.lit("\n"), line)))
+            .otherwise(state(closed(s), F.nullif(line, F.lit(""))))
+        )
+
+    return F.aggregate(lines, state(F.array().cast("array<string>"), none), step, closed)
+
+
+def _packed(long: DataFrame, max_chars: int) -> DataFrame:
+    """The same of pages of any number of lines, from rows of (doc_id, page, line_no, line)."""
     starts = F.sequence(F.lit(0), F.floor((F.greatest(F.length("line"), F.lit(1)) - 1) / max_chars).cast("int"))
     cuts = F.transform(starts, lambda i: F.struct((F.length("line") > max_chars).alias("alone"), i.alias("cut_no"), F.substr("line", i * max_chars + 1, F.lit(max_chars)).alias("part")))
     parts = long.select("doc_id", "page", "line_no", F.explode(cuts).alias("c")).select("doc_id", "page", "line_no", "c.*").withColumn("size", F.length("part"))
