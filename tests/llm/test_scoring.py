@@ -377,3 +377,11 @@ def test_toxicity_features_count_different_words():
     assert toxicity.features(None) == set() == toxicity.features("12 !")
     found = toxicity.features("Abcde abcdf abcdf ABCDG abcdh")
     assert {"abcde", "abcd-1", "abcd-2", "abcd-3"} <= found and "abcd-4" not in found and "abcde-1" not in found
+
+
+def test_quality_learns_from_every_label(spark, monkeypatch):
+    """Of 30,000 labelled documents all that are not held out are learned from."""
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    monkeypatch.setattr(quality, "fit", lambda rows, names: rows.count())
+    assert quality.train(docs, labels) == docs.where(~quality.held_out(F.col("doc_id"))).count() > 23_000

@@ -130,22 +130,18 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000) -> RuleModel:
-    """Model of ``labels`` (doc_id, quality) over the texts of ``docs`` (doc_id, text), without the
+def train(docs: DataFrame, labels: DataFrame) -> RuleModel:
+    """Model of all ``labels`` (doc_id, quality) over the texts of ``docs`` (doc_id, text), without the
     held-out ids.
 
-    About ``most_rows`` labelled documents are used, those with the smallest hashes of their ids: a
-    bounded sample, whose ids are therefore broadcast. Ids with null or conflicting labels are left
-    out; only texts, never ids, languages or sources, make the statistics.
+    Ids with null or conflicting labels are left out; only texts, never ids, languages or sources, make the
+    statistics. These are made before labels meet them, so that no text is shuffled.
     """
     labels = labels.select(F.col("doc_id").alias("labelled"), F.col("quality").cast("double").alias("label")).where("labelled is not null and label is not null")
     labels = labels.groupBy("labelled").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other and label in (0, 1)").where(~held_out(F.col("labelled")))
-    n = labels.count()
-    part = min(1.0, most_rows / n) if n else 1.0
-    sample = labels.where(F.pmod(F.xxhash64("labelled"), F.lit(1 << 30)) < int(part * (1 << 30))).select("labelled", "label")
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("labelled")).select("text", "label")
-    rows = cut(chosen.select("label", statistics(F.col("text")).alias("s")).select("label", "s.*"))
-    return fit(rows, NAMES)
+    made = docs.where(~held_out(F.col("doc_id"))).select("doc_id", statistics(F.col("text")).alias("s"))
+    met = made.join(labels, F.col("doc_id") == F.col("labelled"))
+    return fit(cut(met.select("label", "s.*")), NAMES)
 
 
 def with_score(docs: DataFrame, model: RuleModel, name: str) -> DataFrame:
@@ -157,15 +153,15 @@ def with_score(docs: DataFrame, model: RuleModel, name: str) -> DataFrame:
 THRESHOLD = 0.3
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted (1: at or above threshold)."""
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    scored = with_score(docs, train(docs, labels, **options), "score")
+    scored = with_score(docs, train(docs, labels), "score")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the documents whose score is under the threshold."""
     score = free_name(docs, "score")
-    scored = with_score(docs, train(docs, labels, **options), score)
+    scored = with_score(docs, train(docs, labels), score)
     return scored.where(F.col(score) >= threshold).drop(score)
