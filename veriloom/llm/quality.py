@@ -141,7 +141,8 @@ def train(docs: DataFrame, labels: DataFrame) -> RuleModel:
     labels = labels.groupBy("labelled").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other and label in (0, 1)").where(~held_out(F.col("labelled")))
     made = docs.where(~held_out(F.col("doc_id"))).select("doc_id", statistics(F.col("text")).alias("s"))
     met = made.join(labels, F.col("doc_id") == F.col("labelled"))
-    return fit(cut(met.select("label", "s.*")), NAMES)
+    # in order, since the samples that trees draw depend on it: reruns agree
+    return fit(cut(met.sortWithinPartitions("doc_id").select("label", "s.*")), NAMES)
 
 
 def with_score(docs: DataFrame, model: RuleModel, name: str) -> DataFrame:
