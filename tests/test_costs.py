@@ -81,3 +81,17 @@ def test_instructed_pages_are_told_by_the_evidence(spark):
     slow = pages.where(X.fold(F.col("text")).rlike(f"(?i)(?:{'|'.join(f'(?:{p})' for p in INSTRUCTION_PHRASES)})"))
     of = lambda df: sorted(r.page for r in df.collect())
     assert of(ev.pages.where("instructed")) == of(M.injection_findings(pages)) == of(slow) == list(range(10))
+
+
+def test_ids_of_records_are_not_broadcast(spark, tmp_path):
+    """The ids of a stored table of wide records count as few bytes, though they are as many as its rows."""
+    stored, kind = str(tmp_path / "records"), f"struct<{R.ANSWER}>"
+    rows = spark.range(6).select(F.col("id").alias("doc_id"), F.from_json(F.when(F.col("id") % 3 != 0, '{"summary": "s"}'), kind).alias("record"))
+    rows.write.parquet(stored)
+    violations = spark.createDataFrame([(0, "", "json"), (1, "b", "blank"), (1, "a", "date"), (3, "", "json")], "doc_id long, path string, rule string")
+    valid, rejected = R.quarantine(spark.read.parquet(stored), violations)
+    assert sorted(r.doc_id for r in valid.collect()) == [2, 4, 5]
+    assert sorted((r.doc_id, r.reasons) for r in rejected.collect()) == [(0, ":json"), (1, "a:date, b:blank"), (3, ":json")]
+    for half in (valid, rejected):
+        plan = half.select("doc_id")._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
