@@ -1,17 +1,20 @@
 """Files under their names, beginnings of files, ledgers in ranges, and ranks by narrowing."""
 
 import glob
+import json
 import os
 import random
+import tarfile
 from concurrent.futures import ThreadPoolExecutor
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from veriloom.operators import ledger as L
 from veriloom.operators.selection import select_rank
 from veriloom.sources import files
-from veriloom.sources.named import file_heads, write_named
+from veriloom.sources.named import file_heads, packed_files, write_named
 
 
 def test_records_are_files_under_their_names(spark, tmp_path):
@@ -95,3 +98,39 @@ def test_ranks_equal_sorting(spark, lower):
         vs = sorted(v for v in vs if v is not None and v == v)
         want[k] = vs[(len(vs) - 1) // 2 if lower else len(vs) // 2]
     assert got == want
+
+
+def test_packed_records_are_members_of_tar_volumes(spark, tmp_path, monkeypatch):
+    """Names of any length and script, repeated rows, and as few files of the disk as there are volumes."""
+    monkeypatch.setattr("veriloom.sources.named._MEMBERS", 7)
+    rows = [(i // 2, f"a {i % 3}.pdf", str(i)) for i in range(60)] + [(90, "ż" * 60, "long"), (91, "x" * 101, "y"), (92, "c", None), (92, "c", None), (93, "ł.pdf", "é" * 600)]
+    df = spark.createDataFrame(rows, "doc_id long, file string, v string").repartition(3)
+    records = df.select("doc_id", files.record_name(F.col("file")).alias("name"), F.struct("v").alias("record"))
+    files.write_records(records, str(tmp_path / "loose"))
+    files.write_records(records, str(tmp_path / "packed"), packed=True)
+    read = lambda folder, packed: sorted((r.name, r.record.v) for r in files.read_records_files(spark, str(tmp_path / folder), "struct<v:string>", packed).where("name not like 'a%'").select("name", "record").collect() if r.record)
+    assert read("packed", True) == read("loose", False) and len(read("packed", True)) == 5
+    volumes = glob.glob(str(tmp_path / "packed" / "*"))
+    assert all(v.endswith(".tar.zst") for v in volumes) and len(volumes) < 30
+    names, bodies = set(), {}
+    for v in volumes:
+        with pa.CompressedInputStream(v, "zstd") as stream, tarfile.open(fileobj=stream, mode="r|") as volume:
+            for info in volume:
+                names.add(info.name)
+                bodies[info.name] = volume.extractfile(info).read().decode()
+    assert names == set(os.listdir(tmp_path / "loose")) and len(names) == 65
+    by_name = {}  # of equal names the smaller doc_id comes first
+    for d, f, v in sorted(rows[:60]):
+        by_name.setdefault(f[2], []).append({v2 for d2, f2, v2 in rows[:60] if (d2, f2) == (d, f)})
+    for k, told in by_name.items():
+        for nth, allowed in enumerate(told):
+            assert json.loads(bodies[f"a_{k}{f'-{nth + 1}' if nth else ''}.insight.json"])["v"] in allowed
+
+
+def test_an_aborted_packed_write_leaves_no_file(spark, tmp_path):
+    df = spark.range(40).repartition(4).select(F.concat(F.lit("f"), F.col("id").cast("string")).alias("name"), F.when(F.col("id") == 33, F.raise_error(F.lit("stop"))).otherwise(F.lit("x")).cast("binary").alias("content"))
+    with pytest.raises(Exception, match="stop"):
+        write_named(df, str(tmp_path / "out"), packed=True)
+    assert [p for p in glob.glob(str(tmp_path / "out" / "**"), recursive=True) if os.path.isfile(p)] == []
+    write_named(df.where("id <> 33 and id < 0"), str(tmp_path / "none"), packed=True)
+    assert packed_files(spark, str(tmp_path / "none")).count() == 0
