@@ -4,6 +4,7 @@ import hashlib
 import random
 import time
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -275,3 +276,29 @@ def test_common_subsequence():
     for _ in range(200):
         a, b = ([rng.randrange(6) for _ in range(rng.randrange(20))] for _ in range(2))
         assert D.common_subsequence(a, b) == slow(a, b)
+
+
+def test_the_latent_space_is_that_of_all_passages(spark):
+    """Against a plain decomposition of every passage and item: words of one document count as well."""
+    rng, words = random.Random(4), [f"w{i}" for i in range(60)]
+    texts = [[rng.choice(words[:40]) for _ in range(rng.randint(1, 60))] + ["else"] * 30 for _ in range(5000)]
+    texts[17] = [rng.choice(words[40:44]) for _ in range(30_000)]  # words that stand nowhere else
+    items = [(i, " ".join(rng.choice(words) for _ in range(60 if i == 3 else 12))) for i in range(20)]
+    s, vocabulary = D.Settings(dims=3, common=0.9), {w: i for i, w in enumerate(words)}
+    ids = [np.array([vocabulary.get(w, -1) for w in t], dtype=np.int32) for t in texts]
+    tokens = spark.createDataFrame([(x.tobytes(),) for x in ids], "ids binary").repartition(5)
+    space = D._space(tokens, vocabulary, items, s)
+
+    def unit(run):
+        x = np.zeros(len(words))
+        np.add.at(x, run[run >= 0], space.idf[run[run >= 0]])
+        return x / (np.sqrt(x @ x) or 1.0)
+
+    passages = np.array([x for t in ids for k in range(0, max(1, len(t) - s.window // 2), s.window // 2) if (x := unit(t[k : k + s.window])).any()])
+    own = np.array([unit(np.array(i.words)[a:b]) for i in space.items for a, b in D._pieces(len(i.words), s.window)])
+    whole = np.concatenate([passages, own * np.sqrt(len(passages) / len(own))])
+    held = lambda basis: ((whole @ basis) ** 2).sum()
+    basis = np.where(space.idf[:, None] > 0, space.basis / np.maximum(space.idf, 1e-9)[:, None], 0)
+    assert held(basis) >= 0.99 * held(np.linalg.svd(whole, full_matrices=False)[2][:3].T)
+    empty = D._space(tokens.where("false"), vocabulary, items, s)
+    assert empty.basis.shape == (60, 3) and np.isfinite(empty.latent).all()
