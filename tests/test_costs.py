@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from veriloom.functions import dates as D, numbers as N, text as X
 from veriloom.functions.dims import INSTRUCTION_PHRASES, LABELS
-from veriloom.operators import mentions as M, records as R, translation as T
+from veriloom.operators import evaluate as Q, mentions as M, records as R, translation as T
 from veriloom.operators.evidence import build_evidence
 
 
@@ -95,3 +95,23 @@ def test_ids_of_records_are_not_broadcast(spark, tmp_path):
     for half in (valid, rejected):
         plan = half.select("doc_id")._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_invoices_are_scored_in_one_grouping(spark):
+    """What a record lists and says is moved once, and scores are worked out once for a report."""
+    frame = lambda rows, kind: spark.createDataFrame(rows, f"doc_id long, name string, {kind}")
+    truth = frame([(1, "a", 100, 80, "EUR", "2020-01-01", "7-A", "Zebra Ltd"), (1, "b", 100, None, None, "2020-01-02", "8", "of"), (2, "a", None, 5, "EUR", None, None, None), (3, "c", 1, 1, "EUR", "2020-01-01", "--", "Acme")], "cents long, net_cents long, currency string, date string, invoice_number string, issuer string")
+    records = frame([(1, "a", "faktura", "2019-01-01", 4.0), (1, "b", None, "2020-01-02", 2.0), (2, "a", "x", None, 9.0)], "type string, date string, ms double")
+    amounts = frame([(1, "a", 1.01, "PLN", True, None), (1, "a", 0.8, "EUR", False, "labelMismatch"), (1, "b", 0.5, "EUR", None, None), (2, "a", None, "EUR", False, None), (9, "z", 1.0, "EUR", False, None)], "value double, currency string, found_in_text boolean, issue string")
+    dates = frame([(1, "a", "2020-01-01", False), (1, "a", "2020-01-01", True), (2, "a", None, False)], "date string, found_in_text boolean")
+    texts = frame([(1, "a", "No. 7/A of"), (1, "a", "ZEBRA"), (2, "a", None)], "text string")
+    scores = Q.score_invoices(truth, records, amounts, dates, texts)
+    got = {(r.doc_id, r.name): tuple(r)[2:] for r in scores.collect()}
+    assert got == {
+        (1, "a"): (True, True, False, True, True, True, True, 2, 4.0),
+        (1, "b"): (False, False, None, None, True, False, None, 0, 2.0),
+        (2, "a"): (False, None, None, False, None, None, None, 2, 9.0),
+        (3, "c"): (False, False, False, None, False, False, False, 0, None),
+    }
+    assert plan_of(scores).count("Join ") == 2
+    assert "net_cents" not in plan_of(Q.score_report(scores))
